@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     first = cut(sketch.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("rep")))
     # Representatives' bands that more than one of them has.
     one = sketch.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"))
-    keyed = one.select("doc", F.posexplode("bands").alias("band", "key"))
+    keyed = one.where("doc IS NOT NULL").select("doc", F.posexplode("bands").alias("band", "key"))
     several = cut(keyed.groupBy("band", "key").agg(F.min("doc").alias("least"), F.count("*").alias("_many")).where("_many > 1").drop("_many"))
     members = stored(keyed.join(several, ["band", "key"]), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text"))

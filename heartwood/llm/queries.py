@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, neardup, quality, secrets, tokens, toxicity
+from . import bpe, licenses, lm, media, neardup, quality, secrets, tokens, toxicity
 from .common import documents
 
 
@@ -30,6 +31,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_pieces(documents(spark, sf_dir))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.lm_scores(documents(spark, sf_dir))
+    return scores.withColumns({"log_score": F.round("log_score", 4), "per_word": F.round("per_word", 4)})
+
+
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digest(documents(spark, sf_dir))
 
@@ -51,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_lm_scores": lm.ORACLE}
