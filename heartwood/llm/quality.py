@@ -39,7 +39,8 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def with_figures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts of FEATURES of each text, as long columns."""
+    """df with the counts of FEATURES of each text, as long columns. They come as one generated row for each row: the
+    optimizer doesn't move filters on them below that, where each would be worked out again word by word."""
     words, lines, pairs = "_words", "_lines", "_windows"
     size = lambda c: F.size(c).cast("long")
     t = text_or_empty(text)
@@ -53,8 +54,7 @@ def with_figures(df: DataFrame, text: str = "text") -> DataFrame:
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(places, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
     bare = F.translate(t, " \t\n\x0b\x0c\r", "")
-    return df.select(
-        *[c for c in df.columns if c not in (words, lines, pairs)],
+    figures = F.struct(
         size(words).alias("n_words"), F.length(bare).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (size(lines) - size(F.array_distinct(lines))).alias("n_dup_lines"),
@@ -64,6 +64,7 @@ def with_figures(df: DataFrame, text: str = "text") -> DataFrame:
         (F.length(t) - F.length(F.translate(t, "abcdefghijklmnopqrstuvwxyz", ""))).cast("long").alias("n_lower"),
         size(F.array_distinct(words)).alias("n_distinct"),
     )
+    return df.select(*[c for c in df.columns if c not in (words, lines, pairs)], F.inline(F.array(figures)))
 
 
 def votes() -> dict[str, Column]:
