@@ -1,11 +1,442 @@
-"""The registered queries of the engine."""
+"""The library's registered queries: its operators over the driver's tables, and over small literal documents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import html, text, urls
+from .functions.providers import HashingEmbedder, OverlapCompleter, RecordedCompleter, strict_json
+from .operators import crawl, fusion, markdown, reasoning, toc, tree, vectors
+ORACLES: dict[str, str] = {}
+from .plans import corpora
+from .plans.knowledge_base import KnowledgeBase
+from .sources import tables
+from .sources.config import Settings, VectorSettings
+from .streaming import upsert
 
-def oracle_sql() -> dict:
-    return {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _long(df: DataFrame) -> DataFrame:
+    """df with its whole numbers as longs, as SQL gives them."""
+    return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "bigint", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+def _outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the outline; what stands below a heading serves as its summary."""
+    return tree.nodes(markdown.sections(corpora.outline(spark, sf_dir))).withColumn("summary", F.col("raw_content"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index the conversations, search them by vectors, and return the contexts found."""
+    kb = KnowledgeBase.of(corpora.chats(spark, sf_dir), Settings(mode="vector", vector=VectorSettings(threshold=0.0)))
+    return kb.contexts(kb.search("the user asked about the answer"))
+
+
+# ---- Markdown
+
+
+@query
+def md_lines(spark, sf_dir):
+    return _long(markdown.lines(corpora.chats(spark, sf_dir)))
+
+
+@query
+def md_fence_states(spark, sf_dir):
+    return _long(markdown.fence_states(corpora.edges(spark)).select("doc_name", "line_no", "kind", "in_code"))
+
+
+@query
+def md_headings(spark, sf_dir):
+    return _long(markdown.headings(corpora.chats(spark, sf_dir)))
+
+
+@query
+def md_headings_edges(spark, sf_dir):
+    return _long(markdown.headings(corpora.edges(spark)))
+
+
+@query
+def md_sections(spark, sf_dir):
+    return _long(markdown.sections(corpora.chats(spark, sf_dir)))
+
+
+@query
+def md_prose_sections(spark, sf_dir):
+    return _long(markdown.sections(corpora.prose(spark, sf_dir)).select("doc_name", "title", "level", "start_line", "end_line", F.md5("content").alias("content_md5")))
+
+
+@query
+def doc_titles(spark, sf_dir):
+    docs = corpora.outline(spark, sf_dir).unionByName(corpora.chats(spark, sf_dir)).unionByName(corpora.prose(spark, sf_dir))
+    return markdown.titles(docs)
+
+
+@query
+def structure_overview(spark, sf_dir):
+    return markdown.structure_overview(markdown.sections(corpora.outline(spark, sf_dir), contents=False))
+
+
+# ---- trees
+
+
+@query
+def tree_nodes(spark, sf_dir):
+    found = _outline_tree(spark, sf_dir)
+    return _long(found.select("doc_name", "pos", "node_id", "title", "level", "start_line", "end_line", "parent_id", "depth", F.array_join("path", " > ").alias("path"), "last_pos"))
+
+
+@query
+def tree_edges(spark, sf_dir):
+    found = tree.nodes(markdown.sections(corpora.edges(spark)))
+    return _long(found.select("doc_name", "pos", "node_id", "title", "level", "start_line", "end_line", "parent_id", "depth", F.array_join("path", " > ").alias("path"), "last_pos"))
+
+
+@query
+def toc_render(spark, sf_dir):
+    return tree.contents_table(_outline_tree(spark, sf_dir))
+
+
+@query
+def toc_render_two_levels(spark, sf_dir):
+    return tree.contents_table(_outline_tree(spark, sf_dir), 2)
+
+
+@query
+def high_level_view(spark, sf_dir):
+    return _long(tree.high_level_view(_outline_tree(spark, sf_dir)))
+
+
+@query
+def enhanced_view(spark, sf_dir):
+    return _long(tree.enhanced_view(_outline_tree(spark, sf_dir)))
+
+
+@query
+def subtree_view(spark, sf_dir):
+    found = _outline_tree(spark, sf_dir)
+    inside = tree.below(found.where("level = 2").select("doc_name", "node_id"), found, 3)
+    return _long(inside.select("doc_name", "of_id", "node_id", "title", "rel_depth"))
+
+
+@query
+def find_node(spark, sf_dir):
+    return _long(tree.find(_outline_tree(spark, sf_dir), "0003").select("doc_name", "pos", "node_id", "title", "level"))
+
+
+@query
+def node_map(spark, sf_dir):
+    return tree.node_map(_outline_tree(spark, sf_dir)).select("doc_name", "node_id", "title")
+
+
+@query
+def subtree_contents(spark, sf_dir):
+    found = _outline_tree(spark, sf_dir)
+    return tree.subtree_contents(found.where("level <= 2").select("doc_name", "node_id"), found).select("doc_name", "node_id", F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"))
+
+
+@query
+def first_roots(spark, sf_dir):
+    return tree.first_roots(tree.nodes(markdown.sections(corpora.edges(spark))))
+
+
+@query
+def kb_statistics(spark, sf_dir):
+    docs = corpora.outline(spark, sf_dir).unionByName(corpora.chats(spark, sf_dir))
+    return _long(tree.statistics(tree.nodes(markdown.sections(docs))))
+
+
+@query
+def doc_listing(spark, sf_dir):
+    return _long(tree.listing(_outline_tree(spark, sf_dir), corpora.outline(spark, sf_dir).withColumn("description", F.substring("content", 1, 300))))
+
+
+# ---- contexts and fusion
+
+
+def _hits(spark: SparkSession) -> DataFrame:
+    rows = [("REGION_0", "0002", 0.4, 1), ("REGION_1", "0003", None, 2), ("REGION_0", "0002", 0.9, 3), ("REGION_0", "9999", 0.8, 4), ("REGION_2", "0001", 0.7, 5)]
+    return spark.createDataFrame(rows, "name string, node_id string, relevance double, rank int")
+
+
+def _named_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits, with their documents' names by number."""
+    regions = corpora.table(spark, sf_dir, "region").select(F.concat(F.lit("REGION_"), F.col("r_regionkey").cast("string")).alias("name"), F.col("r_name").alias("doc_name"))
+    return _hits(spark).join(regions, "name").drop("name")
+
+
+@query
+def contexts(spark, sf_dir):
+    found = fusion.contexts(_named_hits(spark, sf_dir), _outline_tree(spark, sf_dir))
+    return found.select("doc_name", "node_id", "title", F.md5("content").alias("content_md5"), "relevance")
+
+
+@query
+def combined_context(spark, sf_dir):
+    found = fusion.contexts(_named_hits(spark, sf_dir), _outline_tree(spark, sf_dir))
+    return fusion.combined(found).select(F.length("context").cast("long").alias("n_chars"), F.md5("context").alias("context_md5")).crossJoin(fusion.source_files(found).select(F.array_join("source_files", ",").alias("source_files")))
+
+
+@query
+def context_savings(spark, sf_dir):
+    found = _outline_tree(spark, sf_dir)
+    return _long(fusion.savings(fusion.contexts(_named_hits(spark, sf_dir), found), tree.statistics(found)))
+
+
+def _vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as nodes of documents by label, nearest to the first of them."""
+    e = corpora.table(spark, sf_dir, "embeddings")
+    first = e.where("vec_id = 0").select(F.col("embedding").alias("_q"))
+    scored = e.crossJoin(F.broadcast(first)).select(F.format_string("doc-%d", "label").alias("doc_name"), F.format_string("%04d", "vec_id").alias("node_id"), F.round(vectors.dot(F.col("embedding"), F.col("_q")), 6).alias("score"))
+    return scored.withColumn("title", F.concat(F.lit("vector "), "node_id"))
+
+
+@query
+def vec_topk(spark, sf_dir):
+    return _vector_hits(spark, sf_dir).orderBy(F.desc("score"), "node_id").limit(20).select("doc_name", "node_id", "score")
+
+
+@query
+def vec_threshold(spark, sf_dir):
+    return _vector_hits(spark, sf_dir).where("score >= 0.1").select("doc_name", "node_id", "score")
+
+
+@query
+def vec_chunk_search(spark, sf_dir):
+    """Every fifth vector is a node, the others are its chunks."""
+    e = corpora.table(spark, sf_dir, "embeddings").withColumn("node_id", F.format_string("%04d", F.floor(F.col("vec_id") / 5)))
+    named = e.select(F.lit("all").alias("doc_name"), "node_id", F.col("node_id").alias("title"), (F.col("vec_id") % 5).alias("chunk_no"), F.col("embedding").alias("vector"))
+    q = vectors.literal([1.0 / 8] * 64)
+    hits = vectors.vector_search(named.where("chunk_no = 0"), named.where("chunk_no > 0"), q, top_k=25, threshold=-1.0)
+    return hits.select("doc_name", "node_id", F.round("score", 6).alias("score"), F.size("chunk_scores").cast("long").alias("n_chunks"))
+
+
+@query
+def vec_statistics(spark, sf_dir):
+    e = corpora.table(spark, sf_dir, "embeddings").select(F.format_string("doc-%d", "label").alias("doc_name"), "vec_id", F.col("embedding").alias("vector"))
+    return _long(vectors.vector_statistics(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 > 0")))
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _vector_hits(spark, sf_dir).where("score >= 0.05")
+    order = Window.orderBy(F.desc("score"), "node_id")
+    v = hits.orderBy(F.desc("score"), "node_id").limit(40).withColumn("rank", F.row_number().over(order))
+    # Reasoning picks vectors by their number; every seventh twice.
+    e = corpora.table(spark, sf_dir, "embeddings").where("vec_id % 9 = 0")
+    r = e.select(F.format_string("doc-%d", "label").alias("doc_name"), F.format_string("%04d", "vec_id").alias("node_id"), (F.col("vec_id") % 11 / 10).alias("score"), F.lit("by number").alias("reasoning"), F.col("vec_id").alias("rank"))
+    again = r.where("rank % 7 = 0").withColumns({"rank": F.col("rank") + 1_000_000, "score": F.col("score") / 2, "reasoning": F.lit("again")})
+    r = r.unionByName(again).withColumn("title", F.concat(F.lit("reason "), "node_id"))
+    return fusion.fuse(v, r, max_results=60)
+
+
+@query
+def fuse_hybrid(spark, sf_dir):
+    return _fused(spark, sf_dir).withColumn("final_score", F.round("final_score", 6))
+
+
+@query
+def fuse_sources(spark, sf_dir):
+    return fusion.sources(_fused(spark, sf_dir))
+
+
+# ---- text functions
+
+
+@query
+def previews(spark, sf_dir):
+    return corpora.prose(spark, sf_dir).select("doc_name", text.preview(F.col("content"), 300).alias("preview"))
+
+
+_REPLIES = {
+    "fence": '```json\n{"a": 1}\n```', "prose": 'Sure: {"a": [1, 2]} done', "think": '<think>no {</think>{"b": "x"}', "bad": "{not json}", "none": "nothing",
+    "label": "**Summary:** Short text", "cjk": "摘要：内容", "colon": ": odd\nDescription: second", "plain": "  keep  ", "markdown": "```markdown\n# T\nx\n```",
+}
+
+
+def _replies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(_REPLIES.items()), "k string, reply string")
+
+
+@query
+def reply_cleaning(spark, sf_dir):
+    return _replies(spark).select("k", text.clean_reply(F.col("reply")).alias("clean"), text.unwrap_fence(F.col("reply")).alias("unwrapped"))
+
+
+@query
+def reply_json(spark, sf_dir):
+    return _replies(spark).select("k", strict_json(text.json_body(text.without_thinking(F.col("reply")))).alias("json"))
+
+
+@query
+def code_blocks(spark, sf_dir):
+    docs = corpora.edges(spark, {"a": "x\n```python\nprint(1)\n```\ny\n```\nplain\n```", "b": "none", "c": "```sql\nselect 1\n```"})
+    return docs.select("doc_name", F.posexplode(text.code_blocks(F.col("content"))).alias("n", "b")).select("doc_name", F.col("n").cast("long").alias("n"), "b.language", "b.code")
+
+
+@query
+def chunk_texts(spark, sf_dir):
+    return vectors.chunks(corpora.prose(spark, sf_dir)).select("doc_name", F.col("chunk_no").cast("long").alias("chunk_no"), F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query
+def hashed_vectors(spark, sf_dir):
+    c = corpora.table(spark, sf_dir, "conversations").select("conv_id", "turn", HashingEmbedder(64).embed(F.col("text")).alias("v"))
+    return c.select("conv_id", "turn", F.posexplode("v").alias("place", "x")).where("x <> 0").select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
+# ---- tables of contents
+
+
+@query
+def toc_detected(spark, sf_dir):
+    found = toc.detect(corpora.edges(spark, corpora.CONTENTS))
+    return _long(found.select("doc_name", "kind", "start_line", "end_line", "confidence", F.coalesce(F.array_join(F.transform("entries", lambda e: F.concat_ws("|", e["level"].cast("string"), e["title"])), ";"), F.lit("")).alias("entries")))
+
+
+@query
+def toc_levels(spark, sf_dir):
+    docs = corpora.edges(spark, {"x": "# Doc\n## Contents\n- [Deep  One](#a)\n    - [two](#b)\n- [THREE](#c)\n# deep one\n# Two\n# three\n# four"})
+    found = toc.with_toc_levels(markdown.sections(docs, contents=False), toc.link_entries(docs))
+    return _long(found.select("doc_name", "pos", "title", "level"))
+
+
+# ---- pages
+
+
+@query
+def page_urls(spark, sf_dir):
+    u = F.col("url")
+    return corpora.table(spark, sf_dir, "pages").select("page_id", urls.domain(u).alias("domain"), urls.doc_name(u).alias("doc_name"), urls.file_name(u).alias("file_name"), urls.crawlable(u).alias("crawlable"))
+
+
+@query
+def page_titles(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "pages").select("page_id", html.html_title(F.col("html")).alias("title"))
+
+
+@query
+def page_links(spark, sf_dir):
+    return crawl.page_links(corpora.table(spark, sf_dir, "pages"))
+
+
+@query
+def page_texts(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "pages").select("page_id", F.md5(html.html_text(F.col("html"))).alias("text_md5"))
+
+
+@query
+def page_markdown(spark, sf_dir):
+    title = html.html_title(F.col("html"))
+    return corpora.table(spark, sf_dir, "pages").select("page_id", html.html_to_markdown(F.col("html"), title).alias("markdown"))
+
+
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small web over the nations: each links to the two nations of twice its number and one more, and to its region."""
+    n = corpora.table(spark, sf_dir, "nation")
+    url = lambda k: F.concat(F.lit("http://web.test/n/"), k.cast("string"))
+    a = lambda u: F.concat(F.lit('<a href="'), u, F.lit('#top">x</a>'))
+    k = F.col("n_nationkey")
+    return n.select(url(k).alias("url"), F.concat(a(url(2 * k + 1)), a(url(2 * k + 2)), F.lit('<a href="/files/x.pdf">p</a><a href="http://other.test/">o</a>')).alias("html"))
+
+
+@query
+def crawl_levels(spark, sf_dir):
+    return _long(crawl.crawl(_linked_pages(spark, sf_dir), "http://web.test/n/0", depth=3))
+
+
+@query
+def crawl_counts(spark, sf_dir):
+    pages = _linked_pages(spark, sf_dir)
+    return crawl.crawl_statistics(crawl.crawl(pages, "http://web.test/n/0", depth=4), pages)
+
+
+@query
+def page_documents(spark, sf_dir):
+    return crawl.page_documents(corpora.table(spark, sf_dir, "pages")).select("doc_name", F.length("content").cast("long").alias("n_chars"), F.element_at("metadata", "domain").alias("domain"))
+
+
+# ---- maintenance
+
+
+@query
+def missing_documents(spark, sf_dir):
+    docs = corpora.outline(spark, sf_dir)
+    return tables.missing(docs.select("doc_name"), corpora.table(spark, sf_dir, "region").where("r_regionkey % 2 = 0").select(F.col("r_name").alias("doc_name")))
+
+
+@query
+def upserted_documents(spark, sf_dir):
+    old = corpora.outline(spark, sf_dir).select("doc_name", F.lit("old").alias("content"))
+    new = corpora.table(spark, sf_dir, "region").where("r_regionkey >= 3").select(F.col("r_name").alias("doc_name"), F.lit("new").alias("content"))
+    return tables.upserted(old, new.unionByName(spark.createDataFrame([("EXTRA", "new")], "doc_name string, content string")))
+
+
+@query
+def event_windows(spark, sf_dir):
+    found = upsert.event_counts(corpora.table(spark, sf_dir, "events"))
+    return found.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---- completer-driven search (a deterministic completer that needs no model)
+
+
+@query
+def reasoning_search(spark, sf_dir):
+    return reasoning.tree_search(_outline_tree(spark, sf_dir), "machinery of nation 3", OverlapCompleter(), 20, 0.2).select("doc_name", "node_id", "title", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def single_round(spark, sf_dir):
+    return reasoning.single_round_search(_outline_tree(spark, sf_dir), "customer building", OverlapCompleter(), 10).select("doc_name", "node_id", "title", "score")
+
+
+@query
+def fallback_search(spark, sf_dir):
+    """A completer that never answers: each document's first roots."""
+    return reasoning.candidates(_outline_tree(spark, sf_dir), "x", RecordedCompleter({})).select("doc_name", "node_id", "relevance", "reason")
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    kb = KnowledgeBase.of(corpora.outline(spark, sf_dir), Settings(vector=VectorSettings(threshold=0.1)))
+    return kb.search("nation 3 customer").select("doc_name", "node_id", "title", F.round("final_score", 6).alias("final_score"), "source")
+
+
+@query
+def query_answer(spark, sf_dir):
+    kb = KnowledgeBase.of(corpora.outline(spark, sf_dir), Settings(mode="vector", vector=VectorSettings(threshold=0.1)))
+    return kb.query("NATION 3").select("context", F.array_join("source_files", ",").alias("source_files"), "total_chars", "mode")
+
+
+@query
+def decomposed_queries(spark, sf_dir):
+    asked = spark.createDataFrame([("who paid and when was it shipped?",), ("one thing",)], "query string")
+    return reasoning.decomposed(asked, OverlapCompleter())
+
+
+@query
+def judged_passages(spark, sf_dir):
+    passages = corpora.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("content"))
+    both = reasoning.verified(reasoning.judged(passages, "the of and to", OverlapCompleter()), "the of and to", OverlapCompleter())
+    return both.select("item_id", "relevant", "confidence", "contains_answer", "answer_confidence")
+
+
+@query
+def contexts_flagship(spark, sf_dir):
+    return flagship(spark, sf_dir).select("doc_name", "node_id", "title", "content", F.round("relevance", 6).alias("relevance"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
