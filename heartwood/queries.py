@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import html, text, urls
 from .functions.providers import HashingEmbedder, OverlapCompleter, RecordedCompleter, strict_json
 from .operators import crawl, fusion, markdown, reasoning, toc, tree, vectors
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES
 from .plans import corpora
 from .plans.knowledge_base import KnowledgeBase
 from .sources import tables
