@@ -9,7 +9,9 @@ summed per document. To keep shuffles small, what is exchanged are blocks rather
 into batches, a batch sends each hash partition the sorted distinct n-grams it holds with their counts there, the
 partition sums them over batches and returns the totals in the same order, and the batch scores its documents. A
 frequent n-gram is one entry of a batch's block, however often it occurs, so that no partition gets a hot group.
-N-grams stand for themselves by 60-bit hashes.
+N-grams stand for themselves by hashes with SPARE_BITS more bits than it takes to count the n-grams of the corpus, so
+that at every size about one lookup in 2**(SPARE_BITS - 1) meets another n-gram's count. Within a block, sorted hashes
+are kept as differences in byte planes, and planes of little entropy are deflated.
 
 Words are separated by blanks; case is ignored. Null texts count as empty: no words, score 0, null per word. Repeated
 rows are documents of their own. An empty table gives no rows.
@@ -18,6 +20,7 @@ rows are documents of their own. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,12 @@ from .neardup import U64, mix, offsets, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 8_000_000
 PARTITION_ENTRIES = 2_000_000
-BITS = 60
+SPARE_BITS = 26
 
 
-def grams(words: np.ndarray, ends: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
+def grams(words: np.ndarray, ends: np.ndarray, order: int = ORDER, bits: int = 60) -> list[np.ndarray]:
     """For each order 1..n the hash of the n-gram that ends at each word, and 0 where the document has no such one."""
     words = mix(words.view(U64))
     place = np.arange(len(words)) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0))
@@ -43,87 +46,86 @@ def grams(words: np.ndarray, ends: np.ndarray, order: int = ORDER) -> list[np.nd
         # n-grams are hashed from their last word back, so that each longer one extends the shorter one's hash
         back = np.roll(words, k)
         h = mix(h * U64(0x9E3779B97F4A7C15) + back + U64(k + 1))
-        out.append(np.where(place >= k, h >> U64(64 - BITS) | U64(1), U64(0)))
+        out.append(np.where(place >= k, h >> U64(64 - bits) | U64(1), U64(0)))
     return out
 
 
-def histories(words: np.ndarray, ends: np.ndarray, order: int = ORDER) -> list[np.ndarray]:
-    """For each order 2..n the hash of the (n-1)-gram before each word: what `grams` has at the word before."""
-    return [np.roll(g, 1) for g in grams(words, ends, order - 1)]
-
-
-def bounds(partitions: int) -> np.ndarray:
+def bounds(partitions: int, bits: int) -> np.ndarray:
     """First hash of each partition, and the end."""
-    return np.array([-(-(i << BITS) // partitions) for i in range(partitions + 1)], U64)
+    return np.array([-(-(i << bits) // partitions) for i in range(partitions + 1)], U64)
 
 
-def narrow(x: np.ndarray) -> tuple[int, bytes]:
-    """(bytes for each number, the numbers in so many bytes)."""
+def packed(x: np.ndarray, even: int = 0) -> bytes:
+    """Non-negative integers as bytes: how many bytes each takes, then the planes of their bytes from the lowest up. The
+    `even` lowest planes, which look like noise, are kept as they are; the others are deflated together."""
     width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    return width, np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    even = min(even, width)
+    return bytes([width, even]) + planes[:even].tobytes() + zlib.compress(planes[even:].tobytes(), 1)
 
 
-def widened(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    width, even = data[0], data[1]
+    planes = data[2 : 2 + even * n] + zlib.decompress(data[2 + even * n :])
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
-def distinct(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def distinct(table: pa.Table, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct n-grams of a batch, places of all n-grams among them, counts, ends of the documents' words)."""
     words, ends = offsets(table.column("words").combine_chunks())
-    found, at, count = np.unique(np.concatenate(grams(words, ends, order)), return_inverse=True, return_counts=True)
+    found, at, count = np.unique(np.concatenate(grams(words, ends, order, bits)), return_inverse=True, return_counts=True)
     return found, at.reshape(order, -1), count, ends
 
 
-BLOCK = "part int, batch int, hash_width int, count_width int, hashes binary, counts binary"
-TOTAL = "batch int, part int, width int, totals binary"
+BLOCK = "part int, batch int, n int, hashes binary, counts binary"
+TOTAL = "batch int, part int, n int, others binary"
 SCORES = "doc_id long, n_words long, log_score double, n_order3 long, n_order2 long, n_order1 long, n_new long"
 
 
-def batch_blocks(partitions: int, order: int = ORDER):
-    edge = bounds(partitions)
+def batch_blocks(partitions: int, bits: int, order: int = ORDER):
+    edge = bounds(partitions, bits)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        found, _, count, _ = distinct(table, order)
+        found, _, count, _ = distinct(table, order, bits)
         keep = found > 0
         found, count = found[keep], count[keep]
         cut = np.searchsorted(found, edge)
+        even = max(0, (bits - len(found).bit_length()) // 8 - 1)  # bytes of a difference that are all noise
         rows: list[tuple] = []
         for p in np.flatnonzero(np.diff(cut)):
             part = slice(cut[p], cut[p + 1])
-            hw, hashes = narrow(np.diff(found[part], prepend=edge[p]))
-            cw, counts = narrow(count[part])
-            rows.append((int(p), key[0].as_py(), hw, cw, hashes, counts))
-        columns = list(zip(*rows)) or [[]] * 6
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "batch", "hash_width", "count_width", "hashes", "counts"])
+            rows.append((int(p), key[0].as_py(), int(cut[p + 1] - cut[p]), packed(np.diff(found[part], prepend=edge[p]), even), packed(count[part])))
+        columns = list(zip(*rows)) or [[]] * 5
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "batch", "n", "hashes", "counts"])
 
     return run
 
 
-def partition_totals(partitions: int):
-    edge = bounds(partitions)
+def partition_totals(partitions: int, bits: int):
+    """For each block, how often the other batches hold its n-grams."""
+    edge = bounds(partitions, bits)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         first = edge[key[0].as_py()]
         rows = table.to_pylist()
-        hashes = [np.cumsum(widened(r["hashes"], r["hash_width"]), dtype=U64) + first for r in rows]
-        counts = [widened(r["counts"], r["count_width"]) for r in rows]
+        hashes = [np.cumsum(unpacked(r["hashes"], r["n"]), dtype=U64) + first for r in rows]
+        counts = np.concatenate([unpacked(r["counts"], r["n"]) for r in rows]).astype(np.int64)
         _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-        parts = np.split(total[at], np.cumsum([len(h) for h in hashes])[:-1])
-        width, data = zip(*map(narrow, parts))
-        return pa.table([pa.array([r["batch"] for r in rows], pa.int32()), pa.array([r["part"] for r in rows], pa.int32()), pa.array(width, pa.int32()), pa.array(data, pa.binary())], ["batch", "part", "width", "totals"])
+        others = np.bincount(at, counts).astype(np.int64)[at] - counts
+        parts = np.split(others, np.cumsum([len(h) for h in hashes])[:-1])
+        return pa.table([pa.array([r["batch"] for r in rows], pa.int32()), pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["n"] for r in rows], pa.int32()), pa.array(map(packed, parts), pa.binary())], ["batch", "part", "n", "others"])
 
     return run
 
 
-def batch_scores(n_words: int, order: int = ORDER, backoff: float = BACKOFF):
+def batch_scores(n_words: int, bits: int, order: int = ORDER, backoff: float = BACKOFF):
     def run(table: pa.Table, totals: pa.Table) -> pa.Table:
-        found, at, _, ends = distinct(table, order)
+        found, at, count, ends = distinct(table, order, bits)
         parts = sorted(totals.to_pylist(), key=lambda r: r["part"])
-        total = np.concatenate([np.zeros(int(len(found) > 0 and found[0] == 0), np.int64), *(widened(r["totals"], r["width"]).astype(np.int64) for r in parts)])
+        total = count + np.concatenate([np.zeros(int(len(found) > 0 and found[0] == 0), np.int64), *(unpacked(r["others"], r["n"]).astype(np.int64) for r in parts)])
         sizes = np.diff(ends, prepend=0)
         doc = np.repeat(np.arange(len(ends)), sizes)
         # How often each document itself holds the n-gram.
@@ -154,11 +156,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, bat
     chars, n_words = table.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))).first()
     batches = max(1, -(-chars // batch_chars))
     partitions = max(1, -(-n_words * order // partition_entries))
+    bits = min(60, (n_words * order).bit_length() + SPARE_BITS)
     dealt = table.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).repartition("batch")
     dealt = dealt.select("batch", "doc_id", word_hashes(F.col("text")).alias("words"))
-    blocks = dealt.groupBy("batch").applyInArrow(batch_blocks(partitions, order), BLOCK)
-    totals = blocks.groupBy("part").applyInArrow(partition_totals(partitions), TOTAL)
-    scores = dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(batch_scores(n_words, order, backoff), SCORES)
+    blocks = dealt.groupBy("batch").applyInArrow(batch_blocks(partitions, bits, order), BLOCK)
+    totals = blocks.groupBy("part").applyInArrow(partition_totals(partitions, bits), TOTAL)
+    scores = dealt.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(batch_scores(n_words, bits, order, backoff), SCORES)
     return scores.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
