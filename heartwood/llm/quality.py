@@ -159,6 +159,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns. Figures are worked out twice rather than shuffling texts."""
+    """The documents that are kept, with their own columns, whatever their names. Figures are worked out twice rather than
+    shuffling texts."""
     model = cut(estimates(with_votes(with_figures(docs.select("text"))).groupBy("_votes").agg(F.count("*").alias("n"))))
-    return judged(with_votes(with_figures(docs)), model).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_document"), "text")
+    return judged(with_votes(with_figures(rows)), model).where("kept").select("_document.*")

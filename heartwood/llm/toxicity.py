@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import text_or_empty, unused
 
 MAX_ROWS = 16_000
 BITS = 20
@@ -78,7 +78,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: in
         at = np.minimum(np.searchsorted(terms, d), len(terms) - 1)
         kept.append(at[terms[at] == d])
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors))
+    w, v = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors))
     gw, gv = np.full(len(terms), 1e-2), np.full((len(terms), factors), 1e-2)
     weight = np.where(labels == 1, 0.5 / base, 0.5 / (1 - base)) ** balance
     for _ in range(epochs):
@@ -100,8 +100,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: in
             gw[used] += step_w**2
             gv[used] += step_v**2
             w[used] -= rate * step_w / np.sqrt(gw[used])
-            v[used] -= 0.2 * rate * step_v / np.sqrt(gv[used])
-            bias -= 0.1 * rate * error.mean()
+            v[used] -= 0.5 * rate * step_v / np.sqrt(gv[used])
+            bias -= rate * error.mean()
     return Machine(bias, terms, w, v)
 
 
@@ -137,7 +137,7 @@ def held_out(doc_id: str) -> Column:
 def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "score", bits: int = BITS) -> DataFrame:
     """df with the probability that each text is toxic. The machine's size is bounded by 2**bits terms."""
     shared = df.sparkSession.sparkContext.broadcast(machine)
-    hidden = "_terms_of_text"
+    hidden = unused("_terms_of_text", [*df.columns, into])
     schema = T.StructType([f for f in df.schema.fields if f.name != into] + [T.StructField(into, T.DoubleType())])
     names = schema.fieldNames()[:-1]
 
