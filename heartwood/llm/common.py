@@ -27,10 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Rows of a kept table that one task reads at least, and the number of tasks below which it is not cut down.
+ROWS_EACH, LEAST_TASKS = 50_000, 8
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, materialised once in the shared folder (small tables: counts, features, edges)."""
+    """The rows of df, materialised once in the shared folder (small tables: counts, features, edges). Where they are few
+    for the partitions they came in, fewer tasks read them: each exchange that follows writes a block for every pair of
+    its tasks, and with many tasks on few rows those blocks would outgrow the rows."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    return kept.coalesce(max(LEAST_TASKS, kept.count() // ROWS_EACH))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -59,5 +66,13 @@ def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, end + 1
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """name, or one made of it that none of the columns has (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
