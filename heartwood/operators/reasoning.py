@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.providers import Completer, completed, strict_json
 from ..functions.text import clean_reply, json_body, preview, without_thinking
+from ..sources.tables import kept
 from .tree import below, contents_table, enhanced_view, first_roots, high_level_view
 
 NODE_LIST = "array<struct<doc_name:string,node_id:string,relevance:double,reason:string>>"
@@ -22,8 +23,8 @@ def parsed(reply: Column, schema: str) -> Column:
 
 
 def _ask(prompts: DataFrame, by: Completer) -> DataFrame:
-    """Prompts with replies, kept so that a model isn't asked again when the rows are read twice."""
-    return completed(prompts, by).persist()
+    """Prompts with replies, written down so that a model isn't asked again when rows are read twice or executors are lost."""
+    return kept(completed(prompts, by))
 
 
 def _view_prompts(view: DataFrame, task: str, query: str, keys: list[str], limit: int | None = None) -> DataFrame:
@@ -65,14 +66,16 @@ def deep_search(found: DataFrame, tree: DataFrame, query: str, by: Completer) ->
 
 def ranked(hits: DataFrame, max_results: int | None, min_relevance: float | None) -> DataFrame:
     """hits with rank from 1, best first."""
-    kept = hits if min_relevance is None else hits.where(F.col("score") >= min_relevance)
+    good = hits if min_relevance is None else hits.where(F.col("score") >= min_relevance)
     order = [F.desc("score"), F.col("doc_name"), F.col("node_id"), F.col("ord")]
-    kept = kept.orderBy(*order).limit(max_results) if max_results is not None else kept
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order)) if max_results is not None else F.row_number().over(Window.partitionBy("doc_name").orderBy(*order)))
+    good = good.orderBy(*order).limit(max_results) if max_results is not None else good
+    return good.withColumn("rank", F.row_number().over(Window.orderBy(*order)) if max_results is not None else F.row_number().over(Window.partitionBy("doc_name").orderBy(*order)))
 
 
 def tree_search(tree: DataFrame, query: str, by: Completer, max_results: int = 10, min_relevance: float = 0.3) -> DataFrame:
-    """The two rounds: candidates, then nodes below them; the best max_results of min_relevance or more."""
+    """The two rounds: candidates, then nodes below them; the best max_results of min_relevance or more. The tree's
+    structure, without contents, is read several times and so written down once."""
+    tree = kept(tree.select("doc_name", "pos", "last_pos", "parent_pos", "depth", "node_id", "title", "summary"))
     return ranked(deep_search(candidates(tree, query, by), tree, query, by), max_results, min_relevance)
 
 

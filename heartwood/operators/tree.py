@@ -20,21 +20,20 @@ def nodes(found: DataFrame, levels: int = LEVELS) -> DataFrame:
     after = Window.partitionBy("doc_name").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     every = range(levels + 1)
     last = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(before) for k in every]
-    nxt = [F.last(F.when(F.col("level") == k, F.col("pos")), ignorenulls=True).over(after) for k in every]
+    nxt = [F.last(F.when(F.col("level") == k, F.struct("pos", "start_line")), ignorenulls=True).over(after) for k in every]
     out = found.select("*", F.array(*last).alias("_last"))
     out = out.select("*", F.array(*nxt).alias("_next"), F.max("end_line").over(Window.partitionBy("doc_name")).alias("_total"), F.max("pos").over(Window.partitionBy("doc_name")).alias("_n"))
     above = F.slice("_last", 1, F.col("level"))  # the last heading of each smaller level
     # Of these, an ancestor is one that no heading of a smaller level follows.
     live = F.filter(above, lambda x, i: x.isNotNull() & (x["pos"] > F.coalesce(F.array_max(F.transform(F.slice("_last", 1, i), lambda y: y["pos"])), F.lit(0))))
     out = out.withColumn("_live", live)
-    until = F.array_min(F.slice("_next", 1, F.col("level") + 1)) - 1
+    # The next heading that isn't below this one ends its subtree: sections follow each other without gaps.
+    out = out.withColumn("_until", F.array_min(F.slice("_next", 1, F.col("level") + 1)))
     out = out.withColumns({
         "node_id": node_id(F.col("pos")), "parent_pos": F.get(F.col("_live"), F.size("_live") - 1)["pos"], "depth": F.size("_live"),
-        "path": F.concat(F.transform("_live", lambda x: x["title"]), F.array("title")), "last_pos": F.coalesce(until, F.col("_n")),
+        "path": F.concat(F.transform("_live", lambda x: x["title"]), F.array("title")), "last_pos": F.coalesce(F.col("_until.pos") - 1, F.col("_n")), "end_line": F.coalesce(F.col("_until.start_line") - 1, F.col("_total")),
     })
-    out = out.withColumn("parent_id", node_id(F.col("parent_pos")))
-    ends = out.select("doc_name", F.col("pos").alias("last_pos"), F.col("end_line").alias("_end")) if "end_line" in found.columns else None
-    return out.join(ends, ["doc_name", "last_pos"]).withColumn("end_line", F.col("_end")).drop("_last", "_next", "_total", "_n", "_live", "_end") if ends is not None else out.drop("_last", "_next", "_total", "_n", "_live")
+    return out.withColumn("parent_id", node_id(F.col("parent_pos"))).drop("_last", "_next", "_total", "_n", "_live", "_until")
 
 
 def node_id(pos: Column) -> Column:

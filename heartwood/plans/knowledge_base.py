@@ -18,7 +18,8 @@ from ..sources.config import Settings
 
 def index(docs: DataFrame, by: Completer | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, tree) of Markdown documents (doc_name, content): sections as nodes with parents, paths and intervals.
-    With a completer, empty summaries and descriptions are filled in."""
+    With a completer, empty summaries and descriptions are filled in. The tree is written down once: vectors, views and
+    contexts all read it."""
     heads = markdown.headings(docs)
     nodes = tree.nodes(markdown.sections(docs, heads)).withColumn("summary", F.lit(""))
     own = [c for c in ("description", "source_file", "metadata") if c in docs.columns]
@@ -28,7 +29,7 @@ def index(docs: DataFrame, by: Completer | None = None) -> tuple[DataFrame, Data
     if by is not None:
         nodes = reasoning.summarised(nodes, by)
         known = reasoning.described(known, nodes, by)
-    return known, nodes
+    return known, tables.kept(nodes)
 
 
 @dataclass
