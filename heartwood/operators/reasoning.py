@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.html import html_cleaned, html_title, html_to_simple_markdown
 from ..functions.providers import Completer, completed, strict_json
-from ..functions.text import clean_reply, json_body, preview, without_thinking
+from ..functions.text import clean_reply, json_body, preview, unwrap_fence, without_thinking
 from ..sources.tables import kept
 from .tree import below, contents_table, enhanced_view, first_roots, high_level_view
 
@@ -104,6 +105,28 @@ def described(docs: DataFrame, tree: DataFrame, by: Completer) -> DataFrame:
     return docs.join(new, "doc_name", "left").withColumn("description", F.coalesce("_new", "description", F.lit(""))).drop("_new")
 
 
+#: How much of a page a model is shown, and what stands for the rest.
+MOST_HTML, CUT_MARK = 50_000, "\n...[内容已截断]..."
+
+
+def converted(pages: DataFrame, by: Completer) -> DataFrame:
+    """pages (url, html) with markdown by a completer, which is shown the cleaned page; without a reply, by the simple rules."""
+    title = html_title(F.col("html"))
+    shown = pages.withColumn("_title", title).withColumn("_clean", html_cleaned(F.col("html")))
+    cut = F.when(F.length("_clean") > MOST_HTML, F.concat(F.substring("_clean", 1, MOST_HTML), F.lit(CUT_MARK))).otherwise(F.col("_clean"))
+    asked = _ask(shown.withColumn("prompt", F.to_json(F.struct(F.lit("markdown").alias("task"), F.col("_title").alias("title"), "url", cut.alias("content")))).drop("_clean"), by)
+    markdown = F.when(F.col("reply").isNotNull(), unwrap_fence(F.col("reply"))).otherwise(html_to_simple_markdown(F.col("html"), F.col("_title")))
+    return asked.select(*pages.columns, markdown.alias("markdown"))
+
+
+def thoughts(hits: DataFrame, shown: int = 3) -> DataFrame:
+    """One row `thinking`: a line for each of the best hits (rank), with its reasoning or else its score."""
+    why = F.coalesce(F.nullif("reasoning", F.lit("")), F.format_string("score=%.2f", "score"))
+    line = F.concat(F.lit("- "), "doc_name", F.lit("/"), "node_id", F.lit(": "), why)
+    best = hits.where(F.col("rank") <= shown).agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    return best.select(F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("thinking"))
+
+
 def decomposed(queries: DataFrame, by: Completer) -> DataFrame:
     """query, sub_question: the parts of each query, or itself."""
     prompts = queries.select("query", F.to_json(F.struct(F.lit("decompose").alias("task"), "query")).alias("prompt"))

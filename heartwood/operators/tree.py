@@ -109,3 +109,9 @@ def listing(tree: DataFrame, docs: DataFrame) -> DataFrame:
     listed = docs.select("doc_name", F.substring("description", 1, 200).alias("description")).join(counted, "doc_name", "left")
     n, s = F.coalesce("total_nodes", F.lit(0)), F.coalesce("nodes_with_summary", F.lit(0))
     return listed.select("doc_name", "description", n.alias("total_nodes"), s.alias("nodes_with_summary"), (n == s).alias("has_full_summary"))
+
+
+def summary_coverage(tree: DataFrame) -> DataFrame:
+    """One row: nodes, nodes with a summary, and their share."""
+    with_summary = F.count_if(F.coalesce("summary", F.lit("")) != "")
+    return tree.agg(F.count("*").alias("total_nodes"), with_summary.alias("nodes_with_summary")).withColumn("coverage", F.try_divide("nodes_with_summary", "total_nodes"))

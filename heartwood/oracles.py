@@ -158,6 +158,10 @@ ORACLES: dict[str, str] = {
     "doc_listing": f"""
         WITH {_OUTLINE} SELECT doc_name, substring(string_agg(content, chr(10) ORDER BY pos), 1, 200) AS description, count(*) AS total_nodes, count(*) FILTER (summary <> '') AS nodes_with_summary,
         count(*) = count(*) FILTER (summary <> '') AS has_full_summary FROM t GROUP BY doc_name""",
+    "summary_coverage": f"WITH {_OUTLINE} SELECT count(*) AS total_nodes, count(*) FILTER (summary <> '') AS nodes_with_summary, count(*) FILTER (summary <> '') / count(*)::DOUBLE AS coverage FROM t",
+    "thinking_text": f"""
+        WITH {_SCORES}, k AS (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM s)
+        SELECT string_agg('- ' || doc_name || '/' || node_id || ': ' || CASE WHEN rank = 2 THEN 'because' ELSE 'score=' || printf('%.2f', score) END, chr(10) ORDER BY rank) AS thinking FROM k WHERE rank <= 3""",
     "contexts": f"WITH {_OUTLINE}, {_HITS} SELECT doc_name, node_id, title, md5(content) AS content_md5, relevance FROM ctx",
     "combined_context": f"""
         WITH {_OUTLINE}, {_HITS}, j AS (SELECT string_agg('## [' || doc_name || '] ' || title || chr(10) || content, chr(10) || chr(10) ORDER BY relevance DESC, rank) AS x, string_agg(DISTINCT doc_name, ',' ORDER BY doc_name) AS f FROM ctx)

@@ -159,6 +159,11 @@ def doc_listing(spark, sf_dir):
     return _long(tree.listing(_outline_tree(spark, sf_dir), corpora.outline(spark, sf_dir).withColumn("description", F.substring("content", 1, 300))))
 
 
+@query
+def summary_coverage(spark, sf_dir):
+    return _long(tree.summary_coverage(_outline_tree(spark, sf_dir)))
+
+
 # ---- contexts and fusion
 
 
@@ -292,6 +297,13 @@ def hashed_vectors(spark, sf_dir):
     return c.select("conv_id", "turn", F.posexplode("v").alias("place", "x")).where("x <> 0").select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
+@query
+def thinking_text(spark, sf_dir):
+    best = _vector_hits(spark, sf_dir).orderBy(F.desc("score"), "node_id").limit(5)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "node_id"))).withColumn("reasoning", F.when(F.col("rank") == 2, "because"))
+    return reasoning.thoughts(best)
+
+
 # ---- tables of contents
 
 

@@ -74,7 +74,6 @@ def nested_json(docs: DataFrame, tree: DataFrame, contents: bool = False, levels
     one exchange of finished children for each level."""
     fields = ["title", "node_id", "level", "start_line", "end_line"]
     more = [F.when(F.col("summary") != "", F.col("summary")).alias("summary")] + ([F.when(F.col("content") != "", F.col("content")).alias("content")] if contents else [])
-    quoted = lambda s: F.regexp_replace(F.to_json(F.struct(s)), r"\}\z", "")
     own = tree.select("doc_name", "pos", "parent_pos", "depth", F.regexp_replace(F.to_json(F.struct(*fields, *more)), r"\}\z", "").alias("head"))
     below = None
     for d in range(levels, -1, -1):
@@ -89,10 +88,38 @@ def nested_json(docs: DataFrame, tree: DataFrame, contents: bool = False, levels
         names = ["doc_name", "pos"] if d else ["doc_name"]
         below = below.groupBy(*names).agg(F.array_join(F.transform(F.sort_array(F.collect_list("k")), lambda x: x["json"]), ",").alias("kids"))
     head = F.regexp_replace(F.to_json(F.struct("title", "description", "source_file", "total_lines")), r"\}\z", "")
-    del quoted
     return docs.join(below, "doc_name", "left").select("doc_name", F.concat(head, F.lit(',"metadata":{},"nodes":['), F.coalesce("kids", F.lit("")), F.lit("]}")).alias("json"))
 
 
+VECTORS = "dimension int, node_vectors map<string,array<double>>, chunk_vectors map<string,array<array<double>>>, node_metadata map<string,struct<title:string,level:int,doc_name:string,node_id:string>>"
+
+
+def vector_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(node vectors, chunk vectors) of vector index files in JSON. A node's document and id come from its metadata; its
+    key serves only where that is missing, cut at the last colon."""
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", VECTORS).alias("j"))
+
+    def named(column: str) -> DataFrame:
+        rows = files.select(F.explode(f"j.{column}").alias("key", "value"), F.col("j.node_metadata").alias("_meta")).withColumn("_m", F.try_element_at("_meta", F.col("key")))
+        parts = [F.coalesce(f"_m.{n}", F.regexp_extract("key", r"^(.*):([^:]*)$", i)).alias(n) for i, n in ((1, "doc_name"), (2, "node_id"))]
+        return rows.select(*parts, F.col("_m.title").alias("title"), F.col("_m.level").alias("level"), "value")
+
+    nodes = named("node_vectors").withColumnRenamed("value", "vector")
+    return nodes, named("chunk_vectors").select("doc_name", "node_id", F.posexplode("value").alias("chunk_no", "vector"))
+
+
+def vector_json(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_name, json: a vector index file for each document, in the form that vector_files reads."""
+    key = F.concat_ws(":", "doc_name", "node_id")
+    meta = F.struct("title", "level", "doc_name", "node_id")
+    a = nodes.groupBy("doc_name").agg(F.map_from_entries(F.collect_list(F.struct(key, "vector"))).alias("node_vectors"), F.map_from_entries(F.collect_list(F.struct(key, meta))).alias("node_metadata"), F.max(F.size("vector")).alias("dimension"))
+    lists = chunks.groupBy("doc_name", "node_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "vector"))).alias("c"))
+    b = lists.groupBy("doc_name").agg(F.map_from_entries(F.collect_list(F.struct(key, F.transform("c", lambda c: c["vector"])))).alias("chunk_vectors"))
+    both = a.join(b, "doc_name", "left")
+    none = F.create_map().cast("map<string,array<array<double>>>")
+    return both.select("doc_name", F.to_json(F.struct(F.lit("1.0").alias("version"), "dimension", "node_vectors", F.coalesce("chunk_vectors", none).alias("chunk_vectors"), "node_metadata")).alias("json"))
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "doc_name") -> DataFrame:
     """old without the documents that new has, and new."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -107,6 +107,34 @@ def test_html():
     assert html.simple_markdown_of("<div><ul><li>a<p>b</p></li></ul></div>") == "- ab\nb\n"
 
 
+def test_clean_html_and_conversion_by_a_completer(spark):
+    page = '<html><head><title>T</title></head><body><script>x</script><div><img src="a"></div><p>a &lt; b <br><span> </span></p><!-- c --></body></html>'
+    assert html.clean_html_of(page) == "<body><p>a &lt; b <br/></p></body>"
+    long = "<p>" + "x" * 60_000 + "</p>"
+    pages = spark.createDataFrame([("u1", page), ("u2", "<h1>H</h1><p>p</p>"), ("u3", long)], "url string, html string")
+
+    class Converter:
+        def complete(self, prompts):
+            asked = [json.loads(p) for p in prompts]
+            return [None if a["url"] == "u2" else "```markdown\n# " + str(len(a["content"])) + "\n```" for a in asked]
+
+    rows = {r["url"]: r["markdown"] for r in reasoning.converted(pages, Converter()).collect()}
+    assert rows == {"u1": "# 34", "u2": "# H\n\n## H\n\np\n", "u3": "# " + str(50_000 + len(reasoning.CUT_MARK))}
+
+
+def test_vector_files_round_trip(spark, docs, nodes, tmp_path):
+    from heartwood.sources import tables
+
+    e = providers.HashingEmbedder(8)
+    n, c = vectors.node_vectors(nodes, e), vectors.chunk_vectors(nodes.withColumn("content", F.repeat(F.col("content"), 20)), e, 200)
+    for r in tables.vector_json(n, c).collect():
+        (tmp_path / f"{r['doc_name']}.json").write_text(r["json"], encoding="utf-8")
+    n2, c2 = tables.vector_files(spark, str(tmp_path))
+    rows = lambda df, *k: sorted((*(r[x] for x in k), [round(v, 9) for v in r["vector"]]) for r in df.collect())
+    assert rows(n2, "doc_name", "node_id", "title", "level") == rows(n, "doc_name", "node_id", "title", "level")
+    assert rows(c2, "doc_name", "node_id", "chunk_no") == rows(c, "doc_name", "node_id", "chunk_no")
+
+
 def test_page_markdown_equals_a_plain_reading(spark, sf_dir):
     """The driver's pages have one article with a heading and paragraphs that may not be closed."""
     import pandas as pd
