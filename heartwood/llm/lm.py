@@ -72,11 +72,10 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def distinct(table: pa.Table, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct n-grams of a batch, places of all n-grams among them, counts, ends of the documents' words)."""
+def batch_grams(table: pa.Table, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all n-grams of a batch, order after order; ends of the documents' words)."""
     words, ends = offsets(table.column("words").combine_chunks())
-    found, at, count = np.unique(np.concatenate(grams(words, ends, order, bits)), return_inverse=True, return_counts=True)
-    return found, at.reshape(order, -1), count, ends
+    return np.concatenate(grams(words, ends, order, bits)), ends
 
 
 BLOCK = "part int, batch int, n int, hashes binary, counts binary"
@@ -88,7 +87,7 @@ def batch_blocks(partitions: int, bits: int, order: int = ORDER):
     edge = bounds(partitions, bits)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        found, _, count, _ = distinct(table, order, bits)
+        found, count = np.unique(batch_grams(table, order, bits)[0], return_counts=True)
         keep = found > 0
         found, count = found[keep], count[keep]
         cut = np.searchsorted(found, edge)
@@ -123,14 +122,19 @@ def partition_totals(partitions: int, bits: int):
 
 def batch_scores(n_words: int, bits: int, order: int = ORDER, backoff: float = BACKOFF):
     def run(table: pa.Table, totals: pa.Table) -> pa.Table:
-        found, at, count, ends = distinct(table, order, bits)
+        every, ends = batch_grams(table, order, bits)
+        found, at, count = np.unique(every, return_inverse=True, return_counts=True)
+        at = at.reshape(order, -1)
+        del every
         parts = sorted(totals.to_pylist(), key=lambda r: r["part"])
         total = count + np.concatenate([np.zeros(int(len(found) > 0 and found[0] == 0), np.int64), *(unpacked(r["others"], r["n"]).astype(np.int64) for r in parts)])
         sizes = np.diff(ends, prepend=0)
         doc = np.repeat(np.arange(len(ends)), sizes)
-        # How often each document itself holds the n-gram.
-        _, own_at, own = np.unique(np.tile(doc, order) * max(1, len(found)) + at.ravel(), return_inverse=True, return_counts=True)
-        rest = (total[at.ravel()] - own[own_at]).reshape(order, -1)
+        rest = np.empty((order, len(doc)), np.int64)
+        for k in range(order):  # without what each document itself holds
+            _, own_at, own = np.unique(doc * max(1, len(found)) + at[k], return_inverse=True, return_counts=True)
+            rest[k] = total[at[k]] - own[own_at]
+        del at, total, count
         others = np.maximum(n_words - sizes, 1)[doc]
         place = np.arange(len(doc)) - np.repeat(ends - sizes, sizes)
         score, level, open_ = np.full(len(doc), 0.0), np.zeros(len(doc), np.int64), np.ones(len(doc), bool)
