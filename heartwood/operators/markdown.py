@@ -25,7 +25,7 @@ def lines_of(content: Column) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_name, line_no (from 1), line."""
-    return docs.select("doc_name", F.posexplode(lines_of(F.coalesce("content", F.lit("")))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return docs.select("doc_name", F.posexplode_outer(lines_of(F.coalesce("content", F.lit("")))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def marker_lines(docs: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def marker_lines(docs: DataFrame) -> DataFrame:
     # Most lines start with a letter: they are told apart by one character and the start of the next line.
     maybe = lambda line, i: line.rlike(r"(?U)^(#|\s*`{3})") | after(i).rlike("^[=-]")
     marked = marked.withColumn("_at", F.filter(F.transform("_lines", lambda x, i: F.when(maybe(x, i), mark(x, i))), lambda x: x["kind"].isNotNull()))
-    return marked.select("doc_name", F.explode("_at").alias("m")).select("doc_name", "m.*")
+    # An outer explode: for a plain one the optimizer tests the array's size below, where lines would be split for each line.
+    return marked.select("doc_name", F.explode_outer("_at").alias("m")).where("m IS NOT NULL").select("doc_name", "m.*")
 
 
 def fence_states(docs: DataFrame) -> DataFrame:

@@ -294,7 +294,7 @@ def chunk_texts(spark, sf_dir):
 @query
 def hashed_vectors(spark, sf_dir):
     c = corpora.table(spark, sf_dir, "conversations").select("conv_id", "turn", HashingEmbedder(64).embed(F.col("text")).alias("v"))
-    return c.select("conv_id", "turn", F.posexplode("v").alias("place", "x")).where("x <> 0").select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+    return c.select("conv_id", "turn", F.posexplode_outer("v").alias("place", "x")).where("x <> 0").select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
 @query
