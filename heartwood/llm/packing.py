@@ -137,6 +137,7 @@ def pack(items: DataFrame, limit: int, size: str = "length", key: str = "doc_id"
     firsts = counts.select(F.col("_size").alias("_of"), F.col("_shard").alias("_in"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy(size, "_shard").orderBy(key)
     ranked = at.withColumn("_place", F.row_number().over(within) - 1)
-    ranked = ranked.join(F.broadcast(firsts), (F.col(size) == F.col("_of")) & (F.col("_shard") == F.col("_in"))).select(*items.columns, (F.col("_base") + F.col("_place")).alias("_rank"))
+    # Ranks and first ranks meet where the window has dealt the items already.
+    ranked = ranked.join(firsts, (F.col(size) == F.col("_of")) & (F.col("_shard") == F.col("_in"))).select(*items.columns, (F.col("_base") + F.col("_place")).alias("_rank"))
     there = (F.col(size) == F.col("_size")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_many"))
     return ranked.join(F.broadcast(places), there).select(*items.columns, (F.col("_bin") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")
