@@ -232,6 +232,12 @@ ORACLES: dict[str, str] = {
     "missing_documents": "SELECT r_name AS doc_name FROM region WHERE r_regionkey % 2 <> 0",
     "upserted_documents": "SELECT r_name AS doc_name, CASE WHEN r_regionkey >= 3 THEN 'new' ELSE 'old' END AS content FROM region UNION ALL SELECT 'EXTRA', 'new'",
     "event_windows": "SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    # The completer's choice: the share of the query's four (two) words that stand in a node's title and summary.
+    "reasoning_search": f"""
+        WITH {_OUTLINE}, s AS (SELECT doc_name, node_id, title, (CASE WHEN title = 'NATION_3' THEN 0.5 WHEN level = 2 OR body = 'MACHINERY' THEN 0.25 END)::DOUBLE AS score FROM t)
+        SELECT *, row_number() OVER (ORDER BY score DESC, doc_name, node_id) AS rank FROM s WHERE score IS NOT NULL ORDER BY rank LIMIT 20""",
+    "single_round": f"""
+        WITH {_OUTLINE} SELECT doc_name, node_id, title, (CASE WHEN body = 'BUILDING' THEN 1.0 ELSE 0.5 END)::DOUBLE AS score FROM t WHERE level = 3 ORDER BY score DESC, doc_name, node_id LIMIT 10""",
     "fallback_search": "SELECT r_name AS doc_name, '0001' AS node_id, 0.5::DOUBLE AS relevance, 'Fallback selection' AS reason FROM region",
     "decomposed_queries": _values("query VARCHAR, sub_question VARCHAR", [("who paid and when was it shipped?", "who paid"), ("who paid and when was it shipped?", "when was it shipped"), ("one thing", "one thing")]),
     "judged_passages": """
