@@ -1,8 +1,11 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Rows without a doc_id can't be compared or packed with
-others by it; they pass each stage on their text alone.
+one's docs. All but the last return the columns of documents, and others that the table has, whatever their names.
+
+Null texts count as empty: not toxic, of low quality. Rows without a doc_id are judged by their texts alone and never
+count as near-duplicates. Of rows with one doc_id, and of equal or nearly equal documents, one stays (that of least id).
+Texts of any length are worked on whole. An empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations

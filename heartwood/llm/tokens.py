@@ -1,4 +1,8 @@
-"""Token ids, packed sequences and binary output."""
+"""Token ids, packed sequences and binary output.
+
+Null and empty texts are their end id alone; texts of any length are tokenised whole and cut without loss. Repeated rows
+and equal texts are packed as rows of their own; other columns are left out. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
