@@ -7,10 +7,11 @@ shingle that arrives first, and a shingle is left alone as soon as its next arri
 sum_i 1 / sum_j max(u_j / u_i, v_j / v_i), which is the common Jaccard index where weights are equal.
 
 Registers are cut in bands; documents that share a band are candidates. Copies (equal shingles in equal number) are first
-represented by the least id. In a band's bucket every member is compared with a center rather than with all others:
-first the least member, then, in buckets whose members still lie in several classes, other centers, drawn anew in each
-round; buckets of up to PAIRS members that still do so are then compared pair by pair across classes. All candidates
-are verified on the whole texts: linked at a similarity of `threshold` or more. Classes are the connected components.
+represented by the least id. In a band's bucket every member is compared with the least one rather than with all others;
+buckets of up to PAIRS members that then lie in several classes are compared pair by pair across classes, larger ones
+with CENTERS members drawn at random; and what larger ones then still hold in several classes goes to an exact join by
+prefixes of rare shingles. All candidates are verified on the whole texts: linked at a similarity of `threshold` or
+more. Classes are the connected components.
 
 Words are separated by blanks; case is ignored. A text of fewer than five words is one shingle; null, empty and blank
 texts are copies of each other. Repeated rows are rows of one class. An empty table gives no rows.
@@ -18,6 +19,7 @@ texts are copies of each other. Repeated rows are rows of one class. An empty ta
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,9 @@ from .common import BLANKS, cut, slices, stored, text_or_empty
 WORDS = 5
 BANDS, ROWS = 28, 5
 THRESHOLD = 0.8
-ROUNDS = 3
+CENTERS = 4
 PAIRS = 64
+COUNTERS, COUNTER_BLOCK = 21, 1024
 
 U64 = np.uint64
 
@@ -151,8 +154,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Those pairs (a, b) of ids whose whole texts (_id, _text) reach the threshold, by either form of the index."""
-    left = pairs.join(texts, pairs["b"] == F.col("_id")).select("a", "b", F.col("_text").alias("_left"))
-    both = left.join(texts, left["a"] == F.col("_id")).select("a", "b", word_hashes(F.col("_left")).alias("x"), word_hashes(F.col("_text")).alias("y"))
+    # Texts are dealt out by id at every size: pairs are never broadcast to them.
+    left = pairs.hint("merge").join(texts, pairs["b"] == F.col("_id")).select("a", "b", F.col("_text").alias("_left"))
+    both = left.hint("merge").join(texts, left["a"] == F.col("_id")).select("a", "b", word_hashes(F.col("_left")).alias("x"), word_hashes(F.col("_text")).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,56 +172,112 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 def components(edges: DataFrame) -> DataFrame:
     """id, class: the least id reachable over the edges (a, b), for every id on an edge. Labels go to neighbours and to
     the labels of labels in each round, so that rounds grow with the logarithm of the longest path."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to")))
-    both = cut(both)
-    labels = cut(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("class")))
+    both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("class")))
     while True:
-        there = labels.select(F.col("id").alias("to"), F.col("class").alias("_there"))
-        least = both.join(there, "to").groupBy("id").agg(F.min("_there").alias("_least"))
+        there = labels.select(F.col("id").alias("b"), F.col("class").alias("_there"))
+        least = both.join(there, "b").groupBy(F.col("a").alias("id")).agg(F.min("_there").alias("_least"))
         near = labels.join(least, "id").select("id", F.col("class").alias("_old"), F.least("class", "_least").alias("_near"))
         of = labels.select(F.col("id").alias("_near"), F.col("class").alias("_of"))
-        after = cut(near.join(of, "_near", "left").select("id", "_old", F.coalesce(F.least("_near", "_of"), F.col("_near")).alias("class")))
-        changed = after.where(F.col("_old") != F.col("class")).limit(1).count()
-        labels = after.select("id", "class")
-        if not changed:
-            return labels
+        labels = cut(near.join(of, "_near", "left").select("id", "_old", F.coalesce(F.least("_near", "_of"), F.col("_near")).alias("class")))
+        if labels.where("_old <> class").isEmpty():
+            return labels.select("id", "class")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) of every row of docs."""
+def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, class) with the classes that new links (a, b) join made one."""
+    of = labels.withColumnRenamed("class", "_class")
+    joined = links.join(of.withColumnRenamed("id", "a"), "a").select(F.col("_class").alias("_a"), "b").join(of.withColumnRenamed("id", "b"), "b").select(F.col("_a").alias("a"), F.col("_class").alias("b"))
+    joined = cut(joined.where("a <> b").distinct())
+    if joined.isEmpty():
+        return labels
+    new = components(joined).select(F.col("id").alias("class"), F.col("class").alias("_new"))
+    return cut(labels.join(new, "class", "left").select("id", F.coalesce("_new", "class").alias("class")))
+
+
+def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, key, many, doc, class of the members of those buckets whose members lie in several classes."""
+    at = members.join(labels.withColumnRenamed("id", "doc").hint("merge"), "doc").select("band", "key", "many", "doc", "class")
+    split = at.groupBy("band", "key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi")
+    return cut(at.join(split.select("band", "key"), ["band", "key"]))
+
+
+def sharing_prefixes(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of documents (doc, class) of different classes whose Jaccard similarity can reach the threshold: with
+    shingles in one order for all, such two share one of their first n - ceil(threshold n) + 1. Any order finds them all;
+    this one is by how often shingles fall into each of 2**COUNTERS counters, so that common passages come last and groups
+    stay small however many documents hold them. A shingle that is alone in its counter is in no other document and goes
+    to no join. The counters are what reaches the driver and is broadcast."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        for b in batches:
+            for s, e in slices(b.column(2).value_lengths().to_numpy(zero_copy_only=False), 400_000):
+                doc, shingle, _ = shingles(*offsets(b.column(2).slice(s, e - s)))
+                yield b.slice(s, e - s), doc, shingle, (mix(shingle) >> U64(64 - COUNTERS)).astype(np.int64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for _, _, _, at in parts(batches):
+            total += np.bincount(at, minlength=1 << COUNTERS)
+        blocks = total.astype("<i8").reshape(-1, COUNTER_BLOCK)
+        used = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in used], pa.binary())], ["block", "counts"])
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in table.column("counts").to_pylist())
+        return pa.table({"block": [key[0].as_py()], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+
+    words = stored(rest.hint("merge").join(texts, rest["doc"] == F.col("_id")).select("doc", "class", word_hashes(F.col("_text")).alias("words")), "rest")
+    sums = words.mapInArrow(counted, "block long, counts binary").groupBy("block").applyInArrow(summed, "block long, counts binary").collect()
+    counts = np.zeros(((1 << COUNTERS) // COUNTER_BLOCK, COUNTER_BLOCK), np.uint32)
+    for r in sums:
+        counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
+    counts = counts.reshape(-1)
+    shared = words.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, doc, shingle, at in parts(batches):
+            order = np.lexsort((shingle, shared.value[at], doc))
+            number = np.bincount(doc, minlength=b.num_rows)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number) + 1
+            first = (place <= (number - np.ceil(number * threshold - 1e-9) + 1)[doc]) & (shared.value[at[order]] > 1)
+            of = doc[first]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(number[of]), pa.array(shingle[order][first].view(np.int64)), pa.array(place[first])], ["doc", "class", "n", "h", "at"])
+
+    first = words.mapInArrow(prefixes, "doc long, class long, n long, h long, at long")
+    y = first.select(F.col("doc").alias("b"), F.col("class").alias("_y"), F.col("n").alias("_n"), "h", F.col("at").alias("_b_at"))
+    near = (F.col("doc") < F.col("b")) & (F.col("class") != F.col("_y")) & (F.least("n", "_n") >= F.greatest("n", "_n") * F.lit(threshold) - 1e-9)
+    # From the first shared one on, both must have enough left for the overlap that the threshold asks for.
+    near = near & (F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_b_at")) + 1 >= (F.col("n") + F.col("_n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    return cut(first.join(y, "h").where(near).select(F.col("doc").alias("a"), "b").distinct())
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id and class_id (the least doc_id of the class) of every row of docs. Rows without a doc_id belong to the class
+    of their exact copies with one (none: null), and link no others."""
     sketch = stored(sketches(docs, bands, rows), "sketches")
-    first = cut(sketch.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("rep")))
-    # Representatives' bands that more than one of them has.
-    one = sketch.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands"))
+    # Copies are represented by their least id; of the representatives' bands, those that more than one of them has count.
+    one = stored(sketch.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")), "representatives")
     keyed = one.where("doc IS NOT NULL").select("doc", F.posexplode("bands").alias("band", "key"))
-    several = cut(keyed.groupBy("band", "key").agg(F.min("doc").alias("least"), F.count("*").alias("_many")).where("_many > 1").drop("_many"))
-    members = stored(keyed.join(several, ["band", "key"]), "members")
+    several = cut(keyed.groupBy("band", "key").agg(F.min("doc").alias("least"), F.count("*").alias("many")).where("many > 1"))
+    members = stored(keyed.join(several.hint("merge"), ["band", "key"]), "members")
+    ids = cut(members.select(F.col("doc").alias("id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text"))
-    texts = stored(texts.join(members.select(F.col("doc").alias("_id")).distinct(), "_id", "left_semi").dropDuplicates(["_id"]), "texts")
-    tried = pairs = cut(members.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct())
-    links = cut(verified(pairs, texts, threshold))
-    labels = components(links)
-    for turn in range(1, rounds + 1):
-        # Buckets whose members still lie in several classes.
-        at = members.join(labels.select(F.col("id").alias("doc"), "class"), "doc", "left").select("band", "key", "doc", F.coalesce("class", "doc").alias("class"))
-        split = cut(at.groupBy("band", "key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi"), F.count("*").alias("_n"), F.min_by(F.struct("doc", "class"), F.xxhash64("doc", "band", F.lit(turn))).alias("_center")).where("_lo <> _hi"))
-        if split.isEmpty():
-            break
-        last = turn == rounds
-        open_ = at.join(split, ["band", "key"])
-        if last:  # small buckets: all pairs across classes
-            small = open_.where(F.col("_n") <= PAIRS)
-            x, y = small.select("band", "key", F.col("doc").alias("x"), F.col("class").alias("cx")), small.select("band", "key", F.col("doc").alias("y"), F.col("class").alias("cy"))
-            found = x.join(y, ["band", "key"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        else:
-            found = open_.where(F.col("class") != F.col("_center.class")).select(F.least("doc", "_center.doc").alias("a"), F.greatest("doc", "_center.doc").alias("b"))
-        pairs = cut(found.distinct().join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        more = cut(verified(pairs, texts, threshold))
-        tried = cut(tried.unionByName(pairs))
-        if not more.isEmpty():
-            links = cut(links.unionByName(more))
-            labels = components(links)
-    of_copy = first.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("copy_a", "copy_b", F.coalesce("class", "rep").alias("class_id"))
+    texts = stored(texts.join(ids.withColumnRenamed("id", "_id").hint("merge"), "_id", "left_semi").dropDuplicates(["_id"]), "texts")
+    tried = cut(members.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct())
+    labels = cut(ids.join(components(verified(tried, texts, threshold)), "id", "left").select("id", F.coalesce("class", "id").alias("class")))
+    # Buckets whose members still lie in several classes: all pairs across classes in small ones, other centers in large ones.
+    at = unresolved(members, labels)
+    centers = [F.min_by(F.struct("doc", "class"), F.xxhash64("doc", "band", F.lit(k))) for k in range(CENTERS)]
+    drawn = at.where(F.col("many") > PAIRS).groupBy("band", "key").agg(F.array(*centers).alias("_centers"))
+    each = at.join(drawn, ["band", "key"]).select("doc", "class", F.explode("_centers").alias("c")).where("class <> c.class")
+    x, y = at.where(F.col("many") <= PAIRS).select("band", "key", F.col("doc").alias("a"), F.col("class").alias("_x")), at.select("band", "key", F.col("doc").alias("b"), F.col("class").alias("_y"))
+    small = x.join(y, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("_x") != F.col("_y"))).select("a", "b")
+    pairs = cut(each.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).unionByName(small).distinct().join(tried, ["a", "b"], "left_anti"))
+    labels = contracted(labels, cut(verified(pairs, texts, threshold)))
+    # What large buckets still hold in several classes is joined exactly, by prefixes of its rarest shingles.
+    rest = cut(unresolved(members.where(F.col("many") > PAIRS), labels).select("doc", "class").distinct())
+    if not rest.isEmpty():
+        labels = contracted(labels, cut(verified(sharing_prefixes(rest, texts, threshold), texts, threshold)))
+    of_copy = one.select("copy_a", "copy_b", F.col("doc").alias("id")).join(labels, "id", "left").select("copy_a", "copy_b", F.coalesce("class", "id").alias("class_id"))
     return sketch.select("doc_id", "copy_a", "copy_b").join(of_copy, ["copy_a", "copy_b"]).select("doc_id", "class_id")
