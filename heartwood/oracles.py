@@ -45,14 +45,14 @@ s AS (SELECT doc_name, node_id, vec_id, label, round(list_dot_product(v, (SELECT
 _FUSED = f"""
 WITH {_SCORES},
 v AS (SELECT doc_name, node_id, score, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM s WHERE score >= 0.05 ORDER BY rank LIMIT 40),
-r0 AS (SELECT doc_name, node_id, vec_id % 11 / 10.0::DOUBLE AS score, 'by number' AS reasoning, vec_id AS rank FROM e WHERE vec_id % 9 = 0),
-r AS (SELECT * FROM r0 UNION ALL SELECT doc_name, node_id, score / 2, 'again', rank + 1000000 FROM r0 WHERE rank % 7 = 0),
+r0 AS (SELECT doc_name, node_id, vec_id % 11 / 10.0::DOUBLE AS score, 'by number' AS reasoning, vec_id AS rank FROM e WHERE label <> 2),
+r AS (SELECT * FROM r0 UNION ALL SELECT doc_name, node_id, score / 2, 'again', rank + 1000000 FROM r0 WHERE doc_name = 'doc-3'),
 l AS (SELECT doc_name, node_id, arg_max(score, rank) AS rs, arg_max(reasoning, rank) AS reasoning, min(rank) AS rr, count(*) AS n FROM r GROUP BY ALL),
 f AS (
   SELECT coalesce(v.doc_name, l.doc_name) AS doc_name, coalesce(v.node_id, l.node_id) AS node_id, CASE WHEN v.node_id IS NOT NULL THEN 'vector ' ELSE 'reason ' END || coalesce(v.node_id, l.node_id) AS title,
     CASE WHEN rs IS NULL THEN v.score * 0.4::DOUBLE ELSE coalesce(v.score, 0) * 0.4::DOUBLE + rs * 0.6::DOUBLE END AS final_score, v.score AS vector_score, rs AS reasoning_score, reasoning,
     CASE WHEN rs IS NULL THEN 'vector' WHEN v.score IS NOT NULL OR n > 1 THEN 'both' ELSE 'reasoning' END AS source, v.rank AS vr, rr
-  FROM v FULL JOIN l ON v.doc_name = l.doc_name AND v.node_id = l.node_id ORDER BY final_score DESC, vr NULLS LAST, rr LIMIT 60
+  FROM v FULL JOIN l ON v.doc_name = l.doc_name AND v.node_id = l.node_id ORDER BY final_score DESC, vr NULLS LAST, rr LIMIT 500
 )
 """
 
@@ -229,7 +229,7 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE c AS (SELECT 0 AS k, 0 AS level UNION ALL SELECT unnest([2 * k + 1, 2 * k + 2]), level + 1 FROM c WHERE level < 3 AND k < 25)
         SELECT 'http://web.test/n/' || k AS url, level::BIGINT AS level, k < 25 AS found FROM c""",
     "crawl_counts": "SELECT 25::BIGINT AS success_count, 6::BIGINT AS failed_count, 100::BIGINT AS total_links",
-    "missing_documents": "SELECT r_name AS doc_name FROM region WHERE r_regionkey % 2 <> 0",
+    "missing_documents": "SELECT r_name AS doc_name FROM region WHERE r_name NOT LIKE 'A%'",
     "upserted_documents": "SELECT r_name AS doc_name, CASE WHEN r_regionkey >= 3 THEN 'new' ELSE 'old' END AS content FROM region UNION ALL SELECT 'EXTRA', 'new'",
     "event_windows": "SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     # The completer's choice: the share of the query's four (two) words that stand in a node's title and summary.

@@ -234,12 +234,12 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _vector_hits(spark, sf_dir).where("score >= 0.05")
     order = Window.orderBy(F.desc("score"), "node_id")
     v = hits.orderBy(F.desc("score"), "node_id").limit(40).withColumn("rank", F.row_number().over(order))
-    # Reasoning picks vectors by their number; every seventh twice.
-    e = corpora.table(spark, sf_dir, "embeddings").where("vec_id % 9 = 0")
+    # Reasoning leaves one document out and scores every vector of the others by its number; those of one come twice.
+    e = corpora.table(spark, sf_dir, "embeddings").where("label <> 2")
     r = e.select(F.format_string("doc-%d", "label").alias("doc_name"), F.format_string("%04d", "vec_id").alias("node_id"), (F.col("vec_id") % 11 / 10).alias("score"), F.lit("by number").alias("reasoning"), F.col("vec_id").alias("rank"))
-    again = r.where("rank % 7 = 0").withColumns({"rank": F.col("rank") + 1_000_000, "score": F.col("score") / 2, "reasoning": F.lit("again")})
+    again = r.where("doc_name = 'doc-3'").withColumns({"rank": F.col("rank") + 1_000_000, "score": F.col("score") / 2, "reasoning": F.lit("again")})
     r = r.unionByName(again).withColumn("title", F.concat(F.lit("reason "), "node_id"))
-    return fusion.fuse(v, r, max_results=60)
+    return fusion.fuse(v, r, max_results=500)
 
 
 @query
@@ -381,7 +381,7 @@ def page_documents(spark, sf_dir):
 @query
 def missing_documents(spark, sf_dir):
     docs = corpora.outline(spark, sf_dir)
-    return tables.missing(docs.select("doc_name"), corpora.table(spark, sf_dir, "region").where("r_regionkey % 2 = 0").select(F.col("r_name").alias("doc_name")))
+    return tables.missing(docs.select("doc_name"), corpora.table(spark, sf_dir, "region").where("r_name LIKE 'A%'").select(F.col("r_name").alias("doc_name")))
 
 
 @query
