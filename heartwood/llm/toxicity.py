@@ -66,8 +66,11 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: in
     if len(set(labels.tolist())) < 2:
         return none
     flat, toxic = np.concatenate(docs), np.repeat(labels == 1, [len(d) for d in docs])
-    terms, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    hits = np.bincount(at, toxic, len(terms))
+    terms, count = np.unique(flat, return_counts=True)
+    in_toxic, times = np.unique(flat[toxic], return_counts=True)
+    hits = np.zeros(len(terms))
+    hits[np.searchsorted(terms, in_toxic)] = times
+    del flat, toxic
     share, n, n1 = count / len(docs), len(docs), labels.sum()
     z = np.abs(hits / n1 - (count - hits) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)) + 1e-12)
     terms = terms[(count >= min_docs) & (z >= min_z)].astype(np.int64)
@@ -126,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
     found = [np.sort(x) for x in np.split(flat, (ends - ends[0])[1:-1])]
     y = rows.column("_label").to_numpy()
+    del rows, lists, flat
     order = np.lexsort([[int(len(x)) for x in found], [int(x.astype(np.int64).sum()) for x in found], y])  # whatever order rows came in
     return fit([found[i] for i in order], y[order].astype(float), **options)
 
