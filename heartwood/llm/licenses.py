@@ -66,7 +66,7 @@ def word_order(docs: DataFrame, templates: list[tuple[str, list[str]]]) -> dict[
     """Place of each template word in the global order: by documents that hold it, rarest first, then by the word.
     One row for each template word reaches the driver."""
     vocabulary = sorted({w for _, words in templates for w in words})
-    found = with_words(docs.select("text")).select(F.explode(F.array_intersect("_words", strings(vocabulary))).alias("w"))
+    found = with_words(docs.select("text")).select(F.explode_outer(F.array_intersect("_words", strings(vocabulary))).alias("w")).where("w IS NOT NULL")
     count = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
 
