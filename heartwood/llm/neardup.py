@@ -6,7 +6,8 @@ shingle that arrives first, and a shingle is left alone as soon as its next arri
 (early termination). Two documents agree in a register with the probability Jaccard similarity
 sum_i 1 / sum_j max(u_j / u_i, v_j / v_i), which is the common Jaccard index where weights are equal.
 
-Registers are cut in bands; documents that share a band are candidates. Copies (equal shingles in equal number) are first
+Registers are cut in bands; documents that share a band are candidates. A document in which shingles repeat has a second
+signature, with all weights 1, whose bands lie in the same key space: links by sets are found through it. Copies (equal shingles in equal number) are first
 represented by the least id. In a band's bucket every member is compared with the least one rather than with all others;
 buckets of up to PAIRS members that then lie in several classes are compared pair by pair across classes, larger ones
 with CENTERS members drawn at random; and what larger ones then still hold in several classes goes to an exact join by
@@ -106,7 +107,8 @@ def offsets(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, copy (a digest of the weighted shingles) and the band keys of every row."""
+    """doc_id, copy (a digest of the weighted shingles) and the band keys of every row: those by weights and, where
+    shingles repeat, those by sets (null where both are the same)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +122,15 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 np.add.at(copy[0], doc, parts)
                 np.add.at(copy[1], doc, mix(parts + U64(1)))
                 keys = band_keys(signatures(doc, shingle, weight, n, bands * rows), bands, rows)
-                lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), keys.ravel())
+                # With weights all 1, both signatures are the same.
+                repeats = np.bincount(doc, weight > 1, n) > 0
+                inside, number = repeats[doc], np.cumsum(repeats) - 1
+                plain = band_keys(signatures(number[doc[inside]], shingle[inside], np.ones(inside.sum()), int(repeats.sum()), bands * rows), bands, rows)
+                grid, there = np.hstack([keys, np.zeros_like(keys)]), np.hstack([np.ones_like(keys, bool), np.zeros_like(keys, bool)])
+                grid[repeats, bands:], there[repeats, bands:] = plain, plain != keys[repeats]
+                held = np.hstack([np.ones_like(keys, bool), np.repeat(repeats[:, None], bands, 1)])
+                ends = np.append(0, np.cumsum(held.sum(1))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, pa.array(grid[held], mask=~there[held]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, n), pa.array(copy[0].view(np.int64)), pa.array(copy[1].view(np.int64)), lists], ["doc_id", "copy_a", "copy_b", "bands"])
 
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(text_or_empty()).alias("words"))
@@ -258,7 +268,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     sketch = stored(sketches(docs, bands, rows), "sketches")
     # Copies are represented by their least id; of the representatives' bands, those that more than one of them has count.
     one = stored(sketch.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")), "representatives")
-    keyed = one.where("doc IS NOT NULL").select("doc", F.posexplode("bands").alias("band", "key"))
+    keyed = one.where("doc IS NOT NULL").select("doc", F.posexplode("bands").alias("_at", "key")).where("key IS NOT NULL")
+    keyed = keyed.select("doc", (F.col("_at") % bands).alias("band"), "key")
     several = cut(keyed.groupBy("band", "key").agg(F.min("doc").alias("least"), F.count("*").alias("many")).where("many > 1"))
     members = stored(keyed.join(several.hint("merge"), ["band", "key"]), "members")
     ids = cut(members.select(F.col("doc").alias("id")).distinct())

@@ -77,6 +77,23 @@ def test_large_buckets_are_resolved(spark, monkeypatch, pairs):
     assert grouped(got) == grouped(classes(texts))
 
 
+def test_links_by_sets_are_found_where_lines_repeat(spark):
+    """Near copies in which a line repeats: equal by sets, far apart by weights."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for i in range(30):
+        own = [word() for _ in range(200)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join(own + own[-10:] * rng.choice([20, 40]))
+        if i % 3 == 0:  # both have repeats
+            texts[2 * i] = " ".join(own[:10] * 30 + own)
+    want = classes(texts)
+    assert sum(k != c for k, c in want.items()) == 30
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert grouped(got) == grouped(want)
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 1 << 60, 300).astype(np.uint64), rng.integers(1, 1 << 60, 100).astype(np.uint64)
