@@ -213,21 +213,23 @@ def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sharing_prefixes(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of documents (doc, class) of different classes whose Jaccard similarity can reach the threshold: with
-    shingles in one order for all, such two share one of their first n - ceil(threshold n) + 1. Any order finds them all;
-    this one is by how often shingles fall into each of 2**COUNTERS counters, so that common passages come last and groups
-    stay small however many documents hold them. A shingle that is alone in its counter is in no other document and goes
-    to no join. The counters are what reaches the driver and is broadcast."""
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of documents (doc, class) of different classes whose similarity, by weights or by sets, can reach the
+    threshold. With shingles in one order for all, two linked by sets share one of their first n - ceil(threshold n) + 1.
+    Similarity by weights is at most the sum of min(p, q) over shingles, p and q being the shares of the documents' weight:
+    two linked by weights share one of those at which at least the threshold's share of the weight is still to come (with
+    weights all 1 these are the same). Any order finds them all; this one is by how often shingles fall into each of
+    2**COUNTERS counters, so that common passages come last. A shingle that is alone in its counter is in no other document
+    and goes to no join. The counters are what reaches the driver and is broadcast."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
             for s, e in slices(b.column(2).value_lengths().to_numpy(zero_copy_only=False), 400_000):
-                doc, shingle, _ = shingles(*offsets(b.column(2).slice(s, e - s)))
-                yield b.slice(s, e - s), doc, shingle, (mix(shingle) >> U64(64 - COUNTERS)).astype(np.int64)
+                doc, shingle, weight = shingles(*offsets(b.column(2).slice(s, e - s)))
+                yield b.slice(s, e - s), doc, shingle, weight, (mix(shingle) >> U64(64 - COUNTERS)).astype(np.int64)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTERS, np.int64)
-        for _, _, _, at in parts(batches):
+        for *_, at in parts(batches):
             total += np.bincount(at, minlength=1 << COUNTERS)
         blocks = total.astype("<i8").reshape(-1, COUNTER_BLOCK)
         used = np.flatnonzero(blocks.any(1))
@@ -246,19 +248,27 @@ def sharing_prefixes(rest: DataFrame, texts: DataFrame, threshold: float) -> Dat
     shared = words.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, doc, shingle, at in parts(batches):
+        for b, doc, shingle, weight, at in parts(batches):
             order = np.lexsort((shingle, shared.value[at], doc))
-            number = np.bincount(doc, minlength=b.num_rows)
+            number, total = np.bincount(doc, minlength=b.num_rows), np.bincount(doc, weight, b.num_rows)
+            repeats = np.bincount(doc, weight > 1, b.num_rows) > 0
             place = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number) + 1
-            first = (place <= (number - np.ceil(number * threshold - 1e-9) + 1)[doc]) & (shared.value[at[order]] > 1)
+            sets = place <= (number - np.ceil(number * threshold - 1e-9) + 1)[doc]
+            to_come = np.repeat(np.cumsum(total), number) - np.cumsum(weight[order]) + weight[order]
+            weights = to_come >= (threshold - 1e-8) * total[doc]
+            first = (sets | weights) & (shared.value[at[order]] > 1)
             of = doc[first]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(number[of]), pa.array(shingle[order][first].view(np.int64)), pa.array(place[first])], ["doc", "class", "n", "h", "at"])
+            columns = [pa.array(number[of]), pa.array(shingle[order][first].view(np.int64)), pa.array(place[first]), pa.array(sets[first]), pa.array(weights[first]), pa.array(repeats[of])]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), *columns], ["doc", "class", "n", "h", "at", "sets", "weights", "repeats"])
 
-    first = words.mapInArrow(prefixes, "doc long, class long, n long, h long, at long")
-    y = first.select(F.col("doc").alias("b"), F.col("class").alias("_y"), F.col("n").alias("_n"), "h", F.col("at").alias("_b_at"))
-    near = (F.col("doc") < F.col("b")) & (F.col("class") != F.col("_y")) & (F.least("n", "_n") >= F.greatest("n", "_n") * F.lit(threshold) - 1e-9)
+    first = words.mapInArrow(prefixes, "doc long, class long, n long, h long, at long, sets boolean, weights boolean, repeats boolean")
+    y = first.select(F.col("doc").alias("b"), F.col("class").alias("_y"), F.col("n").alias("_n"), "h", F.col("at").alias("_b_at"), F.col("sets").alias("_sets"), F.col("weights").alias("_weights"), F.col("repeats").alias("_repeats"))
+    sets = F.col("sets") & F.col("_sets") & (F.least("n", "_n") >= F.greatest("n", "_n") * F.lit(threshold) - 1e-9)
     # From the first shared one on, both must have enough left for the overlap that the threshold asks for.
-    near = near & (F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_b_at")) + 1 >= (F.col("n") + F.col("_n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    sets = sets & (F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_b_at")) + 1 >= (F.col("n") + F.col("_n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    # Where neither has repeats, both forms are the same and the bounds by sets are the tighter ones.
+    weights = F.col("weights") & F.col("_weights") & (F.col("repeats") | F.col("_repeats"))
+    near = (F.col("doc") < F.col("b")) & (F.col("class") != F.col("_y")) & (sets | weights)
     return cut(first.join(y, "h").where(near).select(F.col("doc").alias("a"), "b").distinct())
 
 

@@ -94,6 +94,26 @@ def test_links_by_sets_are_found_where_lines_repeat(spark):
     assert grouped(got) == grouped(want)
 
 
+def test_prefixes_cover_both_forms(spark):
+    """Random documents with repeated lines: every pair linked by weights or by sets is among those that share prefixes."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for _ in range(8):
+        line, own = [word() for _ in range(10)], [word() for _ in range(60)]
+        for _ in range(6):
+            texts[len(texts)] = " ".join(line * rng.randrange(20, 60) + [word() for _ in range(20)])
+            texts[len(texts)] = " ".join(own + line * rng.randrange(0, 12) + [word() for _ in range(rng.randrange(6))])
+    docs = spark.createDataFrame([(k, k) for k in texts], "doc long, class long")
+    rows = spark.createDataFrame(list(texts.items()), "_id long, _text string")
+    got = {(r["a"], r["b"]) for r in neardup.sharing_prefixes(docs, rows, 0.8).collect()}
+    every = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    linked = {(r["a"], r["b"]) for r in neardup.verified(every, rows).collect()}
+    sets = {k: shingle_set(t) for k, t in texts.items()}
+    assert sum(len(sets[a] & sets[b]) < 0.5 * len(sets[a] | sets[b]) for a, b in linked) > 20
+    assert linked <= got
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 1 << 60, 300).astype(np.uint64), rng.integers(1, 1 << 60, 100).astype(np.uint64)
