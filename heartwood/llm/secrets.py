@@ -46,7 +46,7 @@ PAIR = re.compile(
 )
 PART = re.compile(rf""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{NAME}""")
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
-WORD = re.compile(r"[A-Za-z]+$")
+MANY = 1_000_000
 
 
 def sensitivity(name: str) -> float:
@@ -55,13 +55,42 @@ def sensitivity(name: str) -> float:
     return max([0.0, *(SENSITIVE.get(w, 0.0) for w in words), *(SENSITIVE.get(f"{a}_{b}", 0.0) for a, b in zip(words, words[1:]))])
 
 
-def strength(value: str) -> float:
+class Value:
+    """What a name is bound to: its first character, how often it holds each character, and the literals and constants it
+    is made of. Joined strings aren't kept, so that constants built of constants stay small."""
+
+    __slots__ = ("first", "counts", "parts", "score")
+
+    def __init__(self) -> None:
+        self.first, self.counts, self.parts, self.score = "", Counter(), [], 0.0
+
+    def add(self, literal: str, span: tuple[int, int]) -> None:
+        self.first = self.first or literal[:1]
+        self.counts.update(literal)
+        self.parts.append(span)
+
+    def join(self, other: Value) -> None:
+        self.first = self.first or other.first
+        for c, n in other.counts.items():
+            self.counts[c] = min(MANY, self.counts[c] + n)
+        self.parts.append(other)
+
+
+def strength(value: str | Value) -> float:
     """0 to 1: how little a literal looks like a plain word, by its bits of entropy and kinds of characters."""
-    if len(value) < MIN_ASSIGN or WORD.match(value) and (value.islower() or value.isupper() or value.istitle()) or value[0] in "<$%{" or len(set(value)) < 4:
+    if isinstance(value, str):
+        whole, value = value, Value()
+        value.add(whole, (0, len(whole)))
+    counts, first = value.counts, value.first
+    n = sum(counts.values())
+    if n < MIN_ASSIGN or first in "<$%{" or len(counts) < 4:
+        return 0.0
+    upper = sum(k for c, k in counts.items() if c.isupper())
+    if all(c.isascii() and c.isalpha() for c in counts) and (upper in (0, n) or upper == 1 and first.isupper()):
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values()) * n
-    kinds = any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
+    # From MANY characters on, four of them different, there are more than 40 bits.
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values()) * n if n < MANY else 40.0
+    kinds = any(c.islower() for c in counts) + any(c.isupper() for c in counts) + any(c.isdigit() for c in counts) + any(not c.isalnum() for c in counts)
     return min(1.0, bits / 40) * (0.4 + 0.2 * min(3, kinds))
 
 
@@ -85,8 +114,8 @@ def lexed_spans(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name, directly or through constants."""
     if not any(c in text for c in "=:<"):
         return []
-    literals: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    literals: dict[str, Value] = {}
+    values: list[Value] = []
     for m in PAIR.finditer(text):
         if m["tag"]:
             name, parts = m["tag"], [(m["inner"], m.start("inner"), True)]
@@ -95,20 +124,24 @@ def lexed_spans(text: str) -> list[tuple[int, int, float]]:
             quoted = raw[0] in "\"'"
             parts = [(unquoted(raw), at + quoted, quoted)]
             parts += [(unquoted(p[0]), m.start("more") + p.start() + (p[0][0] in "\"'"), p[0][0] in "\"'") for p in PART.finditer(m["more"] or "")]
-        value, spans = "", []
+        value = Value()
         for part, at, quoted in parts:
             if not quoted and part in literals:  # a constant bound before
-                value += literals[part][0]
-                spans += literals[part][1]
+                value.join(literals[part])
             else:
-                value += part
-                spans.append((at, at + len(part)))
-        literals[name] = value, spans[:16]
+                value.add(part, (at, at + len(part)))
+        literals[name] = value
         score = sensitivity(name) * strength(value)
-        if score >= THRESHOLD:
-            for span in spans:
-                if span[1] > span[0]:
-                    best[span] = max(best.get(span, 0.0), score)
+        value.score = score if score >= THRESHOLD else 0.0
+        values.append(value)
+    # Constants are older than what is made of them: from the last one back, each gives its score to its parts.
+    best: dict[tuple[int, int], float] = {}
+    for value in reversed(values):
+        for part in value.parts if value.score else ():
+            if isinstance(part, Value):
+                part.score = max(part.score, value.score)
+            elif part[1] > part[0]:
+                best[part] = max(best.get(part, 0.0), value.score)
     return sorted((s, e, v) for (s, e), v in best.items())
 
 
