@@ -2,8 +2,8 @@
 
 Three base patterns find assignments, access keys and long hexadecimal runs anywhere in a text. On top
 of them a lexer reads source and configuration syntax into name-literal pairs (``name = "value"``,
-``"name": "value"``, ``name: value``, ``export NAME=value``, ``<name>value</name>``), carries constants
-from the names they are bound to into later names, and scores every literal by the sensitivity of the
+``"name": "value"``, ``name: value``, ``export NAME=value``, ``<name>value</name>``, also after a level or a key: ``INFO: NAME=value``), carries constants
+from the names they are bound to into later names (bare, ``$NAME`` and ``${NAME}``), and scores every literal by the sensitivity of the
 name it reaches. Null texts count as empty; an empty text has no spans. Rows are scored one by one, so
 repeated rows and ties get equal results, and other columns pass through untouched.
 """
@@ -38,10 +38,11 @@ SENSITIVE = {
 #: A literal is reported from this score on: sensitivity of the name times strength of the literal.
 THRESHOLD = 0.45
 
-NAME = r"(?<![A-Za-z0-9_.\-])[A-Za-z_][A-Za-z0-9_.\-]{0,63}+"
+NAME = r"(?<![A-Za-z0-9_.\-])[A-Za-z_][A-Za-z0-9_.\-]*+"
+REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.\-]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
 PAIR = re.compile(
-    rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]]{{0,31}})?[\x20\t]*(?::=|=>|[:=])[\x20\t]*"""
-    rf"""(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=~!@$%^&*-]+)(?P<more>(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{NAME}))*)"""
+    rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\x20*:\x20*(?P<type>[A-Za-z_][A-Za-z0-9_\[\]]*+))?[\x20\t]*(?P<sep>:=|=>|[:=])[\x20\t]*"""
+    rf"""(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|(?:\$\{{[A-Za-z_][A-Za-z0-9_.\-]*\}}|[A-Za-z0-9+/_.=~!@$%^&*-])+)(?P<more>(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{NAME}))*)"""
     rf"""|<(?P<tag>{NAME})>(?P<inner>[^<>\n]+)</(?P=tag)>"""
 )
 PART = re.compile(rf""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{NAME}""")
@@ -59,28 +60,52 @@ class Value:
     """What a name is bound to: its first character, how often it holds each character, and the literals and constants it
     is made of. Joined strings aren't kept, so that constants built of constants stay small."""
 
-    __slots__ = ("first", "counts", "parts", "score")
+    __slots__ = ("first", "counted", "waiting", "parts", "score")
 
     def __init__(self) -> None:
-        self.first, self.counts, self.parts, self.score = "", Counter(), [], 0.0
+        self.first, self.counted, self.waiting, self.parts, self.score = "", Counter(), [], [], 0.0
 
-    def add(self, literal: str, span: tuple[int, int]) -> None:
-        self.first = self.first or literal[:1]
-        self.counts.update(literal)
-        self.parts.append(span)
+    def add(self, text: str, start: int, end: int) -> None:
+        self.first = self.first or text[start : min(start + 1, end)]
+        self.waiting.append((text, start, end))
+        self.parts.append((start, end))
+
+    @property
+    def counts(self) -> Counter:
+        """Characters are counted when asked for: most names are neither sensitive nor used again."""
+        for text, start, end in self.waiting:
+            self.counted.update(text[start:end])
+        self.waiting.clear()
+        return self.counted
 
     def join(self, other: Value) -> None:
         self.first = self.first or other.first
+        counts = self.counts
         for c, n in other.counts.items():
-            self.counts[c] = min(MANY, self.counts[c] + n)
+            counts[c] = min(MANY, counts[c] + n)
         self.parts.append(other)
 
+    def refer(self, text: str, start: int, *known: dict[str, Value]) -> None:
+        """Add a text in which $NAME and ${NAME} stand for the values of known names. What it holds besides is reported whole."""
+        last, rest = 0, False
+        for r in REFERENCE.finditer(text):
+            value = next((k[r[1] or r[2]] for k in known if (r[1] or r[2]) in k), None)
+            if value:
+                self.first = self.first or text[last : last + 1] if r.start() > last else self.first
+                self.counts.update(text[last : r.start()])
+                rest, last = rest or r.start() > last, r.end()
+                self.join(value)
+        self.first = self.first or text[last : last + 1]
+        self.counts.update(text[last:])
+        if rest or last < len(text):
+            self.parts.append((start, start + len(text)))
+
 
 def strength(value: str | Value) -> float:
     """0 to 1: how little a literal looks like a plain word, by its bits of entropy and kinds of characters."""
     if isinstance(value, str):
         whole, value = value, Value()
-        value.add(whole, (0, len(whole)))
+        value.add(whole, 0, len(whole))
     counts, first = value.counts, value.first
     n = sum(counts.values())
     if n < MIN_ASSIGN or first in "<$%{" or len(counts) < 4:
@@ -115,23 +140,36 @@ def lexed_spans(text: str) -> list[tuple[int, int, float]]:
     if not any(c in text for c in "=:<"):
         return []
     literals: dict[str, Value] = {}
+    aside: dict[str, Value] = {}  # of names after a colon: types, maybe, which bare names aren't taken for
     values: list[Value] = []
-    for m in PAIR.finditer(text):
+    at, inside = 0, 0
+    while m := PAIR.search(text, at):
+        known = aside if m.start() < inside else literals
+        # What looks like a type or a bare value may be the name of a pair of its own: `INFO: NAME=value`, `a = NAME = value`.
+        at = inside = m.end()
+        if m["type"] or not m["tag"] and not m["more"] and m["value"][0] not in "\"'":
+            at = m.start("type") if m["type"] else m.start("value")
+            inside = m.end() if m["sep"] == ":" or m["type"] else 0
         if m["tag"]:
             name, parts = m["tag"], [(m["inner"], m.start("inner"), True)]
         else:
-            name, at, raw = m["name"], m.start("value"), m["value"]
+            name, raw = m["name"], m["value"]
             quoted = raw[0] in "\"'"
-            parts = [(unquoted(raw), at + quoted, quoted)]
+            parts = [(unquoted(raw), m.start("value") + quoted, quoted)]
             parts += [(unquoted(p[0]), m.start("more") + p.start() + (p[0][0] in "\"'"), p[0][0] in "\"'") for p in PART.finditer(m["more"] or "")]
         value = Value()
-        for part, at, quoted in parts:
+        plain = 0.0
+        for part, start, quoted in parts:
             if not quoted and part in literals:  # a constant bound before
                 value.join(literals[part])
+            elif "$" in part and any((r[1] or r[2]) in literals or (r[1] or r[2]) in aside for r in REFERENCE.finditer(part)):
+                plain = max(plain, strength(part))
+                value.refer(part, start, literals, aside)
             else:
-                value.add(part, (at, at + len(part)))
-        literals[name] = value
-        score = sensitivity(name) * strength(value)
+                value.add(text, start, start + len(part))
+        known[name] = value
+        weight = sensitivity(name)
+        score = weight * max(plain, strength(value)) if weight else 0.0
         value.score = score if score >= THRESHOLD else 0.0
         values.append(value)
     # Constants are older than what is made of them: from the last one back, each gives its score to its parts.
