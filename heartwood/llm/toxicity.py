@@ -54,11 +54,9 @@ class Machine:
         return total
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int | None = None, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, min_docs: int | None = None, min_z: float = 3.5, balance: float = 0.5, seed: int = 7) -> Machine:
-    """A machine from the distinct term buckets of documents and their labels (0 or 1). min_docs: one in 800, 3 at
-    least, if None; epochs: 10 to 60, more for fewer rows, if None; balance: 0 weighs all rows alike, 1 gives both classes the same weight. A term is kept if its shares of the two classes
+def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int | None = None, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, min_docs: int = 3, min_z: float = 3.5, balance: float = 0.5, seed: int = 7) -> Machine:
+    """A machine from the distinct term buckets of documents and their labels (0 or 1). epochs: 10 to 60, more for fewer rows, if None; balance: 0 weighs all rows alike, 1 gives both classes the same weight. A term is kept if its shares of the two classes
     differ by min_z standard errors: with more terms than rows, the rest would only be learnt by heart."""
-    min_docs = max(3, len(docs) // 800) if min_docs is None else min_docs
     epochs = min(60, max(10, 160_000 // max(1, len(docs)))) if epochs is None else epochs
     base = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 1e-9
     bias = float(np.log(base / (1 - base)))
@@ -118,10 +116,11 @@ def terms_of(text: Column, bits: int = BITS) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS, **options) -> Machine:
     """Fit on at most max_rows labelled rows of docs whose crc32(doc_id) mod 5 is not 0. Only their term buckets reach
-    the driver: max_rows is the bound on what does."""
+    the driver: max_rows is the bound on what does, as rows that repeat a doc_id are one row with the terms of all."""
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     sample = usable.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select("_label", terms_of(text_or_empty(docs["text"]), bits).alias("_terms")).toArrow()
+    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select(sample["_id"], "_label", terms_of(text_or_empty(docs["text"]), bits).alias("_terms"))
+    rows = rows.groupBy("_id", "_label").agg(F.array_distinct(F.flatten(F.collect_set("_terms"))).alias("_terms")).select("_label", "_terms").toArrow()
     lists = rows.column("_terms").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
     if not rows.num_rows:

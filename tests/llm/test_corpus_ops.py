@@ -258,6 +258,25 @@ def test_pairs_of_terms_matter(label):
     assert (one, other, both) == (label(True, False), label(False, True), label(True, True))
 
 
+def test_rare_toxic_terms_count_at_every_size():
+    rng = np.random.default_rng(5)
+    labels = (np.arange(16_000) % 10 == 0).astype(float)
+    docs = [np.unique(rng.integers(10, 1000, 8)) for _ in labels]
+    for i in np.flatnonzero(labels == 1)[:19]:
+        docs[i] = np.append(docs[i], 5000)
+    machine = toxicity.fit([np.sort(d) for d in docs], labels, epochs=1)
+    assert 5000 in machine.terms
+
+
+def test_repeated_ids_are_one_row_of_training(spark):
+    rows = [(i, ("vile " if i % 3 == 0 else "kind ") + f"words {i % 7} here") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    repeated = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id < 50"))
+    one, other = toxicity.train(docs, labels), toxicity.train(repeated, labels)
+    assert one.bias == other.bias and (one.terms == other.terms).all() and (one.w == other.w).all()
+
+
 def test_labels_are_not_learnt_from_held_out_rows(spark):
     docs = spark.createDataFrame([(i, "toxicword here" if i % 2 else "nice here") for i in range(400)], "doc_id long, text string")
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
