@@ -29,7 +29,7 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 THRESHOLD = 0.8
 BLOCK, STEP = 128, 64
 
-#: Wordings by label; each is at most STEP words long, so that one that stands in a text lies in some block.
+#: Wordings by label. Longer ones than STEP words make steps and blocks longer, so that one that stands in a text lies in some block.
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("mit", "Released under the MIT License"),
@@ -75,8 +75,9 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def matches(docs: DataFrame, order: dict[str, int], templates: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> DataFrame:
-    """docs (with _words) with `_found`: the distinct (label, containment) of the blocks that match a template."""
+def matches(docs: DataFrame, order: dict[str, int], templates: list[tuple[str, list[str]]], threshold: float = THRESHOLD, step: int = STEP) -> DataFrame:
+    """docs (with _words) with `_found`: the distinct (label, containment) of the blocks that match a template. Blocks are
+    BLOCK - STEP words longer than a step, or a step where that is more."""
     entries, prefixes = [], set()
     for label, words in templates:
         ordered = sorted(words, key=order.__getitem__)
@@ -87,8 +88,8 @@ def matches(docs: DataFrame, order: dict[str, int], templates: list[tuple[str, l
     vocabulary = sorted(order, key=order.__getitem__)
     held = F.array_intersect(strings(vocabulary), F.col("_words"))  # in the global order, as are all blocks below
     docs = docs.withColumn("_held", held)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)), F.lit(STEP))
-    blocks = F.array_distinct(F.transform(starts, lambda s: F.array_intersect(F.col("_held"), F.slice("_words", s + 1, BLOCK))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)), F.lit(step))
+    blocks = F.array_distinct(F.transform(starts, lambda s: F.array_intersect(F.col("_held"), F.slice("_words", s + 1, step + max(step, BLOCK - STEP)))))
     blocks = F.when(F.arrays_overlap("_held", strings(sorted(prefixes))), blocks).otherwise(F.array().cast("array<array<string>>"))
     docs = docs.withColumn("_blocks", blocks)
 
@@ -113,7 +114,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     greatest share of a template that a block holds, 0 if none reaches the threshold."""
     sets = template_sets(templates)
     order = word_order(docs, sets)
-    found = matches(with_words(docs.select("doc_id", "text")).drop("text"), order, sets, threshold)
+    step = max([STEP, *(len(words_of(text)) for _, text in templates)])
+    found = matches(with_words(docs.select("doc_id", "text")).drop("text"), order, sets, threshold, step)
     word = lambda i: F.get("_words", i)
     phrases = [(p.split(" "), label) for p, label in PHRASES.items()]
 

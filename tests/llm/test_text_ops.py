@@ -249,6 +249,13 @@ def test_license_blocks_on_planted_texts(spark):
     assert {k: tuple(round(rows[k][c], 9) if c == "score" else rows[k][c] for c in COLUMNS) for k in docs} == {k: license_row(t) for k, t in docs.items()}
 
 
+def test_long_templates_lie_in_some_block(spark):
+    template = " ".join(f"term{i}" for i in range(300))
+    docs = {i: "filler " * (37 * i) + template for i in range(8)}
+    rows = by_id(licenses.license_scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), [("long", template)]))
+    assert all(rows[k]["labels"] == "long" and rows[k]["score"] == 1.0 for k in docs)
+
+
 # ---- BPE
 
 
