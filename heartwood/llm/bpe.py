@@ -1,14 +1,18 @@
 """Byte-pair encoding by tree concatenation, and decoding.
 
-A text is cut where its tokenizer cuts it (special tokens, then the words of its pre-tokenizer). Merges never
-cross those cuts, so that a word's ids can be kept and used again. A word is the longest text that has no cut.
-Words of up to LEAF symbols are leaves. Longer ones are encoded as a tree: all leaves of a batch at once, then,
-level by level, neighbours are joined by encoding a window around each join again; the window grows on both sides
-until its first token equals the left half's token there and its last token the right half's. Then every pair of
-neighbouring tokens stands in some encoding made by the merges themselves, which makes the whole sequence the one
-that the merges give. Leaves that don't end the word are encoded without the end-of-word mark.
-
-Null texts count as empty; empty texts have no ids and decode to the empty string. Rows are encoded one by one.
+A text longer than HALF characters is halved, wherever that falls, until its parts are not; all parts are encoded by
+themselves, side by side, and then, level by level, neighbours are joined: a window around the join is encoded again, from
+the last blank before it on, and grows to the right until a word starts at the same place in the window and in the right
+part. What stands before that place is the window's, what follows is the right part's. A pre-tokenizer reads from left to
+right and sees LOOK characters ahead at most, so that from a common start on both readings are one.
+
+Inside a word, merges leave no blank to start from. A word of more than LEAF symbols is a tree too: its leaves are encoded
+without the end-of-word mark unless they end it, and windows of tokens grow on both sides of each join until the first token
+equals the left half's token there and the last one the right half's. Then every pair of neighbouring tokens stands in some
+encoding made by the merges themselves, which makes the whole sequence the one that the merges give.
+
+Encodings of words are kept and used again. Null texts count as empty; empty texts have no ids and decode to the empty
+string. Equal texts have equal ids, whatever batch they are in.
 """
 
 from __future__ import annotations
@@ -17,18 +21,22 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import mapped, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
+HALF = 1024
 LEAF = 48
 WINDOW = 4
+#: Characters that the choice of a word's pattern depends on: those of the longest contraction.
+LOOK = 3
+BLANK = " \t\n\r"
 KEPT_WORDS = 200_000
 
 #: Texts of these characters only are cut with the regex library; others by the tokenizer's own normalizer and pre-tokenizer.
@@ -38,7 +46,7 @@ ODD = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 class TreeBPE:
     """The encoder and decoder of one tokenizer file."""
 
-    def __init__(self, name: str = TOKENIZER, leaf: int = LEAF):
+    def __init__(self, name: str = TOKENIZER, leaf: int = LEAF, half: int = HALF):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer, models
@@ -50,7 +58,8 @@ class TreeBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.leaf = max(2, leaf)
+        self.leaf, self.half = max(2, leaf), max(1, half)
+        self.joins = 0  # of parts of texts, since it was set to 0
         self.whole = self.tokenizer.model
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.inner = models.BPE(vocab=model["vocab"], merges=merges)  # words that go on: no end-of-word mark
@@ -65,12 +74,28 @@ class TreeBPE:
         self.symbol = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(printable))}
         self.words: dict[str, tuple[int, str, str]] = {}
 
-    def cut(self, text: str) -> list[str]:
-        """The words of a text without special tokens, in the tokenizer's byte symbols."""
+    def normal(self, text: str) -> tuple[str, bool]:
+        """The normalized text, and if its words are the tokenizer's own pre-tokenizer's to find."""
         if ODD.search(text):
-            return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
-        found = self.word.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
-        return found if text.isascii() else [w if w.isascii() else "".join(map(self.symbol.__getitem__, w.encode())) for w in found]
+            return self.tokenizer.normalizer.normalize_str(text), True
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower(), False
+
+    def symbols(self, word: str) -> str:
+        return word if word.isascii() else "".join(map(self.symbol.__getitem__, word.encode()))
+
+    def cut(self, text: str, odd: bool) -> list[str]:
+        """The words of a normalized text, in the tokenizer's byte symbols."""
+        if odd:
+            return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        found = self.word.findall(text)
+        return found if text.isascii() else [self.symbols(w) for w in found]
+
+    def scan(self, text: str, odd: bool, start: int, end: int) -> list[tuple[int, str]]:
+        """(start, word) of the words of text[start:end]."""
+        part = text[start:end]
+        if odd:
+            return [(start + s, w) for w, (s, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+        return [(start + m.start(), self.symbols(m[0])) for m in self.word.finditer(part)]
 
     def leaves(self, part: str, last: bool) -> list[int]:
         return [t.id for t in (self.whole if last else self.inner).tokenize(part)] if part else []
@@ -80,7 +105,7 @@ class TreeBPE:
         t = self.token[token]
         return len(t) - len(self.suffix) if self.suffix and t.endswith(self.suffix) else len(t)
 
-    def join(self, word: str, middle: int, left: list[int], right: list[int], last: bool) -> list[int]:
+    def join_words(self, word: str, middle: int, left: list[int], right: list[int], last: bool) -> list[int]:
         """Encoding of word from those of word[:middle] and word[middle:]."""
         k = WINDOW
         while True:
@@ -101,7 +126,7 @@ class TreeBPE:
         level = [(s, e, self.leaves(word[s:e], e == len(word))) for s, e in spans]
         while len(level) > 1:
             joined = [
-                (s, e, self.join(word[s:e], m - s, left, right, e == len(word)))
+                (s, e, self.join_words(word[s:e], m - s, left, right, e == len(word)))
                 for (s, m, left), (_, e, right) in zip(level[::2], level[1::2])
             ]
             level = joined + level[len(joined) * 2 :]
@@ -117,15 +142,50 @@ class TreeBPE:
             self.words[word] = out
         return out
 
+    def join(self, text: str, odd: bool, left: tuple[int, int, list], right: tuple[int, int, list]) -> tuple[int, int, list]:
+        """The part that two neighbouring parts (start, end, encoded words) of a normalized text make."""
+        self.joins += 1
+        (first, middle, before), (_, end, after) = left, right
+        if text[middle - 1] in BLANK or text[middle] in BLANK:
+            return first, end, before + after
+        start = max(first, *(text.rfind(c, first, middle) + 1 for c in BLANK))
+        before = before[: len(before) - len(self.cut(text[start:middle], odd))]
+        k = WINDOW
+        while True:
+            to = min(middle + k, end)
+            window, places = self.scan(text, odd, start, to), {at: i for i, (at, _) in enumerate(self.scan(text, odd, middle, to))}
+            same = next((i for i, (at, _) in enumerate(window) if at in places and (at <= to - LOOK or to == end)), None)
+            if same is not None:
+                return first, end, before + self.encoded(w for _, w in window[:same]) + after[places[window[same][0]] :]
+            if to == end:
+                return first, end, before + self.encoded(w for _, w in window)
+            k *= 2
+
+    def encoded(self, words: Iterable[str]) -> list[tuple[int, str, str]]:
+        kept = self.words
+        return [kept.get(w) or self.of_word(w) for w in words]
+
+    def of_text(self, text: str) -> list[tuple[int, str, str]]:
+        """of_word of every word of a text without special tokens, by halves."""
+        text, odd = self.normal(text)
+        number = 1
+        while len(text) > number * self.half:
+            number *= 2
+        bounds = [len(text) * i // number for i in range(number + 1)]
+        level = [(s, e, self.encoded(self.cut(text[s:e], odd))) for s, e in zip(bounds, bounds[1:])]
+        while len(level) > 1:
+            level = [self.join(text, odd, a, b) for a, b in zip(level[::2], level[1::2])]
+        return level[0][2]
+
     def encode(self, text: str) -> list[tuple[int, str, str]]:
         """of_word of every word and special token of a text, in order."""
-        out, kept = [], self.words
+        out = []
         for part in self.cut_special.split(text) if self.cut_special and "<|" in text else (text,):
             if part in self.special:
                 i = self.special[part]
                 out.append((1, str(i), self.token[i]))
             elif part:
-                out += [kept.get(w) or self.of_word(w) for w in self.cut(part)]
+                out += self.of_text(part)
         return out
 
     def ids(self, text: str) -> list[int]:
@@ -150,22 +210,25 @@ def encode_texts(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER,
             ids = [bpe.ids(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return mapped(df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")), run, "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digest(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, leaf: int = LEAF) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the ids and the decoded text are hashed in the task that makes them."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_joins (of parts of the text): the ids and the decoded text are
+    hashed in the task that makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer, leaf)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for b in batches:
-            n, ids, decoded = [], [], []
+            n, ids, decoded, joins = [], [], [], []
             for t in b.column(1).to_pylist():
+                bpe.joins = 0
                 parts = bpe.encode(t)
+                joins.append(bpe.joins)
                 n.append(sum(p[0] for p in parts))
                 ids.append(sha(" ".join([p[1] for p in parts])))
                 decoded.append(sha(" ".join([p[2] for p in parts])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string()), pa.array(joins, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_joins"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long")

@@ -274,14 +274,15 @@ def test_op7(spark, sf_dir, texts, library):
     for k, text in texts.items():
         ids = library.encode(text or "", add_special_tokens=False).ids
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (rows[k]["n_joins"] > 0) == (len(text or "") > bpe.HALF)
         assert (rows[k]["n_tokens"], rows[k]["ids_sha256"], rows[k]["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
 
 
-@pytest.mark.parametrize("leaf", [2, 5, 48])
-def test_tree_equals_the_library(library, leaf):
-    rng = random.Random(leaf)
-    tree = bpe.TreeBPE(leaf=leaf)
-    alphabets = ["ab", "aeinorst", "abcdefghijklmnopqrstuvwxyz", "éèüß", "中文字符", "0123456789", "!?.,-=", "😀🎉", "ǅİſK", "́e", "'s t"]
+@pytest.mark.parametrize("leaf, half", [(2, 1), (5, 7), (48, 16), (3, 40), (48, 1024)])
+def test_tree_equals_the_library(library, leaf, half):
+    rng = random.Random(leaf * half)
+    tree = bpe.TreeBPE(leaf=leaf, half=half)
+    alphabets = ["ab", "aeinorst", "abcdefghijklmnopqrstuvwxyz", "éèüß", "中文字符", "0123456789", "!?.,-=", "😀🎉", "ǅİſK", "́e", "'s t", "'ll 've're", "中，。 !"]
     texts = ["", " ", "<|endoftext|>", "a<|startoftext|>b <|endoftext|> c", "Hello WORLD's 123", "x" * 5000, "  a", "ab\x00c"]
     for _ in range(400):
         texts.append("".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(1, 200))))
@@ -290,6 +291,7 @@ def test_tree_equals_the_library(library, leaf):
         want = library.encode(text, add_special_tokens=False).ids
         assert tree.ids(text) == want, text
         assert tree.decode(want) == library.decode(want, skip_special_tokens=False)
+    assert tree.joins > 100
 
 
 def test_encoded_texts(spark, library):
