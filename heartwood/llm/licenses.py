@@ -1,8 +1,8 @@
 """License scan by an exact set-similarity join, in DataFrame operations only.
 
 Templates are the wordings of license notices, as sets of words. A block of text (a window of BLOCK words, every
-STEP words) matches a template if it holds at least `threshold` of the template's words. The join finds every such
-pair: words are ordered by how many documents of the corpus hold them, rarest first; a block that matches holds one of
+STEP words) matches a template if it holds at least `threshold` of the template's words, all that tell its license from
+its neighbours (`must`), and none that only a neighbour's wording has (`without`). The join finds every such pair: words are ordered by how many documents of the corpus hold them, rarest first; a block that matches holds one of
 the first |T| - o + 1 words of template T, where o is the overlap needed (prefix filter); it has o words of templates at
 all (length filter); and from its first common prefix word on, both sides have enough words left (positional filter).
 Only what passes is counted. The templates are a parameter of fixed size and travel with the plan.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,23 +30,50 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 THRESHOLD = 0.8
 BLOCK, STEP = 128, 64
 
-#: Wordings by label. Longer ones than STEP words make steps and blocks longer, so that one that stands in a text lies in some block.
-TEMPLATES: list[tuple[str, str]] = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("mit", "Released under the MIT License"),
-    ("apache", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("lgpl", "GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License"),
-    ("agpl", "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
+
+
+@dataclass(frozen=True)
+class Template:
+    label: str
+    text: str
+    must: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+
+
+# Wordings of license notices by label. Longer ones than STEP words make steps and blocks longer, so that one
+# that stands in a text lies in some block.
+_GNU = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License"
+_KINDS = ("noncommercial", "sharealike", "noderivatives", "noderivs", "nc", "sa", "nd")
+TEMPLATES = [
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("sublicense", "merge")),
+    Template("mit", "Released under the MIT License", ("mit", "license")),
+    Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", ("fee", "purpose"), ("sublicense",)),
+    Template("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ("apache",)),
+    Template("apache", "Licensed under the Apache License, Version 2.0", ("apache", "license")),
+    Template("gpl", _GNU.format("This program", "General Public", 3), ("gnu",), ("lesser", "library", "affero")),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3", ("gnu",), ("lesser", "library", "affero")),
+    Template("lgpl", _GNU.format("This library", "Lesser General Public", 2.1), ("gnu", "lesser")),
+    Template("lgpl", "GNU Lesser General Public License", ("gnu", "lesser")),
+    Template("agpl", _GNU.format("This program", "Affero General Public", 3), ("gnu", "affero")),
+    Template("agpl", "GNU Affero General Public License", ("gnu", "affero")),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ("redistribution", "binary")),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", ("mozilla",)),
+    Template("mpl", "Mozilla Public License 2.0", ("mozilla", "license")),
+    Template("cc-by", _CC.format("Attribution"), ("creative", "commons", "attribution"), _KINDS),
+    Template("cc-by-nc", _CC.format("Attribution-NonCommercial"), ("creative", "commons", "noncommercial"), ("sharealike", "noderivatives")),
+    Template("cc-by-sa", _CC.format("Attribution-ShareAlike"), ("creative", "commons", "sharealike"), ("noncommercial",)),
+    Template("cc-by-nd", _CC.format("Attribution-NoDerivatives"), ("creative", "commons", "noderivatives"), ("noncommercial",)),
+    Template("cc-by-nc-sa", _CC.format("Attribution-NonCommercial-ShareAlike"), ("creative", "commons", "noncommercial", "sharealike")),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc", "by", "nc"), ("sa", "nd")),
+    Template("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc", "by", "sa"), ("nc",)),
+    Template("cc-by-nd", "Licensed under CC BY-ND 4.0", ("cc", "by", "nd"), ("nc",)),
+    Template("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0", ("cc", "by", "nc", "sa")),
+    Template("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ("waived", "neighboring")),
+    Template("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", ("unencumbered",)),
+    Template("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ("alter", "freely")),
+    Template("boost", "Distributed under the Boost Software License, Version 1.0", ("boost", "license")),
+]
 
 
 def words_of(text: str) -> list[str]:
@@ -53,8 +81,8 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split(BETWEEN, lower) if w]
 
 
-def template_sets(templates: list[tuple[str, str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
-    return [(label, sorted(set(words_of(text)))) for label, text in templates]
+def template_sets(templates: list[Template] = TEMPLATES) -> list[tuple[Template, list[str]]]:
+    return [(t, sorted(set(words_of(t.text)))) for t in templates]
 
 
 def with_words(df: DataFrame, text: str = "text", into: str = "_words") -> DataFrame:
@@ -62,10 +90,10 @@ def with_words(df: DataFrame, text: str = "text", into: str = "_words") -> DataF
     return df.withColumn(into, F.filter(F.split(lower, BETWEEN), lambda w: w != ""))
 
 
-def word_order(docs: DataFrame, templates: list[tuple[str, list[str]]]) -> dict[str, int]:
+def word_order(docs: DataFrame, templates: list[tuple[Template, list[str]]]) -> dict[str, int]:
     """Place of each template word in the global order: by documents that hold it, rarest first, then by the word.
     One row for each template word reaches the driver."""
-    vocabulary = sorted({w for _, words in templates for w in words})
+    vocabulary = sorted({w for t, words in templates for w in (*words, *t.must, *t.without)})
     found = with_words(docs.select("text")).select(F.explode_outer(F.array_intersect("_words", strings(vocabulary))).alias("w")).where("w IS NOT NULL")
     count = {r["w"]: r["n"] for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
@@ -75,16 +103,16 @@ def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def matches(docs: DataFrame, order: dict[str, int], templates: list[tuple[str, list[str]]], threshold: float = THRESHOLD, step: int = STEP) -> DataFrame:
+def matches(docs: DataFrame, order: dict[str, int], templates: list[tuple[Template, list[str]]], threshold: float = THRESHOLD, step: int = STEP) -> DataFrame:
     """docs (with _words) with `_found`: the distinct (label, containment) of the blocks that match a template. Blocks are
     BLOCK - STEP words longer than a step, or a step where that is more."""
     entries, prefixes = [], set()
-    for label, words in templates:
+    for t, words in templates:
         ordered = sorted(words, key=order.__getitem__)
         need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
         prefix = ordered[: len(ordered) - need + 1]
         prefixes |= set(prefix)
-        entries.append(F.struct(F.lit(label).alias("label"), strings(ordered).alias("words"), strings(prefix).alias("prefix"), F.lit(need).alias("need")))
+        entries.append(F.struct(F.lit(t.label).alias("label"), strings(ordered).alias("words"), strings(prefix).alias("prefix"), F.lit(need).alias("need"), strings([*t.must]).alias("must"), strings([*t.without]).alias("without")))
     vocabulary = sorted(order, key=order.__getitem__)
     held = F.array_intersect(strings(vocabulary), F.col("_words"))  # in the global order, as are all blocks below
     docs = docs.withColumn("_held", held)
@@ -98,7 +126,7 @@ def matches(docs: DataFrame, order: dict[str, int], templates: list[tuple[str, l
             common = F.array_intersect(t["prefix"], block)
             first = F.get(common, F.lit(0))
             left = F.least(F.size(block) - F.array_position(block, first), F.size(t["words"]) - F.array_position(t["words"], first))
-            return (F.size(block) >= t["need"]) & (F.size(common) > 0) & (left + 1 >= t["need"])
+            return (F.size(block) >= t["need"]) & (F.size(common) > 0) & (left + 1 >= t["need"]) & (F.size(F.array_except(t["must"], block)) == 0) & ~F.arrays_overlap(t["without"], block)
 
         def containment(t: Column) -> Column:
             return F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("score"), t["need"].alias("need"), F.size(t["words"]).alias("of"))
@@ -109,12 +137,12 @@ def matches(docs: DataFrame, order: dict[str, int], templates: list[tuple[str, l
     return docs.withColumn("_found", F.filter(scored, lambda x: F.round(x["score"] * x["of"]) >= x["need"])).drop("_held", "_blocks")
 
 
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: n_words, the base places and labels, all labels, and the score: 1 for a base phrase, else the
     greatest share of a template that a block holds, 0 if none reaches the threshold."""
     sets = template_sets(templates)
     order = word_order(docs, sets)
-    step = max([STEP, *(len(words_of(text)) for _, text in templates)])
+    step = max([STEP, *(len(words_of(t.text)) for t in templates)])
     found = matches(with_words(docs.select("doc_id", "text")).drop("text"), order, sets, threshold, step)
     word = lambda i: F.get("_words", i)
     phrases = [(p.split(" "), label) for p, label in PHRASES.items()]

@@ -216,12 +216,14 @@ def license_row(text):
     words = license_words(text)
     places = [(i, label) for p, label in licenses.PHRASES.items() for q in [p.split()] for i in range(len(words)) if words[i : i + len(q)] == q]
     found = {}
-    for label, t in licenses.TEMPLATES:
-        t = set(license_words(t))
+    assert max(len(license_words(t.text)) for t in licenses.TEMPLATES) <= licenses.STEP
+    for template in licenses.TEMPLATES:
+        t = set(license_words(template.text))
         for s in range(0, max(len(words), 1), licenses.STEP):
-            share = len(t & set(words[s : s + licenses.BLOCK])) / len(t)
-            if share >= licenses.THRESHOLD - 1e-9:
-                found[label] = max(found.get(label, 0), share)
+            block = set(words[s : s + licenses.BLOCK])
+            share = len(t & block) / len(t)
+            if share >= licenses.THRESHOLD - 1e-9 and block >= set(template.must) and not block & set(template.without):
+                found[template.label] = max(found.get(template.label, 0), share)
     base = {x[1] for x in places}
     at = [x[0] for x in places]
     return (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), round(1.0 if places else max(found.values(), default=0.0), 9))
@@ -240,8 +242,8 @@ def test_license_blocks_on_planted_texts(spark):
     filler = ["the", "software", "of", "license", "word", "cc", "by", "gnu", "general", "public", "é", "x1"]
     docs = {}
     for i in range(200):
-        _, template = rng.choice(licenses.TEMPLATES)
-        words = [w for w in template.split() if rng.random() > rng.choice([0, 0.1, 0.2, 0.3])]
+        template = rng.choice(licenses.TEMPLATES)
+        words = [w for w in template.text.split() if rng.random() > rng.choice([0, 0.1, 0.2, 0.3])]
         around = [rng.choice(filler) for _ in range(rng.randrange(0, 200))]
         at = rng.randrange(len(around) + 1)
         docs[i] = " ".join(around[:at] + words + around[at:])
@@ -252,10 +254,23 @@ def test_license_blocks_on_planted_texts(spark):
 def test_long_templates_lie_in_some_block(spark):
     template = " ".join(f"term{i}" for i in range(300))
     docs = {i: "filler " * (37 * i) + template for i in range(8)}
-    rows = by_id(licenses.license_scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), [("long", template)]))
+    rows = by_id(licenses.license_scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), [licenses.Template("long", template)]))
     assert all(rows[k]["labels"] == "long" and rows[k]["score"] == 1.0 for k in docs)
 
 
+def test_neighbours_are_told_apart(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version 3 of the License, or any later version."
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License."
+    cases = {
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa", "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+        "released under the license": "", "licensed under the license, version 2.0": "", gnu.format("Affero General Public"): "agpl", gnu.format("General Public"): "gpl",
+        gnu.format("Lesser General Public").replace("program", "library"): "lgpl", cc.format("Attribution"): "cc-by", cc.format("Attribution-NonCommercial"): "cc-by-nc", cc.format("Attribution-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+        "Released under the MIT License": "mit", "Distributed under the terms of the software license, version 1.0": "", "Permission is granted to use the software": "",
+    }
+    rows = by_id(licenses.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")))
+    assert {t: rows[i]["labels"] for i, t in enumerate(cases)} == cases
+
+
 # ---- BPE
 
 
