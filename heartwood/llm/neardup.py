@@ -6,36 +6,45 @@ shingle that arrives first, and a shingle is left alone as soon as its next arri
 (early termination). Two documents agree in a register with the probability Jaccard similarity
 sum_i 1 / sum_j max(u_j / u_i, v_j / v_i), which is the common Jaccard index where weights are equal.
 
+A shingle that occurs n times weighs 1 + ln n. Counts themselves would make documents equal that share nothing but one
+line, if they repeat it often enough. Two documents are linked at a similarity of `threshold` or more by these weights, or
+by their sets of shingles.
+
 Registers are cut in bands; documents that share a band are candidates. A document in which shingles repeat has a second
-signature, with all weights 1, whose bands lie in the same key space: links by sets are found through it. Copies (equal shingles in equal number) are first
-represented by the least id. In a band's bucket every member is compared with the least one rather than with all others;
-buckets of up to PAIRS members that then lie in several classes are compared pair by pair across classes, larger ones
-with CENTERS members drawn at random; and what larger ones then still hold in several classes goes to an exact join by
-prefixes of rare shingles. All candidates are verified on the whole texts: linked at a similarity of `threshold` or
-more. Classes are the connected components.
+signature, with all weights 1, whose bands lie in the same key space: links by sets are found through it. Copies (equal
+shingles in equal number) are first represented by the least id. Every document is compared with the least one of the
+bucket that it shares most bands with; members of buckets that then still lie in several classes are joined exactly, by
+prefixes of rare shingles, so that no group is compared pair by pair and no link of theirs is left out. All candidates
+are verified on the whole texts. Classes are the connected components.
 
 Words are separated by blanks; case is ignored. A text of fewer than five words is one shingle; null, empty and blank
-texts are copies of each other. Repeated rows are rows of one class. An empty table gives no rows.
+texts are copies of each other. Repeated rows are rows of one class. Of different texts with one doc_id, the least one is
+compared with others. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, slices, stored, text_or_empty
+from .common import BLANKS, cut, mapped, slices, stored, text_or_empty
 
 WORDS = 5
 BANDS, ROWS = 28, 5
 THRESHOLD = 0.8
-CENTERS = 4
-PAIRS = 64
 COUNTERS, COUNTER_BLOCK = 21, 1024
+#: Words of the texts that a task works on at once.
+SLICE_WORDS = 400_000
+#: Longs of a document's bitmap.
+BITMAP = 8
+#: Parts that a document is dealt out in where it is compared with many.
+SALTS = 64
 
 U64 = np.uint64
 
@@ -68,11 +77,17 @@ def shingles(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[first], h[first], np.diff(np.append(first, len(doc)))
 
 
+def sublinear(weight: np.ndarray) -> np.ndarray:
+    """Weight of a shingle that occurs so often. Counts themselves would make documents equal that share nothing but one
+    line, if they repeat it often enough."""
+    return 1 + np.log(weight)
+
+
 def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, m: int = BANDS * ROWS) -> np.ndarray:
     """ProbMinHash: for each of n documents and m registers, the shingle that arrives first."""
     time = np.full(n * m, np.inf)
     kept = np.zeros(n * m, U64)
-    rate = weight / 1.0
+    rate = sublinear(weight)
     now = np.zeros(len(doc))
     state = mix(shingle + U64(0x632BE59BD9B4E019))
     while len(doc):
@@ -113,7 +128,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            for s, e in slices(sizes, 400_000):
+            for s, e in slices(sizes, SLICE_WORDS):
                 words, ends = offsets(b.column(1).slice(s, e - s))
                 doc, shingle, weight = shingles(words, ends)
                 n = e - s
@@ -134,14 +149,14 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, n), pa.array(copy[0].view(np.int64)), pa.array(copy[1].view(np.int64)), lists], ["doc_id", "copy_a", "copy_b", "bands"])
 
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(text_or_empty()).alias("words"))
-    return table.mapInArrow(run, "doc_id long, copy_a long, copy_b long, bands array<long>")
+    return mapped(table, run, "doc_id long, copy_a long, copy_b long, bands array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(probability Jaccard, Jaccard of the sets) of n pairs, given each side's (pair, shingle, weight), sorted."""
-    pair, h, u, v = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.concatenate([a[2], np.zeros(len(b[2]))]), np.concatenate([np.zeros(len(a[2])), b[2]])
+    pair, h, u, v = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.concatenate([sublinear(a[2]), np.zeros(len(b[2]))]), np.concatenate([np.zeros(len(a[2])), sublinear(b[2])])
     order = np.lexsort((h, pair))
-    pair, h, u, v = pair[order], h[order], u[order].astype(float), v[order].astype(float)
+    pair, h, u, v = pair[order], h[order], u[order], v[order]
     same = np.append((pair[1:] == pair[:-1]) & (h[1:] == h[:-1]), False)
     both = np.flatnonzero(same)
     u[both] += u[both + 1]
@@ -163,20 +178,23 @@ def similarity(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those pairs (a, b) of ids whose whole texts (_id, _text) reach the threshold, by either form of the index."""
-    # Texts are dealt out by id at every size: pairs are never broadcast to them.
-    left = pairs.hint("merge").join(texts, pairs["b"] == F.col("_id")).select("a", "b", F.col("_text").alias("_left"))
-    both = left.hint("merge").join(texts, left["a"] == F.col("_id")).select("a", "b", word_hashes(F.col("_left")).alias("x"), word_hashes(F.col("_text")).alias("y"))
+    """Those pairs (a, b) of ids whose whole texts (_id, _text) reach the threshold, by either form of the index. Texts are
+    dealt out by id, pairs are never broadcast to them; a document that many others are compared with is dealt out in
+    SALTS parts."""
+    pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    right = pairs.hint("merge").join(texts, pairs["b"] == F.col("_id")).select("a", "b", "_part", F.col("_text").alias("_right"))
+    left = pairs.select("a", "_part").distinct().hint("merge").join(texts, F.col("a") == F.col("_id")).select("a", "_part", "_text")
+    both = right.hint("merge").join(left, ["a", "_part"]).select("a", "b", word_hashes(F.col("_text")).alias("x"), word_hashes(F.col("_right")).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False) + batch.column(3).value_lengths().to_numpy(zero_copy_only=False)
-            for s, e in slices(sizes, 400_000):
+            for s, e in slices(sizes, SLICE_WORDS):
                 part = batch.slice(s, e - s)
                 weighted, plain = similarity(shingles(*offsets(part.column(2))), shingles(*offsets(part.column(3))), e - s)
                 yield part.select(["a", "b"]).filter(pa.array(np.maximum(weighted, plain) >= threshold - 1e-9))
 
-    return both.mapInArrow(run, "a long, b long")
+    return mapped(both, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,10 +224,10 @@ def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """band, key, many, doc, class of the members of those buckets whose members lie in several classes."""
-    at = members.join(labels.withColumnRenamed("id", "doc").hint("merge"), "doc").select("band", "key", "many", "doc", "class")
+    """doc, class of the members of those buckets whose members lie in several classes."""
+    at = members.join(labels.withColumnRenamed("id", "doc").hint("merge"), "doc").select("band", "key", "doc", "class")
     split = at.groupBy("band", "key").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo <> _hi")
-    return cut(at.join(split.select("band", "key"), ["band", "key"]))
+    return cut(at.join(split.select("band", "key"), ["band", "key"]).select("doc", "class").distinct())
 
 
 def sharing_prefixes(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -219,11 +237,15 @@ def sharing_prefixes(rest: DataFrame, texts: DataFrame, threshold: float) -> Dat
     two linked by weights share one of those at which at least the threshold's share of the weight is still to come (with
     weights all 1 these are the same). Any order finds them all; this one is by how often shingles fall into each of
     2**COUNTERS counters, so that common passages come last. A shingle that is alone in its counter is in no other document
-    and goes to no join. The counters are what reaches the driver and is broadcast."""
+    and goes to no join. The counters are what reaches the driver and is broadcast.
+
+    Where two documents meet, no pair is made that an upper bound of its similarity rules out: by sizes, by the places of
+    the shingle in both, and by bitmaps (each shingle flips one of BITMAP * 64 bits, so that the sets differ in at least as
+    many shingles as the bitmaps do in bits)."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
-            for s, e in slices(b.column(2).value_lengths().to_numpy(zero_copy_only=False), 400_000):
+            for s, e in slices(b.column(2).value_lengths().to_numpy(zero_copy_only=False), SLICE_WORDS):
                 doc, shingle, weight = shingles(*offsets(b.column(2).slice(s, e - s)))
                 yield b.slice(s, e - s), doc, shingle, weight, (mix(shingle) >> U64(64 - COUNTERS)).astype(np.int64)
 
@@ -240,43 +262,52 @@ def sharing_prefixes(rest: DataFrame, texts: DataFrame, threshold: float) -> Dat
         return pa.table({"block": [key[0].as_py()], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
 
     words = stored(rest.hint("merge").join(texts, rest["doc"] == F.col("_id")).select("doc", "class", word_hashes(F.col("_text")).alias("words")), "rest")
-    sums = words.mapInArrow(counted, "block long, counts binary").groupBy("block").applyInArrow(summed, "block long, counts binary").collect()
+    sums = mapped(words, counted, "block long, counts binary").groupBy("block").applyInArrow(summed, "block long, counts binary").collect()
     counts = np.zeros(((1 << COUNTERS) // COUNTER_BLOCK, COUNTER_BLOCK), np.uint32)
     for r in sums:
         counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
-    counts = counts.reshape(-1)
-    shared = words.sparkSession.sparkContext.broadcast(counts)
+    shared = words.sparkSession.sparkContext.broadcast(counts.reshape(-1))
+    marks = [f"m{k}" for k in range(BITMAP)]
+    names = ["doc", "class", "n", "at", "before", "repeats", *marks]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, doc, shingle, weight, at in parts(batches):
+            n = b.num_rows
+            bits = np.bincount(doc * (64 * BITMAP) + (mix(shingle + U64(1)) % U64(64 * BITMAP)).astype(np.int64), minlength=n * 64 * BITMAP) & 1
+            bitmap = np.packbits(bits.astype(np.uint8).reshape(n, -1), axis=1).view("<i8").reshape(n, BITMAP)
             order = np.lexsort((shingle, shared.value[at], doc))
-            number, total = np.bincount(doc, minlength=b.num_rows), np.bincount(doc, weight, b.num_rows)
-            repeats = np.bincount(doc, weight > 1, b.num_rows) > 0
+            weight = sublinear(weight)[order]
+            number, total = np.bincount(doc, minlength=n), np.bincount(doc, weight, n)
             place = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number) + 1
-            sets = place <= (number - np.ceil(number * threshold - 1e-9) + 1)[doc]
-            to_come = np.repeat(np.cumsum(total), number) - np.cumsum(weight[order]) + weight[order]
-            weights = to_come >= (threshold - 1e-8) * total[doc]
-            first = (sets | weights) & (shared.value[at[order]] > 1)
-            of = doc[first]
-            columns = [pa.array(number[of]), pa.array(shingle[order][first].view(np.int64)), pa.array(place[first]), pa.array(sets[first]), pa.array(weights[first]), pa.array(repeats[of])]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), *columns], ["doc", "class", "n", "h", "at", "sets", "weights", "repeats"])
-
-    first = words.mapInArrow(prefixes, "doc long, class long, n long, h long, at long, sets boolean, weights boolean, repeats boolean")
-    y = first.select(F.col("doc").alias("b"), F.col("class").alias("_y"), F.col("n").alias("_n"), "h", F.col("at").alias("_b_at"), F.col("sets").alias("_sets"), F.col("weights").alias("_weights"), F.col("repeats").alias("_repeats"))
-    sets = F.col("sets") & F.col("_sets") & (F.least("n", "_n") >= F.greatest("n", "_n") * F.lit(threshold) - 1e-9)
-    # From the first shared one on, both must have enough left for the overlap that the threshold asks for.
-    sets = sets & (F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_b_at")) + 1 >= (F.col("n") + F.col("_n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    # Where neither has repeats, both forms are the same and the bounds by sets are the tighter ones.
-    weights = F.col("weights") & F.col("_weights") & (F.col("repeats") | F.col("_repeats"))
-    near = (F.col("doc") < F.col("b")) & (F.col("class") != F.col("_y")) & (sets | weights)
-    return cut(first.join(y, "h").where(near).select(F.col("doc").alias("a"), "b").distinct())
+            before = np.maximum(0, np.cumsum(weight) - weight - np.repeat(np.cumsum(total) - total, number)) / total[doc]
+            inside = (place <= (number - np.ceil(number * threshold - 1e-9) + 1)[doc]) | (1 - before >= threshold - 1e-6)
+            known = inside & (shared.value[at[order]] > 1)
+            of = doc[known]
+            columns = [number[of], place[known], before[known], (total > number + 1e-6)[of], *(bitmap[of, k] for k in range(BITMAP)), shingle[order][known].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), *map(pa.array, columns)], [*names, "h"])
+
+    first = cut(mapped(words, prefixes, f"doc long, class long, n long, at long, before double, repeats boolean, {', '.join(f'{m} long' for m in marks)}, h long"))
+    # Documents of one class need no comparison: of each shingle's documents, those outside its largest class meet all
+    # others, so that what is compared is at most twice what lies across classes.
+    largest = first.groupBy("h", "class").agg(F.count("*").alias("_n")).groupBy("h").agg(F.max_by("class", "_n").alias("main"), F.count("*").alias("_classes")).where("_classes > 1").drop("_classes")
+    known = cut(first.join(largest.hint("merge"), "h"))
+    x = known.where("class <> main").select("h", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = known.select("h", "main", *[F.col(c).alias(f"y_{c}") for c in names])
+    less, more = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    overlap = (less + more) * F.lit(threshold / (1 + threshold)) - 1e-9
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x_{m}").bitwiseXOR(F.col(f"y_{m}"))) for m in marks])
+    once = (F.col("x_class") != F.col("y_class")) & ((F.col("y_class") == F.col("main")) | (F.col("x_doc") < F.col("y_doc")))
+    sets = (less >= more * F.lit(threshold) - 1e-9) & (F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= overlap) & ((less + more - differ) / 2 >= overlap)
+    # Where neither has repeats, both forms of the index are the same, and the bounds by sets are the tighter ones.
+    weights = (F.col("x_repeats") | F.col("y_repeats")) & (F.least("x_before", "y_before") + F.least(1 - F.col("x_before"), 1 - F.col("y_before")) >= threshold - 1e-6)
+    return cut(x.join(y, "h").where(once & (sets | weights)).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id (the least doc_id of the class) of every row of docs. Rows without a doc_id belong to the class
     of their exact copies with one (none: null), and link no others."""
     sketch = stored(sketches(docs, bands, rows), "sketches")
-    # Copies are represented by their least id; of the representatives' bands, those that more than one of them has count.
+    # Of the representatives' bands, those that more than one of them has count.
     one = stored(sketch.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")), "representatives")
     keyed = one.where("doc IS NOT NULL").select("doc", F.posexplode("bands").alias("_at", "key")).where("key IS NOT NULL")
     keyed = keyed.select("doc", (F.col("_at") % bands).alias("band"), "key")
@@ -284,20 +315,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     members = stored(keyed.join(several.hint("merge"), ["band", "key"]), "members")
     ids = cut(members.select(F.col("doc").alias("id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text"))
-    texts = stored(texts.join(ids.withColumnRenamed("id", "_id").hint("merge"), "_id", "left_semi").dropDuplicates(["_id"]), "texts")
-    tried = cut(members.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct())
-    labels = cut(ids.join(components(verified(tried, texts, threshold)), "id", "left").select("id", F.coalesce("class", "id").alias("class")))
-    # Buckets whose members still lie in several classes: all pairs across classes in small ones, other centers in large ones.
-    at = unresolved(members, labels)
-    centers = [F.min_by(F.struct("doc", "class"), F.xxhash64("doc", "band", F.lit(k))) for k in range(CENTERS)]
-    drawn = at.where(F.col("many") > PAIRS).groupBy("band", "key").agg(F.array(*centers).alias("_centers"))
-    each = at.join(drawn, ["band", "key"]).select("doc", "class", F.explode("_centers").alias("c")).where("class <> c.class")
-    x, y = at.where(F.col("many") <= PAIRS).select("band", "key", F.col("doc").alias("a"), F.col("class").alias("_x")), at.select("band", "key", F.col("doc").alias("b"), F.col("class").alias("_y"))
-    small = x.join(y, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("_x") != F.col("_y"))).select("a", "b")
-    pairs = cut(each.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).unionByName(small).distinct().join(tried, ["a", "b"], "left_anti"))
-    labels = contracted(labels, cut(verified(pairs, texts, threshold)))
-    # What large buckets still hold in several classes is joined exactly, by prefixes of its rarest shingles.
-    rest = cut(unresolved(members.where(F.col("many") > PAIRS), labels).select("doc", "class").distinct())
+    texts = stored(texts.join(ids.withColumnRenamed("id", "_id").hint("merge"), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")), "texts")
+    heads = members.where("doc <> least").groupBy("least", "doc").agg(F.count("*").alias("n"))
+    nearest = cut(heads.groupBy("doc").agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("a")).select("a", F.col("doc").alias("b")))
+    labels = cut(ids.join(components(verified(nearest, texts, threshold)), "id", "left").select("id", F.coalesce("class", "id").alias("class")))
+    # What buckets then still hold in several classes is joined exactly, by prefixes of its rarest shingles.
+    rest = unresolved(members, labels)
     if not rest.isEmpty():
         labels = contracted(labels, cut(verified(sharing_prefixes(rest, texts, threshold), texts, threshold)))
     of_copy = one.select("copy_a", "copy_b", F.col("doc").alias("id")).join(labels, "id", "left").select("copy_a", "copy_b", F.coalesce("class", "id").alias("class_id"))
