@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -22,6 +23,11 @@ class Embedder(Protocol):
     def embed(self, text: Column) -> Column: ...
 
 
+def embedded(text: Column, by: Embedder) -> Column:
+    """The vector of a text; a blank text is handed to every embedder as one blank, which remote models take."""
+    return by.embed(F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit(" ")).otherwise(text))
+
+
 class HashingEmbedder:
     """Counts of a text's terms, hashed with signs to `dimension` places and normalised. An expression: no Python runs.
 
@@ -53,8 +59,6 @@ class OverlapCompleter:
 
     @staticmethod
     def _share(query: str, text: str) -> float:
-        import re
-
         words = lambda s: set(re.findall("[a-z0-9]+", s.lower()))
         return round(len(words(query) & words(text)) / max(1, len(words(query))), 2)
 
@@ -78,6 +82,10 @@ class OverlapCompleter:
         if task == "verify":
             share = self._share(p["query"], p.get("content") or "")
             return json.dumps({"contains_answer": share >= 0.5, "answer_type": "direct" if share >= 0.5 else "none", "key_information": "", "confidence": share})
+        if task == "markdown":
+            # As a model does at times, it fences what it returns; pages without text it can't convert.
+            words = re.sub(r"<[^>]*>", " ", p.get("content") or "").split()
+            return "```markdown\n# " + (p.get("title") or "") + "\n\n" + " ".join(words) + "\n```" if words else None
         if task == "answer":
             return (p.get("context") or "")[:500]
         return None
@@ -132,16 +140,7 @@ def completed(prompts: DataFrame, by: Completer, prompt: str = "prompt", into: s
     return prompts.mapInPandas(run, T.StructType([f for f in prompts.schema.fields if f.name != into] + [T.StructField(into, T.StringType())]))
 
 
-@F.pandas_udf(T.StringType())
-def strict_json(body: pd.Series) -> pd.Series:
-    """The JSON of a reply in canonical form; null for what doesn't parse as a whole, or else from its first { to its last }."""
-
-    def one(s: str | None) -> str | None:
-        for part in (s, (s or "")[(s or "").find("{") : (s or "").rfind("}") + 1]):
-            try:
-                return json.dumps(json.loads(part or ""), ensure_ascii=False)
-            except ValueError:
-                pass
-        return None
-
-    return body.map(one)
+def strict_json(body: Column) -> Column:
+    """The JSON of a reply, keys in order; null for what doesn't parse as a whole, or else from its first { to its last }."""
+    part = F.regexp_extract(body, r"(?s)\{.*\}", 0)
+    return F.coalesce(F.to_json(F.try_parse_json(body)), F.to_json(F.try_parse_json(part)))

@@ -6,10 +6,12 @@ written to the checkpoint folder, so that plans don't grow with the depth and a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import html_links, html_metadata, html_title, html_to_markdown
+from ..functions.html import html_links, html_page
 from ..functions.urls import crawlable, doc_name, domain
 from ..sources.tables import kept
 
@@ -23,22 +25,31 @@ def successful(status: Column) -> Column:
     return status.between(200, 299)
 
 
+def fetched(pages: DataFrame) -> DataFrame:
+    """The pages whose fetch succeeded; pages without a status were fetched."""
+    return pages.where(successful(F.col("status_code"))) if "status_code" in pages.columns else pages
+
+
 def crawl(pages: DataFrame, start: str, depth: int = 1, max_pages: int | None = None, same_domain: bool = True, url_filter: Column | None = None) -> DataFrame:
-    """url, level, found (whether pages has it): what a crawl from `start` visits, `depth` levels down. The start is taken
+    """url, level, found (whether pages has it, with a status of success): what a crawl from `start` visits, `depth` levels down. The start is taken
     as it is given. url_filter: a condition on a column `url`. max_pages: at most so many found pages; within a level, in
-    the order of their URLs."""
-    spark = pages.sparkSession
+    the order of their URLs. Pages that failed aren't counted and their links aren't followed."""
+    spark, pages = pages.sparkSession, fetched(pages)
     base = domain(F.lit(start))
     frontier = spark.createDataFrame([(start,)], "url string")
-    visited, found = None, 0
+    parts, found = [], 0
     for level in range(depth + 1):
         there = frontier.join(pages.select("url", F.lit(True).alias("found")).distinct(), "url", "left")
         there = there.select("url", F.lit(level).alias("level"), F.coalesce("found", F.lit(False)).alias("found"))
-        if max_pages is not None:
-            there = there.orderBy("url").limit(max_pages - found)
         there = kept(there)
+        if max_pages is not None:
+            # Places are given to pages that were found; of the others, those before the last place.
+            last = there.where("found").orderBy("url").limit(max_pages - found).agg(F.max("url"), F.count("*")).first()
+            full = last[1] == max_pages - found
+            there = there.where(F.col("url") <= last[0]) if full else there
+        parts.append(there)
         found += there.where("found").count()
-        visited = there if visited is None else kept(visited.unionByName(there))
+        visited = reduce(DataFrame.unionByName, parts)
         if level == depth or max_pages is not None and found >= max_pages:
             break
         links = page_links(pages.join(there.where("found").select("url"), "url", "left_semi")).select(F.col("link").alias("url")).distinct()
@@ -51,18 +62,19 @@ def crawl(pages: DataFrame, start: str, depth: int = 1, max_pages: int | None =
 
 
 def crawl_statistics(visited: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row: pages found, pages failed, and links on the found pages."""
-    links = page_links(pages.join(visited.where("found").select("url"), "url", "left_semi")).agg(F.count("*").alias("total_links"))
+    """One row: pages found, pages failed (not there, or with another status), and links on the found pages."""
+    links = page_links(fetched(pages).join(visited.where("found").select("url"), "url", "left_semi")).agg(F.count("*").alias("total_links"))
     return visited.agg(F.count_if("found").alias("success_count"), F.count_if(~F.col("found")).alias("failed_count")).crossJoin(links)
 
 
 def page_documents(pages: DataFrame) -> DataFrame:
-    """Documents (doc_name, content, description, metadata) made of pages; of equal names the page of the greatest URL."""
-    title = html_title(F.col("html"))
-    made = pages.withColumn("_title", title).withColumn("_meta", html_metadata(F.col("html")))
-    own = F.create_map(F.lit("type"), F.lit("web"), F.lit("url"), "url", F.lit("domain"), domain(F.col("url")), F.lit("original_title"), "_title")
+    """Documents (doc_name, content, description, metadata) made of fetched pages; of equal names the page of the greatest
+    URL. A page is parsed once; fetched_at is added to the metadata where the table has it."""
+    made = fetched(pages).withColumn("_p", html_page(F.col("html"))).withColumns({"_title": F.col("_p.title"), "_meta": F.col("_p.metadata")})
+    when = [F.lit("fetched_at"), F.col("fetched_at").cast("string")] if "fetched_at" in pages.columns else []
+    own = F.create_map(F.lit("type"), F.lit("web"), F.lit("url"), "url", F.lit("domain"), domain(F.col("url")), F.lit("original_title"), "_title", *when)
     made = made.select(
-        doc_name(F.col("url")).alias("doc_name"), html_to_markdown(F.col("html"), F.col("_title")).alias("content"),
-        F.coalesce(F.element_at("_meta", "description"), F.lit("")).alias("description"), F.map_concat(F.map_filter("_meta", lambda k, v: ~k.isin("type", "url", "domain", "original_title")), own).alias("metadata"), "url",
+        doc_name(F.col("url")).alias("doc_name"), F.col("_p.markdown").alias("content"),
+        F.coalesce(F.element_at("_meta", "description"), F.lit("")).alias("description"), F.map_concat(F.map_filter("_meta", lambda k, v: ~k.isin("type", "url", "domain", "original_title", "fetched_at")), own).alias("metadata"), "url",
     )
     return made.groupBy("doc_name").agg(F.max_by(F.struct("content", "description", "metadata"), "url").alias("d")).select("doc_name", "d.*")

@@ -80,21 +80,26 @@ def sections(docs: DataFrame, heads: DataFrame | None = None, contents: bool = T
     heads = headings(docs) if heads is None else heads
     by_doc = heads.groupBy("doc_name").agg(F.sort_array(F.collect_list(F.struct("pos", "line_no", "level", "title"))).alias("_heads"))
     text = F.coalesce("content", F.lit(""))
-    found = docs.select("doc_name", text.alias("_text")) if contents else docs.select("doc_name", F.size(lines_of(text)).alias("_n"))
-    if contents:
-        found = found.withColumn("_lines", lines_of(F.col("_text"))).withColumn("_n", F.size("_lines"))
-    found = found.join(by_doc, "doc_name", "left")
+    found = docs.select("doc_name", text.alias("_text") if contents else F.size(lines_of(text)).alias("_n")).join(by_doc, "doc_name", "left")
     whole = F.array(F.struct(F.lit(1).alias("pos"), F.lit(1).alias("line_no"), F.lit(0).alias("level"), F.lit(NO_HEADING).alias("title")))
     found = found.withColumn("_heads", F.coalesce("_heads", whole))
-    spans = F.transform("_heads", lambda h, i: F.struct(h["pos"].alias("pos"), h["level"].alias("level"), h["title"].alias("title"), h["line_no"].alias("start_line"), F.coalesce(F.get(F.col("_heads"), i + 1)["line_no"] - 1, F.col("_n")).alias("end_line")))
-    keep = ["doc_name", *(["_lines", "_text"] if contents else [])]
-    found = found.select(*keep, F.explode(spans).alias("s")).select(*keep, "s.*")
-    if not contents:
-        return found
-    cut = lambda first: F.array_join(F.slice("_lines", first, F.col("end_line") - first + 1), "\n")
-    whole_text = F.col("level") == 0
-    raw = F.when(whole_text, F.col("_text")).otherwise(strip(cut(F.col("start_line") + 1)))
-    return found.select("doc_name", "pos", "level", "title", "start_line", "end_line", F.when(whole_text, F.col("_text")).otherwise(cut(F.col("start_line"))).alias("content"), raw.alias("raw_content"))
+
+    def spans(total: Column, lines: Column | None) -> Column:
+        def section(h: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(F.col("_heads"), i + 1)["line_no"] - 1, total)
+            fields = [h["pos"].alias("pos"), h["level"].alias("level"), h["title"].alias("title"), h["line_no"].alias("start_line"), end.alias("end_line")]
+            if lines is not None:
+                cut = lambda first: F.array_join(F.slice(lines, first, end - first + 1), "\n")
+                of_whole = h["level"] == 0
+                fields += [F.when(of_whole, F.col("_text")).otherwise(cut(h["line_no"])).alias("content"), F.when(of_whole, F.col("_text")).otherwise(strip(cut(h["line_no"] + 1))).alias("raw_content")]
+            return F.struct(*fields)
+
+        return F.transform("_heads", section)
+
+    # Contents are cut out before sections become rows, so that no row carries its document; lines are bound once, as the
+    # only element of an array.
+    each = F.transform(F.array(lines_of(F.col("_text"))), lambda x: spans(F.size(x), x))[0] if contents else spans(F.col("_n"), None)
+    return found.select("doc_name", F.explode(each).alias("s")).select("doc_name", "s.*")
 
 
 def structure_overview(found: DataFrame) -> DataFrame:

@@ -89,6 +89,12 @@ def single_round_search(tree: DataFrame, query: str, by: Completer, max_results:
     return ranked(known.select("doc_name", "node_id", "title", "score", "reasoning", "ord"), max_results, None)
 
 
+def search_with_fallback(tree: DataFrame, query: str, by: Completer, max_results: int = 10, min_relevance: float = 0.3) -> DataFrame:
+    """The two rounds, and where they find nothing at all, one round over the whole trees."""
+    found = kept(tree_search(tree, query, by, max_results, min_relevance))
+    return single_round_search(tree, query, by, max_results) if found.isEmpty() else found
+
+
 def summarised(tree: DataFrame, by: Completer) -> DataFrame:
     """tree with summaries where they are empty and there is content (its first 2000 characters are shown)."""
     empty = (F.coalesce("summary", F.lit("")) == "") & (F.trim("raw_content") != "")

@@ -14,8 +14,10 @@ LEVELS = 6
 
 def nodes(found: DataFrame, levels: int = LEVELS) -> DataFrame:
     """sections -> nodes: with node_id (0001.. in document order), parent_pos, parent_id, depth, path, last_pos, and
-    end_line widened to the end of the last descendant. levels: the deepest level that occurs (an override by a table of
-    contents may pass 6). Other columns stay."""
+    end_line widened to the end of the last descendant. levels: the deepest level that occurs; a deeper one raises an error
+    (a table of contents may give levels over 6: deepest() finds them out). Other columns stay."""
+    too_deep = F.raise_error(F.concat(F.lit("a section of level "), F.col("level").cast("string"), F.lit(f" where levels={levels}")))
+    found = found.withColumn("level", F.when(F.col("level") > levels, too_deep).otherwise(F.col("level")))
     before = Window.partitionBy("doc_name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("doc_name").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     every = range(levels + 1)
@@ -36,6 +38,17 @@ def nodes(found: DataFrame, levels: int = LEVELS) -> DataFrame:
     return out.withColumn("parent_id", node_id(F.col("parent_pos"))).drop("_last", "_next", "_total", "_n", "_live", "_until")
 
 
+def deepest(found: DataFrame) -> int:
+    """The deepest level of sections, LEVELS at least."""
+    return max(LEVELS, found.agg(F.max("level")).first()[0] or 0)
+
+
+def path_to(tree: DataFrame, wanted: str) -> DataFrame:
+    """doc_name, pos, node_id, title of a node and its ancestors, from the root down."""
+    target = find(tree, wanted).select("doc_name", F.col("pos").alias("_at"))
+    return tree.join(target, "doc_name").where(F.col("_at").between(F.col("pos"), F.col("last_pos"))).select("doc_name", "pos", "node_id", "title")
+
+
 def node_id(pos: Column) -> Column:
     return F.when(pos.isNotNull(), F.format_string("%04d", pos))
 

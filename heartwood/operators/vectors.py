@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.providers import Embedder
+from ..functions.providers import Embedder, embedded
 
 # Sizes of chunks, where they break if they can, and the least content that is chunked.
 CHUNK, OVERLAP, CHUNKED_FROM = 500, 50, 100
@@ -21,18 +23,23 @@ def chunk_text(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> l
     lies in its second half; a short text is one piece as it is."""
     if size <= 2 * overlap:
         raise ValueError("size must be more than twice the overlap")
-    if not text or len(text) <= size:
+    if len(text or "") <= size:
         return [text] if text else []
-    out, start = [], 0
-    while start < len(text) - overlap or not start:
-        end = start + size
-        if end < len(text):
-            ends = (at + len(b) for b in BREAKS if (at := text.rfind(b, start, end)) > start + size // 2)
-            end = next(ends, end)
-        if piece := text[start:end].strip():
-            out.append(piece)
-        start = end - overlap
-    return out
+    # Where the breaks of each kind begin, found once; then it is a walk from cut to cut.
+    begins = [[m.start() for m in re.finditer(re.escape(b), text)] for b in BREAKS]
+
+    def cut(start: int) -> int:
+        for b, at in zip(BREAKS, begins):
+            k = bisect_right(at, start + size - len(b)) - 1
+            if k >= 0 and at[k] + len(b) > 0 and at[k] > start + size // 2:
+                return at[k] + len(b)
+        return start + size
+
+    spans = [(0, cut(0))]
+    while spans[-1][1] < len(text):
+        start = spans[-1][1] - overlap
+        spans.append((start, cut(start) if start + size < len(text) else len(text)))
+    return [piece for s, e in spans if (piece := text[s:e].strip())]
 
 
 def chunks(df: DataFrame, text: str = "content", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -54,12 +61,12 @@ def text_to_embed(summary: Column, title: Column) -> Column:
 def node_vectors(tree: DataFrame, by: Embedder) -> DataFrame:
     """doc_name, node_id, title, level, vector of every node that has a summary or a title."""
     told = tree.withColumn("_text", text_to_embed(F.col("summary"), F.col("title"))).where("_text IS NOT NULL")
-    return told.select("doc_name", "node_id", "title", "level", by.embed(F.col("_text")).alias("vector"))
+    return told.select("doc_name", "node_id", "title", "level", embedded(F.col("_text"), by).alias("vector"))
 
 
 def chunk_vectors(tree: DataFrame, by: Embedder, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_name, node_id, chunk_no, vector of every piece of the nodes' contents."""
-    return chunks(tree.select("doc_name", "node_id", "content"), "content", size, overlap).select("doc_name", "node_id", "chunk_no", by.embed(F.col("chunk")).alias("vector"))
+    return chunks(tree.select("doc_name", "node_id", "content"), "content", size, overlap).select("doc_name", "node_id", "chunk_no", embedded(F.col("chunk"), by).alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -70,12 +77,16 @@ def literal(vector: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
-def vector_search(nodes: DataFrame, pieces: DataFrame | None, query: Column, top_k: int = 10, threshold: float = 0.0) -> DataFrame:
+def vector_search(nodes: DataFrame, pieces: DataFrame | None, query: Column | DataFrame, top_k: int = 10, threshold: float = 0.0) -> DataFrame:
     """doc_name, node_id, title, score, chunk_scores of the best top_k nodes with a score of threshold or more. A node's
     score is the greater of its own product with the query and sum(pieces) / sqrt(pieces + 1); pieces: None for nodes alone.
 
-    query: an expression (a literal vector, or an embedder's over a literal text), worked out beside each row. Scores of
-    pieces are summed in the task that has them before they are exchanged; the best nodes are taken without a full sort."""
+    query: a literal vector, or one row with a column `vector`, which is broadcast: a text is embedded once, not beside each
+    row. Scores of pieces are summed in the task that has them before they are exchanged; the best nodes are taken without
+    a full sort."""
+    if isinstance(query, DataFrame):
+        one = F.broadcast(query.select(F.col("vector").alias("_query")).limit(1))
+        nodes, pieces, query = nodes.crossJoin(one), None if pieces is None else pieces.crossJoin(one), F.col("_query")
     scored = nodes.select("doc_name", "node_id", "title", dot(F.col("vector"), query).alias("_own"))
     if pieces is not None:
         each = pieces.select("doc_name", "node_id", F.struct("chunk_no", dot(F.col("vector"), query).alias("s")).alias("c"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from .plans.corpora import EDGES
 
-# The outline's headings with their places: a region has one line, a nation one, a customer two.
+# The outline's headings with their places: a region has one line, a nation one, a customer two. Documents are ranges of
+# 100 customer keys in a region.
 _OUTLINE = """
+oc AS (SELECT r_name || '-' || (c_custkey // 100) AS doc_name, * FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 o AS (
-  SELECT r_name AS doc_name, NULL::INTEGER AS nk, NULL::BIGINT AS ck, 1 AS level, r_name AS title, NULL::VARCHAR AS body FROM region
-  UNION ALL SELECT r_name, n_nationkey, NULL, 2, n_name, NULL FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT r_name, n_nationkey, c_custkey, 3, c_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  SELECT DISTINCT doc_name, NULL::INTEGER AS nk, NULL::BIGINT AS ck, 1 AS level, r_name AS title, NULL::VARCHAR AS body FROM oc
+  UNION ALL SELECT DISTINCT doc_name, n_nationkey, NULL, 2, n_name, NULL FROM oc
+  UNION ALL SELECT doc_name, n_nationkey, c_custkey, 3, c_name, c_mktsegment FROM oc
 ),
 p AS (
   SELECT *, row_number() OVER w AS pos, 1 + (body IS NOT NULL)::BIGINT AS n_lines,
@@ -58,7 +60,7 @@ f AS (
 
 _HITS = """
 hits AS (
-  SELECT r_name AS doc_name, node_id, relevance, rank FROM region
+  SELECT r_name || '-0' AS doc_name, node_id, relevance, rank FROM region
   JOIN (VALUES (0, '0002', 0.4::DOUBLE, 1), (1, '0003', 0.5::DOUBLE, 2), (2, '0001', 0.7::DOUBLE, 5)) x(k, node_id, relevance, rank) ON r_regionkey = k
 ),
 ctx AS (
@@ -132,7 +134,7 @@ ORACLES: dict[str, str] = {
     "md_sections": f"""WITH {_CHATS} SELECT doc_name, pos, level::BIGINT AS level, title, end_line - n_lines + 1 AS start_line, end_line, content, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS raw_content FROM t""",
     "md_prose_sections": "SELECT 'doc-' || doc_id AS doc_name, 'Document' AS title, 0::BIGINT AS level, 1::BIGINT AS start_line, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS end_line, md5(coalesce(text, '')) AS content_md5 FROM documents",
     "doc_titles": """
-        SELECT r_name AS doc_name, r_name AS title FROM region UNION ALL SELECT DISTINCT 'conv-' || conv_id, 'Conversation ' || conv_id FROM conversations
+        SELECT DISTINCT r_name || '-' || (c_custkey // 100) AS doc_name, r_name AS title FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT DISTINCT 'conv-' || conv_id, 'Conversation ' || conv_id FROM conversations
         UNION ALL SELECT 'doc-' || doc_id, 'Untitled Document' FROM documents""",
     "structure_overview": f"WITH {_OUTLINE} SELECT doc_name, string_agg(repeat('  ', level - 1) || '- ' || title || ' (lines ' || start_line || '-' || own_end || ')', chr(10) ORDER BY pos) AS overview FROM t GROUP BY doc_name",
     "tree_nodes": f"""
@@ -187,7 +189,7 @@ ORACLES: dict[str, str] = {
         ("plain", "keep", "keep"), ("markdown", "```markdown\n# T\nx\n```", "# T\nx"),
     ]),
     "reply_json": _values("k VARCHAR, json VARCHAR", [
-        ("fence", '{"a": 1}'), ("prose", '{"a": [1, 2]}'), ("think", '{"b": "x"}'), ("bad", None), ("none", None), ("label", None), ("cjk", None), ("colon", None), ("plain", None), ("markdown", None),
+        ("fence", '{"a":1}'), ("prose", '{"a":[1,2]}'), ("think", '{"b":"x"}'), ("bad", None), ("none", None), ("label", None), ("cjk", None), ("colon", None), ("plain", None), ("markdown", None),
     ]),
     "code_blocks": _values("doc_name VARCHAR, n BIGINT, language VARCHAR, code VARCHAR", [("a", 0, "python", "print(1)\n"), ("a", 1, "", "plain\n"), ("c", 0, "sql", "select 1\n")]),
     "chunk_texts": """
@@ -229,8 +231,8 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE c AS (SELECT 0 AS k, 0 AS level UNION ALL SELECT unnest([2 * k + 1, 2 * k + 2]), level + 1 FROM c WHERE level < 3 AND k < 25)
         SELECT 'http://web.test/n/' || k AS url, level::BIGINT AS level, k < 25 AS found FROM c""",
     "crawl_counts": "SELECT 25::BIGINT AS success_count, 6::BIGINT AS failed_count, 100::BIGINT AS total_links",
-    "missing_documents": "SELECT r_name AS doc_name FROM region WHERE r_name NOT LIKE 'A%'",
-    "upserted_documents": "SELECT r_name AS doc_name, CASE WHEN r_regionkey >= 3 THEN 'new' ELSE 'old' END AS content FROM region UNION ALL SELECT 'EXTRA', 'new'",
+    "missing_documents": f"WITH {_OUTLINE} SELECT DISTINCT doc_name FROM o WHERE doc_name NOT LIKE 'A%'",
+    "upserted_documents": f"WITH {_OUTLINE} SELECT DISTINCT doc_name, CASE WHEN r_regionkey >= 3 THEN 'new' ELSE 'old' END AS content FROM oc UNION ALL SELECT 'EXTRA', 'new'",
     "event_windows": "SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     # The completer's choice: the share of the query's four (two) words that stand in a node's title and summary.
     "reasoning_search": f"""
@@ -238,7 +240,7 @@ ORACLES: dict[str, str] = {
         SELECT *, row_number() OVER (ORDER BY score DESC, doc_name, node_id) AS rank FROM s WHERE score IS NOT NULL ORDER BY rank LIMIT 20""",
     "single_round": f"""
         WITH {_OUTLINE} SELECT doc_name, node_id, title, (CASE WHEN body = 'BUILDING' THEN 1.0 ELSE 0.5 END)::DOUBLE AS score FROM t WHERE level = 3 ORDER BY score DESC, doc_name, node_id LIMIT 10""",
-    "fallback_search": "SELECT r_name AS doc_name, '0001' AS node_id, 0.5::DOUBLE AS relevance, 'Fallback selection' AS reason FROM region",
+    "fallback_search": f"WITH {_OUTLINE} SELECT DISTINCT doc_name, '0001' AS node_id, 0.5::DOUBLE AS relevance, 'Fallback selection' AS reason FROM o",
     "decomposed_queries": _values("query VARCHAR, sub_question VARCHAR", [("who paid and when was it shipped?", "who paid"), ("who paid and when was it shipped?", "when was it shipped"), ("one thing", "one thing")]),
     "judged_passages": """
         WITH w AS (SELECT item_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['the', 'of', 'and', 'to'])) / 4.0::DOUBLE AS s FROM benchmark)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.html import html_page
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,13 +17,30 @@ def joined(order: list[str], text: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, text.alias("_t")))), lambda x: x["_t"]), "\n")
 
 
+#: Customers whose keys lie in one range of so many make a document for each of their regions: documents have a bounded
+#: size, and their number grows with the table.
+EACH = 100
+
+
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each region: its nations as headings, and below them their customers with their segment."""
-    customers = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(joined(["c_custkey"], F.concat(F.lit("### "), "c_name", F.lit("\n"), "c_mktsegment")).alias("_c"))
-    nations = table(spark, sf_dir, "nation").join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    nations = nations.groupBy("n_regionkey").agg(joined(["n_nationkey"], F.concat_ws("\n", F.concat(F.lit("## "), "n_name"), "_c")).alias("_n"))
-    regions = table(spark, sf_dir, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    return regions.select(F.col("r_name").alias("doc_name"), F.concat_ws("\n", F.concat(F.lit("# "), "r_name"), "_n").alias("content"))
+    """A document for each region and range of customers, REGION-number: the region, its nations and below them their
+    customers as headings, with the customers' segments as texts."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    placed = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    part = F.floor(F.col("c_custkey") / EACH).cast("string")
+    customers = placed.groupBy("r_name", part.alias("part"), "n_nationkey", "n_name").agg(joined(["c_custkey"], F.concat(F.lit("### "), "c_name", F.lit("\n"), "c_mktsegment")).alias("_c"))
+    regions = customers.groupBy("r_name", "part").agg(joined(["n_nationkey"], F.concat(F.lit("## "), "n_name", F.lit("\n"), "_c")).alias("_n"))
+    return regions.select(F.concat_ws("-", "r_name", "part").alias("doc_name"), F.concat(F.lit("# "), "r_name", F.lit("\n"), "_n").alias("content"))
+
+
+def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each page: a table of contents and a fenced block made of its URL and title, then its Markdown."""
+    u, made = F.col("url"), html_page(F.col("html"))
+    found = table(spark, sf_dir, "pages").select("page_id", "url", made.alias("p")).select("page_id", "url", F.col("p.title").alias("title"), F.col("p.markdown").alias("markdown"))
+    head = F.concat(
+        F.lit("# Page "), F.col("page_id").cast("string"), F.lit("\n## Contents\n- [Place](#place)\n  - ["), F.lit("Source](#source)\n- [Body](#body)\n```url\n# "), u, F.lit("\n```\n## Source\n"), F.length("title").cast("string"), F.lit("\n### Place\n"), F.lit("text\n## Body\n"),
+    )
+    return found.select(F.format_string("page-%d", "page_id").alias("doc_name"), F.concat(head, F.length("markdown").cast("string")).alias("content"))
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:

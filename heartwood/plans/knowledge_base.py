@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.providers import Completer, Embedder, completed, completer, embedder
+from ..functions.providers import Completer, Embedder, completed, completer, embedded, embedder
 from ..functions.text import without_thinking
 from ..operators import crawl as crawling
 from ..operators import fusion, markdown, reasoning, tree, vectors
@@ -34,7 +34,7 @@ def index(docs: DataFrame, by: Completer | None = None) -> tuple[DataFrame, Data
 
 @dataclass
 class KnowledgeBase:
-    """Immutable: what adds documents returns a new one. All parts are lazy DataFrames."""
+    """Immutable: what adds documents returns a new one. All parts are DataFrames; the tree and its vectors are written down."""
 
     docs: DataFrame
     nodes: DataFrame
@@ -49,7 +49,9 @@ class KnowledgeBase:
         settings = settings or Settings()
         e, a = embedder(settings.embedder), completer(settings.completer)
         known, nodes = index(docs, a if summarise else None)
-        return cls(known, nodes, vectors.node_vectors(nodes, e), vectors.chunk_vectors(nodes, e, settings.vector.chunk_size), settings, e, a)
+        # Vectors are written down: a model is asked once for each text, not at every search.
+        of_nodes, of_chunks = vectors.node_vectors(nodes, e), vectors.chunk_vectors(nodes, e, settings.vector.chunk_size)
+        return cls(known, nodes, tables.kept(of_nodes), tables.kept(of_chunks), settings, e, a)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, settings: Settings | None = None) -> KnowledgeBase:
@@ -79,17 +81,23 @@ class KnowledgeBase:
         seen = crawling.crawl(pages, start, depth, max_pages).where("found").select("url")
         return self.add(crawling.page_documents(pages.join(seen, "url", "left_semi")))
 
+    def cleared(self) -> KnowledgeBase:
+        """Without its vectors; documents and trees stay."""
+        return replace(self, node_vectors=self.node_vectors.limit(0), chunk_vectors=self.chunk_vectors.limit(0))
+
     def statistics(self) -> DataFrame:
         return tree.statistics(self.nodes)
 
     def documents(self) -> DataFrame:
         return tree.listing(self.nodes, self.docs)
 
+    def query_vector(self, query: str) -> DataFrame:
+        """One row: the query's vector."""
+        return tables.kept(self.docs.sparkSession.range(1).select(embedded(F.lit(query), self.embed).alias("vector")))
+
     def vector_hits(self, query: str, top_k: int, threshold: float) -> DataFrame:
         pieces = self.chunk_vectors if self.settings.vector.use_chunk_aggregation else None
-        hits = vectors.vector_search(self.node_vectors, pieces, self.embed.embed(F.lit(query)), top_k, threshold)
-        from pyspark.sql import Window
-
+        hits = vectors.vector_search(self.node_vectors, pieces, self.query_vector(query), top_k, threshold)
         return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_name", "node_id")))
 
     def search(self, query: str, mode: str | None = None) -> DataFrame:
@@ -99,7 +107,7 @@ class KnowledgeBase:
             hits = self.vector_hits(query, s.max_results, s.vector.threshold)
             return fusion.fuse(hits, _no_reasoning(hits), s.max_results, 1.0, 1.0)
         if mode == "reasoning":
-            found = reasoning.tree_search(self.nodes, query, self.ask, s.max_results, s.min_relevance)
+            found = reasoning.search_with_fallback(self.nodes, query, self.ask, s.max_results, s.min_relevance)
             return fusion.fuse(_no_vectors(found), found, s.max_results, 1.0, 1.0)
         if mode != "hybrid":
             raise ValueError(f"unknown mode {mode!r}")
@@ -112,8 +120,6 @@ class KnowledgeBase:
         return fusion.fuse(hits, found, s.max_results, s.hybrid.vector_weight, s.hybrid.reasoning_weight)
 
     def contexts(self, hits: DataFrame) -> DataFrame:
-        from pyspark.sql import Window
-
         order = Window.orderBy(F.desc("final_score"), "doc_name", "node_id")
         return fusion.contexts(hits.select("doc_name", "node_id", F.col("final_score").alias("relevance"), F.row_number().over(order).alias("rank")), self.nodes)
 

@@ -174,7 +174,7 @@ def _hits(spark: SparkSession) -> DataFrame:
 
 def _named_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits, with their documents' names by number."""
-    regions = corpora.table(spark, sf_dir, "region").select(F.concat(F.lit("REGION_"), F.col("r_regionkey").cast("string")).alias("name"), F.col("r_name").alias("doc_name"))
+    regions = corpora.table(spark, sf_dir, "region").select(F.concat(F.lit("REGION_"), F.col("r_regionkey").cast("string")).alias("name"), F.concat("r_name", F.lit("-0")).alias("doc_name"))
     return _hits(spark).join(regions, "name").drop("name")
 
 
@@ -381,13 +381,14 @@ def page_documents(spark, sf_dir):
 @query
 def missing_documents(spark, sf_dir):
     docs = corpora.outline(spark, sf_dir)
-    return tables.missing(docs.select("doc_name"), corpora.table(spark, sf_dir, "region").where("r_name LIKE 'A%'").select(F.col("r_name").alias("doc_name")))
+    return tables.missing(docs.select("doc_name"), docs.where("doc_name LIKE 'A%'"))
 
 
 @query
 def upserted_documents(spark, sf_dir):
     old = corpora.outline(spark, sf_dir).select("doc_name", F.lit("old").alias("content"))
-    new = corpora.table(spark, sf_dir, "region").where("r_regionkey >= 3").select(F.col("r_name").alias("doc_name"), F.lit("new").alias("content"))
+    late = corpora.table(spark, sf_dir, "region").where("r_regionkey >= 3").select(F.col("r_name").alias("_r"))
+    new = old.join(late, F.substring_index("doc_name", "-", 1) == F.col("_r"), "left_semi").withColumn("content", F.lit("new"))
     return tables.upserted(old, new.unionByName(spark.createDataFrame([("EXTRA", "new")], "doc_name string, content string")))
 
 

@@ -17,6 +17,8 @@ def kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint(eager=True)
 
@@ -69,14 +71,14 @@ def index_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return docs, flat.select("doc_name", "pos", "title", "level", "start_line", "end_line", "node_id", text("summary"), text("content"), (F.size("_at") - 1).alias("depth"))
 
 
-def nested_json(docs: DataFrame, tree: DataFrame, contents: bool = False, levels: int = 7) -> DataFrame:
+def nested_json(docs: DataFrame, tree: DataFrame, contents: bool = False) -> DataFrame:
     """doc_name, json: each document with its tree nested, as an index file holds it. Folded from the deepest level up:
     one exchange of finished children for each level."""
     fields = ["title", "node_id", "level", "start_line", "end_line"]
     more = [F.when(F.col("summary") != "", F.col("summary")).alias("summary")] + ([F.when(F.col("content") != "", F.col("content")).alias("content")] if contents else [])
     own = tree.select("doc_name", "pos", "parent_pos", "depth", F.regexp_replace(F.to_json(F.struct(*fields, *more)), r"\}\z", "").alias("head"))
     below = None
-    for d in range(levels, -1, -1):
+    for d in range(tree.agg(F.max("depth")).first()[0] or 0, -1, -1):
         here = own.where(F.col("depth") == d)
         if below is not None:
             here = here.join(below, ["doc_name", "pos"], "left")
