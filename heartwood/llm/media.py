@@ -10,9 +10,12 @@ transform as one matrix product, upsamples chroma and gives full-resolution RGB
 (between restart markers, scans and images) are independent, so that those of a whole batch are decoded side by side,
 one numpy step for all of them.
 
-Null texts count as empty; a payload is padded with bytes 0 to a positive multiple of 64. Null or broken images in a
-column that is read give null tensors. Equal payloads give equal bytes, tensors and features, whatever batch they are
-in. Batches are worked off in slices of SLICE bytes: memory is bounded by that and the largest single item.
+Null texts count as empty; a payload is padded with bytes 0 to a positive multiple of 64. A payload of more than PIECE
+bytes is stored as several JPEGs one after another; their tensors stand below each other. Null or broken images in a
+column that is read give null tensors: what isn't progressive, what lacks or contradicts its own tables, and what declares
+more blocks than its data has bits for. Equal payloads give equal bytes, tensors and features, whatever batch they are
+in. Batches are worked off in slices of SLICE coefficients: memory is bounded by that, the largest single JPEG and a few
+copies of the largest item.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import mapped, slices, text_or_empty
 
-SLICE = 3 << 20
+SLICE = 2 << 20
+PIECE = 384 * 2730
 RESTART = 8
 #: Added to a payload byte to give its coefficient, which is then above 0 even without its lowest bit.
 LIFT = 2
@@ -167,7 +171,17 @@ def pad64(data: bytes) -> bytes:
 
 
 def store_payloads(payloads: list[bytes]) -> list[bytes]:
-    """A JPEG of each payload (a positive multiple of 64 bytes)."""
+    """The JPEG, or JPEGs one after another, of each payload (a positive multiple of 64 bytes)."""
+    pieces = [(i, p[s : s + PIECE]) for i, p in enumerate(payloads) for s in range(0, len(p), PIECE)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for s, e in slices((len(p) for _, p in pieces), SLICE):
+        for (i, _), jpeg in zip(pieces[s:e], _store([p for _, p in pieces[s:e]])):
+            out[i].append(jpeg)
+    return [b"".join(x) for x in out]
+
+
+def _store(payloads: list[bytes]) -> list[bytes]:
+    """A JPEG of each payload of PIECE bytes at most."""
     shapes = []
     for p in payloads:
         mcus = -(-len(p) // 384)
@@ -258,6 +272,14 @@ class Image:
     scans: list[Scan] = field(default_factory=list)
     payload: int | None = None
 
+    def fits(self) -> bool:
+        """Whether all components can be brought to one size."""
+        hm, vm = max((p[1] for p in self.parts), default=0), max((p[2] for p in self.parts), default=0)
+        return bool(self.parts) and all(1 <= h <= 4 and 1 <= v <= 4 and hm % h == 0 and vm % v == 0 for _, h, v, _ in self.parts)
+
+    def blocks(self) -> int:
+        return sum(g[2] * g[3] for g in self.geometry())
+
     def geometry(self) -> list[tuple[int, int, int, int, int, int]]:
         """Of each component: h, v, blocks across and down with padding, and without."""
         hm, vm = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
@@ -268,21 +290,24 @@ class Image:
 END_OF_SCAN, RESTARTS = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]"), re.compile(rb"\xff[\xd0-\xd7]")
 
 
-def parse(data: bytes) -> Image:
-    """The segments of a progressive JPEG; ValueError if it is none."""
-    if data[:2] != b"\xff\xd8":
+def parse(data: bytes, begin: int = 0) -> tuple[Image, int]:
+    """The segments of the progressive JPEG that begins there, and where it ends; ValueError if it is none."""
+    if data[begin : begin + 2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    image, at, restart = Image(), 2, 0
+    image, at, restart = Image(), begin + 2, 0
     tables: dict[int, tuple[bytes, bytes]] = {}
-    while at + 4 <= len(data):
+    while at + 2 <= len(data):
         if data[at] != 255:
             raise ValueError("no marker where one must be")
         marker = data[at + 1]
         if marker == 0xD9:
+            at += 2
             break
         if marker == 255:
             at += 1
             continue
+        if at + 4 > len(data):
+            break
         size = data[at + 2] << 8 | data[at + 3]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -293,6 +318,8 @@ def parse(data: bytes) -> Image:
                 wide = body[0] >> 4
                 n = 128 if wide else 64
                 image.steps[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(np.float64)
+                if len(image.steps[body[0] & 15]) != 64:
+                    raise ValueError("a short table of steps")
                 body = body[1 + n :]
         elif marker == 0xC2:
             image.height, image.width = struct.unpack(">HH", body[1:5])
@@ -302,6 +329,8 @@ def parse(data: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
+                if len(body) < 17 + n:
+                    raise ValueError("a short table of codes")
                 tables[body[0]] = body[1:17], body[17 : 17 + n]
                 body = body[17 + n :]
         elif marker == 0xDD:
@@ -315,11 +344,18 @@ def parse(data: bytes) -> Image:
             end = found.start() if found else len(data)
             coded = [x.replace(b"\xff\x00", b"\xff") for x in RESTARTS.split(data[at:end])]
             ss, se, a = body[1 + 2 * n : 4 + 2 * n]
+            if not 1 <= n <= 4 or not ss <= se < 64 or ss and n > 1 or not image.fits():
+                raise ValueError("a scan that the frame doesn't allow")
             image.scans.append(Scan(parts, [tables.get(w >> 4) for w in which], [tables.get(16 + (w & 15)) for w in which], ss, se, a >> 4, a & 15, restart, coded))
             at = end
     if not image.parts or not image.width or not image.height or not image.scans:
         raise ValueError("no image")
-    return image
+    if image.payload is not None and not 0 <= image.payload <= 64 * image.blocks():
+        raise ValueError("a payload longer than the image")
+    # The first scan of a block takes a bit at least.
+    if image.blocks() > 8 * (at - begin):
+        raise ValueError("more blocks than bits")
+    return image, at
 
 
 class Bits:
@@ -585,20 +621,34 @@ class Decoded:
         return f"{w}x{h} " + " ".join(f"{m / (h * w):.3f}" for m in self.rgb.sum((0, 1), dtype=np.int64))
 
 
+def below(parts: list[Decoded]) -> Decoded:
+    """The pieces of one payload: tensors below each other, narrower ones filled up with black."""
+    if len(parts) == 1:
+        return parts[0]
+    wide = max(p.rgb.shape[1] for p in parts)
+    return Decoded(np.concatenate([np.pad(p.rgb, ((0, 0), (0, wide - p.rgb.shape[1]), (0, 0))) for p in parts]), b"".join(p.payload or b"" for p in parts))
+
+
 def read_images(data: list[bytes | None]) -> list[Decoded | None]:
     """The tensor, and the payload if there is one, of each progressive JPEG; None for what is none."""
-    images: list[Image | None] = []
-    for d in data:
+    images: list[tuple[int, Image]] = []
+    for i, d in enumerate(data):
+        found, at = [], 0
         try:
-            images.append(parse(d) if d else None)
+            while d and at < len(d) and (not found or found[-1][1].payload is not None):
+                image, at = parse(d, at)
+                found.append((i, image))
         except (ValueError, IndexError, struct.error):
-            images.append(None)
-    good = [i for i in images if i is not None]
-    if not good:
-        return [None] * len(data)
-    grid, base = coefficients(good)
-    found = iter([Decoded(rgb, (grid[base[k] : base[k + 1]].reshape(-1)[: i.payload] - LIFT).astype(np.uint8).tobytes() if i.payload is not None else None) for k, (i, rgb) in enumerate(zip(good, tensors(good, grid, base)))])
-    return [next(found) if i is not None else None for i in images]
+            found = []
+        images += found
+    parts: list[list[Decoded]] = [[] for _ in data]
+    for s, e in slices((64 * image.blocks() for _, image in images), SLICE):
+        good = [image for _, image in images[s:e]]
+        grid, base = coefficients(good)
+        for k, ((i, image), rgb) in enumerate(zip(images[s:e], tensors(good, grid, base))):
+            payload = None if image.payload is None else (grid[base[k] : base[k + 1]].reshape(-1)[: image.payload] - LIFT).astype(np.uint8).tobytes()
+            parts[i].append(Decoded(rgb, payload))
+    return [below(x) if x else None for x in parts]
 
 
 # ---- DataFrames
@@ -614,7 +664,7 @@ def with_media(df: DataFrame, text: str = "text") -> DataFrame:
                 media = store_payloads([pad64(t) for t in raw[s:e]])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), pa.array(map(len, raw[s:e]), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return mapped(df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
@@ -629,7 +679,7 @@ def read_media(df: DataFrame, media: str = "media", key: str = "doc_id") -> Data
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), shape(0), shape(1), pa.array([d and d.rgb.tobytes() for d in found], pa.binary()), pa.array([d and d.feature() for d in found], pa.string())], [key, "height", "width", "rgb", "feature"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, media).mapInArrow(run, f"`{key}` {kind}, height int, width int, rgb binary, feature string")
+    return mapped(df.select(key, media), run, f"`{key}` {kind}, height int, width int, rgb binary, feature string")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
@@ -647,4 +697,4 @@ def media_digest(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s), b.column(1).slice(s, e - s), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return with_media(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped(with_media(docs), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
