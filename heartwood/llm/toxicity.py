@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty, unused
+from .common import mapped, text_or_empty, unused
 
 MAX_ROWS = 16_000
 BITS = 20
@@ -54,9 +54,41 @@ class Machine:
         return total
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int | None = None, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, min_docs: int = 3, min_z: float = 3.5, balance: float = 0.5, seed: int = 7) -> Machine:
+#: Terms that are tried in pairs at most (the most frequent ones, and none in less than one row of a hundred), rows with a
+#: term in each class that a trial takes, and rows counted at once.
+PAIRED, PAIR_ROWS, PAIR_BLOCK = 2048, 20, 512
+
+
+def telling_pairs(docs: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, count: np.ndarray, pair_z: float) -> np.ndarray:
+    """Which terms tell the classes apart in the rows that hold some other term, whether or not they do so alone, and which
+    terms make them do so: those that matter in pairs."""
+    often = np.flatnonzero(count >= max(2 * PAIR_ROWS, len(docs) / 100))
+    often = np.sort(often[np.lexsort((often, -count[often]))[:PAIRED]])
+    both, n = np.zeros((2, len(often), len(often)), np.float32), len(often)
+    for kind in (0, 1) if n else ():
+        rows = np.flatnonzero(labels == kind)
+        for s in range(0, len(rows), PAIR_BLOCK):
+            held = np.zeros((min(PAIR_BLOCK, len(rows) - s), n), np.float32)
+            for k, r in enumerate(rows[s : s + PAIR_BLOCK]):
+                at = np.minimum(np.searchsorted(terms[often], docs[r]), n - 1)
+                held[k, at[terms[often][at] == docs[r]]] = 1
+            both[kind] += held.T @ held
+    out = np.zeros(len(terms), bool)
+    for a in range(n):
+        n0, n1 = both[0, a, a], both[1, a, a]
+        if min(n0, n1) >= PAIR_ROWS:
+            share = (both[0, a] + both[1, a]) / (n0 + n1)
+            z = np.abs(both[1, a] / n1 - both[0, a] / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-6)
+            z[a] = 0
+            if (z >= pair_z).any():
+                out[often[z >= pair_z]] = True
+                out[often[a]] = True
+    return out
+
+
+def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int | None = None, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, min_docs: int = 3, min_z: float = 3.5, pair_z: float = 7.0, balance: float = 0.5, seed: int = 7) -> Machine:
     """A machine from the distinct term buckets of documents and their labels (0 or 1). epochs: 10 to 60, more for fewer rows, if None; balance: 0 weighs all rows alike, 1 gives both classes the same weight. A term is kept if its shares of the two classes
-    differ by min_z standard errors: with more terms than rows, the rest would only be learnt by heart."""
+    differ by min_z standard errors, or by pair_z in the rows of some other term: with more terms than rows, the rest would only be learnt by heart."""
     epochs = min(60, max(10, 160_000 // max(1, len(docs)))) if epochs is None else epochs
     base = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 1e-9
     bias = float(np.log(base / (1 - base)))
@@ -71,7 +103,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: in
     del flat, toxic
     share, n, n1 = count / len(docs), len(docs), labels.sum()
     z = np.abs(hits / n1 - (count - hits) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)) + 1e-12)
-    terms = terms[(count >= min_docs) & (z >= min_z)].astype(np.int64)
+    telling = (z >= min_z) | telling_pairs(docs, labels, terms, count, pair_z)
+    terms = terms[(count >= min_docs) & telling].astype(np.int64)
     if not len(terms):
         return none
     kept = []
@@ -152,7 +185,7 @@ def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "scor
             columns = [b.column(b.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))))], schema=pa.schema([*(b.schema.field(n) for n in names), pa.field(into, pa.float64())]))
 
-    return df.withColumn(hidden, terms_of(text_or_empty(text), bits)).drop(into).mapInArrow(run, schema)
+    return mapped(df.withColumn(hidden, terms_of(text_or_empty(text), bits)).drop(into), run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -253,11 +253,23 @@ def test_pairs_of_terms_matter(label):
         a, b = (bool(x) for x in rng.random(2) < 0.5)
         docs.append(np.sort(np.array([1] * a + [2] * b + [10 + int(x) for x in set(rng.integers(0, 20, 5).tolist())])))
         labels.append(float(label(a, b)))
-    machine = toxicity.fit(docs, np.array(labels), min_z=0.0)
+    machine = toxicity.fit(docs, np.array(labels))
     one, other, both = machine.margins(np.array([1, 2, 4]), np.array([1, 2, 1, 2])) > 0
     assert (one, other, both) == (label(True, False), label(False, True), label(True, True))
 
 
+def test_margins_equal_a_sum_over_all_pairs():
+    rng = np.random.default_rng(4)
+    machine = toxicity.Machine(-0.3, np.sort(rng.choice(1000, 60, replace=False)), rng.normal(size=60), rng.normal(size=(60, 4)))
+    docs = [np.sort(rng.choice(1000, rng.integers(0, 300), replace=False)) for _ in range(50)]
+    plain = []
+    for d in docs:
+        known = [k for k, t in enumerate(machine.terms) if t in d]
+        pairs = sum(float(machine.v[i] @ machine.v[j]) for i in known for j in known if i < j)
+        plain.append(machine.bias + sum(machine.w[k] for k in known) + pairs)
+    assert np.allclose(machine.margins(np.cumsum([len(d) for d in docs]), np.concatenate(docs)), plain)
+
+
 def test_rare_toxic_terms_count_at_every_size():
     rng = np.random.default_rng(5)
     labels = (np.arange(16_000) % 10 == 0).astype(float)

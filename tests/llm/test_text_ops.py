@@ -48,14 +48,14 @@ def test_any_bytes_come_back():
 
 
 def test_scans_are_progressive():
-    image = media.parse(media.store_payloads([bytes(range(64)) * 20])[0])
+    image, _ = media.parse(media.store_payloads([bytes(range(64)) * 20])[0])
     assert [(s.ss, s.se, s.ah, s.al) for s in image.scans] == [(0, 0, 0, 1), (0, 0, 1, 0)] + [(1, 63, 0, 1)] * 3 + [(1, 63, 1, 0)] * 3
 
 
 def test_tensor_is_the_inverse_transform_of_the_coefficients():
     payload = bytes(random.Random(2).randrange(30) for _ in range(384))
     data = media.store_payloads([payload])[0]
-    image = media.parse(data)
+    image, _ = media.parse(data)
     grid, _ = media.coefficients([image])
     cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
 
@@ -80,6 +80,35 @@ def test_broken_images_are_null(spark):
     assert rows[1]["rgb"] is None and rows[2]["feature"] is None and len(rows[3]["rgb"]) == rows[3]["height"] * rows[3]["width"] * 3
 
 
+def test_broken_images_give_nulls():
+    """Any byte changed or cut off: a tensor or nothing, never an error; and no memory for what the data can't fill."""
+    good = media.store_payloads([bytes(range(256)) * 3])[0]
+    rng = random.Random(4)
+    broken = [good[:k] for k in range(0, len(good), 7)]
+    for _ in range(400):
+        b = bytearray(good)
+        for _ in range(rng.randrange(1, 4)):
+            b[rng.randrange(min(len(b), 700) if rng.random() < 0.7 else len(b))] = rng.randrange(256)
+        broken.append(bytes(b))
+    frame = good.index(b"\xff\xc2")
+    broken.append(good[: frame + 5] + b"\xff\xff\xff\xff" + good[frame + 9 :])
+    broken.append(good[: frame + 11] + b"\x00" + good[frame + 12 :])
+    found = media.read_images([*broken, good, None, b"", b"\xff\xd8"])
+    assert found[-5] is None and found[-6] is None and found[-3:] == [None] * 3
+    assert found[-4].payload == bytes(range(256)) * 3
+
+
+def test_long_payloads_are_stored_in_pieces(monkeypatch):
+    monkeypatch.setattr(media, "PIECE", 384 * 2)
+    monkeypatch.setattr(media, "SLICE", 384 * 5)
+    rng = np.random.default_rng(1)
+    payloads = [rng.integers(0, 256, n, np.uint8).tobytes() for n in (64, 768, 832, 384 * 11 + 64)]
+    stored = media.store_payloads(payloads)
+    back = media.read_images(stored)
+    assert [d.payload for d in back] == payloads and [s.count(b"payload ") for s in stored] == [1, 1, 2, 6]
+    assert back[3].rgb.shape[0] > back[1].rgb.shape[0] and media.read_images([stored[3]])[0].feature() == back[3].feature()
+
+
 # ---- secrets
 
 
