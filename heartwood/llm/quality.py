@@ -7,7 +7,7 @@ reaches one half. The whole estimation is one SQL expression over an array of pa
 
 Null texts count as empty: no words, base_failed. The figures of a text come from its own row alone (higher-order
 functions over its words and lines), so that no text is shuffled. Repeated rows and ties get equal results; an empty
-table gives no rows. Other columns pass through.
+table gives no rows. `kept_documents` passes other columns through, `quality` leaves them out.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, text_or_empty
+from .common import BLANKS, cut, stored, text_or_empty
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50  # fixed values
@@ -35,6 +35,8 @@ RULES: dict[str, tuple[str, float | None, float | None, float | None, float | No
     "letters": ("word_length", 2.5, 20.0, None, None),
 }
 
+#: Figures that base_failed looks at.
+BASE = ["n_words", "n_repeat_words"]
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_distinct"]
 
 
@@ -159,8 +161,9 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns, whatever their names. Figures are worked out twice rather than
-    shuffling texts."""
-    model = cut(estimates(with_votes(with_figures(docs.select("text"))).groupBy("_votes").agg(F.count("*").alias("n"))))
+    """The documents that are kept, with their own columns, whatever their names. Figures are worked out once: the votes are
+    written beside the documents, so that texts aren't shuffled to meet them again."""
     rows = docs.select(F.struct(*docs.columns).alias("_document"), "text")
-    return judged(with_votes(with_figures(rows)), model).where("kept").select("_document.*")
+    votes = stored(with_votes(with_figures(rows).drop("text")).select("_document", *BASE, "_votes"), "votes")
+    model = cut(estimates(votes.groupBy("_votes").agg(F.count("*").alias("n"))))
+    return judged(votes, model).where("kept").select("_document.*")

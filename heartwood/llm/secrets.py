@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import mapped, text_or_empty
 
 # The base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -210,7 +210,7 @@ def find_secrets(df: DataFrame, text: str = "text", into: str = "secrets") -> Da
             columns = [b.column(b.schema.get_field_index(f.name)) for f in schema.fields[:-1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(SPAN))], schema=pa.schema([*(b.schema.field(f.name) for f in schema.fields[:-1]), arrow.field(into)]))
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
@@ -232,7 +232,7 @@ def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFra
                 out.append(t)
             yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:

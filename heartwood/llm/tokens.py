@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import mapped, slices, stored, text_or_empty
 from .packing import best_fit_decreasing, pack
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, PIECES)], ["doc_id", "pieces"])
 
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    found = table.mapInArrow(run, "doc_id long, pieces array<struct<piece: int, start: long, length: int, ids_crc32: long>>")
+    found = mapped(table, run, "doc_id long, pieces array<struct<piece: int, start: long, length: int, ids_crc32: long>>")
     return found.select("doc_id", F.explode("pieces").alias("p")).select("doc_id", "p.*")
 
 
@@ -135,7 +135,7 @@ def packed_matrix(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tok
             yield from rows()
 
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return table.mapInArrow(run, "sequence_id string, n_tokens int, ids binary, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids_crc32 long")
+    return mapped(table, run, "sequence_id string, n_tokens int, ids binary, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids_crc32 long")
 
 
 def write_packed(docs: DataFrame, path: str, **options) -> None:
@@ -158,4 +158,4 @@ def unpacked(packed: DataFrame, id_type: str = "<u2") -> DataFrame:
                         ids.append(flat[s:e].astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    return packed.select("ids", "doc_ids", "starts", "cu_seqlens").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    return mapped(packed.select("ids", "doc_ids", "starts", "cu_seqlens"), run, "doc_id long, start long, ids array<int>")
