@@ -10,10 +10,14 @@ into batches, a batch sends each hash partition the sorted distinct n-grams it h
 partition sums them over batches and returns the totals in the same order, and the batch scores its documents. A
 frequent n-gram is one entry of a batch's block, however often it occurs, so that no partition gets a hot group.
 N-grams stand for themselves by hashes with SPARE_BITS more bits than it takes to count the n-grams of the corpus, so
-that at every size about one lookup in 2**(SPARE_BITS - 1) meets another n-gram's count. Within a block, sorted hashes
+that about one lookup in 2**(SPARE_BITS - 1) meets another n-gram's count, up to 2**38 n-grams; hashes have 64 bits at
+most, so that beyond, each doubling of the corpus takes one of the spare bits. There are as many blocks as batches times
+partitions; with the sizes given here, a block holds some 300 n-grams at 30 GB of Parquet and some 10 at 1 TB, from where
+on larger batches (`batch_chars`) and executors are needed. Within a block, sorted hashes
 are kept as differences in byte planes, and planes of little entropy are deflated.
 
-Words are separated by blanks; case is ignored. Null texts count as empty: no words, score 0, null per word. Repeated
+Rows are dealt into batches by id and text, so that rows without an id, or with one id, are spread by their texts. Words
+are separated by blanks; case is ignored. Null texts count as empty: no words, score 0, null per word. Repeated
 rows are documents of their own. An empty table gives no rows.
 """
 
@@ -51,8 +55,8 @@ def grams(words: np.ndarray, ends: np.ndarray, order: int = ORDER, bits: int = 6
 
 
 def bounds(partitions: int, bits: int) -> np.ndarray:
-    """First hash of each partition, and the end."""
-    return np.array([-(-(i << bits) // partitions) for i in range(partitions + 1)], U64)
+    """First hash of each partition."""
+    return np.array([-(-(i << bits) // partitions) for i in range(partitions)], U64)
 
 
 def packed(x: np.ndarray, even: int = 0) -> bytes:
@@ -90,7 +94,7 @@ def batch_blocks(partitions: int, bits: int, order: int = ORDER):
         found, count = np.unique(batch_grams(table, order, bits)[0], return_counts=True)
         keep = found > 0
         found, count = found[keep], count[keep]
-        cut = np.searchsorted(found, edge)
+        cut = np.append(np.searchsorted(found, edge), len(found))
         even = max(0, (bits - len(found).bit_length()) // 8 - 1)  # bytes of a difference that are all noise
         rows: list[tuple] = []
         for p in np.flatnonzero(np.diff(cut)):
@@ -160,8 +164,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, bat
     chars, n_words = table.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))).first()
     batches = max(1, -(-chars // batch_chars))
     partitions = max(1, -(-n_words * order // partition_entries))
-    bits = min(60, (n_words * order).bit_length() + SPARE_BITS)
-    dealt = table.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).repartition("batch")
+    bits = min(64, (n_words * order).bit_length() + SPARE_BITS)
+    dealt = table.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")).repartition("batch")
     dealt = dealt.select("batch", "doc_id", word_hashes(F.col("text")).alias("words"))
     blocks = dealt.groupBy("batch").applyInArrow(batch_blocks(partitions, bits, order), BLOCK)
     totals = blocks.groupBy("part").applyInArrow(partition_totals(partitions, bits), TOTAL)
