@@ -30,10 +30,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one of least id; repeated rows count once."""
+    """One document of each near-duplicate class: the one of least id, and of its rows the one of least text."""
     first = neardup.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    order = F.struct("text", F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]))
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return kept.select("_row.*").unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
