@@ -142,5 +142,10 @@ def completed(prompts: DataFrame, by: Completer, prompt: str = "prompt", into: s
 
 def strict_json(body: Column) -> Column:
     """The JSON of a reply, keys in order; null for what doesn't parse as a whole, or else from its first { to its last }."""
-    part = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.to_json(F.try_parse_json(body)), F.to_json(F.try_parse_json(part)))
+
+    def whole(text: Column) -> Column:
+        # The parser leaves alone what follows a value: between brackets, it must be the only one.
+        read = F.try_variant_get(F.try_parse_json(F.concat(F.lit("[["), text, F.lit("]]"))), "$", "array<array<variant>>")
+        return F.when((F.size(read) == 1) & (F.size(F.get(read, F.lit(0))) == 1), F.to_json(F.get(F.get(read, F.lit(0)), F.lit(0))))
+
+    return F.coalesce(whole(body), whole(F.regexp_extract(body, r"(?s)\{.*\}", 0)))

@@ -119,6 +119,84 @@ def _edge_tree() -> list[tuple]:
     return rows
 
 
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_QUOTES = "replace(replace({}, '&quot;', '\"'), '&#x27;', chr(39))"
+_PLAIN = f"replace(replace(replace(replace(replace({_QUOTES}, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_TEXT_OF = _STRIP.format(_PLAIN.format("x"))
+_INNER = "string_split_regex({}, '<[^>]*>')"
+
+
+def _without(html: str, *names: str) -> str:
+    for n in names:
+        html = f"regexp_replace({html}, '<{n}[ >].*?</{n}>', '<x>', 'gs')"
+    return html
+
+
+# A page has a heading and paragraphs in an article. A paragraph that opens with bold type isn't closed: what follows is in it.
+_PAGES = f"""
+g AS (
+  SELECT page_id, url, html, {_STRIP.format(_PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))} AS title,
+    {_STRIP.format(_PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"))} AS h1, string_split(regexp_extract(html, '</h1>(.*)</article>', 1, 's'), '<p>')[2:] AS ps FROM pages
+),
+l AS (
+  SELECT *, list_transform(ps, lambda y, k: CASE WHEN starts_with(y, '<b>') THEN array_to_string(list_transform({_INNER.format("array_to_string(ps[k:], '<p>')")}, lambda x: {_TEXT_OF}), '')
+    ELSE list_transform([regexp_extract(y, '^(.*?)</p>', 1, 's')], lambda x: {_TEXT_OF})[1] END) AS every, coalesce(list_position(list_transform(ps, lambda y: starts_with(y, '<b>')), true), 1000000) AS opened FROM g
+),
+m AS (
+  SELECT *, array_to_string(list_filter(['# ' || title, '## ' || h1, *every[1:opened]], lambda x: x <> ''), chr(10) || chr(10)) || chr(10) AS markdown,
+    array_to_string(list_filter(['# ' || title, '## ' || h1, *every], lambda x: x <> ''), chr(10) || chr(10)) || chr(10) AS simple FROM l
+)
+""".replace("['# ' || title, '## ' || h1, *every[1:opened]]", "list_concat(['# ' || title, '## ' || h1], every[1:opened])").replace("['# ' || title, '## ' || h1, *every]", "list_concat(['# ' || title, '## ' || h1], every)")
+
+
+def _page_lines(*gone: str) -> str:
+    """All texts of a page, one line after another, without those of some elements."""
+    pieces = f"array_to_string(list_transform({_INNER.format(_without('html', *gone))}, lambda x: {_PLAIN.format('x')}), chr(10))"
+    return f"array_to_string(list_filter(list_transform(string_split({pieces}, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), chr(10))"
+
+
+def _embedded(source: str) -> str:
+    """v (key, place, x): the hashed vectors of a query's (key, txt); keys are any values."""
+    return f"""
+vw AS (SELECT key, unnest(list_filter(regexp_split_to_array(lower(txt), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM {source}),
+vp AS (SELECT key, (('0x' || substring(md5(w), 1, 8))::BIGINT % 64) AS place, 1 - 2 * (('0x' || substring(md5(w), 9, 1))::BIGINT % 2) AS sign FROM vw),
+vg AS (SELECT key, place, sum(sign)::DOUBLE AS x FROM vp GROUP BY ALL HAVING sum(sign) <> 0),
+v AS (SELECT key, place, x / sqrt(sum(x * x) OVER (PARTITION BY key)) AS x FROM vg)"""
+
+
+def _title_hits(query: str, threshold: float, limit: int) -> str:
+    """hits (doc_name, node_id, title, score, rank): the outline's nodes by the products of their titles' vectors."""
+    return f"""{_OUTLINE}, told AS (SELECT doc_name || '|' || node_id AS key, title AS txt FROM t UNION ALL SELECT '', '{query}'), {_embedded("told")},
+products AS (SELECT a.key, sum(a.x * b.x) AS score FROM v a JOIN v b ON b.key = '' AND a.place = b.place WHERE a.key <> '' GROUP BY a.key),
+hits AS (SELECT doc_name, node_id, title, score, row_number() OVER (ORDER BY score DESC, doc_name, node_id) AS rank FROM products JOIN t ON key = doc_name || '|' || node_id WHERE score >= {threshold} ORDER BY rank LIMIT {limit})"""
+
+
+def _chunks(source: str) -> str:
+    """c (doc_name, k, c): the pieces of the texts (doc_name, t) of more than 100 characters; k numbers them, not from 0 on."""
+    return f"""
+d AS (SELECT doc_name, t, length(t)::BIGINT AS n FROM {source} WHERE length(t) > 100),
+w AS (
+  SELECT doc_name, t, n, 0::BIGINT AS k, 0::BIGINT AS s, CASE WHEN n <= 500 THEN n ELSE 0 END::BIGINT AS e FROM d
+  UNION ALL
+  SELECT doc_name, t, n, k + 1, s2, s2 + CASE
+    WHEN s2 + 500 >= n THEN 500
+    WHEN r1 > 250 THEN r1 + 2 WHEN r2 > 250 THEN r2 + 1 WHEN r3 > 250 THEN r3 + 1 WHEN r4 > 250 THEN r4 + 2 WHEN r5 > 250 THEN r5 + 2 ELSE 500 END
+  FROM (
+    SELECT *, CASE WHEN k = 0 THEN 0 ELSE e - 50 END AS s2, reverse(substring(t, (CASE WHEN k = 0 THEN 0 ELSE e - 50 END + 1)::BIGINT, 500)) AS v,
+      500 - (CASE WHEN strpos(v, ' .') > 0 THEN strpos(v, ' .') ELSE 999 END) - 1 AS r1, 500 - (CASE WHEN strpos(v, '。') > 0 THEN strpos(v, '。') ELSE 999 END) AS r2,
+      500 - (CASE WHEN strpos(v, chr(10)) > 0 THEN strpos(v, chr(10)) ELSE 999 END) AS r3, 500 - (CASE WHEN strpos(v, ' !') > 0 THEN strpos(v, ' !') ELSE 999 END) - 1 AS r4,
+      500 - (CASE WHEN strpos(v, ' ?') > 0 THEN strpos(v, ' ?') ELSE 999 END) - 1 AS r5
+    FROM w WHERE n > 500 AND (k = 0 OR e - 50 < n - 50)
+  )
+),
+c AS (SELECT doc_name, k, CASE WHEN n <= 500 THEN t ELSE regexp_replace(substring(t, s + 1, e - s), '^\\s+|\\s+$', '', 'g') END AS c FROM w WHERE n <= 500 OR k > 0)"""
+
+
+# The web of nations: (page number, level) of what a crawl visits, given what it follows and how deep.
+_WEB = """c AS (SELECT 0 AS k, 0 AS level UNION ALL SELECT * FROM (SELECT unnest([2 * k + 1, 2 * k + 2]) AS k, level + 1 AS level FROM c WHERE level < {depth} AND {follows}) WHERE {to})"""
+_FAILS = "k < 25 AND k % 5 <> 4"
+_PAGED = "'page-' || page_id"
+
 ORACLES: dict[str, str] = {
     "md_lines": """
         WITH d AS (SELECT 'conv-' || conv_id AS doc_name, '# Conversation ' || conv_id || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS c FROM conversations GROUP BY conv_id)
@@ -192,23 +270,8 @@ ORACLES: dict[str, str] = {
         ("fence", '{"a":1}'), ("prose", '{"a":[1,2]}'), ("think", '{"b":"x"}'), ("bad", None), ("none", None), ("label", None), ("cjk", None), ("colon", None), ("plain", None), ("markdown", None),
     ]),
     "code_blocks": _values("doc_name VARCHAR, n BIGINT, language VARCHAR, code VARCHAR", [("a", 0, "python", "print(1)\n"), ("a", 1, "", "plain\n"), ("c", 0, "sql", "select 1\n")]),
-    "chunk_texts": """
-        WITH RECURSIVE d AS (SELECT 'doc-' || doc_id AS doc_name, text AS t, length(text)::BIGINT AS n FROM documents WHERE length(text) > 100),
-        w AS (
-          SELECT doc_name, t, n, 0::BIGINT AS k, 0::BIGINT AS s, CASE WHEN n <= 500 THEN n ELSE 0 END::BIGINT AS e FROM d
-          UNION ALL
-          SELECT doc_name, t, n, k + 1, s2, s2 + CASE
-            WHEN s2 + 500 >= n THEN 500
-            WHEN r1 > 250 THEN r1 + 2 WHEN r2 > 250 THEN r2 + 1 WHEN r3 > 250 THEN r3 + 1 WHEN r4 > 250 THEN r4 + 2 WHEN r5 > 250 THEN r5 + 2 ELSE 500 END
-          FROM (
-            SELECT *, CASE WHEN k = 0 THEN 0 ELSE e - 50 END AS s2, reverse(substring(t, (CASE WHEN k = 0 THEN 0 ELSE e - 50 END + 1)::BIGINT, 500)) AS v,
-              500 - (CASE WHEN strpos(v, ' .') > 0 THEN strpos(v, ' .') ELSE 999 END) - 1 AS r1, 500 - (CASE WHEN strpos(v, '。') > 0 THEN strpos(v, '。') ELSE 999 END) AS r2,
-              500 - (CASE WHEN strpos(v, chr(10)) > 0 THEN strpos(v, chr(10)) ELSE 999 END) AS r3, 500 - (CASE WHEN strpos(v, ' !') > 0 THEN strpos(v, ' !') ELSE 999 END) - 1 AS r4,
-              500 - (CASE WHEN strpos(v, ' ?') > 0 THEN strpos(v, ' ?') ELSE 999 END) - 1 AS r5
-            FROM w WHERE n > 500 AND (k = 0 OR e - 50 < n - 50)
-          )
-        ),
-        c AS (SELECT doc_name, k, CASE WHEN n <= 500 THEN t ELSE regexp_replace(substring(t, s + 1, e - s), '^\\s+|\\s+$', '', 'g') END AS c FROM w WHERE n <= 500 OR k > 0)
+    "chunk_texts": f"""
+        WITH RECURSIVE src AS (SELECT 'doc-' || doc_id AS doc_name, text AS t FROM documents), {_chunks("src")}
         SELECT doc_name, row_number() OVER (PARTITION BY doc_name ORDER BY k) - 1 AS chunk_no, length(c)::BIGINT AS n_chars, md5(c) AS chunk_md5 FROM c WHERE c <> ''""",
     "hashed_vectors": """
         WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM conversations),
@@ -245,4 +308,85 @@ ORACLES: dict[str, str] = {
     "judged_passages": """
         WITH w AS (SELECT item_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), ['the', 'of', 'and', 'to'])) / 4.0::DOUBLE AS s FROM benchmark)
         SELECT item_id, s >= 0.5 AS relevant, s AS confidence, s >= 0.5 AS contains_answer, s AS answer_confidence FROM w""",
+    "md_files": f"WITH {_OUTLINE} SELECT doc_name, md5(string_agg(content, chr(10) ORDER BY pos) || chr(10)) AS content_md5 FROM t GROUP BY doc_name",
+    "upload_names": "SELECT doc_id, 'doc ' || doc_id || ['.md', '.PDF', '.Markdown', '.txt', '', '.tar.txt', '.md.exe'][doc_id % 7 + 1] AS name FROM documents WHERE doc_id % 7 IN (0, 2, 3, 5)",
+    "index_round_trip": f"WITH {_OUTLINE} SELECT {_TREE}, (level - 1)::BIGINT AS depth, md5(content) AS content_md5 FROM t",
+    "index_documents": f"WITH {_OUTLINE} SELECT doc_name, any_value(top) AS title, '' AS description, max(own_end)::BIGINT AS total_lines FROM t GROUP BY doc_name",
+    "vector_round_trip": """
+        SELECT 'doc-' || label AS doc_name, format('{:04d}', vec_id) AS node_id, CASE WHEN vec_id % 5 = 0 THEN 't' || format('{:04d}', vec_id) ELSE '' END AS title,
+          round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings""",
+    "saved_knowledge_base": f"WITH {_OUTLINE} SELECT doc_name, count(*) AS n_nodes, sum(length(content))::BIGINT AS n_chars, count(*) AS n_vectors FROM t GROUP BY doc_name",
+    "added_documents": f"""
+        WITH {_OUTLINE} SELECT doc_name, count(*) + CASE WHEN doc_name LIKE 'E%' OR doc_name LIKE 'AS%' THEN 2 ELSE 0 END AS total_nodes, total_nodes AS n_vectors FROM t
+        WHERE doc_name LIKE 'A%' OR doc_name LIKE 'E%' GROUP BY doc_name""",
+    "short_texts": "SELECT 'doc-' || doc_id AS doc_name, substring(coalesce(text, ''), 1, 120) || CASE WHEN length(text) > 120 THEN '...' ELSE '' END AS short FROM documents",
+    "page_markdown": f"WITH {_PAGES} SELECT page_id, markdown FROM m",
+    "page_simple_markdown": f"WITH {_PAGES} SELECT page_id, md5(simple) AS markdown_md5 FROM m",
+    "page_texts": f"SELECT page_id, md5({_page_lines('script', 'style', 'nav', 'footer', 'header', 'aside')}) AS text_md5 FROM pages",
+    "page_whole_texts": f"SELECT page_id, md5({_page_lines('script', 'style')}) AS text_md5 FROM pages",
+    "page_documents": f"""
+        WITH {_PAGES}, n AS (SELECT *, {_URL.format(1)} AS domain, substring(regexp_replace(replace({_URL.format(1)}, '.', '_') || replace({_URL.format(2)}, '/', '_'), '^_+|_+$', '', 'g'), 1, 100) AS doc_name FROM m)
+        SELECT doc_name, arg_max(length(markdown), url)::BIGINT AS n_chars, arg_max(domain, url) AS domain FROM n GROUP BY doc_name""",
+    "converted_pages": f"""
+        WITH {_PAGES}, w AS (SELECT page_id, title, {_QUOTES.format("trim(regexp_replace(regexp_replace(" + _without("regexp_extract(html, '<body>(.*)', 1, 's')", 'script', 'style', 'nav', 'footer') + ", '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))")} AS words FROM g)
+        SELECT page_id, md5({_STRIP.format("'# ' || title || chr(10) || chr(10) || words")}) AS markdown_md5 FROM w""",
+    "page_metadata": "SELECT page_id, unnest(['og_url', 'author']) AS name, unnest([url, 'a' || page_id]) AS value FROM pages",
+    "page_fences": f"SELECT {_PAGED} AS doc_name, unnest([1, 2, 6, 7, 8, 9, 11, 13]) AS line_no, unnest(['atx', 'atx', 'fence', 'atx', 'fence', 'atx', 'atx', 'atx']) AS kind, unnest([false, false, false, true, true, false, false, false]) AS in_code FROM pages",
+    "page_code_blocks": f"SELECT {_PAGED} AS doc_name, 'url' AS language, '# ' || url || chr(10) AS code FROM pages",
+    "page_tocs": f"SELECT {_PAGED} AS doc_name, 'links' AS kind, 2::BIGINT AS start_line, 6::BIGINT AS end_line, 0.6::DOUBLE AS confidence, '1|Place|#place;2|Source|#source;1|Body|#body' AS entries FROM pages",
+    "page_toc_texts": f"SELECT {_PAGED} AS doc_name, '- Place' || chr(10) || '  - Source' || chr(10) || '- Body' AS toc FROM pages",
+    "page_toc_levels": f"SELECT {_PAGED} AS doc_name, unnest([1, 2, 3, 4, 5]) AS pos, unnest(['Page ' || page_id, 'Contents', 'Source', 'Place', 'Body']) AS title, unnest([1, 2, 2, 1, 1]) AS level FROM pages",
+    "crawl_failures": f"WITH RECURSIVE {_WEB.format(depth=4, follows=_FAILS, to='true')} SELECT 'http://web.test/n/' || k AS url, level::BIGINT AS level, {_FAILS} AS found FROM c",
+    "crawl_failure_counts": f"WITH RECURSIVE {_WEB.format(depth=4, follows=_FAILS, to='true')} SELECT count(*) FILTER ({_FAILS}) AS success_count, count(*) FILTER (NOT ({_FAILS})) AS failed_count, 4 * count(*) FILTER ({_FAILS}) AS total_links FROM c",
+    "crawl_capped": "SELECT 'http://web.test/n/' || n_nationkey AS url, floor(log2(n_nationkey + 1))::BIGINT AS level, true AS found FROM nation WHERE n_nationkey < 6",
+    "crawl_filtered": f"WITH RECURSIVE {_WEB.format(depth=4, follows='k < 25', to='k % 10 <> 2')} SELECT 'http://web.test/n/' || k AS url, level::BIGINT AS level, k < 25 AS found FROM c",
+    "crawl_of_pages": f"""
+        WITH f AS (SELECT * FROM pages ORDER BY url LIMIT 1), l AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]*)', 1) || unnest(regexp_extract_all(html, '<a href="(/[^"#]*)', 1)) AS url FROM f)
+        SELECT url, 0::BIGINT AS level, true AS found FROM f UNION ALL SELECT url, 1, url IN (SELECT url FROM pages) FROM l""",
+    "crawled_documents": f"""
+        WITH RECURSIVE {_WEB.format(depth=3, follows=_FAILS, to='true')}, {_OUTLINE}
+        SELECT doc_name, count(*) AS total_nodes FROM t GROUP BY doc_name UNION ALL SELECT 'web_test_n_' || k, 1 FROM c WHERE {_FAILS}""",
+    "summaries": f"""
+        WITH {_CHATS} SELECT doc_name, format('{{:04d}}', pos) AS node_id, {_STRIP.format("substring(split_part(" + _STRIP.format("substring(" + _STRIP.format("coalesce(text, '')") + ", 1, 2000)") + ", '. ', 1), 1, 200)")} AS summary FROM t""",
+    "descriptions": f"WITH {_OUTLINE} SELECT doc_name, {_STRIP.format('substring(string_agg(content, chr(10) ORDER BY pos), 1, 200)')} AS description FROM t GROUP BY doc_name",
+    "misnamed_nodes": f"WITH {_OUTLINE} SELECT doc_name, node_id, title, 0.4::DOUBLE AS score, 'why' AS reasoning FROM t WHERE level = 2",
+    "fallback_to_one_round": f"WITH {_OUTLINE} SELECT doc_name, node_id, title, 1.0::DOUBLE AS score FROM t WHERE body = 'FURNITURE' ORDER BY doc_name, node_id LIMIT 10",
+    "path_to_node": f"WITH {_OUTLINE} SELECT a.doc_name, a.pos::BIGINT AS pos, a.node_id, a.title FROM t a JOIN t b ON a.doc_name = b.doc_name AND b.node_id = '0003' AND b.pos BETWEEN a.pos AND a.last_pos",
+    "relevance_map": f"WITH {_OUTLINE}, {_HITS} SELECT doc_name || ':' || node_id AS node, relevance FROM ctx",
+    "chat_answer": f"""
+        WITH {_title_hits("NATION 3", 0.1, 10)}, whole AS (SELECT h.rank, h.title, string_agg(b.content, chr(10) || chr(10) ORDER BY b.pos) AS content FROM hits h JOIN t a USING (doc_name, node_id) JOIN t b ON b.doc_name = a.doc_name AND b.pos BETWEEN a.pos AND a.last_pos GROUP BY ALL),
+        j AS (SELECT string_agg('## ' || title || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM whole) SELECT trim(substring(context, 1, 500)) AS answer, md5(context) AS context_md5 FROM j""",
+    "query_answer": f"""
+        WITH {_title_hits("NATION 3", 0.1, 10)}, whole AS (SELECT h.doc_name, h.rank, h.title, string_agg(b.content, chr(10) || chr(10) ORDER BY b.pos) AS content FROM hits h JOIN t a USING (doc_name, node_id) JOIN t b ON b.doc_name = a.doc_name AND b.pos BETWEEN a.pos AND a.last_pos GROUP BY ALL)
+        SELECT string_agg('## [' || doc_name || '] ' || title || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(DISTINCT doc_name, ',' ORDER BY doc_name) AS source_files, (SELECT sum(length(content)) FROM t)::BIGINT AS total_chars, 'vector' AS mode FROM whole""",
+    # Reasoning looks at the documents of the ten best hits: first at nations, then at what lies below those that share a word.
+    "hybrid_search": f"""
+        WITH {_title_hits("nation 3 customer", 0.1, 20)}, near AS (SELECT DISTINCT doc_name FROM hits WHERE rank <= 10),
+        shares AS (SELECT *, round(len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')), ['nation', '3', 'customer'])) / 3.0::DOUBLE, 2) AS share, row_number() OVER (PARTITION BY doc_name, level ORDER BY pos) AS nth FROM t JOIN near USING (doc_name)),
+        candidates AS (SELECT * FROM shares WHERE level = 1 AND share > 0 OR level = 2 AND nth <= 5 AND share > 0),
+        found AS (SELECT DISTINCT b.doc_name, b.node_id, b.title, b.share AS score FROM candidates a JOIN shares b ON a.doc_name = b.doc_name AND b.pos BETWEEN a.pos AND a.last_pos WHERE b.share >= 0.3),
+        r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_name, node_id) AS rank FROM found ORDER BY rank LIMIT 10),
+        f AS (SELECT coalesce(h.doc_name, r.doc_name) AS doc_name, coalesce(h.node_id, r.node_id) AS node_id, coalesce(h.title, r.title) AS title, CASE WHEN r.score IS NULL THEN h.score * 0.4::DOUBLE ELSE coalesce(h.score, 0) * 0.4::DOUBLE + r.score * 0.6::DOUBLE END AS final_score,
+          CASE WHEN r.score IS NULL THEN 'vector' WHEN h.score IS NOT NULL THEN 'both' ELSE 'reasoning' END AS source, h.rank AS hr, r.rank AS rr FROM hits h FULL JOIN r ON h.doc_name = r.doc_name AND h.node_id = r.node_id)
+        SELECT doc_name, node_id, title, round(final_score, 6) AS final_score, source FROM f ORDER BY f.final_score DESC, hr NULLS LAST, rr, doc_name, node_id LIMIT 10""",
+    "contexts_flagship": f"""
+        WITH RECURSIVE {_CHATS}, src AS (SELECT doc_name || '|' || pos AS doc_name, content AS t FROM t), {_chunks("src").replace(chr(10) + "d AS", chr(10) + "cd AS").replace("FROM d" + chr(10), "FROM cd" + chr(10)).replace("c AS (SELECT doc_name, k, CASE", "pieces AS (SELECT doc_name, k, CASE").replace(chr(10) + "w AS (", chr(10) + "cw AS (").replace("FROM w WHERE", "FROM cw WHERE")},
+        told AS (SELECT doc_name || '|' || pos AS node, -1 AS k, title AS txt FROM t UNION ALL SELECT doc_name, k, c FROM pieces WHERE c <> '' UNION ALL SELECT '', 0, 'the user asked about the answer'),
+        keyed AS (SELECT (node, k) AS key, txt FROM told), {_embedded("keyed")},
+        q AS (SELECT place, x FROM v WHERE key[1] = ''), products AS (SELECT a.key, sum(a.x * q.x) AS s FROM v a JOIN q USING (place) GROUP BY a.key),
+        own AS (SELECT t.doc_name, t.pos, coalesce(p.s, 0) AS own FROM t LEFT JOIN products p ON p.key[1] = t.doc_name || '|' || t.pos AND p.key[2] = -1),
+        n AS (SELECT node, count(*) AS n FROM told WHERE k >= 0 AND node <> '' GROUP BY node), ps AS (SELECT key[1] AS node, sum(s) AS s FROM products WHERE key[2] >= 0 AND key[1] <> '' GROUP BY 1),
+        scored AS (SELECT o.doc_name, o.pos, CASE WHEN n.n IS NULL THEN own ELSE greatest(own, coalesce(ps.s, 0) / sqrt(n.n + 1)) END AS score FROM own o LEFT JOIN n ON n.node = o.doc_name || '|' || o.pos LEFT JOIN ps ON ps.node = n.node),
+        best AS (SELECT * FROM scored WHERE score >= 0 ORDER BY score DESC, doc_name, format('{{:04d}}', pos) LIMIT 10)
+        SELECT b.doc_name, format('{{:04d}}', b.pos) AS node_id, any_value(a.title) AS title, string_agg(z.content, chr(10) || chr(10) ORDER BY z.pos) AS content, round(b.score, 6) AS relevance
+        FROM best b JOIN t a USING (doc_name, pos) JOIN t z ON z.doc_name = b.doc_name AND (z.pos = b.pos OR a.level = 1) GROUP BY b.doc_name, b.pos, b.score""",
+    "turn_replies": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations)
+        SELECT conv_id, turn, md5({_STRIP.format("CASE turn % 4 WHEN 0 THEN '```json' || chr(10) || '{\"turn\": ' || turn || '}' || chr(10) || '```' WHEN 1 THEN '{\"b\": [' || turn || ', 1]}' WHEN 2 THEN x ELSE '```markdown' || chr(10) || x || chr(10) || '```' END")}) AS clean_md5,
+          md5({_STRIP.format("CASE turn % 4 WHEN 0 THEN '```json' || chr(10) || '{\"turn\": ' || turn || '}' WHEN 1 THEN '<think>{ ' || x || ' </think>{\"b\": [' || turn || ', 1]}' WHEN 2 THEN '**Summary:** ' || x ELSE x END")}) AS unwrapped_md5,
+          CASE turn % 4 WHEN 0 THEN '{{"turn":' || turn || '}}' WHEN 1 THEN '{{"b":[' || turn || ',1]}}' END AS json FROM c""",
+    "decomposed_turns": f"""
+        WITH q AS (SELECT DISTINCT text FROM conversations WHERE role = 'user' AND trim(text) <> ''),
+        p AS (SELECT text, list_filter(list_transform(string_split(replace(text, '?', ' and '), ' and '), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS parts FROM q)
+        SELECT md5(text) AS query_md5, unnest(CASE WHEN len(parts) > 1 THEN parts ELSE [text] END) AS sub_question FROM p""",
 }

@@ -12,7 +12,7 @@ from .functions.providers import HashingEmbedder, OverlapCompleter, RecordedComp
 from .operators import crawl, fusion, markdown, reasoning, toc, tree, vectors
 from .oracles import ORACLES
 from .plans import corpora
-from .plans.knowledge_base import KnowledgeBase
+from .plans.knowledge_base import KnowledgeBase, index
 from .sources import tables
 from .sources.config import Settings, VectorSettings
 from .streaming import upsert
@@ -447,6 +447,241 @@ def contexts_flagship(spark, sf_dir):
     return flagship(spark, sf_dir).select("doc_name", "node_id", "title", "content", F.round("relevance", 6).alias("relevance"))
 
 
+# ---- files and tables, out and in again
+
+
+@query
+def md_files(spark, sf_dir):
+    path = tables.scratch(spark, "md_files")
+    corpora.outline(spark, sf_dir).write.partitionBy("doc_name").text(path)
+    read = tables.markdown_files(spark, path)
+    return read.select(F.url_decode(F.regexp_extract("source_file", "doc_name=([^/]*)", 1)).alias("doc_name"), F.md5("content").alias("content_md5"))
+
+
+@query
+def upload_names(spark, sf_dir):
+    kinds = F.array(*map(F.lit, (".md", ".PDF", ".Markdown", ".txt", "", ".tar.txt", ".md.exe")))
+    named = corpora.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.get(kinds, (F.col("doc_id") % 7).cast("int"))).alias("name"))
+    return named.where(tables.accepted_upload(F.col("name")))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, nodes = index(corpora.outline(spark, sf_dir))
+    return tables.nested_json(known, nodes, contents=True)
+
+
+@query
+def index_round_trip(spark, sf_dir):
+    _, found = tables.index_tables(_indexed(spark, sf_dir))
+    return _long(found.select("doc_name", "pos", "node_id", "title", "level", "start_line", "end_line", "depth", F.md5("content").alias("content_md5")))
+
+
+@query
+def index_documents(spark, sf_dir):
+    found, _ = tables.index_tables(_indexed(spark, sf_dir))
+    return _long(found.select("doc_name", "title", "description", "total_lines"))
+
+
+@query
+def vector_round_trip(spark, sf_dir):
+    e = corpora.table(spark, sf_dir, "embeddings").select(F.format_string("doc-%d", "label").alias("doc_name"), F.format_string("%04d", "vec_id").alias("node_id"), "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    own = e.where("vec_id % 5 = 0").select("doc_name", "node_id", F.concat(F.lit("t"), "node_id").alias("title"), F.lit(1).alias("level"), "vector")
+    nodes, chunks = tables.vector_tables(tables.vector_json(own, e.where("vec_id % 5 > 0").select("doc_name", "node_id", F.lit(0).alias("chunk_no"), "vector")))
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 4).alias("total")
+    return nodes.select("doc_name", "node_id", "title", total).unionByName(chunks.select("doc_name", "node_id", F.lit("").alias("title"), total))
+
+
+@query
+def saved_knowledge_base(spark, sf_dir):
+    path = tables.scratch(spark, "knowledge_base")
+    KnowledgeBase.of(corpora.outline(spark, sf_dir)).save(path)
+    kb = KnowledgeBase.load(spark, path)
+    vectors_of = kb.node_vectors.groupBy("doc_name").agg(F.count("*").alias("n_vectors"))
+    return kb.nodes.groupBy("doc_name").agg(F.count("*").alias("n_nodes"), F.sum(F.length("content")).alias("n_chars")).join(vectors_of, "doc_name")
+
+
+@query
+def added_documents(spark, sf_dir):
+    docs = corpora.outline(spark, sf_dir)
+    newer = docs.where("doc_name LIKE 'E%' OR doc_name LIKE 'AS%'").withColumn("content", F.concat(F.lit("# New\n## First\n"), "content"))
+    kb = KnowledgeBase.of(docs.where("doc_name LIKE 'A%'")).add(newer)
+    vectors_of = kb.node_vectors.groupBy("doc_name").agg(F.count("*").alias("n_vectors"))
+    return kb.documents().select("doc_name", "total_nodes").join(vectors_of, "doc_name")
+
+
+@query
+def short_texts(spark, sf_dir):
+    return corpora.prose(spark, sf_dir).select("doc_name", text.cut_with_dots(F.col("content"), 120).alias("short"))
+
+
+# ---- pages as Markdown: tables of contents, fences
+
+
+@query
+def page_metadata(spark, sf_dir):
+    meta = F.concat(F.lit('<meta property="og:url" content="'), "url", F.lit('"><meta name="author" content="a'), F.col("page_id").cast("string"), F.lit('">'))
+    return corpora.table(spark, sf_dir, "pages").select("page_id", F.explode(html.html_metadata(F.concat(meta, "html"))).alias("name", "value"))
+
+
+@query
+def page_whole_texts(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "pages").select("page_id", F.md5(html.html_whole_text(F.col("html"))).alias("text_md5"))
+
+
+@query
+def page_simple_markdown(spark, sf_dir):
+    title = html.html_title(F.col("html"))
+    return corpora.table(spark, sf_dir, "pages").select("page_id", F.md5(html.html_to_simple_markdown(F.col("html"), title)).alias("markdown_md5"))
+
+
+@query
+def converted_pages(spark, sf_dir):
+    return reasoning.converted(corpora.table(spark, sf_dir, "pages"), OverlapCompleter()).select("page_id", F.md5("markdown").alias("markdown_md5"))
+
+
+@query
+def page_fences(spark, sf_dir):
+    return _long(markdown.fence_states(corpora.paged(spark, sf_dir)).select("doc_name", "line_no", "kind", "in_code"))
+
+
+@query
+def page_code_blocks(spark, sf_dir):
+    return corpora.paged(spark, sf_dir).select("doc_name", F.explode(text.code_blocks(F.col("content"))).alias("b")).select("doc_name", "b.language", "b.code")
+
+
+@query
+def page_tocs(spark, sf_dir):
+    found = toc.detect(corpora.paged(spark, sf_dir))
+    entries = F.array_join(F.transform("entries", lambda e: F.concat_ws("|", e["level"].cast("string"), e["title"], e["link"])), ";")
+    return _long(found.select("doc_name", "kind", "start_line", "end_line", "confidence", entries.alias("entries")))
+
+
+@query
+def page_toc_texts(spark, sf_dir):
+    return toc.summary_text(toc.detect(corpora.paged(spark, sf_dir)))
+
+
+@query
+def page_toc_levels(spark, sf_dir):
+    docs = corpora.paged(spark, sf_dir)
+    found = toc.with_toc_levels(markdown.sections(docs, contents=False), toc.link_entries(docs))
+    return _long(found.select("doc_name", "pos", "title", "level"))
+
+
+# ---- crawls with failing pages, caps and filters
+
+
+def _failing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The web of nations, where pages whose number leaves 4 by 5 fail."""
+    return _linked_pages(spark, sf_dir).withColumn("status_code", F.when(F.regexp_extract("url", "([0-9]+)$", 1).cast("int") % 5 == 4, 404).otherwise(200))
+
+
+@query
+def crawl_failures(spark, sf_dir):
+    return _long(crawl.crawl(_failing_pages(spark, sf_dir), "http://web.test/n/0", depth=4))
+
+
+@query
+def crawl_failure_counts(spark, sf_dir):
+    pages = _failing_pages(spark, sf_dir)
+    return crawl.crawl_statistics(crawl.crawl(pages, "http://web.test/n/0", depth=4), pages)
+
+
+@query
+def crawl_capped(spark, sf_dir):
+    return _long(crawl.crawl(_linked_pages(spark, sf_dir), "http://web.test/n/0", depth=4, max_pages=6))
+
+
+@query
+def crawl_filtered(spark, sf_dir):
+    return _long(crawl.crawl(_linked_pages(spark, sf_dir), "http://web.test/n/0", depth=4, url_filter=~F.col("url").endswith("2")))
+
+
+@query
+def crawl_of_pages(spark, sf_dir):
+    """From the page of least URL over all pages: its own links, none of which leads to a page."""
+    pages = corpora.table(spark, sf_dir, "pages")
+    return _long(crawl.crawl(pages, pages.agg(F.min("url")).first()[0], depth=2))
+
+
+@query
+def crawled_documents(spark, sf_dir):
+    kb = KnowledgeBase.of(corpora.outline(spark, sf_dir)).crawl(_failing_pages(spark, sf_dir), "http://web.test/n/0", depth=3, max_pages=100)
+    return kb.documents().select("doc_name", "total_nodes")
+
+
+# ---- completer-driven enrichment and its corners
+
+
+@query
+def summaries(spark, sf_dir):
+    nodes = tree.nodes(markdown.sections(corpora.chats(spark, sf_dir))).withColumn("summary", F.lit(""))
+    return reasoning.summarised(nodes, OverlapCompleter()).select("doc_name", "node_id", "summary")
+
+
+@query
+def descriptions(spark, sf_dir):
+    docs = corpora.outline(spark, sf_dir).withColumn("description", F.lit(""))
+    return reasoning.described(docs, _outline_tree(spark, sf_dir), OverlapCompleter()).select("doc_name", "description")
+
+
+class _Misnaming:
+    """Picks a node that there isn't."""
+
+    def complete(self, prompts):
+        return ['{"selected_nodes": [{"node_id": "none", "relevance": 1.0}]}'] * len(prompts)
+
+
+@query
+def misnamed_nodes(spark, sf_dir):
+    found = _outline_tree(spark, sf_dir)
+    picked = found.where("level = 2").select("doc_name", "node_id", F.lit(0.5).alias("relevance"), F.lit("why").alias("reason"), F.lit(0).alias("ord"))
+    return reasoning.deep_search(picked, found, "x", _Misnaming()).select("doc_name", "node_id", "title", F.round("score", 6).alias("score"), "reasoning")
+
+
+@query
+def fallback_to_one_round(spark, sf_dir):
+    """A word that stands below the high-level view alone."""
+    return reasoning.search_with_fallback(_outline_tree(spark, sf_dir), "furniture", OverlapCompleter()).select("doc_name", "node_id", "title", "score")
+
+
+@query
+def path_to_node(spark, sf_dir):
+    return _long(tree.path_to(_outline_tree(spark, sf_dir), "0003"))
+
+
+@query
+def relevance_map(spark, sf_dir):
+    found = fusion.contexts(_named_hits(spark, sf_dir), _outline_tree(spark, sf_dir))
+    return fusion.relevance_map(found).select(F.explode("relevance_scores").alias("node", "relevance"))
+
+
+@query
+def chat_answer(spark, sf_dir):
+    kb = KnowledgeBase.of(corpora.outline(spark, sf_dir), Settings(mode="vector", vector=VectorSettings(threshold=0.1)))
+    return kb.chat("NATION 3").select("answer", F.md5("context").alias("context_md5"))
+
+
+def _turn_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' turns as replies of a model, in four dresses by their number."""
+    n, said = F.col("turn").cast("string"), F.coalesce("text", F.lit(""))
+    dress = F.when(F.col("turn") % 4 == 0, F.concat(F.lit('```json\n{"turn": '), n, F.lit("}\n```"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("<think>{ "), said, F.lit(' </think>{"b": ['), n, F.lit(", 1]}")))
+    dress = dress.when(F.col("turn") % 4 == 2, F.concat(F.lit("**Summary:** "), said)).otherwise(F.concat(F.lit("```markdown\n"), said, F.lit("\n```")))
+    return corpora.table(spark, sf_dir, "conversations").select("conv_id", "turn", dress.alias("reply"))
+
+
+@query
+def turn_replies(spark, sf_dir):
+    r = F.col("reply")
+    return _turn_replies(spark, sf_dir).select("conv_id", "turn", F.md5(text.clean_reply(r)).alias("clean_md5"), F.md5(text.unwrap_fence(r)).alias("unwrapped_md5"), strict_json(text.json_body(text.without_thinking(r))).alias("json"))
+
+
+@query
+def decomposed_turns(spark, sf_dir):
+    asked = corpora.table(spark, sf_dir, "conversations").where("role = 'user' AND trim(text) <> ''").select(F.col("text").alias("query")).distinct()
+    return reasoning.decomposed(asked, OverlapCompleter()).select(F.md5("query").alias("query_md5"), "sub_question")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

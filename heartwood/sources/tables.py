@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,26 @@ from pyspark.sql import types as T
 NODE = "title string, level int, start_line int, end_line int, node_id string, summary string, content string"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and written to spark.checkpoint.dir (a folder that all executors see)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, a folder that the driver and all executors see; where it is unset and all runs on one machine,
+    as in tests, one of our own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if where is None and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-shared-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -45,10 +58,16 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, tree) of the nested index files (*_index.json) below a folder. Children are flattened level by level by
-    a recursive query over the parsed JSON; positions are given in document order."""
+    """(documents, tree) of the nested index files (*_index.json) below a folder."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="*_index.json", recursiveFileLookup=True)
-    files = raw.select(_file_name(r"^(.*)_index\.json$").alias("doc_name"), F.parse_json("value").alias("j"))
+    return index_tables(raw.select(_file_name(r"^(.*)_index\.json$").alias("doc_name"), F.col("value").alias("json")))
+
+
+def index_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, tree) of nested indexes (doc_name, json). Children are flattened level by level, one pass over the parsed
+    JSON for each; positions are given in document order."""
+    spark = files.sparkSession
+    files = files.select("doc_name", F.parse_json("json").alias("j"))
     get = lambda v, name, kind: F.try_variant_get(v, f"$.{name}", kind)
     docs = files.select("doc_name", get("j", "title", "string").alias("title"), F.coalesce(get("j", "description", "string"), F.lit("")).alias("description"), F.coalesce(get("j", "source_file", "string"), F.lit("")).alias("source_file"), get("j", "total_lines", "int").alias("total_lines"))
     level = files.select("doc_name", F.posexplode(get("j", "nodes", "array<variant>")).alias("i", "v")).select("doc_name", F.array("i").alias("_at"), "v")
@@ -97,9 +116,14 @@ VECTORS = "dimension int, node_vectors map<string,array<double>>, chunk_vectors
 
 
 def vector_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(node vectors, chunk vectors) of vector index files in JSON. A node's document and id come from its metadata; its
-    key serves only where that is missing, cut at the last colon."""
-    files = spark.read.text(path, wholetext=True).select(F.from_json("value", VECTORS).alias("j"))
+    """(node vectors, chunk vectors) of vector index files in JSON."""
+    return vector_tables(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")))
+
+
+def vector_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node vectors, chunk vectors) of vector indexes (json). A node's document and id come from its metadata; its key
+    serves only where that is missing, cut at the last colon."""
+    files = files.select(F.from_json("json", VECTORS).alias("j"))
 
     def named(column: str) -> DataFrame:
         rows = files.select(F.explode(f"j.{column}").alias("key", "value"), F.col("j.node_metadata").alias("_meta")).withColumn("_m", F.try_element_at("_meta", F.col("key")))

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,17 +100,17 @@ def test_summaries_and_judgements(spark, docs, nodes):
 
 def test_html():
     page = '<html><head><title> T &amp; x </title><meta name="description" content="about"><meta property="og:type" content="web"></head><body><nav>n</nav><main><h1>Head</h1><p>one <b>two</b></p><ul><li>a</li><li>b</li></ul><ol><li>c</li></ol><pre class="language-py">x = 1\n</pre><blockquote>q</blockquote><a href="/l?x=1#f">link</a><a href="#top">top</a><hr><!-- note --><table><tr><td>lost</td></tr></table><div><p>deep</div></main></body></html>'
-    assert html.markdown_of(page, "T").split("\n") == ["# T", "", "## Head", "", "onetwo", "", "- a", "- b", "", "1. c", "", "```py", "x = 1\n".rstrip("\n"), "", "```", "", "> q", "", "[link](/l?x=1#f)", "---", "", "note", "deep", ""]
-    assert html.title_of(page) == "T & x" and html.title_of("<h1>H</h1>") == "H" and html.title_of("") == "Untitled"
-    assert html.links_of(page, "http://h/p/") == ["http://h/l?x=1"]
-    assert html.metadata_of(page) == {"description": "about", "og_type": "web"}
-    assert html.text_of("<p>a<script>no</script></p><header>no</header>\n b ") == "a\nb"
-    assert html.simple_markdown_of("<div><ul><li>a<p>b</p></li></ul></div>") == "- ab\nb\n"
+    assert html.markdown_of(html.Page(page), "T").split("\n") == ["# T", "", "## Head", "", "onetwo", "", "- a", "- b", "", "1. c", "", "```py", "x = 1\n".rstrip("\n"), "", "```", "", "> q", "", "[link](/l?x=1#f)", "---", "", "note", "deep", ""]
+    assert html.title_of(html.Page(page)) == "T & x" and html.title_of(html.Page("<h1>H</h1>")) == "H" and html.title_of(html.Page("")) == "Untitled"
+    assert html.links_of(html.Page(page), "http://h/p/") == ["http://h/l?x=1"]
+    assert html.metadata_of(html.Page(page)) == {"description": "about", "og_type": "web"}
+    assert html.text_of(html.Page("<p>a<script>no</script></p><header>no</header>\n b ")) == "a\nb"
+    assert html.simple_markdown_of(html.Page("<div><ul><li>a<p>b</p></li></ul></div>")) == "- ab\nb\n"
 
 
 def test_clean_html_and_conversion_by_a_completer(spark):
     page = '<html><head><title>T</title></head><body><script>x</script><div><img src="a"></div><p>a &lt; b <br><span> </span></p><!-- c --></body></html>'
-    assert html.clean_html_of(page) == "<body><p>a &lt; b <br/></p></body>"
+    assert html.clean_html_of(html.Page(page)) == "<body><p>a &lt; b <br/></p></body>"
     long = "<p>" + "x" * 60_000 + "</p>"
     pages = spark.createDataFrame([("u1", page), ("u2", "<h1>H</h1><p>p</p>"), ("u3", long)], "url string, html string")
 
@@ -122,6 +123,95 @@ def test_clean_html_and_conversion_by_a_completer(spark):
     assert rows == {"u1": "# 34", "u2": "# H\n\n## H\n\np\n", "u3": "# " + str(50_000 + len(reasoning.CUT_MARK))}
 
 
+@pytest.mark.parametrize("deep", ["<div>x<p>" * 30_000, "<div>" * 100_000 + "</b>" * 100_000, "<ul><li>" * 20_000])
+def test_deeply_nested_pages(deep):
+    assert html.title_of(html.Page(deep)) == "Untitled"
+    made = [f(html.Page(deep)) for f in (html.markdown_of, html.text_of, html.clean_html_of)]
+    assert all(isinstance(x, str) for x in made)
+
+
+def test_whole_text_and_page_struct(spark):
+    df = spark.createDataFrame([("<title>T</title><header>h</header><style>s</style><p>a</p>",)], "html string")
+    row = df.select(html.html_whole_text("html").alias("t"), html.html_page("html").alias("p")).first()
+    assert row["t"] == "T\nh\na" and row["p"]["title"] == "T" and row["p"]["markdown"] == "# T\n\nT\na\n".replace("T\na", "a") and row["p"]["metadata"] == {}
+
+
+def test_failing_pages_are_not_found(spark):
+    rows = [("http://h/", '<a href="/a">a</a><a href="/b">b</a>', 200), ("http://h/a", '<a href="/c">c</a>', 404), ("http://h/b", '<a href="/d">d</a>', 204), ("http://h/c", "", 200), ("http://h/d", "", 500)]
+    pages = spark.createDataFrame(rows, "url string, html string, status_code int")
+    seen = crawl.crawl(pages, "http://h/", depth=5)
+    assert sorted((r["url"], r["level"], r["found"]) for r in seen.collect()) == [("http://h/", 0, True), ("http://h/a", 1, False), ("http://h/b", 1, True), ("http://h/d", 2, False)]
+    assert tuple(crawl.crawl_statistics(seen, pages).first()) == (2, 2, 3)
+    capped = crawl.crawl(pages, "http://h/", depth=5, max_pages=2)
+    assert sorted(r["url"] for r in capped.where("found").collect()) == ["http://h/", "http://h/b"]
+    assert crawl.page_documents(pages).count() == 3
+
+
+def test_an_embedder_is_asked_once(spark, docs, tmp_path):
+    """A query is one call, and texts are embedded when they come in, not at each search."""
+    import uuid
+
+    folder = str(tmp_path)
+
+    class Counting(providers.HashingEmbedder):
+        def embed(self, text):
+            @F.pandas_udf("string")
+            def noted(texts: pd.Series) -> pd.Series:
+                for t in texts:
+                    with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                        f.write(t)
+                return texts
+
+            return super().embed(noted(text))
+
+    providers.register_embedder("counting", lambda **o: Counting(16))
+    kb = KnowledgeBase.of(docs, Settings(mode="vector", embedder="counting", vector=VectorSettings(threshold=0.0)))
+    before = len(list(tmp_path.iterdir()))
+    assert before == kb.node_vectors.count() + kb.chunk_vectors.count()
+    assert kb.search("red apples").count() and kb.search("boats").count()
+    assert sorted(f.read_text() for f in tmp_path.iterdir() if f.read_text() in ("red apples", "boats")) == ["boats", "red apples"]
+    assert len(list(tmp_path.iterdir())) == before + 2
+    assert kb.cleared().node_vectors.count() == 0 and kb.cleared().docs.count() == 3
+
+
+def test_blank_texts_are_one_blank(spark):
+    class Told:
+        dimension = 1
+
+        def embed(self, text):
+            return F.array(F.length(text).cast("double"))
+
+    df = spark.createDataFrame([("",), ("  ",), (None,), ("ab",)], "t string")
+    assert [r["v"] for r in df.select(providers.embedded(F.col("t"), Told()).alias("v")).collect()] == [[1.0], [1.0], [1.0], [2.0]]
+
+
+def test_paths_and_the_fallback_to_one_round(nodes):
+    assert [(r["node_id"], r["title"]) for r in tree.path_to(nodes, "0003").orderBy("pos").collect()] == [("0001", "Alpha"), ("0002", "Apples"), ("0003", "Cider")]
+
+    class OneRound:
+        """Nothing from the high-level view's prompts, which are asked first; the enhanced view shows nodes at depth 2."""
+
+        def complete(self, prompts):
+            asked = [json.loads(p) for p in prompts]
+            return [json.dumps({"candidates": [], "node_list": [{"node_id": "0003", "relevance": 0.9}] if any(n["node_id"] == "0003" for n in a["nodes"]) else []}) for a in asked]
+
+    got = reasoning.search_with_fallback(nodes, "q", OneRound())
+    assert [(r["doc_name"], r["node_id"], r["score"]) for r in got.collect()] == [("a", "0003", 0.9)]
+
+
+def test_levels_beyond_the_table_raise(spark):
+    deep = spark.createDataFrame([("d", k, k, f"t{k}", k, k) for k in range(1, 10)], "doc_name string, pos int, level int, title string, start_line int, end_line int")
+    with pytest.raises(Exception, match="level 7"):
+        tree.nodes(deep).collect()
+    made = tree.nodes(deep, tree.deepest(deep))
+    assert [r["depth"] for r in made.orderBy("pos").collect()] == list(range(9))
+    known = spark.createDataFrame([("d", "t", "", "", 9)], "doc_name string, title string, description string, source_file string, total_lines int")
+    from heartwood.sources import tables
+
+    text = tables.nested_json(known, made.withColumn("summary", F.lit("")).withColumn("content", F.lit("x"))).first()["json"]
+    assert text.count('"node_id"') == 9 and json.loads(text)
+
+
 def test_vector_files_round_trip(spark, docs, nodes, tmp_path):
     from heartwood.sources import tables
 
@@ -141,9 +231,9 @@ def test_page_markdown_equals_a_plain_reading(spark, sf_dir):
 
     pages = pd.read_parquet(f"{sf_dir}/pages.parquet")
     for page in pages["html"]:
-        lines = html.markdown_of(page).split("\n")
+        lines = html.markdown_of(html.Page(page)).split("\n")
         assert lines[0].startswith("# ") and "track(" not in "".join(lines) and "copy;" not in "".join(lines)
-        assert html.text_of(page)
+        assert html.text_of(html.Page(page))
 
 
 def test_crawl_counts_levels_and_caps(spark):
@@ -197,7 +287,7 @@ def test_providers_can_be_registered():
 
 
 def test_reply_json(spark):
-    cases = {'{"a": 1} trailing }': None, '{"a": 1} trailing': '{"a": 1}', "```\n[1]\n```": "[1]", "": None, None: None}
+    cases = {'{"a": 1} trailing }': None, '{"a": 1} trailing': '{"a":1}', "```\n[1]\n```": "[1]", '{"b": 2, "a": [1.5, null]}': '{"a":[1.5,null],"b":2}', "": None, None: None}
     df = spark.createDataFrame([(k,) for k in cases], "r string").select("r", providers.strict_json(text.json_body(F.col("r"))).alias("j"))
     assert {r["r"]: r["j"] for r in df.collect()} == cases
 
