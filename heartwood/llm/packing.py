@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +116,20 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, int, int, int
     return places
 
 
+def planned(spark: SparkSession, histogram: dict[int, int], limit: int) -> DataFrame:
+    """The plan of a histogram as a table: _size, _first, _many, _bin, offset. Sizes outside 1..limit raise an error."""
+    if bad := [s for s in histogram if not 1 <= s <= limit]:
+        raise ValueError(f"sizes outside 1..{limit}: {bad[:5]}")
+    return spark.createDataFrame(plan(histogram, limit), T.StructType([T.StructField(c, T.LongType()) for c in ("_size", "_first", "_many", "_bin", "offset")]))
+
+
+def dealt(ranked: DataFrame, places: DataFrame, size: str, columns: list[str]) -> DataFrame:
+    """ranked (size, _rank: the rank among items of its size) with sequence_id and offset. The plan is broadcast: it is
+    bounded by `limit`, whatever the number of items."""
+    there = (F.col(size) == F.col("_size")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_many"))
+    return ranked.join(F.broadcast(places), there).select(*columns, (F.col("_bin") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")
+
+
 def pack(items: DataFrame, limit: int, size: str = "length", key: str = "doc_id", shards: int = 256) -> DataFrame:
     """items with columns sequence_id and offset: best-fit decreasing of the whole table into sequences of `limit`.
 
@@ -128,16 +142,11 @@ def pack(items: DataFrame, limit: int, size: str = "length", key: str = "doc_id"
     at = items.withColumn("_shard", F.pmod(F.xxhash64(key, size), F.lit(shards)).cast("int"))
     counts = cut(at.groupBy(F.col(size).alias("_size"), "_shard").agg(F.count("*").alias("_n")))
     histogram = {r["_size"]: r["n"] for r in counts.groupBy("_size").agg(F.sum("_n").alias("n")).collect()}
-    if bad := [s for s in histogram if not 1 <= s <= limit]:
-        raise ValueError(f"sizes outside 1..{limit}: {bad[:5]}")
-    places = spark.createDataFrame(
-        plan(histogram, limit), T.StructType([T.StructField(c, T.LongType()) for c in ("_size", "_first", "_many", "_bin", "offset")])
-    )
+    places = planned(spark, histogram, limit)
     before = Window.partitionBy("_size").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(F.col("_size").alias("_of"), F.col("_shard").alias("_in"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy(size, "_shard").orderBy(key)
     ranked = at.withColumn("_place", F.row_number().over(within) - 1)
     # Ranks and first ranks meet where the window has dealt the items already.
     ranked = ranked.join(firsts, (F.col(size) == F.col("_of")) & (F.col("_shard") == F.col("_in"))).select(*items.columns, (F.col("_base") + F.col("_place")).alias("_rank"))
-    there = (F.col(size) == F.col("_size")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_many"))
-    return ranked.join(F.broadcast(places), there).select(*items.columns, (F.col("_bin") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")
+    return dealt(ranked, places, size, items.columns)

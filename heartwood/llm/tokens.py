@@ -13,11 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, slices, stored, text_or_empty
-from .packing import best_fit_decreasing, pack
+from .common import cut, mapped, slices, stored, text_or_empty
+from .packing import dealt, pack, planned
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT, END_ID = 1024, 2
@@ -83,59 +83,79 @@ def packed_pieces(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return pack(kept, limit, "length").select("doc_id", "piece", "start", long("length"), "ids_crc32", "sequence_id", long("offset"))
 
 
+#: Rows of the table of first ranks (one for each size and task that tokenises) up to which it is broadcast; beyond, it is
+#: joined by a shuffle of the ids.
+FIRSTS = 1_000_000
+KEPT = "part int, rank long, doc_id long, start long, length int, ids binary"
 PACKED = pa.schema([
-    ("sequence_id", pa.string()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())),
+    ("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())),
     ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("ids_crc32", pa.int64()),
 ])
 
 
-def packed_matrix(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer: str = TOKENIZER, block_tokens: int = 4_000_000, id_type: str = "<u2") -> DataFrame:
+def kept_ids(docs: DataFrame, limit: int, end_id: int, tokenizer: str, id_type: str) -> DataFrame:
+    """Every piece of every document with its ids, compressed, and its rank among the pieces of its length that the same
+    task has made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        encode, small = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        part, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        for b in batches:
+            rows: list[tuple] = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.array([*encode(text), end_id], id_type)
+                for start, n in cuts(len(ids), limit):
+                    rows.append((part, int(seen[n]), doc, start, n, small.compress(ids[start : start + n].tobytes())))
+                    seen[n] += 1
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "rank", "doc_id", "start", "length", "ids"])
+
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return mapped(table, run, KEPT)
+
+
+def packed_matrix(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer: str = TOKENIZER, id_type: str = "<u2", firsts_up_to: int = FIRSTS) -> DataFrame:
     """One row per packed sequence, ready to be written: the ids of its row of the matrix as little-endian integers
     padded with the end id to `limit`, the documents and starts of its segments, their cumulative lengths, and the
     places where positions start again from 0.
 
-    Each task packs its own rows in blocks of `block_tokens`, best fit decreasing, so that ids are neither shuffled nor
-    held beyond a block; a block leaves at most a few sequences short. Overlong documents are cut without loss.
-    sequence_id is the task's partition, block and number."""
-    from pyspark import TaskContext
+    The whole table is packed, best fit decreasing, from its histogram of lengths; overlong documents are cut without
+    loss. Texts are tokenised once and their ids written down, with ranks among the pieces of a length in each task; with
+    the number of such pieces in the tasks before, these are ranks in the table, and places follow. Ids are shuffled once,
+    to their sequence. Pieces of one length are alike to the packing: which of them goes where depends on the order in
+    which the table is read."""
+    kept = stored(kept_ids(docs, limit, end_id, tokenizer, id_type), "ids")
+    counts = cut(kept.groupBy("length", "part").agg(F.count("*").alias("_n")))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    places = planned(kept.sparkSession, histogram, limit)
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("length", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    firsts = F.broadcast(firsts) if counts.count() <= firsts_up_to else firsts.hint("merge")
+    ranked = kept.join(firsts, ["length", "part"]).withColumn("_rank", F.col("_base") + F.col("rank"))
+    segments = dealt(ranked, places, "length", ["doc_id", "start", "length", "ids"])
+    rows = segments.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids"))).alias("segments"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        part, block = TaskContext.get().partitionId(), 0
-        held: list[tuple[int, int, np.ndarray]] = []
-        total = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            bins, offsets, n = best_fit_decreasing([len(x) for _, _, x in held], limit)
-            inside: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            for i, (at, offset) in enumerate(zip(bins, offsets)):
-                inside[at].append((offset, i))
+        import zstandard
+
+        whole = zstandard.ZstdDecompressor()
+        for b in batches:
             out: list[list] = [[] for _ in PACKED]
-            for at, segments in enumerate(inside):
+            for sequence, inside in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 row, ends = np.full(limit, end_id, id_type), [0]
-                segments.sort()
-                for offset, i in segments:
-                    row[offset : offset + len(held[i][2])] = held[i][2]
-                    ends.append(offset + len(held[i][2]))
-                for column, value in zip(out, (f"{part}-{block}-{at}", ends[-1], row.tobytes(), [held[i][0] for _, i in segments], [held[i][1] for _, i in segments], ends, ends[:-1], zlib.crc32(row.astype("<u4").tobytes()))):
+                for x in inside:
+                    row[x["offset"] : x["offset"] + x["length"]] = np.frombuffer(whole.decompress(x["ids"]), id_type)
+                    ends.append(x["offset"] + x["length"])
+                values = (sequence, ends[-1], row.tobytes(), [x["doc_id"] for x in inside], [x["start"] for x in inside], ends, ends[:-1], zlib.crc32(row.astype("<u4").tobytes()))
+                for column, value in zip(out, values):
                     column.append(value)
-            for s in range(0, n, 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 1024], f.type) for c, f in zip(out, PACKED)], schema=PACKED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PACKED)], schema=PACKED)
 
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.array([*encode(text), end_id], id_type)
-                held += [(doc, s, ids[s : s + n]) for s, n in cuts(len(ids), limit)]
-                total += len(ids)
-                if total >= block_tokens:
-                    yield from rows()
-                    held.clear()
-                    total, block = 0, block + 1
-        if held:
-            yield from rows()
-
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return mapped(table, run, "sequence_id string, n_tokens int, ids binary, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids_crc32 long")
+    return mapped(rows, run, "sequence_id long, n_tokens int, ids binary, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids_crc32 long")
 
 
 def write_packed(docs: DataFrame, path: str, **options) -> None:

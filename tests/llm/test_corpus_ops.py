@@ -210,6 +210,16 @@ def test_op5(spark, sf_dir):
     assert rows["sequence_id"].nunique() == plain_best_fit(rows["length"], 1024)
 
 
+def test_op8_packs_the_whole_table(spark, sf_dir):
+    """As few sequences as one task needs for all pieces, however many tasks there are, and whichever way ranks are joined."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(7)
+    for firsts in (tokens.FIRSTS, 0):
+        rows = tokens.packed_matrix(docs, firsts_up_to=firsts).collect()
+        sizes = [b - a for r in rows for a, b in zip(r["cu_seqlens"], r["cu_seqlens"][1:])]
+        assert len(rows) == packing.best_fit_decreasing(sizes, tokens.LIMIT)[2] == len({r["sequence_id"] for r in rows})
+        assert all(r["cu_seqlens"][0] == 0 and r["cu_seqlens"][-1] == r["n_tokens"] and r["position_resets"] == r["cu_seqlens"][:-1] for r in rows)
+
+
 def test_op8_comes_back_exactly(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     tokens.write_packed(docs, str(tmp_path / "packed"))

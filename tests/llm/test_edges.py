@@ -63,8 +63,10 @@ def test_empty_table(docs, labels, name):
     assert OPERATORS[name](docs.where("false"), labels.where("false")).count() == 0
 
 
-def test_packed_matrix_edges(docs):
+def test_packed_matrix_edges(docs, clashing):
     back = tokens.unpacked(tokens.packed_matrix(docs)).collect()
+    key = lambda r: (r["doc_id"] or 0, r["start"], r["ids"])
+    assert sorted(map(key, back)) == sorted(map(key, tokens.unpacked(tokens.packed_matrix(clashing)).collect()))
     assert sorted({r["doc_id"] or 0 for r in back}) == [0, 1, 2, 3, 5, 6, 7]
     assert tokens.packed_matrix(docs.where("false")).count() == 0
 
