@@ -10,7 +10,6 @@ repeated rows and ties get equal results, and other columns pass through untouch
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -249,12 +248,3 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         count("lexed").alias("n_lexed"),
     )
 
-
-def brute_force(text: str | None) -> tuple[int, int, int, str]:
-    """The base columns by the plain patterns, for tests."""
-    text = text or ""
-    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
-    n = Counter(k for _, k, _ in spans)
-    return n[0], n[1], n[2], hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)).encode()).hexdigest()
