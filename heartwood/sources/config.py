@@ -1,7 +1,10 @@
-"""Settings from YAML: an explicit file, or config.local.yaml or config.yaml in the working or a given folder."""
+"""Settings from YAML: an explicit file, or config.local.yaml or config.yaml in the working or a given folder; where there is
+none, from the environment (HEARTWOOD_MODE, HEARTWOOD_MAX_RESULTS and so on), and else the defaults."""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
 
@@ -57,11 +60,18 @@ def _filled(kind: type, values: dict):
 
 
 def load(path: str | None = None, folder: str = ".") -> Settings:
-    """Settings of the first file there is, or the defaults."""
+    """Settings of the first file there is, else those of the environment, else the defaults."""
     names = [Path(path)] if path else [Path(d) / n for d in dict.fromkeys((".", folder)) for n in ("config.local.yaml", "config.yaml")]
     for p in names:
         if path or p.exists():
             import yaml
 
             return _filled(Settings, (yaml.safe_load(p.read_text(encoding="utf-8")) or {}).get("retrieval") or {})
-    return Settings()
+    return from_env()
+
+
+def from_env(environment: Mapping[str, str] = os.environ) -> Settings:
+    """The settings with the plain ones that the environment names, as HEARTWOOD_ and the name in capitals."""
+    given = {f.name: environment[name] for f in fields(Settings) if (name := f"HEARTWOOD_{f.name.upper()}") in environment}
+    kinds = {f.name: type(f.default) for f in fields(Settings)}
+    return Settings(**{name: kinds[name](value) for name, value in given.items() if kinds[name] in (str, int, float)})

@@ -279,6 +279,14 @@ def test_settings(tmp_path):
         Settings(mode="odd")
 
 
+def test_settings_of_the_environment(monkeypatch, tmp_path):
+    monkeypatch.setenv("HEARTWOOD_MODE", "vector")
+    monkeypatch.setenv("HEARTWOOD_MAX_RESULTS", "3")
+    monkeypatch.setenv("HEARTWOOD_MIN_RELEVANCE", "0.5")
+    s = load(folder=str(tmp_path))
+    assert (s.mode, s.max_results, s.min_relevance, s.embedder) == ("vector", 3, 0.5, "hashing")
+
+
 def test_providers_can_be_registered():
     providers.register_embedder("eight", lambda **o: providers.HashingEmbedder(8))
     assert providers.embedder("eight").dimension == 8
