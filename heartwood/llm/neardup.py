@@ -259,13 +259,13 @@ def sharing_prefixes(rest: DataFrame, texts: DataFrame, threshold: float) -> Dat
 
     def summed(key: tuple, table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in table.column("counts").to_pylist())
-        return pa.table({"block": [key[0].as_py()], "counts": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        return pa.table({"block": [key[0].as_py()], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]})
 
     words = stored(rest.hint("merge").join(texts, rest["doc"] == F.col("_id")).select("doc", "class", word_hashes(F.col("_text")).alias("words")), "rest")
     sums = mapped(words, counted, "block long, counts binary").groupBy("block").applyInArrow(summed, "block long, counts binary").collect()
     counts = np.zeros(((1 << COUNTERS) // COUNTER_BLOCK, COUNTER_BLOCK), np.uint32)
     for r in sums:
-        counts[r["block"]] = np.frombuffer(r["counts"], "<u4")
+        counts[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
     shared = words.sparkSession.sparkContext.broadcast(counts.reshape(-1))
     marks = [f"m{k}" for k in range(BITMAP)]
     names = ["doc", "class", "n", "at", "before", "repeats", *marks]
