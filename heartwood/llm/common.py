@@ -55,7 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 #: Bytes of a batch of rows on its way to a Python worker, unless the session was started with a figure of its own. Each
 #: core holds a few batches at once, in both processes.
-BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

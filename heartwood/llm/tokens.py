@@ -7,6 +7,8 @@ and equal texts are packed as rows of their own; other columns are left out. An
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +25,17 @@ TOKENIZER = "byte_bpe_50k.json"
 LIMIT, END_ID = 1024, 2
 
 
+@lru_cache(2)
+def exact(path: str):
+    """The tokenizers library's own encoder, which takes much memory and is made where a text asks for it."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
 @lru_cache(2)
 def encoder(name: str = TOKENIZER):
     """texts -> lists of ids, as the tokenizers library gives them without added special tokens.
@@ -31,19 +44,18 @@ def encoder(name: str = TOKENIZER):
     special token's string go to the tokenizers library itself, which reads that string as the token."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public_tokenizers.path(name))
-    exact.no_truncation()
-    exact.no_padding()
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
-    with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
+    path = public_tokenizers.path(name)
+    with open(path, encoding="utf-8") as f:
+        added, _ = json.JSONDecoder().raw_decode(re.split(r'"added_tokens"\s*:\s*', f.read(), maxsplit=1)[1])
+    special = [t["content"] for t in added]
+    with open(path.replace(".json", ".tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return exact.encode(text, add_special_tokens=False).ids
+            return exact(path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
