@@ -94,3 +94,19 @@ def unused(name: str, columns: Iterable[str]) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def ranked(df: DataFrame, order: list[Column | str], into: str) -> DataFrame:
+    """df with the place of every row in the given order, from 1 on. Rows are dealt out by ranges and sorted there; only how
+    many rows each range has goes to the driver, and an offset for each range back to the tasks."""
+    at = unused("_at", df.columns)
+    kept = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part, first = F.shiftright(F.col(at), 33), 0  # the id's upper bits are the partition, the others the place in it
+    starts = []
+    for number, rows in sorted(kept.groupBy(part.alias("_part")).count().collect()):
+        starts.append((number, first))
+        first += rows
+    starts = df.sparkSession.createDataFrame(starts, "_part long, _first long")
+    names = [unused(c, [*df.columns, at]) for c in starts.columns]
+    placed = kept.join(F.broadcast(starts.toDF(*names)), part == F.col(names[0]))
+    return placed.withColumn(into, F.col(names[1]) + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(at, *names)
