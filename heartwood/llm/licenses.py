@@ -1,11 +1,14 @@
 """License scan by an exact set-similarity join, in DataFrame operations only.
 
 Templates are the wordings of license notices, as sets of words. A block of text (a window of BLOCK words, every
-STEP words) matches a template if it holds at least `threshold` of the template's words, all that tell its license from
-its neighbours (`must`), and none that only a neighbour's wording has (`without`). The join finds every such pair: words are ordered by how many documents of the corpus hold them, rarest first; a block that matches holds one of
-the first |T| - o + 1 words of template T, where o is the overlap needed (prefix filter); it has o words of templates at
-all (length filter); and from its first common prefix word on, both sides have enough words left (positional filter).
-Only what passes is counted. The templates are a parameter of fixed size and travel with the plan.
+STEP words) matches a template if it holds at least `threshold` of the template's words, and all that tell its license from
+its neighbours (`must`). Where words of a neighbour's wording (`without`) stand in the block too, some window of as many words
+as the template has must match without them: a notice and its neighbour one after another give both labels.
+
+The join finds every such pair: words are ordered by how many documents of the corpus hold them, rarest first; a block that
+matches holds one of the first |T| - o + 1 words of template T, where o is the overlap needed (prefix filter); it has o words of
+templates at all (length filter); and from a common prefix word on, both sides have enough words left (positional filter).
+Only what passes is counted. The templates are a parameter of fixed size; blocks without any prefix word go no further.
 
 Base phrases are found exactly, as words that stand one after another. Null texts count as empty: no words, no labels,
 score 0. Rows are scanned one by one: repeated rows and ties get equal results, and an empty table gives no rows.
@@ -13,14 +16,15 @@ score 0. Rows are scanned one by one: repeated rows and ties get equal results,
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
 # The characters that separate words, the base phrases and their labels.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,7 +35,6 @@ THRESHOLD = 0.8
 BLOCK, STEP = 128, 64
 
 
-
 @dataclass(frozen=True)
 class Template:
     label: str
@@ -100,41 +103,54 @@ def word_order(docs: DataFrame, templates: list[tuple[Template, list[str]]]) ->
 
 
 def strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    """A literal array, which the plan holds as one string."""
+    return F.from_json(F.lit(json.dumps(values)), "array<string>") if values else F.array().cast("array<string>")
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    data = F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>")
+    return F.broadcast(spark.range(1).select(F.inline(data)))
 
 
 def matches(docs: DataFrame, order: dict[str, int], templates: list[tuple[Template, list[str]]], threshold: float = THRESHOLD, step: int = STEP) -> DataFrame:
-    """docs (with _words) with `_found`: the distinct (label, containment) of the blocks that match a template. Blocks are
-    BLOCK - STEP words longer than a step, or a step where that is more."""
-    entries, prefixes = [], set()
-    for t, words in templates:
+    """docs (with _words) with one row for each (label, score) of the blocks that match a template; score is the share of the
+    template that the block holds. Blocks are BLOCK - STEP words longer than a step, or a step where that is more.
+
+    Blocks meet templates in a join over the words of the templates' prefixes; the index of these is as large as the
+    templates given, whatever the input, and is broadcast."""
+    spark = docs.sparkSession
+    rows, index = [], []
+    for number, (t, words) in enumerate(templates):
         ordered = sorted(words, key=order.__getitem__)
         need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
-        prefix = ordered[: len(ordered) - need + 1]
-        prefixes |= set(prefix)
-        entries.append(F.struct(F.lit(t.label).alias("label"), strings(ordered).alias("words"), strings(prefix).alias("prefix"), F.lit(need).alias("need"), strings([*t.must]).alias("must"), strings([*t.without]).alias("without")))
-    vocabulary = sorted(order, key=order.__getitem__)
-    held = F.array_intersect(strings(vocabulary), F.col("_words"))  # in the global order, as are all blocks below
-    docs = docs.withColumn("_held", held)
+        rows.append((number, t.label, ordered, need, list(t.must), list(t.without), len(words_of(t.text))))
+        index += [(w, number, need, len(ordered) - place) for place, w in enumerate(ordered[: len(ordered) - need + 1])]
+    index_rows = literal_rows(spark, index, "_word string, _template int, _need int, _rest int")
+    template_rows = literal_rows(spark, rows, "_template int, label string, _of array<string>, _least int, _must array<string>, _without array<string>, _span int")
+    prefixes, vocabulary = strings(sorted({r[0] for r in index})), strings(sorted(order, key=order.__getitem__))
+    held = docs.withColumn("_held", F.array_intersect(vocabulary, F.col("_words"))).where(F.arrays_overlap("_held", prefixes))  # in the global order, as are all blocks below
     starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - 1, F.lit(0)), F.lit(step))
-    blocks = F.array_distinct(F.transform(starts, lambda s: F.array_intersect(F.col("_held"), F.slice("_words", s + 1, step + max(step, BLOCK - STEP)))))
-    blocks = F.when(F.arrays_overlap("_held", strings(sorted(prefixes))), blocks).otherwise(F.array().cast("array<array<string>>"))
-    docs = docs.withColumn("_blocks", blocks)
-
-    def of_block(block: Column) -> Column:
-        def candidate(t: Column) -> Column:
-            common = F.array_intersect(t["prefix"], block)
-            first = F.get(common, F.lit(0))
-            left = F.least(F.size(block) - F.array_position(block, first), F.size(t["words"]) - F.array_position(t["words"], first))
-            return (F.size(block) >= t["need"]) & (F.size(common) > 0) & (left + 1 >= t["need"]) & (F.size(F.array_except(t["must"], block)) == 0) & ~F.arrays_overlap(t["without"], block)
-
-        def containment(t: Column) -> Column:
-            return F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("score"), t["need"].alias("need"), F.size(t["words"]).alias("of"))
-
-        return F.transform(F.filter(F.array(*entries), candidate), containment)
-
-    scored = F.flatten(F.transform("_blocks", of_block))
-    return docs.withColumn("_found", F.filter(scored, lambda x: F.round(x["score"] * x["of"]) >= x["need"])).drop("_held", "_blocks")
+    width = step + max(step, BLOCK - STEP)
+    block = lambda s: F.struct(s.alias("start"), F.array_intersect(F.col("_held"), F.slice("_words", s + 1, width)).alias("held"))
+    # Blocks that hold the same words of templates in the same order differ at most in what stands around these.
+    blocks = held.withColumn("_block", F.explode(F.filter(F.transform(starts, block), lambda b: F.arrays_overlap(b["held"], prefixes))))
+    blocks = blocks.withColumns({"_around": F.slice("_words", F.col("_block.start") + 1, width), "_block": F.col("_block.held")}).drop("_words", "_held")
+    met = blocks.withColumn("_word", F.explode(F.array_intersect("_block", prefixes))).join(index_rows, "_word")
+    # Length, and place: from a common prefix word on, both sides have enough words left (and the word's own).
+    before = F.size(F.array_intersect(F.slice("_block", 1, F.array_position("_block", F.col("_word")).cast("int") - 1), prefixes))
+    left = F.least(F.size("_block") - F.array_position("_block", F.col("_word")) + 1, F.col("_rest"))
+    met = met.where((F.size("_block") >= F.col("_need")) & (left + F.least(before, F.col("_need") - 1) >= F.col("_need"))).join(template_rows, "_template")
+    common = F.size(F.array_intersect("_of", "_block"))
+    window = lambda s: F.slice("_around", s + 1, F.col("_span"))
+    # A neighbour's words in the same block don't count, unless no window as long as the template does without them.
+    alone = F.exists(
+        F.sequence(F.lit(0), F.greatest(F.size("_around") - F.col("_span"), F.lit(0))),
+        lambda s: ~F.arrays_overlap(window(s), F.col("_without")) & (F.size(F.array_except(F.col("_must"), window(s))) == 0) & (F.size(F.array_intersect(F.col("_of"), window(s))) >= F.col("_least")),
+    )
+    fits = (common >= F.col("_least")) & (F.size(F.array_except("_must", "_block")) == 0) & (F.when(F.arrays_overlap("_without", "_around"), alone).otherwise(True))
+    keep = [c for c in docs.columns if c != "_words"]
+    return met.where(fits).select(*keep, "label", (common / F.size("_of")).alias("score"))
 
 
 def license_scan(docs: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -143,7 +159,11 @@ def license_scan(docs: DataFrame, templates: list[Template] = TEMPLATES, thresho
     sets = template_sets(templates)
     order = word_order(docs, sets)
     step = max([STEP, *(len(words_of(t.text)) for t in templates)])
-    found = matches(with_words(docs.select("doc_id", "text")).drop("text"), order, sets, threshold, step)
+    # Rows with one id and text have one result, so that these two are key enough.
+    text = F.xxhash64(text_or_empty()).alias("_text_hash")
+    rows = with_words(docs.select("doc_id", "text").select("doc_id", text, text_or_empty().alias("_text")), "_text").drop("_text")
+    labels = matches(rows, order, sets, threshold, step).groupBy("doc_id", "_text_hash").agg(F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
+    labels = stored(labels, "labels").withColumnsRenamed({"doc_id": "_id", "_text_hash": "_hash"})
     word = lambda i: F.get("_words", i)
     phrases = [(p.split(" "), label) for p, label in PHRASES.items()]
 
@@ -158,12 +178,13 @@ def license_scan(docs: DataFrame, templates: list[Template] = TEMPLATES, thresho
 
     places = F.filter(F.transform("_words", phrase_at), lambda x: x["label"].isNotNull())
     places = F.when(F.arrays_overlap("_words", strings([p[-1] for p, _ in phrases])), places).otherwise(F.filter(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("label"))), lambda x: F.lit(False)))
-    found = found.withColumn("_places", places)
     ats = F.transform("_places", lambda x: x["at"])
     base = F.transform("_places", lambda x: x["label"])
-    both = F.array_union(base, F.transform("_found", lambda x: x["label"]))
+    found = rows.withColumn("_places", places).select("doc_id", "_text_hash", F.size("_words").cast("long").alias("n_words"), ats.alias("_ats"), base.alias("_base"))
+    found = found.join(labels.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    both = F.array_union("_base", F.coalesce("_labels", F.array().cast("array<string>")))
     return found.select(
-        "doc_id", F.size("_words").cast("long").alias("n_words"), F.size("_places").cast("long").alias("n_base"), F.array_min(ats).alias("first_word"), F.array_max(ats).alias("last_word"),
-        F.concat_ws(",", F.array_sort(F.array_distinct(base))).alias("base_labels"), F.concat_ws(",", F.array_sort(F.array_distinct(both))).alias("labels"),
-        F.when(F.size("_places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("_found", lambda x: x["score"])), F.lit(0.0))).cast("double").alias("score"),
+        "doc_id", "n_words", F.size("_ats").cast("long").alias("n_base"), F.array_min("_ats").alias("first_word"), F.array_max("_ats").alias("last_word"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("_base"))).alias("base_labels"), F.concat_ws(",", F.array_sort(F.array_distinct(both))).alias("labels"),
+        F.when(F.size("_ats") > 0, 1.0).otherwise(F.coalesce("_score", F.lit(0.0))).cast("double").alias("score"),
     )

@@ -367,7 +367,9 @@ def license_row(text):
         for s in range(0, max(len(words), 1), licenses.STEP):
             block = set(words[s : s + licenses.BLOCK])
             share = len(t & block) / len(t)
-            if share >= licenses.THRESHOLD - 1e-9 and block >= set(template.must) and not block & set(template.without):
+            span = len(license_words(template.text))
+            near = [set(words[i : i + span]) for i in range(s, max(min(len(words), s + licenses.BLOCK) - span, s) + 1)] if block & set(template.without) else [block]
+            if share >= licenses.THRESHOLD - 1e-9 and any(len(t & b) >= licenses.THRESHOLD * len(t) - 1e-9 and b >= set(template.must) and not b & set(template.without) for b in near):
                 found[template.label] = max(found.get(template.label, 0), share)
     base = {x[1] for x in places}
     at = [x[0] for x in places]
@@ -416,6 +418,36 @@ def test_neighbours_are_told_apart(spark):
     assert {t: rows[i]["labels"] for i, t in enumerate(cases)} == cases
 
 
+def test_notices_beside_their_neighbours_keep_their_labels(spark):
+    text = {t.label: t.text for t in reversed(licenses.TEMPLATES)}
+    cases = {
+        text["cc-by"] + ". Photos by others: Creative Commons Attribution-NonCommercial.": "cc-by",
+        text["isc"] + ". You may also sublicense it.": "isc", text["cc-by"] + ". " + text["cc-by-nc"]: "cc-by,cc-by-nc", text["cc-by-nc"]: "cc-by-nc",
+    }
+    rows = by_id(licenses.license_scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")))
+    assert all(set(want.split(",")) <= set(rows[i]["labels"].split(",")) for i, want in enumerate(cases.values()))
+    assert rows[3]["labels"] == "cc-by-nc"
+
+
+def test_five_hundred_templates(spark):
+    """Random templates over a small vocabulary, against every block and template."""
+    rng = random.Random(6)
+    vocabulary = [f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(4000)]
+    templates = [licenses.Template(f"t{k}", " ".join(rng.sample(vocabulary, rng.randrange(5, 60)))) for k in range(500)]
+    docs = {}
+    for k in range(60):
+        parts = [" ".join(w for w in rng.choice(templates).text.split() if rng.random() > rng.choice([0, 0.15, 0.25])) for _ in range(rng.randrange(0, 4))]
+        docs[k] = " ".join([*parts, *(rng.choice(vocabulary) for _ in range(rng.randrange(0, 300)))])
+    want = {}
+    for k, text in docs.items():
+        words = license_words(text)
+        blocks = [set(words[s : s + licenses.BLOCK]) for s in range(0, max(len(words), 1), licenses.STEP)]
+        want[k] = {t.label for t in templates for of in [set(license_words(t.text))] for b in blocks if len(of & b) >= licenses.THRESHOLD * len(of) - 1e-9}
+    rows = by_id(licenses.license_scan(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), templates))
+    assert {k: set(filter(None, rows[k]["labels"].split(","))) for k in docs} == want
+    assert sum(map(len, want.values())) > 60
+
+
 # ---- BPE
 
 
@@ -447,6 +479,9 @@ def test_tree_equals_the_library(library, leaf, half):
     for _ in range(400):
         texts.append("".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(1, 200))))
         texts.append("".join(rng.choice(alphabets[rng.randrange(3)]) for _ in range(rng.randrange(1, 600))))
+    for _ in range(60):  # long enough for halves of any size
+        blanks = rng.choice([0, 0.02, 0.2])
+        texts.append("".join(" " if rng.random() < blanks else rng.choice(alphabets[rng.randrange(3)]) for _ in range(rng.randrange(4000, 12000))))
     for text in texts:
         want = library.encode(text, add_special_tokens=False).ids
         assert tree.ids(text) == want, text
