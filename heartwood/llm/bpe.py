@@ -1,15 +1,17 @@
 """Byte-pair encoding by tree concatenation, and decoding.
 
 A text longer than HALF characters is halved, wherever that falls, until its parts are not; all parts are encoded by
-themselves, side by side, and then, level by level, neighbours are joined: a window around the join is encoded again, from
-the last blank before it on, and grows to the right until a word starts at the same place in the window and in the right
-part. What stands before that place is the window's, what follows is the right part's. A pre-tokenizer reads from left to
-right and sees LOOK characters ahead at most, so that from a common start on both readings are one.
+themselves, and then, level by level, neighbours are joined: a window around the join is read again, from the last word of the
+left part that can't depend on what follows, and grows to the right until a word starts at the same place in the window and in
+the right part. What stands before that place is the window's, what follows is the right part's. A pre-tokenizer reads from
+left to right and sees LOOK characters ahead at most, so that from a common start on both readings are one.
 
 Inside a word, merges leave no blank to start from. A word of more than LEAF symbols is a tree too: its leaves are encoded
 without the end-of-word mark unless they end it, and windows of tokens grow on both sides of each join until the first token
 equals the left half's token there and the last one the right half's. Then every pair of neighbouring tokens stands in some
-encoding made by the merges themselves, which makes the whole sequence the one that the merges give.
+encoding made by the merges themselves, which makes the whole sequence the one that the merges give. A word that a join of two
+parts puts together of a word of each comes from their encodings in the same way, so that a long text without a blank isn't
+encoded again at each level.
 
 Encodings of words are kept and used again. Null texts count as empty; empty texts have no ids and decode to the empty
 string. Equal texts have equal ids, whatever batch they are in.
@@ -21,6 +23,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -43,6 +46,12 @@ KEPT_WORDS = 200_000
 ODD = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
 
 
+#: A word's of_word, or the ids of a long one that grows from join to join.
+Encoded = tuple[int, str, str] | list[int]
+#: Start and end in a text, its words encoded, and where each of them starts.
+Part = tuple[int, int, list[Encoded], list[int]]
+
+
 class TreeBPE:
     """The encoder and decoder of one tokenizer file."""
 
@@ -132,39 +141,63 @@ class TreeBPE:
             level = joined + level[len(joined) * 2 :]
         return level[0][2]
 
+    def told(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
+
     def of_word(self, word: str) -> tuple[int, str, str]:
         """(number of ids, the ids with spaces between, the tokens they decode to with spaces between) of a word."""
-        ids = self.tree(word)
-        out = len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
+        out = self.told(self.tree(word))
         if len(word) <= 2 * self.leaf:
             if len(self.words) >= KEPT_WORDS:
                 self.words.clear()
             self.words[word] = out
         return out
 
-    def join(self, text: str, odd: bool, left: tuple[int, int, list], right: tuple[int, int, list]) -> tuple[int, int, list]:
-        """The part that two neighbouring parts (start, end, encoded words) of a normalized text make."""
+    def join(self, text: str, odd: bool, left: Part, right: Part) -> Part:
+        """The part that two neighbouring parts of a normalized text make."""
         self.joins += 1
-        (first, middle, before), (_, end, after) = left, right
-        if text[middle - 1] in BLANK or text[middle] in BLANK:
-            return first, end, before + after
-        start = max(first, *(text.rfind(c, first, middle) + 1 for c in BLANK))
-        before = before[: len(before) - len(self.cut(text[start:middle], odd))]
-        k = WINDOW
+        (first, middle, before, starts), (_, end, after, at_right) = left, right
+        if not starts or text[middle - 1] in BLANK or text[middle] in BLANK:
+            return first, end, before + after, starts + at_right
+        # The left part's last words may read otherwise; a word is sure to start where all before it saw no further than middle.
+        i = max(0, bisect_right(starts, middle - LOOK) - 1)
+        k = (at_right[1] if len(at_right) > 1 else end) - middle + WINDOW
         while True:
             to = min(middle + k, end)
-            window, places = self.scan(text, odd, start, to), {at: i for i, (at, _) in enumerate(self.scan(text, odd, middle, to))}
-            same = next((i for i, (at, _) in enumerate(window) if at in places and (at <= to - LOOK or to == end)), None)
-            if same is not None:
-                return first, end, before + self.encoded(w for _, w in window[:same]) + after[places[window[same][0]] :]
-            if to == end:
-                return first, end, before + self.encoded(w for _, w in window)
+            window = self.scan(text, odd, starts[i] if i else first, to)
+            places = {at: j for j, at in enumerate(at_right[: bisect_right(at_right, to)])}
+            same = next((j for j, (at, _) in enumerate(window) if at in places and (at <= to - LOOK or to == end)), None)
+            if same is not None or to == end:
+                break
             k *= 2
+        follows = len(at_right) if same is None else places[window[same][0]]
+        words = window[:same]
+        return first, end, before[:i] + self.between(text, words, middle, left, right, follows) + after[follows:], starts[:i] + [at for at, _ in words] + at_right[follows:]
+
+    def between(self, text: str, words: list[tuple[int, str]], middle: int, left: Part, right: Part, follows: int) -> list[Encoded]:
+        """The words of a window around middle, encoded. A long one that the join has put together of one word on each
+        side comes from these two's encodings."""
+        (_, _, before, starts), (_, _, after, at_right) = left, right
+        out = []
+        for at, word in words:
+            j = bisect_left(starts, at)
+            if len(word) > 2 * self.leaf and at < middle and (at, word) == words[-1] and follows == 1 and at_right[0] == middle and j == len(starts) - 1 and starts[j] == at:
+                halves = [w if isinstance(w, list) else [int(x) for x in w[1].split(" ")] for w in (before[j], after[0])]
+                out.append(self.join_words(word, len(self.symbols(text[at:middle])), *halves, True))
+            else:
+                out += self.encoded([word])
+        return out
 
     def encoded(self, words: Iterable[str]) -> list[tuple[int, str, str]]:
         kept = self.words
         return [kept.get(w) or self.of_word(w) for w in words]
 
+    def part(self, text: str, odd: bool, start: int, end: int, whole: bool) -> Part:
+        if whole:  # nothing is joined to it
+            return start, end, self.encoded(self.cut(text, odd)), []
+        found = self.scan(text, odd, start, end)
+        return start, end, self.encoded(w for _, w in found), [at for at, _ in found]
+
     def of_text(self, text: str) -> list[tuple[int, str, str]]:
         """of_word of every word of a text without special tokens, by halves."""
         text, odd = self.normal(text)
@@ -172,10 +205,10 @@ class TreeBPE:
         while len(text) > number * self.half:
             number *= 2
         bounds = [len(text) * i // number for i in range(number + 1)]
-        level = [(s, e, self.encoded(self.cut(text[s:e], odd))) for s, e in zip(bounds, bounds[1:])]
+        level = [self.part(text, odd, s, e, number == 1) for s, e in zip(bounds, bounds[1:])]
         while len(level) > 1:
             level = [self.join(text, odd, a, b) for a, b in zip(level[::2], level[1::2])]
-        return level[0][2]
+        return [self.told(w) if isinstance(w, list) else w for w in level[0][2]]
 
     def encode(self, text: str) -> list[tuple[int, str, str]]:
         """of_word of every word and special token of a text, in order."""
