@@ -18,8 +18,8 @@ prefixes of rare shingles, so that no group is compared pair by pair and no link
 are verified on the whole texts. Classes are the connected components.
 
 Words are separated by blanks; case is ignored. A text of fewer than five words is one shingle; null, empty and blank
-texts are copies of each other. Repeated rows are rows of one class. Of different texts with one doc_id, the least one is
-compared with others. An empty table gives no rows.
+texts are copies of each other. Repeated rows are rows of one class. Different texts with one doc_id are documents of their
+own, each compared with all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, mapped, slices, stored, text_or_empty
+from .common import BLANKS, cut, mapped, ranked, slices, stored, text_or_empty, unused
 
 WORDS = 5
 BANDS, ROWS = 28, 5
@@ -303,9 +303,8 @@ def sharing_prefixes(rest: DataFrame, texts: DataFrame, threshold: float) -> Dat
     return cut(x.join(y, "h").where(once & (sets | weights)).select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) of every row of docs. Rows without a doc_id belong to the class
-    of their exact copies with one (none: null), and link no others."""
+def key_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates of docs in which no two different texts have one doc_id."""
     sketch = stored(sketches(docs, bands, rows), "sketches")
     # Of the representatives' bands, those that more than one of them has count.
     one = stored(sketch.groupBy("copy_a", "copy_b").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")), "representatives")
@@ -315,7 +314,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     members = stored(keyed.join(several.hint("merge"), ["band", "key"]), "members")
     ids = cut(members.select(F.col("doc").alias("id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("_text"))
-    texts = stored(texts.join(ids.withColumnRenamed("id", "_id").hint("merge"), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text")), "texts")
+    texts = stored(texts.join(ids.withColumnRenamed("id", "_id").hint("merge"), "_id", "left_semi"), "texts")
     heads = members.where("doc <> least").groupBy("least", "doc").agg(F.count("*").alias("n"))
     nearest = cut(heads.groupBy("doc").agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("a")).select("a", F.col("doc").alias("b")))
     labels = cut(ids.join(components(verified(nearest, texts, threshold)), "id", "left").select("id", F.coalesce("class", "id").alias("class")))
@@ -325,3 +324,38 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         labels = contracted(labels, cut(verified(sharing_prefixes(rest, texts, threshold), texts, threshold)))
     of_copy = one.select("copy_a", "copy_b", F.col("doc").alias("id")).join(labels, "id", "left").select("copy_a", "copy_b", F.coalesce("class", "id").alias("class_id"))
     return sketch.select("doc_id", "copy_a", "copy_b").join(of_copy, ["copy_a", "copy_b"]).select("doc_id", "class_id")
+
+
+def told_apart(docs: DataFrame, into: str) -> tuple[DataFrame, bool]:
+    """docs with a key that tells different texts apart and puts them in order of doc_id (null where that is): doc_id itself,
+    or where rows share ids (True) the row's place among all by id and text."""
+    doc_id = F.col("doc_id").cast("long")
+    shared = docs.where(doc_id.isNotNull()).groupBy(doc_id.alias("_id")).count().where("count > 1")
+    if shared.isEmpty():
+        return docs.withColumn(into, doc_id), False
+    placed = ranked(docs, [doc_id.asc_nulls_last(), F.col("text")], into)
+    return placed.withColumn(into, F.when(F.col("doc_id").isNotNull(), F.col(into))), True
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id and class_id (the least doc_id of the class) of every row of docs. Rows without a doc_id belong to the class
+    of their exact copies with one (none: null), and link no others."""
+    key = unused("_key", docs.columns)
+    table, placed = told_apart(docs.select("doc_id", "text"), key)
+    found = key_classes(table.select(F.col(key).alias("doc_id"), "text"), threshold, bands, rows)
+    if not placed:
+        return found
+    of = table.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col("doc_id").cast("long").alias("_id"))
+    found = found.join(of.hint("merge"), F.col("doc_id") == F.col("_key"), "left").select(F.col("_id").alias("doc_id"), "class_id")
+    return found.join(of.hint("merge"), F.col("class_id") == F.col("_key"), "left").select("doc_id", F.col("_id").alias("class_id"))
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs without near-duplicates: the row of least doc_id of each class stays (of rows with one id and nearly equal texts
+    that of least text), and all rows without a doc_id."""
+    key = unused("_key", docs.columns)
+    table, _ = told_apart(docs, key)
+    found = key_classes(table.select(F.col(key).alias("doc_id"), "text"), threshold, bands, rows)
+    first = found.where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = table.join(first, F.col(key) == F.col("_first"), "left_semi")
+    return kept.unionByName(table.where(F.col(key).isNull())).select(*docs.columns)

@@ -5,7 +5,8 @@ family of words is known from a few of its members), hashed to 2**bits buckets.
 the logistic of w0 + sum w_i + sum_{i<j} <v_i, v_j>: the pairwise part learns that two terms together mean more, or
 less, than each alone. The machine is fitted with AdaGrad on a bounded sample of labelled rows (`max_rows`, those of
 least hash of doc_id: the bound holds at every size of the corpus); only terms that at least `min_docs` of these rows hold, and
-whose shares of the two classes differ clearly, get weights, so that what a document was not learnt on adds nothing. Every text is scored whole.
+whose shares of the two classes differ clearly, alone or in pairs, get weights, so that what a document was not learnt on adds
+nothing. Every text is scored whole.
 
 Null texts count as empty; an empty text scores by w0 alone. With no labelled rows, or labels of one class only, every
 score is the smoothed rate of the labels there are (0 for none). Repeated rows and ties score alike; other columns pass.
@@ -54,42 +55,71 @@ class Machine:
         return total
 
 
-#: Terms that are tried in pairs at most (the most frequent ones, and none in less than one row of a hundred), rows with a
-#: term in each class that a trial takes, and rows counted at once.
-PAIRED, PAIR_ROWS, PAIR_BLOCK = 2048, 20, 512
-
-
-def telling_pairs(docs: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, count: np.ndarray, pair_z: float) -> np.ndarray:
-    """Which terms tell the classes apart in the rows that hold some other term, whether or not they do so alone, and which
-    terms make them do so: those that matter in pairs."""
-    often = np.flatnonzero(count >= max(2 * PAIR_ROWS, len(docs) / 100))
-    often = np.sort(often[np.lexsort((often, -count[often]))[:PAIRED]])
-    both, n = np.zeros((2, len(often), len(often)), np.float32), len(often)
-    for kind in (0, 1) if n else ():
-        rows = np.flatnonzero(labels == kind)
-        for s in range(0, len(rows), PAIR_BLOCK):
-            held = np.zeros((min(PAIR_BLOCK, len(rows) - s), n), np.float32)
-            for k, r in enumerate(rows[s : s + PAIR_BLOCK]):
-                at = np.minimum(np.searchsorted(terms[often], docs[r]), n - 1)
-                held[k, at[terms[often][at] == docs[r]]] = 1
-            both[kind] += held.T @ held
+#: How much likelier than by chance (in nats) a pair of terms must tell the classes apart. There may be some 10**9 pairs to try.
+PAIR_EVIDENCE = 18.0
+
+
+def evidence(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The logarithm of the likelihood ratio of tables ((a, b), (c, d)) of counts to independent rows and columns."""
+    total = a + b + c + d
+    part = lambda n, row, column: np.where(n > 0, n * np.log(np.maximum(n, 1) * total / np.maximum(row * column, 1)), 0)
+    return part(a, a + b, a + c) + part(b, a + b, b + d) + part(c, c + d, a + c) + part(d, c + d, b + d)
+
+
+def apart(docs: list[np.ndarray], similarity: float = 0.5, bands: int = 40, rows: int = 4, seed: int = 11) -> np.ndarray:
+    """Rows of which none holds nearly the terms of one before: copies of a text share whatever terms they have, and are no
+    evidence for any of these. Rows that agree in a band of minimal hashes are compared, each with the last few such."""
+    rng = np.random.default_rng(seed)
+    factor, shift = (rng.integers(1, 1 << 62, bands * rows).astype(np.uint64) for _ in range(2))
+    seen: dict = {}
+    kept = []
+    for i, d in enumerate(docs):
+        h = (d.astype(np.uint64)[:, None] * (factor | np.uint64(1)) + shift) >> np.uint64(20) if len(d) else np.zeros((1, bands * rows), np.uint64)
+        keys = [(k, *band) for k, band in enumerate(h.min(0).reshape(bands, rows).tolist())]
+        near = {j for key in keys if (j := seen.get(key)) is not None}
+        common = lambda j: len(np.intersect1d(d, docs[j], assume_unique=True))
+        if not any(c >= similarity * (len(d) + len(docs[j]) - c) for j in near for c in [common(j)]):
+            kept.append(i)
+            seen |= dict.fromkeys(keys, i)
+    return np.array(kept, np.int64)
+
+
+def telling_pairs(docs: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, min_docs: int) -> np.ndarray:
+    """Which terms matter in pairs: among the rows that hold the one, the classes differ by the other, and the other way round
+    (a term that tells the classes apart alone does so beside any other, and makes no pair with it). Every pair that min_docs
+    rows hold is tried; how much it tells is judged alike for all numbers of rows."""
     out = np.zeros(len(terms), bool)
-    for a in range(n):
-        n0, n1 = both[0, a, a], both[1, a, a]
-        if min(n0, n1) >= PAIR_ROWS:
-            share = (both[0, a] + both[1, a]) / (n0 + n1)
-            z = np.abs(both[1, a] / n1 - both[0, a] / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-6)
-            z[a] = 0
-            if (z >= pair_z).any():
-                out[often[z >= pair_z]] = True
-                out[often[a]] = True
+    single = apart(docs)
+    docs, labels = [docs[i] for i in single], labels[single]
+    every = np.searchsorted(terms, np.concatenate(docs))
+    tried = np.flatnonzero(np.bincount(every, minlength=len(terms)) >= min_docs)
+    if not len(tried):
+        return out
+    rows = []
+    for d in docs:
+        at = np.minimum(np.searchsorted(terms[tried], d), len(tried) - 1)
+        rows.append(at[terms[tried][at] == d])
+    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n1, n0 = (np.bincount(flat[labels[doc] == kind], minlength=len(tried)) for kind in (1, 0))
+    order = np.argsort(flat, kind="stable")
+    held, first = doc[order], np.searchsorted(flat[order], np.arange(len(tried) + 1))  # the rows of each term
+    for a in np.flatnonzero((n1 > 0) & (n0 > 0)):
+        of = held[first[a] : first[a + 1]]
+        k1, k0 = (np.bincount(np.concatenate([rows[r] for r in of[labels[of] == kind]]), minlength=len(tried)) for kind in (1, 0))
+        b = np.flatnonzero(k1 + k0 >= min_docs)
+        b = b[b > a]
+        x, y = k1[b], k0[b]
+        sure = (evidence(x, n1[a] - x, y, n0[a] - y) >= PAIR_EVIDENCE) & (evidence(x, n1[b] - x, y, n0[b] - y) >= PAIR_EVIDENCE)
+        if sure.any():
+            out[tried[b[sure]]] = out[tried[a]] = True
     return out
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int | None = None, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, min_docs: int = 3, min_z: float = 3.5, pair_z: float = 7.0, balance: float = 0.5, seed: int = 7) -> Machine:
-    """A machine from the distinct term buckets of documents and their labels (0 or 1). epochs: 10 to 60, more for fewer rows, if None; balance: 0 weighs all rows alike, 1 gives both classes the same weight. A term is kept if its shares of the two classes
-    differ by min_z standard errors, or by pair_z in the rows of some other term: with more terms than rows, the rest would only be learnt by heart."""
-    epochs = min(60, max(10, 160_000 // max(1, len(docs)))) if epochs is None else epochs
+def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 24, batch: int = 128, rate: float = 0.1, decay: float = 1e-3, min_docs: int = 3, min_z: float = 3.5, balance: float = 0.5, seed: int = 7) -> Machine:
+    """A machine from the distinct term buckets of documents and their labels (0 or 1). balance: 0 weighs all rows alike, 1 gives
+    both classes the same weight. A term is kept if min_docs rows hold it and its shares of the two classes differ by min_z
+    standard errors, or it matters in pairs: with more terms than rows, the rest would only be learnt by heart. Nothing here
+    depends on how many rows there are."""
     base = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 1e-9
     bias = float(np.log(base / (1 - base)))
     none = Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
@@ -103,7 +133,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: in
     del flat, toxic
     share, n, n1 = count / len(docs), len(docs), labels.sum()
     z = np.abs(hits / n1 - (count - hits) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)) + 1e-12)
-    telling = (z >= min_z) | telling_pairs(docs, labels, terms, count, pair_z)
+    telling = (z >= min_z) | telling_pairs(docs, labels, terms, min_docs)
     terms = terms[(count >= min_docs) & telling].astype(np.int64)
     if not len(terms):
         return none

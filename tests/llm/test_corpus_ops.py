@@ -75,6 +75,18 @@ def test_large_buckets_are_resolved(spark):
     assert grouped(got) == grouped(classes(texts))
 
 
+def test_different_texts_with_one_id_are_documents(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    v, w = ([word() for _ in range(80)] for _ in range(2))
+    rows = [(1, " ".join(v)), (1, " ".join(w)), (2, " ".join(w + ["x"])), (3, " ".join(w + ["y"])), (4, " ".join(v[1:])), (5, " ".join(word() for _ in range(80))), (5, None), (None, " ".join(w)), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), (r["class_id"] or 0)) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (5, 5)]
+    kept = [tuple(r) for r in neardup.representatives(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([rows[0], rows[1], rows[5], rows[6], rows[7], rows[8]], key=repr)
+
+
 def test_links_by_weights_in_large_buckets(spark):
     """200 pairs linked by weights alone among documents that all share a long repeated passage, and so large buckets."""
     rng = random.Random(7)
@@ -292,6 +304,28 @@ def test_pairs_of_terms_matter(label):
     assert (one, other, both) == (label(True, False), label(False, True), label(True, True))
 
 
+@pytest.mark.parametrize("n", [3000, 16_000])
+def test_a_rare_pair_is_learnt_at_every_size(n):
+    """Two terms that are together in 0.2 % of the rows, all toxic, while each alone is as common among clean ones."""
+    rng = np.random.default_rng(n)
+    docs, labels = [], []
+    for i in range(n):
+        own = set(rng.integers(10, 2000, 30).tolist())
+        toxic = i % 500 == 0 or i % 50 == 1
+        if i % 500 == 0:
+            own |= {1, 2}
+        elif i % 50 == 1:
+            own |= {3}
+        elif i % 25 == 2:
+            own |= {1 + i % 2}
+        docs.append(np.sort(np.array(list(own))))
+        labels.append(float(toxic))
+    machine = toxicity.fit(docs, np.array(labels))
+    assert {1, 2} <= set(machine.terms.tolist())
+    one, other, both = machine.margins(np.array([1, 2, 4]), np.array([1, 2, 1, 2])) > 0
+    assert (one, other, both) == (False, False, True)
+
+
 def test_margins_equal_a_sum_over_all_pairs():
     rng = np.random.default_rng(4)
     machine = toxicity.Machine(-0.3, np.sort(rng.choice(1000, 60, replace=False)), rng.normal(size=60), rng.normal(size=(60, 4)))
