@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 one's docs. All but the last return the columns of documents, and others that the table has, whatever their names.
 
 Null texts count as empty: not toxic, of low quality. Rows without a doc_id are judged by their texts alone and never
-count as near-duplicates. Of rows with one doc_id, and of equal or nearly equal documents, one stays (that of least id).
+count as near-duplicates. Of equal or nearly equal documents one stays (that of least id); different texts with one doc_id are
+documents of their own.
 Texts of any length are worked on whole. An empty table passes every stage as an empty table.
 """
 
@@ -30,11 +31,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one of least id, and of its rows the one of least text."""
-    first = neardup.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    order = F.struct("text", F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]))
-    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
-    return kept.select("_row.*").unionByName(docs.where("doc_id IS NULL"))
+    """One document of each near-duplicate class: the one of least id (of nearly equal rows with one id that of least text)."""
+    return neardup.representatives(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
