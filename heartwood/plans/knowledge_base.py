@@ -12,6 +12,8 @@ from ..functions.providers import Completer, Embedder, completed, completer, emb
 from ..functions.text import without_thinking
 from ..operators import crawl as crawling
 from ..operators import fusion, markdown, reasoning, tree, vectors
+from ..operators.vector_index import VectorIndex
+from ..operators.vector_index import entries as vector_entries
 from ..sources import tables
 from ..sources.config import Settings
 
@@ -43,6 +45,7 @@ class KnowledgeBase:
     settings: Settings
     embed: Embedder
     ask: Completer
+    vector_index: VectorIndex | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, settings: Settings | None = None, summarise: bool = False) -> KnowledgeBase:
@@ -70,7 +73,12 @@ class KnowledgeBase:
         parts = {name: tables.upserted(getattr(self, name), getattr(new, name)) for name in ("docs", "nodes")}
         for name in ("node_vectors", "chunk_vectors"):
             parts[name] = tables.missing(getattr(self, name), new.docs).unionByName(getattr(new, name))
-        return replace(self, **parts)
+        return replace(self, vector_index=None, **parts)
+
+    def indexed(self, path: str, cells: int | None = None) -> KnowledgeBase:
+        """With an index of its vectors in a folder, which vector searches then go by. What is added later leaves it behind."""
+        pieces = self.chunk_vectors if self.settings.vector.use_chunk_aggregation else None
+        return replace(self, vector_index=VectorIndex.build(vector_entries(self.node_vectors, pieces), path, cells))
 
     def add_missing(self, docs: DataFrame) -> KnowledgeBase:
         """With those documents whose names aren't known yet."""
@@ -83,7 +91,7 @@ class KnowledgeBase:
 
     def cleared(self) -> KnowledgeBase:
         """Without its vectors; documents and trees stay."""
-        return replace(self, node_vectors=self.node_vectors.limit(0), chunk_vectors=self.chunk_vectors.limit(0))
+        return replace(self, node_vectors=self.node_vectors.limit(0), chunk_vectors=self.chunk_vectors.limit(0), vector_index=None)
 
     def statistics(self) -> DataFrame:
         return tree.statistics(self.nodes)
@@ -97,7 +105,10 @@ class KnowledgeBase:
 
     def vector_hits(self, query: str, top_k: int, threshold: float) -> DataFrame:
         pieces = self.chunk_vectors if self.settings.vector.use_chunk_aggregation else None
-        hits = vectors.vector_search(self.node_vectors, pieces, self.query_vector(query), top_k, threshold)
+        if self.vector_index is not None:
+            hits = self.vector_index.search(self.query_vector(query).first()["vector"], top_k, threshold)
+        else:
+            hits = vectors.vector_search(self.node_vectors, pieces, self.query_vector(query), top_k, threshold)
         return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_name", "node_id")))
 
     def search(self, query: str, mode: str | None = None) -> DataFrame:

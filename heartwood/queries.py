@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import index_queries
 from .functions import html, text, urls
 from .functions.providers import HashingEmbedder, OverlapCompleter, RecordedCompleter, strict_json
 from .operators import crawl, fusion, markdown, reasoning, toc, tree, vectors
@@ -683,8 +684,8 @@ def decomposed_turns(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | index_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | index_queries.oracle_sql()
