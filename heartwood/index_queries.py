@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import vector_index, vectors
+from .operators import crawl, markdown, reasoning, tree, vector_index, vectors
 from .oracles import _OUTLINE, ORACLES
 from .plans import corpora, incremental
+from .plans.knowledge_base import KnowledgeBase
 from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +111,65 @@ def incremental_tombstones(spark, sf_dir):
     return _long(_synced(spark, sf_dir).tombstones().select("doc_name", "version"))
 
 
+# ---- crawls over a graph of links
+
+
+def _page_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as a web: each one, at an address with its number, links to those of twice its number and one and two more."""
+    pages = corpora.table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?id="), F.col("page_id").cast("string")).alias("url"), "html")
+    links = pages.select(F.floor((F.col("page_id") - 1) / 2).alias("page_id"), F.concat(F.lit('<a href="'), "url", F.lit('#top">x</a>')).alias("a")).where("page_id >= 0")
+    joined = pages.join(links.groupBy("page_id").agg(F.array_join(F.sort_array(F.collect_list("a")), "").alias("a")), "page_id", "left")
+    return joined.select("page_id", "url", F.concat("html", F.coalesce("a", F.lit(""))).alias("html"))
+
+
+_WEB_URL = "regexp_replace(url, '[?#].*$', '') || '?id=' || page_id"
+
+
+@query(f"SELECT {_WEB_URL} AS url, floor(log2(page_id + 1))::BIGINT AS level FROM pages")
+def crawl_graph(spark, sf_dir):
+    """Every page, as a crawl of the whole web comes upon it."""
+    pages = _page_web(spark, sf_dir)
+    graph = crawl.LinkGraph.build(pages, tables.scratch(spark, "links"))
+    visited = graph.crawl(pages.where("page_id = 0").first()["url"], depth=40, same_domain=False)
+    return _long(visited.where("found").select("url", "level"))
+
+
+@query(f"SELECT {_WEB_URL} AS url, floor(log2(page_id + 1))::BIGINT AS level FROM pages WHERE page_id < 31")
+def crawl_graph_resumed(spark, sf_dir):
+    """A crawl that stops after three levels and goes on to five."""
+    pages = _page_web(spark, sf_dir)
+    graph = crawl.LinkGraph.build(pages, tables.scratch(spark, "links"))
+    start = pages.where("page_id = 0").first()["url"]
+    graph.crawl(start, depth=2, same_domain=False, name="one")
+    visited = crawl.LinkGraph(spark, graph.path).crawl(start, depth=4, same_domain=False, name="one")
+    return _long(visited.where("found").select("url", "level"))
+
+
+# ---- prompts of a bounded size, and searches by reasoning through the facade
+
+
+@query(f"""WITH {_OUTLINE}, v AS (SELECT doc_name, level, row_number() OVER (PARTITION BY doc_name, level ORDER BY pos) AS k FROM t WHERE level <= 2),
+c AS (SELECT doc_name, string_agg(content, chr(10) ORDER BY pos) AS content, first(title ORDER BY pos) AS title FROM t GROUP BY doc_name)
+SELECT doc_name, count(*)::BIGINT AS n_nodes, true AS within, md5(title || '|' || substring(content, 1, 500)) AS shown_md5 FROM v JOIN c USING (doc_name) WHERE level = 1 OR k <= 5 GROUP BY doc_name, title, content""")
+def packed_prompts(spark, sf_dir):
+    """The first round's prompts at 1500 characters: how many nodes those of a document show together, whether all keep to the
+    budget, and the title and description that they begin with."""
+    docs = corpora.outline(spark, sf_dir)
+    found = tree.nodes(markdown.sections(docs)).withColumn("summary", F.substring("raw_content", 1, 200))
+    told = docs.withColumn("description", F.col("content")).join(markdown.titles(docs), "doc_name")
+    prompts = reasoning.view_prompts(tree.high_level_view(found), "candidates", "q", ["doc_name"], told, budget=1500)
+    read = F.from_json("prompt", "title string, description string, nodes array<struct<node_id:string>>")
+    each = prompts.select("doc_name", F.length("prompt").alias("size"), read.alias("p"))
+    return each.groupBy("doc_name").agg(F.sum(F.size("p.nodes")).cast("long").alias("n_nodes"), (F.max("size") <= 1500).alias("within"), F.md5(F.concat_ws("|", F.min("p.title"), F.min("p.description"))).alias("shown_md5"))
+
+
+@query("")
+def reasoning_mode(spark, sf_dir):
+    """A search by reasoning alone, through the facade."""
+    kb = KnowledgeBase.of(corpora.outline(spark, sf_dir))
+    return kb.search("machinery of nation 3", mode="reasoning").select("doc_name", "node_id", "title", F.round("final_score", 6).alias("final_score"), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

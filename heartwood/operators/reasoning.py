@@ -1,7 +1,7 @@
 """Search by a completer that reads the tree: candidates from a high-level view, then a look below each one.
 
-Prompts are JSON objects, one for each query and document (never one for all documents), asked in Arrow batches on the
-executors. A reply's JSON is parsed strictly; what isn't JSON gives no rows, a missing reply gives the fallback.
+Prompts are JSON objects of a bounded size, one or more for each query and document (never one for all documents), asked in
+Arrow batches on the executors. A reply's JSON is parsed strictly; what isn't JSON gives no rows, a missing reply gives the fallback.
 """
 
 from __future__ import annotations
@@ -28,24 +28,51 @@ def _ask(prompts: DataFrame, by: Completer) -> DataFrame:
     return kept(completed(prompts, by))
 
 
-def _view_prompts(view: DataFrame, task: str, query: str, keys: list[str], limit: int | None = None) -> DataFrame:
-    one = F.struct("pos", "node_id", "title", "summary")
-    listed = view.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("nodes"))
-    nodes = F.transform("nodes", lambda n: F.struct(n["node_id"].alias("node_id"), n["title"].alias("title"), n["summary"].alias("summary")))
-    return listed.select(*keys, F.to_json(F.struct(F.lit(task).alias("task"), F.lit(query).alias("query"), *[F.col(k) for k in keys], nodes.alias("nodes"))).alias("prompt"))
+#: Characters of a prompt at most, of a title and of a description that it shows; three characters count as a token.
+BUDGET, TITLE, DESCRIPTION = 24_000, 300, 500
 
 
-def candidates(tree: DataFrame, query: str, by: Completer) -> DataFrame:
+def view_prompts(view: DataFrame, task: str, query: str, keys: list[str], docs: DataFrame | None = None, description: int = DESCRIPTION, budget: int = BUDGET) -> DataFrame:
+    """The keys (doc_name first), part and prompt: a view's nodes in as many prompts as the budget asks for, in document order
+    and each in one of them. docs: title and description of documents, which every prompt of a document begins with.
+
+    Where a node goes follows from how much stands before it, so that no task holds more than one prompt's nodes."""
+    shown = [c for c in ("level", "has_children", "line_range") if c in view.columns]
+    cut = view.select(*keys, "pos", F.struct("node_id", F.substring("title", 1, TITLE).alias("title"), *shown, "summary").alias("node"))
+    about = [F.lit(task).alias("task"), F.lit(query).alias("query"), *[F.col(k) for k in keys]]
+    if docs is not None:
+        told = docs.select("doc_name", F.substring("title", 1, TITLE).alias("doc_title"), F.substring(F.coalesce("description", F.lit("")), 1, description).alias("description"))
+        cut = cut.join(told, "doc_name", "left")
+        about += [F.col("doc_title").alias("title"), F.col("description")]
+    else:
+        cut = cut.withColumns({"doc_title": F.lit(None).cast("string"), "description": F.lit(None).cast("string")})
+    head, size = F.length(F.to_json(F.struct(*about))) + 64, F.length(F.to_json("node")) + 1
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_size").over(group.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A part takes what begins within its room; the last of it may go over that by its own size.
+    sized = cut.withColumn("_size", size).withColumn("_room", F.greatest(F.lit(budget) - head - F.max("_size").over(group), F.lit(1)))
+    parts = sized.withColumn("part", F.floor(before / F.col("_room")).cast("int"))
+    listed = parts.groupBy(*keys, "part", "doc_title", "description").agg(F.sort_array(F.collect_list(F.struct("pos", "node"))).alias("nodes"))
+    return listed.select(*keys, "part", F.to_json(F.struct(*about, "part", F.transform("nodes", lambda n: n["node"]).alias("nodes"))).alias("prompt"))
+
+
+def place(part: Column, i: Column) -> Column:
+    """The place of a reply's entry among those of all parts."""
+    return part.cast("long") * 1_000_000 + i
+
+
+def candidates(tree: DataFrame, query: str, by: Completer, docs: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:
     """doc_name, node_id, relevance, reason: what the completer picks from each document's roots and their first children.
-    Without a reply, the document's first roots at 0.5."""
-    asked = _ask(_view_prompts(high_level_view(tree), "candidates", query, ["doc_name"]), by)
-    got = asked.where("reply IS NOT NULL").select("doc_name", F.posexplode(parsed(F.col("reply"), f"candidates {NODE_LIST}")["candidates"]).alias("ord", "c"))
-    got = got.select(F.coalesce("c.doc_name", "doc_name").alias("doc_name"), F.col("c.node_id").alias("node_id"), F.coalesce("c.relevance", F.lit(0.5)).alias("relevance"), F.coalesce("c.reason", F.lit("")).alias("reason"), "ord")
-    lost = first_roots(tree.join(asked.where("reply IS NULL").select("doc_name"), "doc_name", "left_semi"))
-    return got.unionByName(lost.select("doc_name", "node_id", "relevance", F.lit("Fallback selection").alias("reason"), F.lit(0).alias("ord")))
+    Without any reply, the document's first roots at 0.5. docs: titles and descriptions to show."""
+    asked = _ask(view_prompts(high_level_view(tree), "candidates", query, ["doc_name"], docs, budget=budget), by)
+    got = asked.where("reply IS NOT NULL").select("doc_name", "part", F.posexplode(parsed(F.col("reply"), f"candidates {NODE_LIST}")["candidates"]).alias("i", "c"))
+    got = got.select(F.coalesce("c.doc_name", "doc_name").alias("doc_name"), F.col("c.node_id").alias("node_id"), F.coalesce("c.relevance", F.lit(0.5)).alias("relevance"), F.coalesce("c.reason", F.lit("")).alias("reason"), place(F.col("part"), F.col("i")).alias("ord"))
+    unanswered = asked.groupBy("doc_name").agg(F.count("reply").alias("n")).where("n = 0").select("doc_name")
+    lost = first_roots(tree.join(unanswered, "doc_name", "left_semi"))
+    return got.unionByName(lost.select("doc_name", "node_id", "relevance", F.lit("Fallback selection").alias("reason"), F.lit(0).cast("long").alias("ord")))
 
 
-def deep_search(found: DataFrame, tree: DataFrame, query: str, by: Completer) -> DataFrame:
+def deep_search(found: DataFrame, tree: DataFrame, query: str, by: Completer, budget: int = BUDGET) -> DataFrame:
     """doc_name, node_id, title, score, reasoning, ord: leaves pass as they are; for other candidates the completer picks
     nodes up to three levels below. An id it makes up stands for the candidate at 0.8 of its relevance, a missing reply
     for the candidate itself, an empty choice for nothing. Unknown candidates are left out; equal ones stay."""
@@ -53,9 +80,10 @@ def deep_search(found: DataFrame, tree: DataFrame, query: str, by: Completer) ->
     leaves = known.where("pos = last_pos").select("doc_name", "node_id", "title", F.col("relevance").alias("score"), F.col("reason").alias("reasoning"), "ord")
     inner = known.where("pos < last_pos").select("doc_name", F.col("node_id").alias("of_id"), F.col("title").alias("_title"), "relevance", "reason", "ord")
     view = below(inner.select("doc_name", F.col("of_id").alias("node_id")), tree, 3).withColumn("summary", F.substring("summary", 1, 200))
-    asked = _ask(_view_prompts(view, "select", query, ["doc_name", "of_id"]), by)
+    asked = _ask(view_prompts(view.drop("level"), "select", query, ["doc_name", "of_id"], budget=budget), by)
     replies = inner.join(asked.select("doc_name", "of_id", "reply"), ["doc_name", "of_id"])
-    lost = replies.where("reply IS NULL").select("doc_name", F.col("of_id").alias("node_id"), F.col("_title").alias("title"), F.col("relevance").alias("score"), F.col("reason").alias("reasoning"), "ord")
+    unanswered = asked.groupBy("doc_name", "of_id").agg(F.count("reply").alias("n")).where("n = 0").select("doc_name", "of_id")
+    lost = inner.join(unanswered, ["doc_name", "of_id"]).select("doc_name", F.col("of_id").alias("node_id"), F.col("_title").alias("title"), F.col("relevance").alias("score"), F.col("reason").alias("reasoning"), "ord")
     picked = replies.where("reply IS NOT NULL").select("*", F.explode(parsed(F.col("reply"), f"selected_nodes {NODE_LIST}")["selected_nodes"]).alias("s"))
     names = tree.select("doc_name", F.col("node_id").alias("_id"), F.col("title").alias("_of_id"))
     picked = picked.withColumn("_id", F.col("s.node_id")).join(names, ["doc_name", "_id"], "left")
@@ -73,26 +101,26 @@ def ranked(hits: DataFrame, max_results: int | None, min_relevance: float | None
     return good.withColumn("rank", F.row_number().over(Window.orderBy(*order)) if max_results is not None else F.row_number().over(Window.partitionBy("doc_name").orderBy(*order)))
 
 
-def tree_search(tree: DataFrame, query: str, by: Completer, max_results: int = 10, min_relevance: float = 0.3) -> DataFrame:
+def tree_search(tree: DataFrame, query: str, by: Completer, max_results: int = 10, min_relevance: float = 0.3, docs: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:
     """The two rounds: candidates, then nodes below them; the best max_results of min_relevance or more. The tree's
     structure, without contents, is read several times and so written down once."""
     tree = kept(tree.select("doc_name", "pos", "last_pos", "parent_pos", "depth", "node_id", "title", "summary"))
-    return ranked(deep_search(candidates(tree, query, by), tree, query, by), max_results, min_relevance)
+    return ranked(deep_search(candidates(tree, query, by, docs, budget), tree, query, by, budget), max_results, min_relevance)
 
 
-def single_round_search(tree: DataFrame, query: str, by: Completer, max_results: int | None = 5) -> DataFrame:
-    """One prompt for each document over its nodes to depth 3; no least relevance applies."""
-    asked = _ask(_view_prompts(enhanced_view(tree), "candidates", query, ["doc_name"]), by)
-    got = asked.select("doc_name", F.posexplode(F.coalesce(parsed(F.col("reply"), f"candidates {NODE_LIST}, node_list {NODE_LIST}")["node_list"], parsed(F.col("reply"), f"candidates {NODE_LIST}")["candidates"])).alias("ord", "c"))
-    got = got.select(F.coalesce("c.doc_name", "doc_name").alias("doc_name"), F.col("c.node_id").alias("node_id"), F.coalesce("c.relevance", F.lit(0.5)).alias("score"), F.coalesce("c.reason", F.lit("")).alias("reasoning"), "ord")
+def single_round_search(tree: DataFrame, query: str, by: Completer, max_results: int | None = 5, docs: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:
+    """One round over each document's nodes to depth 3; no least relevance applies. docs: titles and descriptions to show."""
+    asked = _ask(view_prompts(enhanced_view(tree), "candidates", query, ["doc_name"], docs, 300, budget), by)
+    got = asked.select("doc_name", "part", F.posexplode(F.coalesce(parsed(F.col("reply"), f"candidates {NODE_LIST}, node_list {NODE_LIST}")["node_list"], parsed(F.col("reply"), f"candidates {NODE_LIST}")["candidates"])).alias("i", "c"))
+    got = got.select(F.coalesce("c.doc_name", "doc_name").alias("doc_name"), F.col("c.node_id").alias("node_id"), F.coalesce("c.relevance", F.lit(0.5)).alias("score"), F.coalesce("c.reason", F.lit("")).alias("reasoning"), place(F.col("part"), F.col("i")).alias("ord"))
     known = got.join(tree.select("doc_name", "node_id", "title"), ["doc_name", "node_id"])
     return ranked(known.select("doc_name", "node_id", "title", "score", "reasoning", "ord"), max_results, None)
 
 
-def search_with_fallback(tree: DataFrame, query: str, by: Completer, max_results: int = 10, min_relevance: float = 0.3) -> DataFrame:
+def search_with_fallback(tree: DataFrame, query: str, by: Completer, max_results: int = 10, min_relevance: float = 0.3, docs: DataFrame | None = None) -> DataFrame:
     """The two rounds, and where they find nothing at all, one round over the whole trees."""
-    found = kept(tree_search(tree, query, by, max_results, min_relevance))
-    return single_round_search(tree, query, by, max_results) if found.isEmpty() else found
+    found = kept(tree_search(tree, query, by, max_results, min_relevance, docs))
+    return single_round_search(tree, query, by, max_results, docs) if found.isEmpty() else found
 
 
 def summarised(tree: DataFrame, by: Completer) -> DataFrame:

@@ -118,7 +118,7 @@ class KnowledgeBase:
             hits = self.vector_hits(query, s.max_results, s.vector.threshold)
             return fusion.fuse(hits, _no_reasoning(hits), s.max_results, 1.0, 1.0)
         if mode == "reasoning":
-            found = reasoning.tree_search(self.nodes, query, self.ask, s.max_results, s.min_relevance)
+            found = reasoning.tree_search(self.nodes, query, self.ask, s.max_results, s.min_relevance, self.docs)
             return fusion.fuse(_no_vectors(found), found, s.max_results, 1.0, 1.0)
         if mode != "hybrid":
             raise ValueError(f"unknown mode {mode!r}")
@@ -127,7 +127,7 @@ class KnowledgeBase:
             return self.search(query, "reasoning")
         # Documents of the best hits alone are reasoned about: a semi-join keeps the others' trees out of the prompts.
         near = self.nodes.join(hits.where(F.col("rank") <= s.reasoning.max_candidates).select("doc_name").distinct(), "doc_name", "left_semi")
-        found = reasoning.tree_search(near, query, self.ask, s.reasoning.max_candidates, s.min_relevance)
+        found = reasoning.tree_search(near, query, self.ask, s.reasoning.max_candidates, s.min_relevance, self.docs)
         return fusion.fuse(hits, found, s.max_results, s.hybrid.vector_weight, s.hybrid.reasoning_weight)
 
     def contexts(self, hits: DataFrame) -> DataFrame:

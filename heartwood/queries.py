@@ -367,8 +367,9 @@ def crawl_levels(spark, sf_dir):
 
 @query
 def crawl_counts(spark, sf_dir):
-    pages = _linked_pages(spark, sf_dir)
-    return crawl.crawl_statistics(crawl.crawl(pages, "http://web.test/n/0", depth=4), pages)
+    graph = crawl.LinkGraph.build(_linked_pages(spark, sf_dir), tables.scratch(spark, "links"))
+    graph.crawl("http://web.test/n/0", depth=4)
+    return graph.statistics()
 
 
 @query

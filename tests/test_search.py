@@ -319,3 +319,26 @@ def test_streamed_windows_equal_batch_windows(spark, sf_dir, tmp_path):
     q.awaitTermination()
     rows = lambda df: sorted((r["window_start"], r["event_type"], r["n"], round(r["total"], 4)) for r in df.collect())
     assert rows(spark.table("event_windows")) == rows(upsert.event_counts(events))
+
+
+def test_prompts_keep_to_the_budget_and_show_every_node(spark):
+    content = "# Top\n" + "\n".join(f"## Part {i} \"quoted\"\nsome text {i} " + "x" * (i * 7 % 90) for i in range(300))
+    docs = spark.createDataFrame([("a", content), ("b", "# One\ntext"), ("c", "")], "doc_name string, content string")
+    found = tree.nodes(markdown.sections(docs)).withColumn("summary", F.substring("raw_content", 1, 200))
+    told = docs.select("doc_name", F.lit("A title").alias("title"), F.lit("d" * 900).alias("description"))
+    seen: dict = {}
+
+    class Noting:
+        def complete(self, prompts):
+            return [json.dumps({"node_list": [{"node_id": n["node_id"], "relevance": 0.5 if n["node_id"] != "0290" else 0.9} for n in json.loads(p)["nodes"]]}) for p in prompts]
+
+    prompts = reasoning.view_prompts(tree.enhanced_view(found), "candidates", "q", ["doc_name"], told, 300, 2500).collect()
+    for r in prompts:
+        p = json.loads(r["prompt"])
+        assert len(r["prompt"]) <= 2500 and p["title"] == "A title" and p["description"] == "d" * 300
+        seen.setdefault(r["doc_name"], []).extend((r["part"], n["node_id"]) for n in p["nodes"])
+    assert [n for _, n in sorted(seen["a"])] == [f"{i:04d}" for i in range(1, 302)] and len(seen["b"]) == len(seen["c"]) == 1
+    assert len({part for part, _ in seen["a"]}) > 5
+    got = reasoning.single_round_search(found, "q", Noting(), 3, told, 2500).collect()
+    assert (got[0]["doc_name"], got[0]["node_id"], got[0]["score"]) == ("a", "0290", 0.9) and len(got) == 3
+    assert reasoning.single_round_search(found, "q", Noting(), None, told, 2500).count() == 303
