@@ -91,8 +91,12 @@ def telling_pairs(docs: list[np.ndarray], labels: np.ndarray, terms: np.ndarray,
     out = np.zeros(len(terms), bool)
     single = apart(docs)
     docs, labels = [docs[i] for i in single], labels[single]
-    every = np.searchsorted(terms, np.concatenate(docs))
-    tried = np.flatnonzero(np.bincount(every, minlength=len(terms)) >= min_docs)
+    every, of_toxic = np.searchsorted(terms, np.concatenate(docs)), np.repeat(labels == 1, [len(d) for d in docs])
+    n, n1 = np.bincount(every, minlength=len(terms)), np.bincount(every[of_toxic], minlength=len(terms))
+    # No other term can tell more about a term's rows than what there is to tell: their number times the entropy of their labels.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        untold = -np.where(n1 > 0, n1 * np.log(n1 / n), 0) - np.where(n > n1, (n - n1) * np.log((n - n1) / n), 0)
+    tried = np.flatnonzero((n >= min_docs) & (untold >= PAIR_EVIDENCE))
     if not len(tried):
         return out
     rows = []
@@ -103,7 +107,7 @@ def telling_pairs(docs: list[np.ndarray], labels: np.ndarray, terms: np.ndarray,
     n1, n0 = (np.bincount(flat[labels[doc] == kind], minlength=len(tried)) for kind in (1, 0))
     order = np.argsort(flat, kind="stable")
     held, first = doc[order], np.searchsorted(flat[order], np.arange(len(tried) + 1))  # the rows of each term
-    for a in np.flatnonzero((n1 > 0) & (n0 > 0)):
+    for a in range(len(tried)):
         of = held[first[a] : first[a + 1]]
         k1, k0 = (np.bincount(np.concatenate([rows[r] for r in of[labels[of] == kind]]), minlength=len(tried)) for kind in (1, 0))
         b = np.flatnonzero(k1 + k0 >= min_docs)
