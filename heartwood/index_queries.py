@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import crawl, markdown, reasoning, tree, vector_index, vectors
-from .oracles import _OUTLINE, ORACLES
+from .operators import crawl, markdown, reasoning, segmented, tree, vector_index, vectors
+from .oracles import _CHATS, _OUTLINE, ORACLES
 from .plans import corpora, incremental
 from .plans.knowledge_base import KnowledgeBase
 from .sources import tables
@@ -170,6 +170,20 @@ def reasoning_mode(spark, sf_dir):
     return kb.search("machinery of nation 3", mode="reasoning").select("doc_name", "node_id", "title", F.round("final_score", 6).alias("final_score"), "source")
 
 
+# ---- one document in many parts
+
+
+@query(f"""WITH {_CHATS}, n AS (SELECT *, substring(doc_name, 6)::BIGINT AS k FROM s),
+g AS (SELECT *, row_number() OVER (ORDER BY k, turn) AS p, sum(n_lines) OVER (ORDER BY k, turn) AS e FROM n)
+SELECT p::BIGINT AS pos, format('{{:04d}}', p) AS node_id, title, level::BIGINT AS level, (e - n_lines + 1)::BIGINT AS start_line, (CASE level WHEN 1 THEN max(e) OVER (PARTITION BY k) ELSE e END)::BIGINT AS end_line,
+CASE level WHEN 2 THEN format('{{:04d}}', min(p) OVER (PARTITION BY k)) END AS parent_id, (level - 1)::BIGINT AS depth, (CASE level WHEN 1 THEN max(p) OVER (PARTITION BY k) ELSE p END)::BIGINT AS last_pos FROM g""")
+def one_document(spark, sf_dir):
+    """The tree of all conversations as one document, each of them a part."""
+    parts = corpora.chats(spark, sf_dir).select(F.lit("all").alias("doc_name"), F.substring("doc_name", 6, 20).cast("long").alias("part"), "content")
+    found = segmented.nodes(segmented.sections(parts))
+    return _long(found.select("pos", "node_id", "title", "level", "start_line", "end_line", "parent_id", "depth", "last_pos"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -24,7 +24,12 @@ def nodes(found: DataFrame, levels: int = LEVELS) -> DataFrame:
     last = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), ignorenulls=True).over(before) for k in every]
     nxt = [F.last(F.when(F.col("level") == k, F.struct("pos", "start_line")), ignorenulls=True).over(after) for k in every]
     out = found.select("*", F.array(*last).alias("_last"))
-    out = out.select("*", F.array(*nxt).alias("_next"), F.max("end_line").over(Window.partitionBy("doc_name")).alias("_total"), F.max("pos").over(Window.partitionBy("doc_name")).alias("_n"))
+    return linked(out.select("*", F.array(*nxt).alias("_next"), F.max("end_line").over(Window.partitionBy("doc_name")).alias("_total"), F.max("pos").over(Window.partitionBy("doc_name")).alias("_n")))
+
+
+def linked(out: DataFrame) -> DataFrame:
+    """Nodes of sections that know the last heading of each level before them (_last: pos, title), the next one behind them
+    (_next: pos, start_line), and their document's lines (_total) and headings (_n)."""
     above = F.slice("_last", 1, F.col("level"))  # the last heading of each smaller level
     # Of these, an ancestor is one that no heading of a smaller level follows.
     live = F.filter(above, lambda x, i: x.isNotNull() & (x["pos"] > F.coalesce(F.array_max(F.transform(F.slice("_last", 1, i), lambda y: y["pos"])), F.lit(0))))
