@@ -184,6 +184,25 @@ def one_document(spark, sf_dir):
     return _long(found.select("pos", "node_id", "title", "level", "start_line", "end_line", "parent_id", "depth", "last_pos"))
 
 
+# ---- crawled pages, saved with their indexes and read again
+
+
+@query("SELECT 'web_' || page_id AS doc_name, 2::BIGINT AS n_nodes, 6::BIGINT AS total_lines, page_id % 7 AS body FROM pages")
+def saved_crawl(spark, sf_dir):
+    """A web of small pages, one for each page of the table: crawled, saved as Markdown and as indexes, and read as index files."""
+    n = F.col("page_id")
+    url = lambda k: F.concat(F.lit("http://web/"), k.cast("string"))
+    a = lambda k: F.concat(F.lit('<a href="'), url(k), F.lit('"></a>'))
+    html = F.concat(F.lit("<title>T"), n.cast("string"), F.lit("</title><h1>H</h1><p>"), (n % 7).cast("string"), F.lit("</p>"), a(2 * n + 1), a(2 * n + 2))
+    pages = corpora.table(spark, sf_dir, "pages").select(url(n).alias("url"), html.alias("html"))
+    kb = KnowledgeBase.of(corpora.outline(spark, sf_dir).limit(0)).crawl(pages, "http://web/0", depth=40, max_pages=10_000_000)
+    path = tables.scratch(spark, "saved_crawl")
+    kb.save_documents(path)
+    docs, nodes = tables.index_files(spark, f"{path}/index")
+    counted = nodes.groupBy("doc_name").agg(F.count("*").alias("n_nodes"), F.max(F.when(F.col("title") == "H", F.regexp_extract("content", "(?s)([0-9]+)\\s*$", 1))).cast("long").alias("body"))
+    return docs.join(counted, "doc_name").select("doc_name", "n_nodes", F.col("total_lines").cast("long").alias("total_lines"), "body")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -195,7 +195,20 @@ c AS (SELECT doc_name, k, CASE WHEN n <= 500 THEN t ELSE regexp_replace(substrin
 # The web of nations: (page number, level) of what a crawl visits, given what it follows and how deep.
 _WEB = """c AS (SELECT 0 AS k, 0 AS level UNION ALL SELECT * FROM (SELECT unnest([2 * k + 1, 2 * k + 2]) AS k, level + 1 AS level FROM c WHERE level < {depth} AND {follows}) WHERE {to})"""
 _FAILS = "k < 25 AND k % 5 <> 4"
-_PAGED = "'page-' || page_id"
+
+# A page's links in order, each once, with the names they have in its table of contents; n of these; and all lines of its document.
+_PAGED = f"""{_PAGES},
+x AS (SELECT *, list_transform(regexp_extract_all(html, '<a href="(/[^"#]*)', 1), lambda y: regexp_extract(url, '^(https?://[^/]*)', 1) || y) AS every_link FROM m),
+y AS (SELECT *, list_filter(every_link, lambda z, i: list_position(every_link, z) = i) AS links FROM x),
+z AS (SELECT *, len(links) AS n, list_transform(links, lambda w: coalesce(nullif(regexp_replace(w, '^.*/', ''), ''), 'top')) AS names FROM y),
+doc AS (
+  SELECT 'page-' || page_id AS doc_name, *, list_transform(names, lambda w, i: CASE WHEN (i - 1) % 3 = 2 THEN 2 ELSE 1 END) AS levels,
+    list_concat(list_concat(list_concat(list_concat(['# Page ' || page_id, '## Contents'], list_transform(links, lambda w, i: CASE WHEN (i - 1) % 3 = 2 THEN '  ' ELSE '' END || '- [' || names[i] || '](' || w || ')')),
+      ['```url', '# ' || url, title, '```']), list_transform(list_filter(names, lambda w, i: i % 2 = 1), lambda w: '## ' || w)), string_split(markdown, chr(10))) AS lines FROM z
+),
+line AS (SELECT doc_name, n, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM doc),
+mark AS (SELECT doc_name, line_no, line, CASE WHEN starts_with(line, '```') THEN 'fence' ELSE 'atx' END AS kind, line_no > n + 3 AND line_no <= n + 6 AS in_code FROM line WHERE regexp_matches(line, '^(```|#{{1,6}}\\s+\\S)'))
+"""
 
 ORACLES: dict[str, str] = {
     "md_lines": """
@@ -331,11 +344,18 @@ ORACLES: dict[str, str] = {
         WITH {_PAGES}, w AS (SELECT page_id, title, {_QUOTES.format("trim(regexp_replace(regexp_replace(" + _without("regexp_extract(html, '<body>(.*)', 1, 's')", 'script', 'style', 'nav', 'footer') + ", '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))")} AS words FROM g)
         SELECT page_id, md5({_STRIP.format("'# ' || title || chr(10) || chr(10) || words")}) AS markdown_md5 FROM w""",
     "page_metadata": "SELECT page_id, unnest(['og_url', 'author']) AS name, unnest([url, 'a' || page_id]) AS value FROM pages",
-    "page_fences": f"SELECT {_PAGED} AS doc_name, unnest([1, 2, 6, 7, 8, 9, 11, 13]) AS line_no, unnest(['atx', 'atx', 'fence', 'atx', 'fence', 'atx', 'atx', 'atx']) AS kind, unnest([false, false, false, true, true, false, false, false]) AS in_code FROM pages",
-    "page_code_blocks": f"SELECT {_PAGED} AS doc_name, 'url' AS language, '# ' || url || chr(10) AS code FROM pages",
-    "page_tocs": f"SELECT {_PAGED} AS doc_name, 'links' AS kind, 2::BIGINT AS start_line, 6::BIGINT AS end_line, 0.6::DOUBLE AS confidence, '1|Place|#place;2|Source|#source;1|Body|#body' AS entries FROM pages",
-    "page_toc_texts": f"SELECT {_PAGED} AS doc_name, '- Place' || chr(10) || '  - Source' || chr(10) || '- Body' AS toc FROM pages",
-    "page_toc_levels": f"SELECT {_PAGED} AS doc_name, unnest([1, 2, 3, 4, 5]) AS pos, unnest(['Page ' || page_id, 'Contents', 'Source', 'Place', 'Body']) AS title, unnest([1, 2, 2, 1, 1]) AS level FROM pages",
+    "page_fences": f"""
+        WITH {_PAGED} SELECT doc_name, line_no::BIGINT AS line_no, kind, in_code FROM mark""",
+    "page_code_blocks": f"""
+        WITH {_PAGED} SELECT doc_name, 'url' AS language, '# ' || url || chr(10) || title || chr(10) AS code FROM doc""",
+    "page_tocs": f"""
+        WITH {_PAGED} SELECT doc_name, 'links' AS kind, 2::BIGINT AS start_line, (n + 3)::BIGINT AS end_line, least(1, n / 5.0)::DOUBLE AS confidence, array_to_string(list_transform(names, lambda w, i: levels[i] || '|' || w || '|' || links[i]), ';') AS entries FROM doc WHERE n >= 3""",
+    "page_toc_texts": f"""
+        WITH {_PAGED} SELECT doc_name, array_to_string(list_transform(names, lambda w, i: repeat('  ', levels[i] - 1) || '- ' || w), chr(10)) AS toc FROM doc WHERE n >= 3""",
+    "page_toc_levels": f"""
+        WITH {_PAGED}, e AS (SELECT doc_name, unnest(names) AS name, unnest(levels) AS level, generate_subscripts(names, 1) AS i FROM doc), k AS (SELECT doc_name, lower(name) AS key, arg_max(level, i) AS level FROM e GROUP BY ALL),
+        h AS (SELECT doc_name, row_number() OVER (PARTITION BY doc_name ORDER BY line_no) AS pos, trim(regexp_replace(line, '^#+', '')) AS title, length(regexp_extract(line, '^#+')) AS level FROM mark WHERE kind = 'atx' AND NOT in_code)
+        SELECT h.doc_name, pos::BIGINT AS pos, title, coalesce(k.level, h.level)::BIGINT AS level FROM h LEFT JOIN k ON k.doc_name = h.doc_name AND k.key = lower(title)""",
     "crawl_failures": f"WITH RECURSIVE {_WEB.format(depth=4, follows=_FAILS, to='true')} SELECT 'http://web.test/n/' || k AS url, level::BIGINT AS level, {_FAILS} AS found FROM c",
     "crawl_failure_counts": f"WITH RECURSIVE {_WEB.format(depth=4, follows=_FAILS, to='true')} SELECT count(*) FILTER ({_FAILS}) AS success_count, count(*) FILTER (NOT ({_FAILS})) AS failed_count, 4 * count(*) FILTER ({_FAILS}) AS total_links FROM c",
     "crawl_capped": "SELECT 'http://web.test/n/' || n_nationkey AS url, floor(log2(n_nationkey + 1))::BIGINT AS level, true AS found FROM nation WHERE n_nationkey < 6",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import html_page
+from ..functions.html import html_links, html_page
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +34,16 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each page: a table of contents and a fenced block made of its URL and title, then its Markdown."""
-    u, made = F.col("url"), html_page(F.col("html"))
-    found = table(spark, sf_dir, "pages").select("page_id", "url", made.alias("p")).select("page_id", "url", F.col("p.title").alias("title"), F.col("p.markdown").alias("markdown"))
-    head = F.concat(
-        F.lit("# Page "), F.col("page_id").cast("string"), F.lit("\n## Contents\n- [Place](#place)\n  - ["), F.lit("Source](#source)\n- [Body](#body)\n```url\n# "), u, F.lit("\n```\n## Source\n"), F.length("title").cast("string"), F.lit("\n### Place\n"), F.lit("text\n## Body\n"),
-    )
-    return found.select(F.format_string("page-%d", "page_id").alias("doc_name"), F.concat(head, F.length("markdown").cast("string")).alias("content"))
+    """A document for each page: a table of contents of the page's own links (every third one a level down), a fenced block with
+    its URL and title, a heading for every other link, and then the page's Markdown as it is."""
+    parsed = table(spark, sf_dir, "pages").select("page_id", "url", html_page(F.col("html")).alias("p"), html_links(F.col("html"), F.col("url")).alias("links"))
+    name = lambda x: F.coalesce(F.nullif(F.regexp_replace(x, "^.*/", ""), F.lit("")), F.lit("top"))
+    entry = lambda x, i: F.concat(F.when(i % 3 == 2, "  ").otherwise(""), F.lit("- ["), name(x), F.lit("]("), x, F.lit(")"))
+    heads = F.transform(F.filter("links", lambda x, i: i % 2 == 0), lambda x: F.concat(F.lit("## "), name(x)))
+    top = F.array(F.concat(F.lit("# Page "), F.col("page_id").cast("string")), F.lit("## Contents"))
+    block = F.array(F.lit("```url"), F.concat(F.lit("# "), "url"), F.coalesce("p.title", F.lit("")), F.lit("```"))
+    lines = F.concat(top, F.transform("links", entry), block, heads, F.array("p.markdown"))
+    return parsed.select(F.format_string("page-%d", "page_id").alias("doc_name"), F.array_join(lines, "\n").alias("content"))
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:

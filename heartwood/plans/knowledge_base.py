@@ -89,6 +89,11 @@ class KnowledgeBase:
         seen = crawling.crawl(pages, start, depth, max_pages).where("found").select("url")
         return self.add(crawling.page_documents(pages.join(seen, "url", "left_semi")))
 
+    def save_documents(self, path: str) -> None:
+        """Each document as Markdown below path/markdown, and its nested index below path/index: as a crawl's pages are kept."""
+        tables.write_markdown(self.docs, f"{path}/markdown")
+        tables.write_indexes(self.docs, self.nodes, f"{path}/index")
+
     def cleared(self) -> KnowledgeBase:
         """Without its vectors; documents and trees stay."""
         return replace(self, node_vectors=self.node_vectors.limit(0), chunk_vectors=self.chunk_vectors.limit(0), vector_index=None)

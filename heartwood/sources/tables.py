@@ -58,9 +58,24 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, tree) of the nested index files (*_index.json) below a folder."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*_index.json", recursiveFileLookup=True)
-    return index_tables(raw.select(_file_name(r"^(.*)_index\.json$").alias("doc_name"), F.col("value").alias("json")))
+    """(documents, tree) of the nested indexes below a folder: files NAME_index.json, and what write_indexes has written."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="{*_index.json,part-*.txt}", recursiveFileLookup=True)
+    # Folders' names are escaped by the writer, and once more where a path is an address.
+    folder = F.url_decode(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "/doc_name=([^/]*)/", 1), "%25", "%"))
+    name = F.coalesce(F.nullif(folder, F.lit("")), _file_name(r"^(.*)_index\.json$"))
+    return index_tables(raw.select(name.alias("doc_name"), F.regexp_replace("value", r"\n\z", "").alias("json")))
+
+
+def write_indexes(docs: DataFrame, tree: DataFrame, path: str, contents: bool = True) -> None:
+    """The nested index of each document, in a folder doc_name=NAME of its own; other documents' folders stay."""
+    nested = nested_json(docs, tree, contents)
+    nested.repartition("doc_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_name").text(path)
+
+
+def write_markdown(docs: DataFrame, path: str) -> None:
+    """The Markdown of each document, in a folder doc_name=NAME of its own; other documents' folders stay."""
+    texts = docs.select("doc_name", F.coalesce("content", F.lit("")).alias("content"))
+    texts.repartition("doc_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_name").text(path)
 
 
 def index_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:

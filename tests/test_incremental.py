@@ -69,3 +69,18 @@ def test_partial_syncs_delete_nothing_and_halves_are_not_seen(spark, tmp_path):
     told = store.sync(spark.createDataFrame([], DOCS))
     assert (told["added"], told["changed"], told["deleted"]) == (0, 0, 3)
     assert store.base().nodes.count() == 0 and store.totals()["nodes"] == 0
+
+
+def test_documents_saved_and_read_as_files(spark, tmp_path):
+    from heartwood.sources import tables
+
+    docs = spark.createDataFrame([("a b%20c", "# T \"q\"\n## S\nline\n\nend"), ("é", "text")], DOCS)
+    kb = KnowledgeBase.of(docs)
+    kb.save_documents(str(tmp_path / "x"))
+    found, nodes = tables.index_files(spark, str(tmp_path / "x" / "index"))
+    assert sorted(r[0] for r in found.select("doc_name").collect()) == ["a b%20c", "é"]
+    want = kb.nodes.select("doc_name", "node_id", "title", "content")
+    assert rows_of(nodes.select("doc_name", "node_id", "title", "content")) == rows_of(want)
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "one_index.json").write_text(tables.nested_json(kb.docs, kb.nodes, True).where("doc_name = 'é'").first()["json"], encoding="utf-8")
+    assert [r["doc_name"] for r in tables.index_files(spark, str(tmp_path / "y"))[0].collect()] == ["one"]
