@@ -2,7 +2,8 @@
 
 Three base patterns find assignments, access keys and long hexadecimal runs anywhere in a text. On top
 of them a lexer reads source and configuration syntax into name-literal pairs (``name = "value"``,
-``"name": "value"``, ``name: value``, ``export NAME=value``, ``<name>value</name>``, also after a level or a key: ``INFO: NAME=value``), carries constants
+``"name": "value"``, ``name: value``, ``export NAME=value``, ``<name>value</name>``, also after a level or a key: ``INFO: NAME=value``;
+subscripts, calls with a name and a value, attributes, strings and blocks over several lines, several names at once), carries constants
 from the names they are bound to into later names (bare, ``$NAME`` and ``${NAME}``), and scores every literal by the sensitivity of the
 name it reaches. Null texts count as empty; an empty text has no spans. Rows are scored one by one, so
 repeated rows and ties get equal results, and other columns pass through untouched.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,12 +40,29 @@ THRESHOLD = 0.45
 
 NAME = r"(?<![A-Za-z0-9_.\-])[A-Za-z_][A-Za-z0-9_.\-]*+"
 REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.\-]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
+STRING = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'"""
 PAIR = re.compile(
     rf"""(?P<q>["']?)(?P<name>{NAME})(?P=q)(?:\x20*:\x20*(?P<type>[A-Za-z_][A-Za-z0-9_\[\]]*+))?[\x20\t]*(?P<sep>:=|=>|[:=])[\x20\t]*"""
-    rf"""(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|(?:\$\{{[A-Za-z_][A-Za-z0-9_.\-]*\}}|[A-Za-z0-9+/_.=~!@$%^&*-])+)(?P<more>(?:[\x20\t]*\+[\x20\t]*(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{NAME}))*)"""
+    rf"""(?P<value>(?:{STRING})(?:[\x20\t]+(?:{STRING}))*|(?:\$\{{[A-Za-z_][A-Za-z0-9_.\-]*\}}|[A-Za-z0-9+/_.=~!@$%^&*-])+)(?P<more>(?:[\x20\t]*\+[\x20\t]*(?:{STRING}|{NAME}))*)"""
     rf"""|<(?P<tag>{NAME})>(?P<inner>[^<>\n]+)</(?P=tag)>"""
 )
-PART = re.compile(rf""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{NAME}""")
+PART = re.compile(rf"{STRING}|{NAME}")
+BARE = r"[A-Za-z0-9+/_.=~!@$%^&*-]+"
+#: Other syntaxes that bind a name to a literal: subscripts, calls with a name and a value, attributes, elements with attributes,
+#: definitions on a command line, and calls around a literal.
+FORMS = re.compile(
+    rf"""\[[\x20]*["'](?P<key>{NAME})["'][\x20]*\][\x20]*(?::=|=>|=)[\x20]*(?P<of_key>{STRING}|{BARE})"""
+    rf"""|\([\x20]*["'](?P<argument>{NAME})["'][\x20]*,[\x20]*(?P<of_argument>{STRING})"""
+    rf"""|\b(?:key|name)=["'](?P<attribute>{NAME})["'][\x20\t\n]+value=(?P<of_attribute>{STRING})"""
+    rf"""|<(?P<element>{NAME})\s[^<>]*+>(?P<of_element>[^<>]++)</(?P=element)>"""
+    rf"""|(?<![\w-])-D(?P<define>[A-Za-z_][A-Za-z0-9_.\-]*+)=(?P<of_define>{STRING}|{BARE})"""
+    rf"""|(?P<called>{NAME})[\x20]*(?::=|=)[\x20]*[A-Za-z_][A-Za-z0-9_.]*+\([\x20]*(?P<of_called>{STRING})"""
+)
+#: Where strings over several lines begin, blocks of indented lines, and names that several values are given to.
+LONG_STRING = re.compile(rf"""(?P<name>{NAME})["']?[\x20\t]*(?::=|[:=])[\x20\t]*[rbfuRBFU]{{0,2}}(?P<quote>\"""|\'\'\'|`)""")
+BLOCK = re.compile(rf"""^[\x20]*(?:-[\x20]+)?["']?(?P<name>{NAME})["']?:[\x20]*[|>][+-]?[0-9]?[\x20]*$""", re.MULTILINE)
+SEVERAL = re.compile(rf"""(?<!,)(?<!,\x20)(?P<names>{NAME}(?:[\x20]*,[\x20]*{NAME})++)[\x20]*=[\x20]*(?P<values>(?:{STRING}|[A-Za-z0-9_.+-]+)(?:[\x20]*,[\x20]*(?:{STRING}|[A-Za-z0-9_.+-]+))+)""")
+SEVERAL_VALUES = re.compile(rf"{STRING}|[A-Za-z0-9_.+-]+")
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 MANY = 1_000_000
 
@@ -134,15 +152,67 @@ def unquoted(raw: str) -> str:
     return raw[1:-1] if len(raw) > 1 and raw[0] in "\"'" and raw[-1] == raw[0] else raw
 
 
+def other_pairs(text: str) -> list[tuple[int, str, list[tuple[int, int]]]]:
+    """(end, name, spans of its literal's parts) of the syntaxes of FORMS and of those that a single expression doesn't read."""
+    out = []
+    for m in FORMS.finditer(text):
+        kind = next(k for k in ("key", "argument", "attribute", "element", "define", "called") if m[k])
+        s, e = m.span(f"of_{kind}")
+        quoted = m[f"of_{kind}"][0] in "\"'" and kind != "element"
+        out.append((m.end(), m[kind], [(s + quoted, e - quoted)]))
+    unclosed = set()
+    at = 0
+    while m := LONG_STRING.search(text, at):
+        quote, at = m["quote"], m.end()
+        end = -1 if quote in unclosed else text.find(quote, at)
+        if end < 0:  # nor is any later one closed
+            unclosed.add(quote)
+            continue
+        out.append((end, m["name"], [(at, end)]))
+        at = end + len(quote)
+    for m in BLOCK.finditer(text):
+        column = m.start("name") - m.start() - (text[m.start("name") - 1] in "\"'")
+        parts, s = [], m.end() + 1
+        while s < len(text):
+            e = text.find("\n", s)
+            e = len(text) if e < 0 else e
+            line = text[s:e]
+            if line.strip() and len(line) - len(line.lstrip(" ")) <= column:
+                break
+            if line.strip():
+                parts.append((s + len(line) - len(line.lstrip()), s + len(line.rstrip())))
+            s = e + 1
+        out.append((s, m["name"], parts))
+    for m in SEVERAL.finditer(text):
+        for name, v in zip(re.findall(NAME, m["names"]), SEVERAL_VALUES.finditer(m["values"])):
+            quoted = v[0][0] in "\"'"
+            s = m.start("values") + v.start() + quoted
+            out.append((m.end(), name, [(s, s + len(v[0]) - 2 * quoted)]))
+    return sorted(out, key=lambda x: x[0])
+
+
 def lexed_spans(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name, directly or through constants."""
-    if not any(c in text for c in "=:<"):
+    if not any(c in text for c in "=:<("):
         return []
     literals: dict[str, Value] = {}
     aside: dict[str, Value] = {}  # of names after a colon: types, maybe, which bare names aren't taken for
     values: list[Value] = []
     at, inside = 0, 0
-    while m := PAIR.search(text, at):
+    others = deque(other_pairs(text))
+    while (m := PAIR.search(text, at)) or others:
+        if others and (m is None or others[0][0] <= m.start()):
+            # Names are known from where their pair ends.
+            _, name, spans = others.popleft()
+            value = Value()
+            for s, e in spans:
+                value.add(text, s, e)
+            literals[name] = value
+            score = sensitivity(name)
+            score = score * strength(value) if score else 0.0
+            value.score = score if score >= THRESHOLD else 0.0
+            values.append(value)
+            continue
         known = aside if m.start() < inside else literals
         # What looks like a type or a bare value may be the name of a pair of its own: `INFO: NAME=value`, `a = NAME = value`.
         at = inside = m.end()
@@ -154,7 +224,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, float]]:
         else:
             name, raw = m["name"], m["value"]
             quoted = raw[0] in "\"'"
-            parts = [(unquoted(raw), m.start("value") + quoted, quoted)]
+            parts = [(unquoted(p[0]), m.start("value") + p.start() + 1, True) for p in PART.finditer(raw)] if quoted else [(raw, m.start("value"), False)]
             parts += [(unquoted(p[0]), m.start("more") + p.start() + (p[0][0] in "\"'"), p[0][0] in "\"'") for p in PART.finditer(m["more"] or "")]
         value = Value()
         plain = 0.0
@@ -185,7 +255,13 @@ def lexed_spans(text: str) -> list[tuple[int, int, float]]:
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
     """Base spans, and those that only the lexer finds (none that lies inside a base span)."""
     base = base_spans(text)
-    return base, [x for x in lexed_spans(text) if not any(s <= x[0] and x[1] <= e for s, e, _ in base)]
+    lexed, i, reach = [], 0, -1
+    for x in lexed_spans(text):
+        while i < len(base) and base[i][0] <= x[0]:
+            reach, i = max(reach, base[i][1]), i + 1
+        if x[1] > reach:
+            lexed.append(x)
+    return base, lexed
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])

@@ -350,6 +350,53 @@ def test_quality_keeps_clean_documents(spark, sf_dir):
     assert judged[judged["quality"] == 1]["kept"].mean() > 0.97 and judged[judged["quality"] == 0]["kept"].mean() < 0.2
 
 
+SYNTAXES = [
+    'os.environ["DB_PWD"] = "{}"', "config['db_pwd'] := '{}'", 'setenv("DB_PWD", "{}")', '<add key="DbPwd" value="{}"/>', '<DbPwd attr="1">{}</DbPwd>', "db_pwd: >-\n  {}\nnext: 1",
+    'db_pwd = """{}"""', "db_pwd = r\'\'\'\n{}\n\'\'\'", "const dbPwd = `{}`", 'db_pwd, x = "{}", 1', 'x, db_pwd = 1, "{}"', 'db_pwd = f("{}")', "java -Ddb.pwd={} -jar x",
+    'K = """{}"""\ndb_pwd = K', 'opts["k"] = "{}"\ndb_pwd = opts', '- db_pwd: |\n    {}\n  other: y',
+]
+
+
+@pytest.mark.parametrize("syntax", SYNTAXES)
+def test_literals_in_many_syntaxes(syntax):
+    """A literal with a sensitive name is found in each syntax, alone and in a program; with a plain name it isn't."""
+    from heartwood.llm import secrets
+
+    literal = "tR5!kk91Qz_x7Lm"
+    for before, after in [("", ""), ("def f(x):\n    return x\n", "\nend = 1\n")]:
+        text = before + syntax.replace("{}", literal) + after
+        base, lexed = secrets.scan(text)
+        found = {text[s:e].strip() for s, e, _ in lexed}
+        if "opts" in syntax:  # what a subscript holds isn't what the whole is
+            assert not found
+        else:
+            assert found == {literal}, text
+        plain = text.replace("DB_PWD", "DB_COLOR").replace("db_pwd", "db_color").replace("DbPwd", "DbColor").replace("dbPwd", "dbColor").replace("db.pwd", "db.color")
+        assert not secrets.scan(plain)[1]
+
+
+def test_adjacent_literals_are_one_value():
+    from heartwood.llm import secrets
+
+    text = 'db_pwd = "tR5!kk" "91Qz_x"'
+    assert [text[s:e] for s, e, _ in secrets.scan(text)[1]] == ["tR5!kk", "91Qz_x"]
+
+
+def test_scanning_takes_time_in_proportion():
+    import time
+
+    from heartwood.llm import secrets
+
+    def seconds(n):
+        text = "\n".join(f"password=tR5!kk91Qz{i}" for i in range(n)) + "\nx: |\n" + " y\n" * n + "a," * n + "<a " * n + "\n".join(f"k{i} = \'\'\'z" for i in range(n)) + "[ 'a' ] " * n
+        began = time.perf_counter()
+        assert len(secrets.scan(text)[0]) == n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 12 * max(0.2, seconds(4000))
+
+
 # ---- licenses
 
 
