@@ -110,3 +110,18 @@ def ranked(df: DataFrame, order: list[Column | str], into: str) -> DataFrame:
     names = [unused(c, [*df.columns, at]) for c in starts.columns]
     placed = kept.join(F.broadcast(starts.toDF(*names)), part == F.col(names[0]))
     return placed.withColumn(into, F.col(names[1]) + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(at, *names)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text's UTF-8 bytes, which SQL has no function for: a fold over them, with the table
+    of what a byte does to the register (reflected polynomial 0xEDB88320)."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        table.append(c)
+    u = "unicode(c)"
+    last = lambda k: f"128 + (({u} >> {6 * k}) & 63)"
+    of_char = f"CASE WHEN {u} < 128 THEN [{u}] WHEN {u} < 2048 THEN [192 + ({u} >> 6), {last(0)}] WHEN {u} < 65536 THEN [224 + ({u} >> 12), {last(1)}, {last(0)}] ELSE [240 + ({u} >> 18), {last(2)}, {last(1)}, {last(0)}] END"
+    data = f"flatten(list_transform(string_split({text}, ''), lambda c: {of_char}))::BIGINT[]"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"

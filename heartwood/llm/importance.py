@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, ranked, stored, text_or_empty, unused
+from .common import crc32_sql, mapped, ranked, stored, text_or_empty, unused
 
 BUCKETS, ORDER = 10_000, 3
 #: Percent of the documents of at least LEAST_WORDS words that are drawn.
@@ -210,3 +210,22 @@ def selected(docs: DataFrame, target: DataFrame, **how) -> DataFrame:
     """The rows of docs that are drawn; ids must tell rows apart (where they don't, all rows of a drawn id stay)."""
     drawn = resampled(docs, target, **how).where("rank IS NOT NULL").select(F.col("doc_id").alias("_drawn")).distinct()
     return docs.join(drawn, docs["doc_id"].cast("long").eqNullSafe(F.col("_drawn")), "left_semi")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_GRAMS = "list_concat(list_concat(ws, list_transform(ws[:-2], lambda w, i: w || ' ' || ws[i + 1])), list_transform(ws[:-3], lambda w, i: w || ' ' || ws[i + 1] || ' ' || ws[i + 2]))"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT {_WORDS} AS ws FROM benchmark),
+grams AS (SELECT 0 AS r, unnest({_GRAMS}) AS f FROM b
+  UNION ALL SELECT r, unnest({_GRAMS}) FROM d),
+g AS (SELECT r, f, count(*) AS n FROM grams GROUP BY ALL),
+u AS (SELECT f, {crc32_sql('f')} % 10000 AS bucket FROM (SELECT DISTINCT f FROM g)),
+s AS (SELECT bucket, sum(n) FILTER (r > 0) AS s, sum(n) FILTER (r = 0) AS t FROM g JOIN u USING (f) GROUP BY bucket),
+tot AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM s),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain FROM s, tot),
+w AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM g JOIN u USING (f) JOIN gain USING (bucket) WHERE r > 0 GROUP BY r),
+e AS (SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substring(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (r)),
+k AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place, count(*) FILTER (n_words >= 20) OVER () AS many FROM e)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= many * 5 // 100 THEN place END::BIGINT AS rank, n_words::BIGINT AS n_words FROM k
+"""

@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_lm_scores": lm.ORACLE}
+    return {"op6_lm_scores": lm.ORACLE, "op11_suffix_dedup": repeats.ORACLE, "op12_importance_resampling": importance.ORACLE, "op13_spelling_variants": variants.ORACLE}

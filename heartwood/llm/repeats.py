@@ -445,3 +445,21 @@ def repeat_digest(docs: DataFrame) -> DataFrame:
     found = without_repeats(docs)
     n_bytes: Column = F.octet_length("text").cast("long")
     return found.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows are cut out of pieces of 200 bytes and what follows: on long strings of digits, each cut would read the whole.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, len(h) // 2 AS n, h, unnest(range(0, (len(h) // 2 - 100) // 200 + 1)) AS b FROM d WHERE len(h) >= 200),
+t AS MATERIALIZED (SELECT r, b, least(200, n - 99 - 200 * b) AS m, substring(h, 400 * b + 1, 598) AS t FROM b),
+i AS (SELECT r, b, t, unnest(range(0, m)) AS j FROM t),
+w AS MATERIALIZED (SELECT r, 200 * b + j AS i, md5_number(substring(t, 2 * j + 1, 200)) AS w FROM i),
+g AS (SELECT w, min((r, i)) AS first FROM w GROUP BY w HAVING count(*) > 1),
+s AS (SELECT r, i FROM w JOIN g USING (w) WHERE (r, i) <> first),
+p AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM s),
+q AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM p),
+span AS (SELECT r, k, min(i) AS s, max(i) + 100 AS e FROM q GROUP BY ALL),
+piece AS (SELECT d.r, k, substring(h, 2 * lag(e, 1, 0) OVER (PARTITION BY d.r ORDER BY k) + 1, 2 * (s - lag(e, 1, 0) OVER (PARTITION BY d.r ORDER BY k))) AS x, s, e FROM span JOIN d USING (r)),
+own AS (SELECT r, string_agg(x, '' ORDER BY k) AS x, sum(e - s) AS gone, count(*) AS n, max(e) AS last FROM piece GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(x, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN own USING (r)
+"""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, stored, text_or_empty
+from .common import crc32_sql, mapped, stored, text_or_empty
 
 LEAST_CHARS, LEAST_COUNT, FACTOR = 7, 2, 10
 #: One in so many occurrences loses a code point.
@@ -191,3 +191,23 @@ def variants(docs: DataFrame, factor: int = FACTOR, bits: int = FILTER_BITS, **h
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("_on"))
         steps = stored(steps.join(on, "root", "left").select("word", F.coalesce("_on", "root").alias("root")), f"roots{k}")
     return formed.join(steps, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+ORACLE = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT doc, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, n, {crc32_sql("doc || ':' || run")} AS h FROM d),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+x AS (SELECT word, n, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b FROM i),
+near AS (
+  SELECT p.word, p.n, q.word AS other, q.n AS m FROM x p JOIN x q ON p.a = q.a AND p.b = q.b AND p.word <> q.word
+  UNION SELECT x.word, x.n, v.word, v.n FROM x JOIN v ON v.word = a || b
+  UNION SELECT v.word, v.n, x.word, x.n FROM x JOIN v ON v.word = a || b
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN k ON k.word = v.word AND k.k = 1),
+r AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.up)
+SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN r ON r.word = f.word AND r.up IS NULL
+"""

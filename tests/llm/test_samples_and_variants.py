@@ -150,3 +150,10 @@ def test_variants_with_chains_nulls_and_long_words(spark):
     for bits in (variants.FILTER_BITS, 3):  # the second lets nearly everything pass to the join
         assert sorted(tuple(r) for r in variants.variants(docs, bits=bits).select("word", "form", "root", "n", "n_near", "form_n").collect()) == want
     assert variants.variants(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op11_suffix_dedup", "op12_importance_resampling", "op13_spelling_variants"])
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    from compare import expected, got
+
+    assert got(queries.queries()[name](spark, sf_dir)) == expected(queries.oracle_sql()[name], sf_dir)
