@@ -354,7 +354,7 @@ ORACLES: dict[str, str] = {
         WITH {_PAGED} SELECT doc_name, array_to_string(list_transform(names, lambda w, i: repeat('  ', levels[i] - 1) || '- ' || w), chr(10)) AS toc FROM doc WHERE n >= 3""",
     "page_toc_levels": f"""
         WITH {_PAGED}, e AS (SELECT doc_name, unnest(names) AS name, unnest(levels) AS level, generate_subscripts(names, 1) AS i FROM doc), k AS (SELECT doc_name, lower(name) AS key, arg_max(level, i) AS level FROM e GROUP BY ALL),
-        h AS (SELECT doc_name, row_number() OVER (PARTITION BY doc_name ORDER BY line_no) AS pos, trim(regexp_replace(line, '^#+', '')) AS title, length(regexp_extract(line, '^#+')) AS level FROM mark WHERE kind = 'atx' AND NOT in_code)
+        h AS (SELECT doc_name, row_number() OVER (PARTITION BY doc_name ORDER BY line_no) AS pos, trim(regexp_replace(regexp_replace(line, '^#+', ''), '\\s*#*\\s*$', '')) AS title, length(regexp_extract(line, '^#+')) AS level FROM mark WHERE kind = 'atx' AND NOT in_code)
         SELECT h.doc_name, pos::BIGINT AS pos, title, coalesce(k.level, h.level)::BIGINT AS level FROM h LEFT JOIN k ON k.doc_name = h.doc_name AND k.key = lower(title)""",
     "crawl_failures": f"WITH RECURSIVE {_WEB.format(depth=4, follows=_FAILS, to='true')} SELECT 'http://web.test/n/' || k AS url, level::BIGINT AS level, {_FAILS} AS found FROM c",
     "crawl_failure_counts": f"WITH RECURSIVE {_WEB.format(depth=4, follows=_FAILS, to='true')} SELECT count(*) FILTER ({_FAILS}) AS success_count, count(*) FILTER (NOT ({_FAILS})) AS failed_count, 4 * count(*) FILTER ({_FAILS}) AS total_links FROM c",
