@@ -34,8 +34,8 @@ LEAST_CHARS, LEAST_COUNT, FACTOR = 7, 2, 10
 #: One in so many occurrences loses a code point.
 DAMAGED = 31
 FILTER_BITS, PROBES = 27, 2
-#: Candidates that a task holds hashes of at once.
-CANDIDATES = 1 << 20
+#: Candidates that a task holds hashes of at once, and words that it makes candidates of.
+CANDIDATES, WORDS_EACH = 1 << 20, 20_000
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -177,7 +177,9 @@ def variants(docs: DataFrame, factor: int = FACTOR, bits: int = FILTER_BITS, **h
     words = stored(vocabulary(docs, **how), "vocabulary")
     # The alphabet is at most the letters of the pattern: 26 and U+00C0 to U+00FF.
     letters = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct().select(F.ascii("c")).collect()
-    found = candidates(words, [r[0] for r in letters], word_filter(words, bits), bits)
+    # A short row of the vocabulary is much work: tasks are made by the number of words, not of bytes.
+    dealt = words.repartition(max(8, words.count() // WORDS_EACH), "word")
+    found = candidates(dealt, [r[0] for r in letters], word_filter(words, bits), bits)
     of = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     near = found.join(of.hint("shuffle_hash"), "near")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
