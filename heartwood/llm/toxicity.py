@@ -67,20 +67,26 @@ def evidence(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.n
 
 
 def apart(docs: list[np.ndarray], similarity: float = 0.5, bands: int = 40, rows: int = 4, seed: int = 11) -> np.ndarray:
-    """Rows of which none holds nearly the terms of one before: copies of a text share whatever terms they have, and are no
-    evidence for any of these. Rows that agree in a band of minimal hashes are compared, each with the last few such."""
+    """Rows but those that hold nearly the terms of one before: copies of a text share whatever terms they have, and are no
+    evidence for any of these. A row is compared with the last one before that agrees with it in a band of minimal hashes."""
     rng = np.random.default_rng(seed)
     factor, shift = (rng.integers(1, 1 << 62, bands * rows).astype(np.uint64) for _ in range(2))
-    seen: dict = {}
+    keys = np.zeros((len(docs), bands), np.uint64)
+    for i, d in enumerate(docs):
+        if len(d):
+            least = ((d.astype(np.uint64)[:, None] * (factor | np.uint64(1)) + shift) >> np.uint64(20)).min(0).reshape(bands, rows)
+            for k in range(rows):
+                keys[i] = keys[i] * np.uint64(0x9E3779B97F4A7C15) + least[:, k]
+    before = np.full(keys.shape, -1, np.int32)
+    for k in range(bands):
+        order = np.argsort(keys[:, k], kind="stable")
+        same = np.flatnonzero(keys[order[1:], k] == keys[order[:-1], k])
+        before[order[same + 1], k] = order[same]
     kept = []
     for i, d in enumerate(docs):
-        h = (d.astype(np.uint64)[:, None] * (factor | np.uint64(1)) + shift) >> np.uint64(20) if len(d) else np.zeros((1, bands * rows), np.uint64)
-        keys = [(k, *band) for k, band in enumerate(h.min(0).reshape(bands, rows).tolist())]
-        near = {j for key in keys if (j := seen.get(key)) is not None}
-        common = lambda j: len(np.intersect1d(d, docs[j], assume_unique=True))
-        if not any(c >= similarity * (len(d) + len(docs[j]) - c) for j in near for c in [common(j)]):
+        common = ((len(np.intersect1d(d, docs[j], assume_unique=True)), j) for j in set(before[i].tolist()) - {-1})
+        if not any(c >= similarity * (len(d) + len(docs[j]) - c) for c, j in common):
             kept.append(i)
-            seen |= dict.fromkeys(keys, i)
     return np.array(kept, np.int64)
 
 
@@ -91,22 +97,24 @@ def telling_pairs(docs: list[np.ndarray], labels: np.ndarray, terms: np.ndarray,
     out = np.zeros(len(terms), bool)
     single = apart(docs)
     docs, labels = [docs[i] for i in single], labels[single]
-    every, of_toxic = np.searchsorted(terms, np.concatenate(docs)), np.repeat(labels == 1, [len(d) for d in docs])
-    n, n1 = np.bincount(every, minlength=len(terms)), np.bincount(every[of_toxic], minlength=len(terms))
+    n, n1 = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+    for d, label in zip(docs, labels):  # row by row: nothing here grows with all rows' terms but what is held of those tried
+        at = np.searchsorted(terms, d)
+        n[at] += 1
+        n1[at] += label == 1
     # No other term can tell more about a term's rows than what there is to tell: their number times the entropy of their labels.
     with np.errstate(divide="ignore", invalid="ignore"):
         untold = -np.where(n1 > 0, n1 * np.log(n1 / n), 0) - np.where(n > n1, (n - n1) * np.log((n - n1) / n), 0)
     tried = np.flatnonzero((n >= min_docs) & (untold >= PAIR_EVIDENCE))
     if not len(tried):
         return out
-    rows = []
+    rows, chosen = [], terms[tried]
     for d in docs:
-        at = np.minimum(np.searchsorted(terms[tried], d), len(tried) - 1)
-        rows.append(at[terms[tried][at] == d])
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n1, n0 = (np.bincount(flat[labels[doc] == kind], minlength=len(tried)) for kind in (1, 0))
-    order = np.argsort(flat, kind="stable")
-    held, first = doc[order], np.searchsorted(flat[order], np.arange(len(tried) + 1))  # the rows of each term
+        at = np.minimum(np.searchsorted(chosen, d), len(tried) - 1)
+        rows.append(at[chosen[at] == d].astype(np.int32))
+    n1, n0 = n1[tried], n[tried] - n1[tried]
+    first = np.append(0, np.cumsum(n[tried]))  # the rows of each term
+    held = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[np.argsort(np.concatenate(rows), kind="stable")]
     for a in range(len(tried)):
         of = held[first[a] : first[a + 1]]
         k1, k0 = (np.bincount(np.concatenate([rows[r] for r in of[labels[of] == kind]]), minlength=len(tried)) for kind in (1, 0))
