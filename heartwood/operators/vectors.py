@@ -2,55 +2,59 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.providers import Embedder, embedded
+from ..functions.text import strip
 
 # Sizes of chunks, where they break if they can, and the least content that is chunked.
 CHUNK, OVERLAP, CHUNKED_FROM = 500, 50, 100
 BREAKS = (". ", "。", "\n", "! ", "? ")
 
 
-def chunk_text(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Overlapping pieces of a text of about `size` characters. A piece ends behind the last break of the first kind that
-    lies in its second half; a short text is one piece as it is."""
+def chunk_pattern(size: int, overlap: int) -> str:
+    """The pattern whose matches, one behind the other, are what each piece adds to the one before. The first piece is up to
+    `size` long; a later one adds up to size - overlap. A piece ends behind the last break of the first kind that begins in
+    its second half; the last piece takes what is left."""
+
+    def ends(most: int, half: int) -> str:
+        return "|".join([rf".{{{half + 1},{most - len(b)}}}\Q{b}\E" for b in BREAKS] + [f".{{{most}}}"])
+
+    later = size - overlap
+    return rf"(?s)\A(?:{ends(size, size // 2)})|.{{1,{later}}}+\z|{ends(later, size // 2 - overlap)}"
+
+
+def text_chunks(text: Column, size: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """array<string>: overlapping pieces of a text of up to `size` characters, without white space at their ends; empty ones
+    are left out. A text of at most `size` characters is one piece as it is; a null or empty one has none. Time grows with
+    the text's length alone: the text is tiled by one pattern, and each piece is the end of the tiles before with its own."""
     if size <= 2 * overlap:
         raise ValueError("size must be more than twice the overlap")
-    if len(text or "") <= size:
-        return [text] if text else []
-    # Where the breaks of each kind begin, found once; then it is a walk from cut to cut.
-    begins = [[m.start() for m in re.finditer(re.escape(b), text)] for b in BREAKS]
+    # A tile but the last is longer than this, so that so many of them hold the overlap.
+    back = -(-overlap // (size // 2 - overlap + 2))
+    tiles = F.regexp_extract_all(text, F.lit(chunk_pattern(size, overlap)), F.lit(0))
 
-    def cut(start: int) -> int:
-        for b, at in zip(BREAKS, begins):
-            k = bisect_right(at, start + size - len(b)) - 1
-            if k >= 0 and at[k] + len(b) > 0 and at[k] > start + size // 2:
-                return at[k] + len(b)
-        return start + size
+    def piece(all_tiles: Column, tile: Column, i: Column) -> Column:
+        if back == 0:
+            return tile
+        before = F.array_join(F.slice(all_tiles, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), "")
+        return F.concat(F.right(before, F.lit(overlap)), tile)
 
-    spans = [(0, cut(0))]
-    while spans[-1][1] < len(text):
-        start = spans[-1][1] - overlap
-        spans.append((start, cut(start) if start + size < len(text) else len(text)))
-    return [piece for s, e in spans if (piece := text[s:e].strip())]
+    # Tiles are bound once, as the only element of an array.
+    pieces = F.transform(F.array(tiles), lambda t: F.transform(t, lambda x, i: strip(piece(t, x, i))))[0]
+    whole = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(text))
+    return F.when(F.length(text) > size, F.filter(pieces, lambda p: p != "")).otherwise(whole)
 
 
 def chunks(df: DataFrame, text: str = "content", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """df with one row for each piece of its text: chunk_no (from 0) and chunk. Where a piece ends depends on where the one
-    before ended, so each text is walked through once, in Arrow batches. Texts of at most CHUNKED_FROM characters have none."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_text(t, size, overlap))
-
-    return df.where(F.length(text) > CHUNKED_FROM).select("*", F.posexplode(cut(text)).alias("chunk_no", "chunk"))
+    """df with one row for each piece of its text: chunk_no (from 0) and chunk. Texts of at most CHUNKED_FROM characters, and
+    null, have none."""
+    # An outer explode: for a plain one the optimizer tests the array's size below, where texts would be cut twice.
+    long = df.where(F.length(text) > CHUNKED_FROM)
+    return long.select("*", F.posexplode_outer(text_chunks(F.col(text), size, overlap)).alias("chunk_no", "chunk")).where("chunk IS NOT NULL")
 
 
 def text_to_embed(summary: Column, title: Column) -> Column:
