@@ -100,12 +100,43 @@ def below(hits: DataFrame, tree: DataFrame, depth: int | None = None) -> DataFra
     return inside.where(F.col("rel_depth") <= depth) if depth is not None else inside
 
 
+#: Intervals and nodes of a document meet in buckets of so many positions.
+BUCKET = 1024
+
+
+def outermost(hits: DataFrame, tree: DataFrame) -> DataFrame:
+    """doc_name, top, top_last, hits: the intervals of those (doc_name, node_id) hits that lie in no other hit's, with all hits
+    in them (pos, last_pos, node_id). They don't overlap. Reads no texts; of equal ids the last node counts, empty ids none."""
+    found = tree.select("doc_name", "node_id", "pos", "last_pos").join(hits.select("doc_name", "node_id").distinct(), ["doc_name", "node_id"])
+    by_pos = Window.partitionBy("doc_name").orderBy("pos")
+    covered = F.coalesce(F.max("last_pos").over(by_pos.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("pos"), F.lit(False))
+    tops = node_map(found).withColumn("_top", F.when(~covered, F.col("pos"))).withColumn("top", F.max("_top").over(by_pos))
+    return tops.groupBy("doc_name", "top").agg(F.max("last_pos").alias("top_last"), F.sort_array(F.collect_list(F.struct("pos", "last_pos", "node_id"))).alias("hits"))
+
+
 def subtree_contents(hits: DataFrame, tree: DataFrame) -> DataFrame:
-    """doc_name, node_id, content: the contents (or else summaries) of each hit's subtree in document order."""
+    """doc_name, node_id, content: the contents (or else summaries) of each hit's subtree in document order, parted by an empty
+    line. Hits without any text have no row.
+
+    A node goes to the one outermost hit above it, however many hits lie between; what is under that is put in order
+    once, and each hit is a slice of it. So nodes outside of hits aren't exchanged, and none is exchanged twice."""
+    tops = outermost(hits, tree)
+    bucket = lambda pos: F.floor(pos / BUCKET)
+    spans = tops.select("doc_name", "top", "top_last", F.explode(F.sequence(bucket(F.col("top")), bucket(F.col("top_last")))).alias("_bucket"))
     text = F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(F.coalesce("summary", F.lit("")))
-    inside = below(hits, tree).withColumn("_text", text).where("_text <> ''")
-    by_pos = F.sort_array(F.collect_list(F.struct("pos", "_text")))
-    return inside.groupBy("doc_name", F.col("of_id").alias("node_id")).agg(F.array_join(F.transform(by_pos, lambda x: x["_text"]), "\n\n").alias("content"))
+    inside = tree.select("doc_name", "pos", text.alias("_text"), bucket(F.col("pos")).alias("_bucket")).join(spans, ["doc_name", "_bucket"]).where("pos BETWEEN top AND top_last")
+    by_top = inside.groupBy("doc_name", "top").agg(F.sort_array(F.collect_list(F.struct("pos", "_text"))).alias("_texts")).join(tops, ["doc_name", "top"])
+
+    def content(hit: Column) -> Column:
+        # Positions without gaps are places; in a tree that lacks nodes they must be looked for.
+        whole = F.size("_texts") == F.col("top_last") - F.col("top") + 1
+        at = F.slice("_texts", hit["pos"] - F.col("top") + 1, hit["last_pos"] - hit["pos"] + 1)
+        part = F.when(whole, at).otherwise(F.filter("_texts", lambda x: x["pos"].between(hit["pos"], hit["last_pos"])))
+        return F.array_join(F.filter(F.transform(part, lambda x: x["_text"]), lambda x: x != ""), "\n\n")
+
+    each = F.transform("hits", lambda h: F.struct(h["node_id"].alias("node_id"), content(h).alias("content")))
+    # An outer explode: for a plain one the optimizer tests the array's size below, where texts would be joined twice.
+    return by_top.select("doc_name", F.explode_outer(each).alias("_hit")).select("doc_name", "_hit.*").where("content <> ''")
 
 
 def first_roots(tree: DataFrame, each: int = 3, relevance: float = 0.5) -> DataFrame:

@@ -106,25 +106,23 @@ def index_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def nested_json(docs: DataFrame, tree: DataFrame, contents: bool = False) -> DataFrame:
-    """doc_name, json: each document with its tree nested, as an index file holds it. Folded from the deepest level up:
-    one exchange of finished children for each level."""
+    """doc_name, json: each document with its tree nested, as an index file holds it. In document order, what stands between
+    two nodes follows from their depths alone, so that one exchange by document does at any depth."""
     fields = ["title", "node_id", "level", "start_line", "end_line"]
     more = [F.when(F.col("summary") != "", F.col("summary")).alias("summary")] + ([F.when(F.col("content") != "", F.col("content")).alias("content")] if contents else [])
-    own = tree.select("doc_name", "pos", "parent_pos", "depth", F.regexp_replace(F.to_json(F.struct(*fields, *more)), r"\}\z", "").alias("head"))
-    below = None
-    for d in range(tree.agg(F.max("depth")).first()[0] or 0, -1, -1):
-        here = own.where(F.col("depth") == d)
-        if below is not None:
-            here = here.join(below, ["doc_name", "pos"], "left")
-        else:
-            here = here.withColumn("kids", F.lit(None).cast("string"))
-        whole = F.concat("head", F.when(F.col("kids").isNotNull(), F.concat(F.lit(',"children":['), "kids", F.lit("]"))).otherwise(F.lit("")), F.lit("}"))
-        key = [F.col("doc_name"), F.col("parent_pos").alias("pos")] if d else [F.col("doc_name")]
-        below = here.select(*key, F.struct(F.col("pos").alias("p"), whole.alias("json")).alias("k"))
-        names = ["doc_name", "pos"] if d else ["doc_name"]
-        below = below.groupBy(*names).agg(F.array_join(F.transform(F.sort_array(F.collect_list("k")), lambda x: x["json"]), ",").alias("kids"))
-    head = F.regexp_replace(F.to_json(F.struct("title", "description", "source_file", "total_lines")), r"\}\z", "")
-    return docs.join(below, "doc_name", "left").select("doc_name", F.concat(head, F.lit(',"metadata":{},"nodes":['), F.coalesce("kids", F.lit("")), F.lit("]}")).alias("json"))
+    head = F.regexp_replace(F.to_json(F.struct(*fields, *more)), r"\}\z", "")
+    by_doc = tree.groupBy("doc_name").agg(F.sort_array(F.collect_list(F.struct("pos", "depth", head.alias("head")))).alias("_n"))
+    closed = lambda levels: F.repeat(F.lit("}]"), levels)
+
+    def node(n: Column, i: Column) -> Column:
+        up = F.get(F.col("_n"), i - 1)["depth"] - n["depth"]
+        between = F.when(i == 0, F.lit("")).when(up < 0, F.lit(',"children":[')).otherwise(F.concat(closed(up), F.lit("},")))
+        return F.concat(between, n["head"])
+
+    end = F.concat(closed(F.get(F.col("_n"), F.size("_n") - 1)["depth"]), F.lit("}"))
+    nested = by_doc.select("doc_name", F.concat(F.array_join(F.transform("_n", node), ""), end).alias("_nodes"))
+    start = F.regexp_replace(F.to_json(F.struct("title", "description", "source_file", "total_lines")), r"\}\z", "")
+    return docs.join(nested, "doc_name", "left").select("doc_name", F.concat(start, F.lit(',"metadata":{},"nodes":['), F.coalesce("_nodes", F.lit("")), F.lit("]}")).alias("json"))
 
 
 VECTORS = "dimension int, node_vectors map<string,array<double>>, chunk_vectors map<string,array<array<double>>>, node_metadata map<string,struct<title:string,level:int,doc_name:string,node_id:string>>"

@@ -1,5 +1,6 @@
 """Headings and trees against a plain line-by-line reading."""
 
+import json
 import random
 import re
 
@@ -106,6 +107,28 @@ def test_index_files_round_trip(spark, tmp_path, random_docs):
     assert known.count() == few.count()
 
 
+def test_deep_index_files_in_few_exchanges(spark):
+    """Fifty levels, jumps up over many levels, and a document without nodes."""
+    rng, rows, want = random.Random(5), [], {}
+    for d in ("x", "y", "z"):
+        depth, stack = 0, []
+        for pos in range(1, 200):
+            depth = 0 if pos == 1 else pos - 1 if d == "x" and pos <= 50 else rng.randrange(depth + 2)
+            node = {"title": f't"{pos}', "node_id": f"{pos:04d}", "level": depth, "start_line": pos, "end_line": pos}
+            stack = stack[:depth]
+            (stack[-1].setdefault("children", []) if stack else want.setdefault(d, [])).append(node)
+            stack.append(node)
+            rows.append((d, pos, depth, *node.values(), "", ""))
+    tree_rows = spark.createDataFrame(rows, "doc_name string, pos int, depth int, title string, node_id string, level int, start_line int, end_line int, summary string, content string")
+    docs = spark.createDataFrame([(d, "T", "", "", 1) for d in ("x", "y", "z", "none")], "doc_name string, title string, description string, source_file string, total_lines int")
+    nested = tables.nested_json(docs, tree_rows)
+    assert nested._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    got = {r["doc_name"]: json.loads(r["json"])["nodes"] for r in nested.collect()}
+    assert got == want | {"none": []}
+    _, flat = tables.index_tables(nested)
+    assert sorted((r["doc_name"], r["pos"], r["depth"]) for r in flat.collect()) == sorted(r[:3] for r in rows)
+
+
 def test_markdown_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a b.md").write_bytes(b"# A\r\nx\r\n")

@@ -43,14 +43,75 @@ def test_fusion_against_a_dictionary(spark):
         assert [tuple(x) for x in got.collect()] == [tuple(x) for x in want_rows]
 
 
-def test_chunks():
-    assert vectors.chunk_text("") == [] and vectors.chunk_text("  short ") == ["  short "]
+def plain_chunks(body, size, overlap):
+    """A walk from cut to cut: the same rule, one text at a time."""
+    if len(body) <= size:
+        return [body] if body else []
+    out, start = [], 0
+    while True:
+        end, last = start + size, start > 0 and start + size >= len(body)
+        if last:
+            end = len(body)
+        else:
+            for b in vectors.BREAKS:
+                at = body.rfind(b, start, end)
+                if at > start + size // 2:
+                    end = at + len(b)
+                    break
+        out.append(body[start:end].strip())
+        if end >= len(body):
+            return [p for p in out if p]
+        start = end - overlap
+
+
+@pytest.mark.parametrize("size,overlap", [(500, 50), (101, 50), (120, 50), (40, 0), (7, 3)])
+def test_chunks_against_a_plain_walk(spark, size, overlap):
+    rng = random.Random(size)
+    alphabets = ["ab. ", "a。! \n", "word? ", "x", "é😀\n. ", " \u2003\x1f\x85", "a$\\E.*", "\r\n. "]
+    texts = [None, "", "  short ", "x" * size, "x" * (size + 1), "x" * (3 * size), " " * (3 * size), "a. " * 20 * size, "😀" * (2 * size + 1), "word " * 90 + "end. " + "more " * 90]
+    for _ in range(300):
+        mix = "".join(rng.choice(alphabets) for _ in range(3))
+        texts.append("".join(rng.choice(mix) for _ in range(rng.randrange(6 * size))))
+        texts.append("".join(rng.choice(["long" * rng.randrange(1, 30), ". ", "。", "\n", "! ", "? ", " "]) for _ in range(rng.randrange(60))))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    got = {r["i"]: r["p"] for r in df.select("i", vectors.text_chunks(F.col("t"), size, overlap).alias("p")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain_chunks(t or "", size, overlap) for t in texts]
+
+
+def test_chunks(spark):
     body = "word " * 90 + "end. " + "more " * 90
-    pieces = vectors.chunk_text(body)
-    assert pieces[0].endswith("end.") and all(len(p) <= 500 for p in pieces)
-    assert vectors.chunk_text("x" * 1001) == ["x" * 500, "x" * 500, "x" * 101]
+    df = spark.createDataFrame([(1, body, 7), (2, "y" * 100, 8), (3, None, 9), (4, " " * 2000, 5), (5, "z" * 101, 6)], "i int, content string, _lines int")
+    got = vectors.chunks(df).orderBy("i", "chunk_no").collect()
+    assert [(r["i"], r["chunk_no"], r["_lines"]) for r in got] == [(1, 0, 7), (1, 1, 7), (5, 0, 6)]
+    assert got[0]["chunk"].endswith("end.") and all(len(r["chunk"]) <= 500 for r in got)
     with pytest.raises(ValueError):
-        vectors.chunk_text("x" * 600, 100, 50)
+        vectors.text_chunks(F.col("content"), 100, 50)
+
+
+def test_subtree_contents_against_the_interval_join(spark):
+    """Nested hits, leaves, roots, unknown ids, nodes without text, a tree that lacks nodes, and documents over many buckets."""
+    rng, rows = random.Random(11), []
+    for d, n in (("a", 40), ("b", 3000), ("c", 1), ("untouched", 50)):
+        depths = [0]
+        while len(depths) < n:
+            depths.append(rng.randrange(min(depths[-1] + 2, 6)))
+        for pos, depth in enumerate(depths, 1):
+            last = next((k for k in range(pos, n) if depths[k] <= depth), n)
+            rows.append((d, f"{pos:04d}", pos, last, depth, rng.choice(["", f"text {d} {pos}"]), rng.choice([None, f"sum {pos}"])))
+    full = spark.createDataFrame(rows, "doc_name string, node_id string, pos int, last_pos int, depth int, content string, summary string")
+    keys = [r[:2] for r in rows if r[0] != "untouched" and (r[0] != "b" or rng.random() < 0.4)]
+    hits = spark.createDataFrame([*keys, *keys[:5], ("a", "9999"), ("nowhere", "0001")], "doc_name string, node_id string")
+    for nodes in (full, full.where("pos % 7 <> 3")):
+        inside = tree.below(hits, nodes).withColumn("t", F.expr("CASE WHEN content <> '' THEN content ELSE summary END")).where("t <> ''")
+        plain: dict = {}
+        for r in sorted(inside.collect(), key=lambda r: r["pos"]):
+            plain.setdefault((r["doc_name"], r["of_id"]), []).append(r["t"])
+        got = tree.subtree_contents(hits, nodes).collect()
+        assert len(got) == len(plain) > 500
+        assert {(r["doc_name"], r["node_id"]): r["content"] for r in got} == {k: "\n\n".join(v) for k, v in plain.items()}
+    tops = tree.outermost(hits, full).collect()
+    assert sum(len(r["hits"]) for r in tops) == len(set(keys))
+    assert all(x["last_pos"] <= r["top_last"] and x["pos"] >= r["top"] for r in tops for x in r["hits"])
 
 
 def test_vector_search_with_and_without_chunks(spark):
