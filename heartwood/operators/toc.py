@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, title_key
-from .markdown import lines
+from .markdown import lines_of
 
 # What a title of a table of contents, its marker and its entries look like.
 TITLES = (r"^#+\s*(table\s+of\s+contents?|contents?|目录|索引|toc)\s*\z", r"^(table\s+of\s+contents?|contents?|目录|索引)\s*\z")
@@ -15,65 +17,105 @@ LINK = r"(?U)^\s*[-*+]?\s*\[([^\]]+)\]\(([^)]*)\)\s*\z"
 NUMBERED = r"(?Ud)^\s*(\d+\.)+\s*(.+?)(?:\s+\.{2,}\s*\d+)?\s*$"
 DOTTED = r"(?Ud)^\s*(.+?)\s*\.{2,}\s*(\d+)\s*$"
 HEADING = r"(?U)^#+\s+"
-MARKER_LINES, LEAST_ENTRIES = 100, 3
+MARKER_LINES, LEAST_ENTRIES, LEAST_CONFIDENCE = 100, 3, 0.5
 ENTRIES = "array<struct<ord:bigint,title:string,level:int,page_or_line:int,link:string>>"
 
 
-def markers(docs: DataFrame) -> DataFrame:
-    """doc_name, start_line, end_line, is_auto_generated, confidence: the first [TOC] line near the top."""
-    first = lines(docs).where(F.col("line").rlike(MARKER) & (F.col("line_no") <= MARKER_LINES)).groupBy("doc_name").agg(F.min("line_no").alias("start_line"))
-    return first.select("doc_name", "start_line", F.col("start_line").alias("end_line"), F.lit(True).alias("is_auto_generated"), F.lit(1.0).alias("confidence"))
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), where value is reckoned once: as the only element of an array."""
+    return F.transform(F.array(value), then)[0]
 
 
-def _after_title(docs: DataFrame) -> DataFrame:
-    """Non-blank lines after the first title line of each document, with the title's line number."""
-    whole = Window.partitionBy("doc_name")
-    is_title = strip(F.col("line")).rlike("(?iuU)" + TITLES[0]) | strip(F.col("line")).rlike("(?iuU)" + TITLES[1])
-    at = lines(docs).withColumn("_start", F.min(F.when(is_title, F.col("line_no"))).over(whole))
-    return at.where((F.col("line_no") > F.col("_start")) & (strip(F.col("line")) != ""))
+def _first(found: Column, test: Callable[[Column], Column]) -> Column:
+    """The place (from 1) of the first line that passes a test; 0 if none does."""
+    return F.array_position(F.transform(found, test), True)
 
 
-def _entries(after, is_entry, fields) -> DataFrame:
-    """Entries up to the first heading after one of them: doc_name, _start, ord, title, level, page_or_line, link."""
-    so_far = Window.partitionBy("doc_name").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = after.withColumn("_is", is_entry).withColumn("ord", F.sum(F.col("_is").cast("int")).over(so_far))
-    stop = ~F.col("_is") & (F.col("ord") > 0) & F.col("line").rlike(HEADING)
-    at = at.withColumn("_stopped", F.sum(stop.cast("int")).over(so_far))
-    return at.where("_is AND _stopped = 0").select("doc_name", "_start", "ord", *fields)
+def _marker(all_lines: Column) -> Column:
+    """The number of the first [TOC] line near the top; 0 if there is none."""
+    return _first(F.slice(all_lines, 1, MARKER_LINES), lambda x: x.rlike(MARKER))
 
 
-def link_entries(docs: DataFrame) -> DataFrame:
-    """Entries that are links; two more blanks of indent are one more level."""
-    indent = F.length("line") - F.length(F.regexp_replace("line", r"(?U)^\s+", ""))
-    fields = [strip(F.regexp_extract("line", LINK, 1)).alias("title"), (F.floor(indent / 2) + 1).cast("int").alias("level"), F.lit(None).cast("int").alias("page_or_line"), strip(F.regexp_extract("line", LINK, 2)).alias("link")]
-    return _entries(_after_title(docs), F.col("line").rlike(LINK), fields)
+def _is_title(line: Column) -> Column:
+    return F.exists(F.array(*map(F.lit, TITLES)), lambda t: F.regexp_like(strip(line), F.concat(F.lit("(?iuU)"), t)))
 
 
-def text_entries(docs: DataFrame) -> DataFrame:
-    """Numbered and dotted entries. They are of level 1, and of a number with several parts the last part alone is cut."""
-    numbered = F.col("line").rlike(NUMBERED)
-    title = strip(F.when(numbered, F.regexp_extract("line", NUMBERED, 2)).otherwise(F.regexp_extract("line", DOTTED, 1)))
-    page = F.when(~numbered, F.regexp_extract("line", DOTTED, 2).try_cast("int"))
-    fields = [title.alias("title"), F.lit(1).alias("level"), page.alias("page_or_line"), F.lit(None).cast("string").alias("link")]
-    return _entries(_after_title(docs), numbered | F.col("line").rlike(DOTTED), fields)
+def _listed(all_lines: Column, is_entry: Callable[[Column], Column], fields: Callable[[Column], list[Column]]) -> Column:
+    """struct<start, entries> of the entries behind the first title line, up to the first heading after one of them that is no
+    entry. Null without a title. Works within the row: nothing is dealt out."""
+
+    def entries(tail: Column) -> Column:
+        stop = _first(tail, lambda x: x.rlike(HEADING) & ~is_entry(x))
+        return _bound(stop, lambda end: F.transform(F.filter(F.when(end > 0, F.slice(tail, 1, end - 1)).otherwise(tail), is_entry), lambda x, i: F.struct((i + 1).cast("long").alias("ord"), *fields(x))))
+
+    def behind(after: Column) -> Column:
+        from_first = _bound(_first(after, is_entry), lambda k: F.when(k > 0, F.slice(after, k, F.size(after))).otherwise(F.slice(after, 1, 0)))
+        return _bound(from_first, entries)
+
+    def found(start: Column) -> Column:
+        return F.when(start > 0, F.struct(start.alias("start"), behind(F.slice(all_lines, start + 1, F.size(all_lines))).cast(ENTRIES).alias("entries")))
+
+    return _bound(_first(all_lines, _is_title), found)
+
+
+def _links(all_lines: Column) -> Column:
+    def fields(line: Column) -> list[Column]:
+        indent = F.length(line) - F.length(F.regexp_replace(line, r"(?U)^\s+", ""))
+        return [strip(F.regexp_extract(line, LINK, 1)).alias("title"), (F.floor(indent / 2) + 1).cast("int").alias("level"), F.lit(None).cast("int").alias("page_or_line"), strip(F.regexp_extract(line, LINK, 2)).alias("link")]
+
+    return _listed(all_lines, lambda x: x.rlike(LINK), fields)
 
 
-def _summary(entries: DataFrame) -> DataFrame:
-    found = entries.groupBy("doc_name").agg(F.first("_start").alias("_start"), F.count("*").alias("_n"), F.sort_array(F.collect_list(F.struct("ord", "title", "level", "page_or_line", "link"))).alias("entries")).where(F.col("_n") >= LEAST_ENTRIES)
-    # A title on the first line counts as no title for the last line.
-    end = F.when(F.col("_start") > 1, F.col("_start") + F.col("_n") + 1).otherwise(F.col("_n") + 1)
-    return found.select("doc_name", F.col("_start").alias("start_line"), end.alias("end_line"), F.lit(False).alias("is_auto_generated"), F.least(F.lit(1.0), F.col("_n") / 5).alias("confidence"), "entries")
+def _texts(all_lines: Column) -> Column:
+    def fields(line: Column) -> list[Column]:
+        numbered = line.rlike(NUMBERED)
+        title = strip(F.when(numbered, F.regexp_extract(line, NUMBERED, 2)).otherwise(F.regexp_extract(line, DOTTED, 1)))
+        page = F.when(~numbered, F.regexp_extract(line, DOTTED, 2).try_cast("int"))
+        return [title.alias("title"), F.lit(1).alias("level"), page.alias("page_or_line"), F.lit(None).cast("string").alias("link")]
+
+    return _listed(all_lines, lambda x: x.rlike(NUMBERED) | x.rlike(DOTTED), fields)
+
+
+def _each_entry(docs: DataFrame, listed: Callable[[Column], Column]) -> DataFrame:
+    every = docs.select("doc_name", _bound(lines_of(F.coalesce("content", F.lit(""))), listed).alias("t"))
+    # An outer explode: for a plain one the optimizer tests the array's size below, where lines would be split twice.
+    return every.select("doc_name", F.col("t.start").alias("_start"), F.explode_outer("t.entries").alias("e")).where("e IS NOT NULL").select("doc_name", "_start", "e.*")
+
+
+def link_entries(docs: DataFrame) -> DataFrame:
+    """doc_name, _start (the title's line), ord, title, level, page_or_line, link of entries that are links; two more blanks
+    of indent are one more level."""
+    return _each_entry(docs, _links)
+
+
+def text_entries(docs: DataFrame) -> DataFrame:
+    """The same of numbered and dotted entries. They are of level 1, and of a number with several parts the last part alone
+    is cut."""
+    return _each_entry(docs, _texts)
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_name, kind (marker, links, text), start_line, end_line, is_auto_generated, confidence, entries: the best table
-    of contents of each document that has one; a marker goes before links, links before text."""
-    found = {"marker": markers(docs).withColumn("entries", F.lit(None).cast(ENTRIES)), "links": _summary(link_entries(docs)), "text": _summary(text_entries(docs))}
-    all_ = docs.select("doc_name")
-    for kind, d in found.items():
-        toc = F.struct(F.lit(kind).alias("kind"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "is_auto_generated", "confidence", F.col("entries").cast(ENTRIES).alias("entries"))
-        all_ = all_.join(d.where("confidence > 0.5").select("doc_name", toc.alias(kind)), "doc_name", "left")
-    return all_.withColumn("toc", F.coalesce(*found)).where("toc IS NOT NULL").select("doc_name", "toc.*")
+    of contents of each document that has one; a marker goes before links, links before text. Each document is read by
+    itself, in one pass over the table without an exchange."""
+
+    def toc(kind: str, start: Column, end: Column, auto: bool, confidence: Column, entries: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start_line"), end.cast("long").alias("end_line"), F.lit(auto).alias("is_auto_generated"), confidence.alias("confidence"), entries.cast(ENTRIES).alias("entries"))
+
+    def listed(kind: str, t: Column) -> Column:
+        n, start = F.size(t["entries"]), t["start"]
+        # A title on the first line counts as no title for the last line.
+        end = F.when(start > 1, start + n + 1).otherwise(n + 1)
+        confidence = F.least(F.lit(1.0), n / 5)
+        return F.when((n >= LEAST_ENTRIES) & (confidence > LEAST_CONFIDENCE), toc(kind, start, end, False, confidence, t["entries"]))
+
+    def best(all_lines: Column) -> Column:
+        marker = _bound(_marker(all_lines), lambda at: F.when(at > 0, toc("marker", at, at, True, F.lit(1.0), F.lit(None))))
+        return F.coalesce(marker, _bound(_links(all_lines), lambda t: listed("links", t)), _bound(_texts(all_lines), lambda t: listed("text", t)))
+
+    every = docs.select("doc_name", _bound(lines_of(F.coalesce("content", F.lit(""))), best).alias("toc"))
+    # Exploded and not filtered: a filter would go below and reckon everything twice.
+    return every.select("doc_name", F.explode_outer(F.array("toc")).alias("toc")).where("toc IS NOT NULL").select("doc_name", "toc.*")
 
 
 def with_toc_levels(found: DataFrame, entries: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from heartwood.operators import markdown, tree
+from heartwood.operators import markdown, toc, tree
 from heartwood.sources import tables
 
 ATX = re.compile(r"^(#{1,6})\s+(.+?)(?:\s*#*\s*)?$")
@@ -135,3 +135,37 @@ def test_markdown_files(spark, tmp_path):
     (tmp_path / "sub" / "c.txt").write_text("# C")
     (tmp_path / "skip.json").write_text("{}")
     assert sorted((r["doc_name"], r["content"]) for r in tables.markdown_files(spark, str(tmp_path)).collect()) == [("a b", "# A\nx\n"), ("c", "# C")]
+
+
+def plain_toc(text):
+    """A table of contents by a walk over lines, with the library's patterns as Python reads them."""
+    py = lambda p: re.compile(re.sub(r"\(\?[a-zA-Z]+\)", "", p).replace("\\z", "\\Z"))
+    all_lines = text.split("\n")
+    for n, x in enumerate(all_lines[: toc.MARKER_LINES], 1):
+        if re.match(r"\s*\[toc\]\s*\Z", x, re.I):
+            return "marker", n, n, None
+    titles = [re.compile(t.replace("\\z", "\\Z"), re.I) for t in toc.TITLES]
+    start = next((n for n, x in enumerate(all_lines, 1) if any(t.search(x.strip()) for t in titles)), None)
+    for kind, patterns in (("links", [py(toc.LINK)]), ("text", [py(toc.NUMBERED), py(toc.DOTTED)])):
+        found = []
+        for x in all_lines[start:] if start else []:
+            hit = next((m for m in (p.search(x) for p in patterns) if m), None)
+            if hit:
+                found.append((hit[2] if hit.re is py(toc.NUMBERED) else hit[1]).strip())
+            elif found and re.search(toc.HEADING.replace("(?U)", ""), x):
+                break
+        if len(found) >= 3:
+            return kind, start, (start + len(found) + 1 if start > 1 else len(found) + 1), found
+    return None
+
+
+def test_tables_of_contents_against_a_walk(spark):
+    rng = random.Random(8)
+    some = ["# Contents", "Table of  Contents", "## toc", "目录", "- [A](#a)", "  - [B b](#b)", "* [C](c)", "[D](d)", "1. One", "1.2. Two ... 7", "Intro .... 3", "Body ..... 12", "# Intro", "## B", "", "  ", "plain text", "[E](e) more"]
+    texts = ["", "x", " [TOC] ", "\n" * 99 + "[toc]", "\n" * 100 + "[toc]", "# toc\n# [A](a)\n- [A](a)\n- [A](a)\n- [B](b)"]
+    texts += ["\n".join(rng.choice(some + ["[TOC]"] * (k % 9 == 0)) for _ in range(rng.randrange(30))) for k in range(600)]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)] + [("none", None)], "doc_name string, content string")
+    got = {r["doc_name"]: (r["kind"], r["start_line"], r["end_line"], r["entries"] and [e["title"] for e in r["entries"]]) for r in toc.detect(df).collect()}
+    want = {str(k): t for k, t in enumerate(map(plain_toc, texts)) if t}
+    assert len({k for k, *_ in want.values()}) == 3 and got == want
+    assert "Exchange" not in toc.detect(df)._jdf.queryExecution().executedPlan().toString()
