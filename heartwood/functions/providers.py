@@ -126,20 +126,33 @@ def embedder(name: str = "hashing", **options) -> Embedder:
 
 
 def completed(prompts: DataFrame, by: Completer, prompt: str = "prompt", into: str = "reply") -> DataFrame:
-    """prompts with a column of replies, asked batch by batch. A batch that raises gets null replies: each operator says
-    what it does without one. Replies of a real model should be written to a table before they are used twice."""
+    """prompts with a column of replies, asked batch by batch. Of a batch that raises, prompts are asked one by one; one that
+    raises alone gets a null reply (unanswered() counts them): each operator says what it does without one. Replies of a
+    real model should be written to a table before they are used twice."""
+
+    def alone(text: str) -> str | None:
+        try:
+            return by.complete([text])[0]
+        except Exception:  # noqa: BLE001
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            asked = b[prompt].tolist()
             try:
-                replies = by.complete(b[prompt].tolist())
+                replies = by.complete(asked)
             except Exception:  # noqa: BLE001
-                replies = [None] * len(b)
+                replies = [alone(x) for x in asked]
             yield b.drop(columns=into, errors="ignore").assign(**{into: pd.Series(replies, index=b.index, dtype=object)})
 
     return prompts.mapInPandas(run, T.StructType([f for f in prompts.schema.fields if f.name != into] + [T.StructField(into, T.StringType())]))
 
 
+def unanswered(replied: DataFrame, reply: str = "reply") -> DataFrame:
+    """One row: prompts, and those of them that have no reply."""
+    return replied.agg(F.count("*").alias("prompts"), F.count_if(F.col(reply).isNull()).alias("unanswered"))
+
+
 def strict_json(body: Column) -> Column:
     """The JSON of a reply, keys in order; null for what doesn't parse as a whole, or else from its first { to its last }."""
 

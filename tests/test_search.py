@@ -88,6 +88,19 @@ def test_chunks(spark):
         vectors.text_chunks(F.col("content"), 100, 50)
 
 
+def test_one_bad_prompt_leaves_its_batch_alone(spark):
+    class Picky:
+        def complete(self, prompts):
+            if "bad" in prompts:
+                raise ValueError("bad")
+            return [p.upper() for p in prompts]
+
+    asked = spark.createDataFrame([("a",), ("bad",), ("c",)], "prompt string").coalesce(1)
+    replied = providers.completed(asked, Picky())
+    assert sorted(map(tuple, replied.collect())) == [("a", "A"), ("bad", None), ("c", "C")]
+    assert tuple(providers.unanswered(replied).first()) == (3, 1)
+
+
 def test_subtree_contents_against_the_interval_join(spark):
     """Nested hits, leaves, roots, unknown ids, nodes without text, a tree that lacks nodes, and documents over many buckets."""
     rng, rows = random.Random(11), []
