@@ -18,8 +18,15 @@ from ..sources.tables import kept, scratch
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """url, link: each link of a page once, absolute and without fragment."""
-    return pages.select("url", F.explode(html_links(F.col("html"), F.col("url"))).alias("link"))
+    """url, link: each link of a page once, absolute and without fragment. Pages with one URL are one page with the links of all."""
+    return _linked(pages).select("url", F.explode("links").alias("link"))
+
+
+def _linked(pages: DataFrame) -> DataFrame:
+    """url, links (each once), n_links (of all the pages with this URL)."""
+    each = pages.select("url", html_links(F.col("html"), F.col("url")).alias("links"))
+    one = each.groupBy("url").agg(F.collect_set("links").alias("l"), F.sum(F.size("links")).cast("long").alias("n_links"))
+    return one.select("url", F.array_distinct(F.flatten("l")).alias("links"), "n_links")
 
 
 def successful(status: Column) -> Column:
@@ -45,9 +52,7 @@ class LinkGraph:
     @classmethod
     def build(cls, pages: DataFrame, path: str) -> LinkGraph:
         """Write the graph of the pages that were fetched with success. Pages with one URL are one page with the links of all."""
-        each = fetched(pages).select("url", html_links(F.col("html"), F.col("url")).alias("links"))
-        one = each.groupBy("url").agg(F.collect_set("links").alias("l"), F.sum(F.size("links")).cast("long").alias("n_links"))
-        edges = one.select("url", F.array_distinct(F.flatten("l")).alias("links"), "n_links", host_bucket(F.col("url")).alias("bucket"))
+        edges = _linked(fetched(pages)).withColumn("bucket", host_bucket(F.col("url")))
         edges.repartition("bucket", F.pmod(F.xxhash64("url"), F.lit(PARTS))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/edges")
         return cls(pages.sparkSession, path)
 
@@ -131,7 +136,7 @@ def crawl(pages: DataFrame | LinkGraph, start: str, depth: int = 1, max_pages: i
 def crawl_statistics(visited: DataFrame, pages: DataFrame) -> DataFrame:
     """One row: pages found, pages failed (not there, or with another status), and links on the found pages. Where the crawl
     went by a graph, its statistics() parse no page."""
-    links = page_links(fetched(pages).join(visited.where("found").select("url"), "url", "left_semi")).agg(F.count("*").alias("total_links"))
+    links = _linked(fetched(pages).join(visited.where("found").select("url"), "url", "left_semi")).agg(F.coalesce(F.sum("n_links"), F.lit(0)).alias("total_links"))
     return visited.agg(F.count_if("found").alias("success_count"), F.count_if(~F.col("found")).alias("failed_count")).crossJoin(links)
 
 
