@@ -90,7 +90,7 @@ class KnowledgeBase:
         return self.add(crawling.page_documents(pages.join(seen, "url", "left_semi")))
 
     def save_documents(self, path: str) -> None:
-        """Each document as Markdown below path/markdown, and its nested index below path/index: as a crawl's pages are kept."""
+        """The documents' Markdown below path/markdown, and their nested indexes below path/index: as a crawl's pages are kept."""
         tables.write_markdown(self.docs, f"{path}/markdown")
         tables.write_indexes(self.docs, self.nodes, f"{path}/index")
 

@@ -40,10 +40,37 @@ def _file_name(pattern: str):
     return F.regexp_extract(F.regexp_replace(F.col("_metadata.file_name"), "%20", " "), pattern, 1)
 
 
+#: Folders that saved documents are dealt into by name, and files of a folder at most for each time that it is written.
+FOLDERS, PARTS = 16, 8
+
+
+def _saved(spark: SparkSession, path: str) -> DataFrame:
+    """doc_name, text, source_file of the documents that save() has written below a folder."""
+    read = spark.read.schema("doc_name string, text string").parquet(path, pathGlobFilter="part-*.parquet", recursiveFileLookup=True)
+    return read.select("doc_name", "text", F.col("_metadata.file_path").alias("source_file"))
+
+
+def save(texts: DataFrame, path: str) -> None:
+    """Write (doc_name, text) below a folder, in place of the documents of the same names there; others stay. Many documents
+    share a file: a file for each costs some 50 ms of a core, whatever its size. Only folders of these names are rewritten."""
+    spark = texts.sparkSession
+    dealt = lambda df: df.withColumn("folder", F.pmod(F.xxhash64("doc_name"), F.lit(FOLDERS)).cast("int"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    new = dealt(texts.select("doc_name", "text"))
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        new = kept(new)
+        old = dealt(_saved(spark, path).select("doc_name", "text")).join(F.broadcast(new.select("folder").distinct()), "folder", "left_semi")
+        new = kept(missing(old, new).unionByName(new))
+    out = new.repartition("folder", F.pmod(F.xxhash64("doc_name", F.lit(1)), F.lit(PARTS)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").parquet(path)
+
+
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_name, content, source_file of every Markdown or text file below a folder; line ends become line feeds."""
+    """doc_name, content, source_file of every Markdown or text file below a folder, and of what write_markdown has saved there;
+    line ends become line feeds."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.{md,markdown,txt}", recursiveFileLookup=True)
-    return raw.select(_file_name(r"^(.*?)(?:\.[^.]*)?$").alias("doc_name"), F.regexp_replace("value", r"\r\n?", "\n").alias("content"), F.col("_metadata.file_path").alias("source_file"))
+    loose = raw.select(_file_name(r"^(.*?)(?:\.[^.]*)?$").alias("doc_name"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("source_file"))
+    return loose.unionByName(_saved(spark, path)).select("doc_name", F.regexp_replace("text", r"\r\n?", "\n").alias("content"), "source_file")
 
 
 def accepted_upload(name):
@@ -58,24 +85,24 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, tree) of the nested indexes below a folder: files NAME_index.json, and what write_indexes has written."""
+    """(documents, tree) of the nested indexes below a folder: files NAME_index.json, texts in folders doc_name=NAME, and what
+    write_indexes has saved."""
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="{*_index.json,part-*.txt}", recursiveFileLookup=True)
     # Folders' names are escaped by the writer, and once more where a path is an address.
     folder = F.url_decode(F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "/doc_name=([^/]*)/", 1), "%25", "%"))
     name = F.coalesce(F.nullif(folder, F.lit("")), _file_name(r"^(.*)_index\.json$"))
-    return index_tables(raw.select(name.alias("doc_name"), F.regexp_replace("value", r"\n\z", "").alias("json")))
+    loose = raw.select(name.alias("doc_name"), F.regexp_replace("value", r"\n\z", "").alias("json"))
+    return index_tables(loose.unionByName(_saved(spark, path).select("doc_name", F.col("text").alias("json"))))
 
 
 def write_indexes(docs: DataFrame, tree: DataFrame, path: str, contents: bool = True) -> None:
-    """The nested index of each document, in a folder doc_name=NAME of its own; other documents' folders stay."""
-    nested = nested_json(docs, tree, contents)
-    nested.repartition("doc_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_name").text(path)
+    """The nested index of each document, saved below a folder; other documents there stay."""
+    save(nested_json(docs, tree, contents).select("doc_name", F.col("json").alias("text")), path)
 
 
 def write_markdown(docs: DataFrame, path: str) -> None:
-    """The Markdown of each document, in a folder doc_name=NAME of its own; other documents' folders stay."""
-    texts = docs.select("doc_name", F.coalesce("content", F.lit("")).alias("content"))
-    texts.repartition("doc_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_name").text(path)
+    """The Markdown of each document, saved below a folder; other documents there stay."""
+    save(docs.select("doc_name", F.coalesce("content", F.lit("")).alias("text")), path)
 
 
 def index_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
