@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import html_links, html_page
 from ..functions.urls import crawlable, doc_name, domain
-from ..sources.tables import kept, scratch
+from ..sources.tables import in_batches, kept, scratch
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def _linked(pages: DataFrame) -> DataFrame:
     """url, links (each once), n_links (of all the pages with this URL)."""
-    each = pages.select("url", html_links(F.col("html"), F.col("url")).alias("links"))
+    each = in_batches(pages).select("url", html_links(F.col("html"), F.col("url")).alias("links"))
     one = each.groupBy("url").agg(F.collect_set("links").alias("l"), F.sum(F.size("links")).cast("long").alias("n_links"))
     return one.select("url", F.array_distinct(F.flatten("l")).alias("links"), "n_links")
 
@@ -91,7 +91,7 @@ class LinkGraph:
                 if frontier is None:
                     break
             edges = self._within(self.edges, self._buckets(frontier)).withColumn("found", F.lit(True)).drop("bucket")
-            there = frontier.join(edges, "url", "left").withColumns({"found": F.coalesce("found", F.lit(False)), "bucket": host_bucket(F.col("url"))})
+            there = _joined(frontier, edges).withColumns({"found": F.coalesce("found", F.lit(False)), "bucket": host_bucket(F.col("url"))})
             if max_pages is not None:
                 # Places are given to pages that were found; of the others, those before the last place.
                 there = kept(there)
@@ -109,7 +109,7 @@ class LinkGraph:
         links = every.where((F.col("level") == level - 1) & F.col("found")).select(F.explode("links").alias("url")).distinct().where(crawlable(F.col("url"), base))
         links = kept(links.where(url_filter) if url_filter is not None else links)
         visited = self._within(every.where(F.col("level") < level), self._buckets(links))
-        frontier = kept(links.join(visited.select("url"), "url", "left_anti"))
+        frontier = kept(links.join(visited.select("url").hint("merge"), "url", "left_anti"))
         return None if frontier.isEmpty() else frontier
 
     def statistics(self, name: str | None = None) -> DataFrame:
@@ -121,6 +121,20 @@ class LinkGraph:
 BUCKETS, PARTS = 64, 16
 
 
+#: URLs of a frontier that are sent to all tasks; a larger one is exchanged.
+SENT = 20_000
+
+
+def _joined(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """frontier with its edges where there are such. The graph isn't collected, however well its files are compressed: a
+    small frontier is sent to where the graph is read, and a large one meets it in an exchange of both."""
+    if frontier.limit(SENT + 1).count() > SENT:
+        return frontier.join(edges.hint("merge"), "url", "left")
+    there = kept(edges.join(F.broadcast(frontier), "url"))
+    gone = frontier.join(F.broadcast(there.select("url")), "url", "left_anti")
+    return there.unionByName(gone, allowMissingColumns=True)
+
+
 def host_bucket(url: Column) -> Column:
     return F.pmod(F.xxhash64(domain(url)), F.lit(BUCKETS)).cast("int")
 
@@ -143,7 +157,7 @@ def crawl_statistics(visited: DataFrame, pages: DataFrame) -> DataFrame:
 def page_documents(pages: DataFrame) -> DataFrame:
     """Documents (doc_name, content, description, metadata) made of fetched pages; of equal names the page of the greatest
     URL. A page is parsed once; fetched_at is added to the metadata where the table has it."""
-    made = fetched(pages).withColumn("_p", html_page(F.col("html"))).withColumns({"_title": F.col("_p.title"), "_meta": F.col("_p.metadata")})
+    made = in_batches(fetched(pages)).withColumn("_p", html_page(F.col("html"))).withColumns({"_title": F.col("_p.title"), "_meta": F.col("_p.metadata")})
     when = [F.lit("fetched_at"), F.col("fetched_at").cast("string")] if "fetched_at" in pages.columns else []
     own = F.create_map(F.lit("type"), F.lit("web"), F.lit("url"), "url", F.lit("domain"), domain(F.col("url")), F.lit("original_title"), "_title", *when)
     made = made.select(

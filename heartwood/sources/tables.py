@@ -36,6 +36,18 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch of rows on its way to a Python worker, unless the session was started with a figure of its own.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python functions in batches of bounded size, however many rows a task reads."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df
+
+
 def _file_name(pattern: str):
     return F.regexp_extract(F.regexp_replace(F.col("_metadata.file_name"), "%20", " "), pattern, 1)
 
