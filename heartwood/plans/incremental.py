@@ -104,7 +104,8 @@ class StoredBase:
             return out
         wanted = docs.join(found.where("change <> 'deleted'").select("doc_name"), "doc_name", "left_semi")
         wanted = wanted.groupBy("doc_name").agg(F.max_by(F.struct(*[c for c in docs.columns if c != "doc_name"]), F.coalesce("content", F.lit(""))).alias("_d")).select("doc_name", "_d.*")
-        new = KnowledgeBase.of(wanted.withColumn("content", F.coalesce("content", F.lit(""))), self.settings, summarise)
+        # Texts that come out of a plan of their own are made once, not for every table that is made of them.
+        new = KnowledgeBase.of(kept(wanted.withColumn("content", F.coalesce("content", F.lit("")))), self.settings, summarise)
         told = tree.listing(new.nodes, new.docs).select("doc_name", "total_nodes", "nodes_with_summary")
         tables = {name: getattr(new, name) for name in TABLES}
         tables["docs"] = new.docs.join(found.select("doc_name", "digest"), "doc_name").join(told, "doc_name")

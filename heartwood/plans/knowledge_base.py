@@ -22,7 +22,7 @@ def index(docs: DataFrame, by: Completer | None = None) -> tuple[DataFrame, Data
     """(documents, tree) of Markdown documents (doc_name, content): sections as nodes with parents, paths and intervals.
     With a completer, empty summaries and descriptions are filled in. The tree is written down once: vectors, views and
     contexts all read it."""
-    heads = markdown.headings(docs)
+    heads = tables.kept(markdown.headings(docs))
     nodes = tree.nodes(markdown.sections(docs, heads)).withColumn("summary", F.lit(""))
     own = [c for c in ("description", "source_file", "metadata") if c in docs.columns]
     known = docs.select("doc_name", "content", *own, F.size(markdown.lines_of(F.coalesce("content", F.lit("")))).alias("total_lines")).join(markdown.titles(docs, heads), "doc_name")
