@@ -1,9 +1,11 @@
 """What is sent to tasks and to Python is bounded."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from heartwood.operators import crawl
 from heartwood.plans import corpora
+from heartwood.sources.tables import in_batches
 
 
 def plan_of(df):
@@ -25,3 +27,14 @@ def test_pages_go_to_python_in_small_batches(spark, sf_dir):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     corpora.paged(spark, sf_dir)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{4 << 20}b"
+
+
+def test_batches_of_pages_are_bounded_in_bytes(spark):
+    @F.pandas_udf("long")
+    def beside(html: pd.Series) -> pd.Series:
+        return pd.Series([len(html)] * len(html))
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = spark.range(0, 3000, 1, 1).select(F.concat(F.repeat(F.lit("x"), 10_000), "id").alias("html"))
+    n = [r.n for r in in_batches(pages).select(beside("html").alias("n")).collect()]
+    assert len(n) == 3000 and 100 < max(n) <= 1 + (4 << 20) // 10_000
