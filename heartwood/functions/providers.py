@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import in_batches
 from .text import terms
 
 
@@ -145,7 +146,7 @@ def completed(prompts: DataFrame, by: Completer, prompt: str = "prompt", into: s
                 replies = [alone(x) for x in asked]
             yield b.drop(columns=into, errors="ignore").assign(**{into: pd.Series(replies, index=b.index, dtype=object)})
 
-    return prompts.mapInPandas(run, T.StructType([f for f in prompts.schema.fields if f.name != into] + [T.StructField(into, T.StringType())]))
+    return in_batches(prompts).mapInPandas(run, T.StructType([f for f in prompts.schema.fields if f.name != into] + [T.StructField(into, T.StringType())]))
 
 
 def unanswered(replied: DataFrame, reply: str = "reply") -> DataFrame:

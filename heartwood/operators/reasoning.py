@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.html import html_cleaned, html_title, html_to_simple_markdown
 from ..functions.providers import Completer, completed, strict_json
 from ..functions.text import clean_reply, json_body, preview, unwrap_fence, without_thinking
-from ..sources.tables import kept
+from ..sources.tables import in_batches, kept
 from .tree import below, contents_table, enhanced_view, first_roots, high_level_view
 
 NODE_LIST = "array<struct<doc_name:string,node_id:string,relevance:double,reason:string>>"
@@ -147,7 +147,7 @@ def converted(pages: DataFrame, by: Completer, title: Column | None = None, most
     """pages (url, html) with markdown by a completer, which is shown the cleaned page; without a reply, by the simple rules.
     title: that of the page if None. most_html: characters that are shown; None: whole pages, for completers that take them."""
     title = html_title(F.col("html")) if title is None else title
-    shown = pages.withColumn("_title", title).withColumn("_clean", html_cleaned(F.col("html")))
+    shown = in_batches(pages).withColumn("_title", title).withColumn("_clean", html_cleaned(F.col("html")))
     cut = F.col("_clean") if most_html is None else F.when(F.length("_clean") > most_html, F.concat(F.substring("_clean", 1, most_html), F.lit(CUT_MARK))).otherwise(F.col("_clean"))
     asked = _ask(shown.withColumn("prompt", F.to_json(F.struct(F.lit("markdown").alias("task"), F.col("_title").alias("title"), "url", cut.alias("content")))).drop("_clean"), by)
     markdown = F.when(F.col("reply").isNotNull(), unwrap_fence(F.col("reply"))).otherwise(html_to_simple_markdown(F.col("html"), F.col("_title")))
